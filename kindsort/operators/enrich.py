@@ -40,13 +40,19 @@ def requests(traced: DataFrame, stage: str) -> DataFrame:
     """One request row per residual row of ``stage`` (needs ``trace=True`` output)."""
     p = STAGE_PREFIX[stage]
     max_tokens, temperature = STAGE_PARAMS[stage]
-    return traced.filter(F.col(f"{p}_src") == "residual").select(
+    req = F.struct(
         F.col(f"{p}_rid").alias("request_id"),
         F.lit(stage).alias("stage"),
         F.col(f"{p}_ctx").alias("context"),
         F.lit(max_tokens).cast("int").alias("max_tokens"),
         F.lit(temperature).cast("double").alias("temperature"),
     )
+    # explode(when(residual, [request])) instead of filter(residual): a Filter
+    # on a trace column would be pushed below the rule projections and inline
+    # the whole keyword chain (and the source expressions) into the scan or
+    # join condition; the generator keeps the chain evaluated once per row.
+    one = F.when(F.col(f"{p}_src") == "residual", F.array(req))
+    return traced.select(F.explode(one).alias("_req")).select("_req.*")
 
 
 # --- L2 distinct pending requests ----------------------------------------------------

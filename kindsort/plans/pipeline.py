@@ -1,0 +1,97 @@
+"""Pipelines W1/W2: options -> one lazily built DataFrame -> sinks -> report.
+
+Categorise and facility run in the same Project (map-only); each answer table
+adds one join on the request id.  The result is written once and the reports
+read the written table back (two columns, pruned at the scan), so a lost
+executor only recomputes its own tasks and nothing is cached across jobs.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.classify import categorize, describe, facility
+from ..operators.enrich import requests, resolve_attempts
+from ..operators.report import distribution, summary_report
+from ..sinks import RunRecord, write_csv, write_parquet, write_report
+from ..sources.inventory import POSITION_COL, read_inventory_csv
+
+
+@dataclass(frozen=True)
+class Options:
+    preserve_existing: bool = True
+    skip_facility: bool = False
+    skip_descriptions: bool = False
+    batch_size: int = 50
+    description_batch: int | None = None
+
+
+# command-line defaults (every stage on) and form defaults (only categories)
+CLI_DEFAULTS = Options()
+FORM_DEFAULTS = Options(skip_facility=True, skip_descriptions=True)
+
+TRACE_PREFIXES = ("_cat_", "_fac_", "_ele_", "_desc_")
+
+
+def build(
+    df: DataFrame,
+    opts: Options = CLI_DEFAULTS,
+    completions: DataFrame | None = None,
+    attempts: DataFrame | None = None,
+    row_col: str = "_row",
+    trace: bool = False,
+) -> DataFrame:
+    """S1 output -> C3 -> [C6] -> [C8] as one unexecuted DataFrame."""
+    x = categorize(df, opts.preserve_existing, completions, trace=True)
+    if not opts.skip_facility:
+        x = facility(x, completions, trace=True)
+    if not opts.skip_descriptions:
+        resolved = resolve_attempts(attempts) if attempts is not None else None
+        x = describe(x, resolved, first_n=opts.description_batch, row_col=row_col, trace=True)
+    if not trace:
+        x = x.drop(*[c for c in x.columns if c.startswith(TRACE_PREFIXES) or c == "_d"])
+    return x
+
+
+def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS) -> DataFrame:
+    """L1 for every stage that ran (needs ``build(..., trace=True)``)."""
+    out = requests(traced, "category")
+    if not opts.skip_facility:
+        out = out.unionByName(requests(traced, "facility"))
+    if not opts.skip_descriptions:
+        out = out.unionByName(requests(traced, "description"))
+    return out
+
+
+def run(
+    spark: SparkSession,
+    input_path: str,
+    output_path: str,
+    opts: Options = CLI_DEFAULTS,
+    completions: DataFrame | None = None,
+    attempts: DataFrame | None = None,
+    csv: bool = True,
+    seed: int = 42,
+) -> RunRecord:
+    """W1 end to end: read + validate, classify, write, report."""
+    rec = RunRecord(spark)
+    df = read_inventory_csv(spark, input_path)
+    if opts.description_batch:
+        from ..operators.enrich import with_row_index
+
+        df = with_row_index(df, [POSITION_COL])
+    result = build(df, opts, completions, attempts)
+    table = f"{output_path}/table"
+    rec.timed("classify", lambda: (write_parquet(result, table), spark.read.parquet(table).count())[1])
+    written = spark.read.parquet(table)
+    if csv:
+        rec.timed("csv", lambda: (write_csv(written, f"{output_path}/csv"), None)[1])
+    rep = summary_report(written, POSITION_COL, opts.skip_facility, opts.skip_descriptions, seed)
+    rec.timed("report", lambda: (write_report(rep, f"{output_path}/summary"), None)[1])
+    return rec
+
+
+def category_report(result: DataFrame) -> DataFrame:
+    return distribution(result, "Product Category")

@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming: the landing-folder pipeline."""
