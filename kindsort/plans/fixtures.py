@@ -25,7 +25,7 @@ ANSWERS = [
     "Both: any setting",
     "x: y: Both",
     " \tDistrict Hospitals\n",
-    " Both ",
+    "\u00a0Both\u00a0",
     ":Both",
     "Answer:",
     "1. PPE & Infection Control",
