@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matcher import default_engine, match_columns
 from ..functions.rules import any_match, first_match_keyword, keyword_label
 from ..functions.text import blank, normalize_label, normalize_yes_no, present
 from ..functions.vocab import (
@@ -72,6 +73,40 @@ def with_lower_description(df: DataFrame) -> DataFrame:
     return df.withColumn(LOWER_DESC, F.lower(opt_col(df, "DESCRIPTION", "")))
 
 
+MATCH_COLS = ["_cat_kw", "_fac_review", "_fac_rural", "_fac_district"]
+
+
+def with_matches(df: DataFrame, engine: str | None = None) -> DataFrame:
+    """All description vocabularies matched once: ``_cat_kw`` (first category
+    keyword) and the ``_fac_review/_fac_rural/_fac_district`` flags.
+
+    Computed once and reused by every stage of a pipeline (the columns stay
+    until the trace columns are dropped)."""
+    if all(c in df.columns for c in MATCH_COLS):
+        return df
+    x = with_lower_description(df)
+    cols = match_columns(
+        F.col(LOWER_DESC),
+        {"category": CATEGORY_RULES},
+        {"review": REVIEW_KEYWORDS, "rural": RURAL_KEYWORDS, "district": DISTRICT_KEYWORDS},
+        engine or default_engine(),
+    )
+    if "__struct__" in cols:
+        x = x.withColumn("_match", cols["__struct__"])
+        get = {
+            "_cat_kw": F.col("_match.category"),
+            "_fac_review": F.col("_match.review"),
+            "_fac_rural": F.col("_match.rural"),
+            "_fac_district": F.col("_match.district"),
+        }
+    else:
+        get = {"_cat_kw": cols["category"], "_fac_review": cols["review"], "_fac_rural": cols["rural"], "_fac_district": cols["district"]}
+    for c in MATCH_COLS:
+        if c not in x.columns:
+            x = x.withColumn(c, get[c])
+    return x
+
+
 def _answers(completions: DataFrame | None, stage_rid: str, norm) -> tuple[DataFrame | None, str]:
     if completions is None:
         return None, ""
@@ -99,15 +134,14 @@ def categorize(
     preserve_existing: bool = True,
     completions: DataFrame | None = None,
     trace: bool = False,
+    engine: str | None = None,
 ) -> DataFrame:
     """C3 product category with P6 preserve, C1/C2 rules, L3 answers and C4 trace."""
     d = opt_col(df, "DESCRIPTION", "")
     v = opt_col(df, "VENDOR_NAME")
     s = opt_col(df, "SUBCATEGORY")
     existing = opt_col(df, CATEGORY_COL) if preserve_existing else F.lit(None).cast("string")
-    x = with_lower_description(df)
-    dl = F.col(LOWER_DESC)
-    x = x.withColumn("_cat_kw", first_match_keyword(dl, CATEGORY_RULES))
+    x = with_matches(df, engine)
     x = x.withColumn(
         "_cat_subkw",
         F.when(F.col("_cat_kw").isNull() & present(s), first_match_keyword(F.lower(s), CATEGORY_RULES)),
@@ -138,30 +172,25 @@ def categorize(
         .when(F.col("_cat_src") == "subcategory", keyword_label(F.col("_cat_subkw"), CATEGORY_RULES))
         .otherwise(answered)
     )
-    x = x.withColumn(CATEGORY_COL, label)
-    return _finish(x, [LOWER_DESC, "_cat_kw", "_cat_subkw", "_cat_src", "_cat_ctx", "_cat_rid", ans_col], trace)
+    # never null (a preserved value is non-blank): lets the optimizer drop
+    # IS NOT NULL tests on the label instead of pushing them into the scan
+    x = x.withColumn(CATEGORY_COL, F.coalesce(label, F.lit(NEEDS_REVIEW)))
+    helpers = [LOWER_DESC, "_match", *MATCH_COLS, "_cat_subkw", "_cat_src", "_cat_ctx", "_cat_rid", ans_col]
+    return _finish(x, helpers, trace)
 
 
-def keyword_category(df: DataFrame) -> DataFrame:
+def keyword_category(df: DataFrame, engine: str | None = None) -> DataFrame:
     """C1 alone: first description keyword and its label (null when none)."""
-    x = with_lower_description(df)
-    kw = first_match_keyword(F.col(LOWER_DESC), CATEGORY_RULES)
-    return x.withColumn("keyword", kw).withColumn("label", keyword_label(F.col("keyword"), CATEGORY_RULES)).drop(
-        LOWER_DESC
-    )
+    x = with_matches(df, engine)
+    x = x.withColumn("keyword", F.col("_cat_kw")).withColumn("label", keyword_label(F.col("keyword"), CATEGORY_RULES))
+    return x.drop(LOWER_DESC, "_match", *MATCH_COLS)
 
 
 # --- C5, C6: facility suitability --------------------------------------------------
 
-def facility_flags(df: DataFrame) -> DataFrame:
+def facility_flags(df: DataFrame, engine: str | None = None) -> DataFrame:
     """Any-match flags for the three facility vocabularies (null text -> null)."""
-    x = with_lower_description(df)
-    dl = F.col(LOWER_DESC)
-    return (
-        x.withColumn("_fac_review", any_match(dl, REVIEW_KEYWORDS))
-        .withColumn("_fac_rural", any_match(dl, RURAL_KEYWORDS))
-        .withColumn("_fac_district", any_match(dl, DISTRICT_KEYWORDS))
-    )
+    return with_matches(df, engine)
 
 
 def facility(
@@ -169,6 +198,7 @@ def facility(
     completions: DataFrame | None = None,
     category_col: str = CATEGORY_COL,
     trace: bool = False,
+    engine: str | None = None,
 ) -> DataFrame:
     """Review words win; then the rural x district truth table; then answers.
 
@@ -176,7 +206,7 @@ def facility(
     d = opt_col(df, "DESCRIPTION", "")
     v = opt_col(df, "VENDOR_NAME")
     cat = opt_col(df, category_col)
-    x = facility_flags(df)
+    x = facility_flags(df, engine)
     rv, ru, di = F.col("_fac_review"), F.col("_fac_rural"), F.col("_fac_district")
     src = (
         F.when(blank(d), F.lit("blank"))
@@ -203,8 +233,8 @@ def facility(
         .when(di, F.lit(DISTRICT))
         .otherwise(answered)
     )
-    x = x.withColumn(FACILITY_COL, label)
-    helpers = [LOWER_DESC, "_fac_review", "_fac_rural", "_fac_district", "_fac_src", "_fac_ctx", "_fac_rid", ans_col]
+    x = x.withColumn(FACILITY_COL, F.coalesce(label, F.lit(NEEDS_REVIEW)))
+    helpers = [LOWER_DESC, "_match", *MATCH_COLS, "_fac_src", "_fac_ctx", "_fac_rid", ans_col]
     return _finish(x, helpers, trace)
 
 

@@ -27,12 +27,17 @@ def _with_total(counts: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
-    """A1/A2 + P12: ``(label, count, pct)``; nulls are not listed but count in the total."""
-    g = df.groupBy(F.col(f"`{col}`").alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    """A1/A2 + P12: ``(label, count, pct)``; nulls are not listed but count in the total.
+
+    The null group is dropped through an aggregate value (``_nn``), not a
+    filter on the label: a filter on a grouping key would be pushed below the
+    aggregate and into the classification expressions."""
+    c = F.col(f"`{col}`")
+    g = df.groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("count"), F.count(c).alias("_nn"))
     total = g.agg(F.sum("count").alias("total"))
     return (
         _with_total(g, total)
-        .filter(F.col("label").isNotNull())
+        .filter(F.col("_nn") > 0)
         .select("label", "count", percent(F.col("count"), F.col("total")).alias("pct"))
     )
 
@@ -46,13 +51,13 @@ def crosstab(df: DataFrame, row: str = CATEGORY_COL, col: str = FACILITY_COL, va
     """A3: contingency table; rows with a null on either axis are dropped, zeros filled.
 
     The pivot values are given, so no extra job looks for them."""
-    x = df.filter(F.col(f"`{row}`").isNotNull() & F.col(f"`{col}`").isNotNull())
-    return (
-        x.groupBy(F.col(f"`{row}`").alias("label"))
-        .pivot(col, values)
-        .agg(F.count(F.lit(1)))
-        .na.fill(0, subset=values)
-    )
+    r, c = F.col(f"`{row}`"), F.col(f"`{col}`")
+    # one conditional count per given value (a pivot with fixed values); the
+    # null row label and labels without a non-null column value are dropped
+    # after the aggregate, so no filter is pushed into the classification
+    cells = [F.count_if(c == F.lit(v)).alias(v) for v in values]
+    g = df.groupBy(r.alias("label")).agg(*cells, F.count(c).alias("_nn"), F.count(r).alias("_nr"))
+    return g.filter((F.col("_nn") > 0) & (F.col("_nr") > 0)).drop("_nn", "_nr")
 
 
 def global_counts(df: DataFrame, traced: bool = True) -> DataFrame:

@@ -51,7 +51,7 @@ def build(
         resolved = resolve_attempts(attempts) if attempts is not None else None
         x = describe(x, resolved, first_n=opts.description_batch, row_col=row_col, trace=True)
     if not trace:
-        x = x.drop(*[c for c in x.columns if c.startswith(TRACE_PREFIXES) or c == "_d"])
+        x = x.drop(*[c for c in x.columns if c.startswith(TRACE_PREFIXES) or c in ("_d", "_match")])
     return x
 
 

@@ -166,3 +166,18 @@ def test_expected_counts_sf0001(spark):
     facs = {r[0]: r[1] for r in df.groupBy(FACILITY_COL).count().collect()}
     assert cats == {EQ: 1382, SU: 1349, NR: 1113, DX: 1104, PPE: 614, CL: 296, "Uncategorized": 142}
     assert facs == {NR: 2745, RC: 1671, BO: 946, DH: 638}
+
+
+@pytest.mark.parametrize("source", ["lineitem", "documents"])
+def test_engines_agree(spark, source):
+    from kindsort.functions.matcher import HAVE_AUTOMATON
+    from kindsort.sources.testview import document_inventory, lineitem_inventory
+
+    if not HAVE_AUTOMATON:
+        pytest.skip("pyahocorasick not installed")
+    load = lineitem_inventory if source == "lineitem" else document_inventory
+    df = load(spark, "/root/testdata/sf0.001")
+    cols = ["ITEM_NO", "_cat_kw", "_fac_review", "_fac_rural", "_fac_district", CATEGORY_COL, FACILITY_COL]
+    a = facility(categorize(df, trace=True, engine="columns"), trace=True, engine="columns").select(cols)
+    b = facility(categorize(df, trace=True, engine="automaton"), trace=True, engine="automaton").select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
