@@ -121,10 +121,12 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str) -> DataFrame:
     return df.join(ans, df[rid] == ans[rid + "_k"], "left").drop(rid + "_k")
 
 
-def _finish(df: DataFrame, helpers: list[str], trace: bool) -> DataFrame:
+def _finish(df: DataFrame, helpers: list[str], trace: bool, given: list[str] | None = None) -> DataFrame:
+    """Drop the helper columns this stage added (columns the caller passed in stay)."""
     if trace:
         return df
-    return df.drop(*[h for h in helpers if h in df.columns])
+    keep = set(given or [])
+    return df.drop(*[h for h in helpers if h and h in df.columns and h not in keep])
 
 
 # --- C1..C4: product category ------------------------------------------------------
@@ -176,7 +178,7 @@ def categorize(
     # IS NOT NULL tests on the label instead of pushing them into the scan
     x = x.withColumn(CATEGORY_COL, F.coalesce(label, F.lit(NEEDS_REVIEW)))
     helpers = [LOWER_DESC, "_match", *MATCH_COLS, "_cat_subkw", "_cat_src", "_cat_ctx", "_cat_rid", ans_col]
-    return _finish(x, helpers, trace)
+    return _finish(x, helpers, trace, df.columns)
 
 
 def keyword_category(df: DataFrame, engine: str | None = None) -> DataFrame:
@@ -235,7 +237,7 @@ def facility(
     )
     x = x.withColumn(FACILITY_COL, F.coalesce(label, F.lit(NEEDS_REVIEW)))
     helpers = [LOWER_DESC, "_match", *MATCH_COLS, "_fac_src", "_fac_ctx", "_fac_rid", ans_col]
-    return _finish(x, helpers, trace)
+    return _finish(x, helpers, trace, df.columns)
 
 
 # --- C7: electricity requirement -----------------------------------------------------

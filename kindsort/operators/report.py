@@ -47,7 +47,13 @@ def ordered(dist: DataFrame) -> DataFrame:
     return dist.orderBy(F.desc("count"), F.asc("label"))
 
 
-def crosstab(df: DataFrame, row: str = CATEGORY_COL, col: str = FACILITY_COL, values: list[str] = FACILITY_LABELS) -> DataFrame:
+def crosstab(
+    df: DataFrame,
+    row: str = CATEGORY_COL,
+    col: str = FACILITY_COL,
+    values: list[str] = FACILITY_LABELS,
+    weight: str | None = None,
+) -> DataFrame:
     """A3: contingency table; rows with a null on either axis are dropped, zeros filled.
 
     The pivot values are given, so no extra job looks for them."""
@@ -55,7 +61,11 @@ def crosstab(df: DataFrame, row: str = CATEGORY_COL, col: str = FACILITY_COL, va
     # one conditional count per given value (a pivot with fixed values); the
     # null row label and labels without a non-null column value are dropped
     # after the aggregate, so no filter is pushed into the classification
-    cells = [F.count_if(c == F.lit(v)).alias(v) for v in values]
+    if weight is None:
+        cells = [F.count_if(c == F.lit(v)).alias(v) for v in values]
+    else:  # rows are pre-counted: add up their weights
+        w = F.col(weight)
+        cells = [F.coalesce(F.sum(F.when(c == F.lit(v), w)), F.lit(0)).cast("long").alias(v) for v in values]
     g = df.groupBy(r.alias("label")).agg(*cells, F.count(c).alias("_nn"), F.count(r).alias("_nr"))
     return g.filter((F.col("_nn") > 0) & (F.col("_nr") > 0)).drop("_nn", "_nr")
 
@@ -139,31 +149,41 @@ def summary_report(
 
     Sections: 0 totals, 1 category distribution, 2 facility distribution,
     3 cross-tab, 4 description samples.  Sort within a section by
-    ``sort_count`` descending then ``sort_label``."""
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    ``sort_count`` descending then ``sort_label``.
+
+    One pass over the result builds the (category, facility) count table --
+    a few dozen rows -- and every count section is computed from it; the
+    sample is a second pass that keeps ``SAMPLE_SIZE`` rows per task."""
+    has_fac = (not skip_facility) and FACILITY_COL in df.columns
+    keys = [F.col(f"`{CATEGORY_COL}`").alias("cat")]
+    if has_fac:
+        keys.append(F.col(f"`{FACILITY_COL}`").alias("fac"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
     parts = [
         total.select(
             F.lit(0).alias("section"),
             F.lit(0).cast("long").alias("sort_count"),
             F.lit("").alias("sort_label"),
-            F.concat(F.lit("Total items processed: "), F.col("n").cast("string")).alias("line"),
+            F.concat(F.lit("Total items processed: "), F.coalesce(F.col("total"), F.lit(0)).cast("string")).alias("line"),
         )
     ]
 
     def dist_lines(col: str, section: int) -> DataFrame:
-        d = distribution(df, col)
+        g = counts.groupBy(F.col(col).alias("label")).agg(F.sum("n").alias("count"))
+        d = _with_total(g.filter(F.col("label").isNotNull()), total)
+        pct = percent(F.col("count"), F.col("total"))
         return d.select(
             F.lit(section).alias("section"),
             F.col("count").alias("sort_count"),
             F.col("label").alias("sort_label"),
-            F.concat(F.col("label"), F.lit(": "), F.col("count").cast("string"), F.lit(" ("), _fmt_pct(F.col("pct")), F.lit("%)")).alias("line"),
+            F.concat(F.col("label"), F.lit(": "), F.col("count").cast("string"), F.lit(" ("), _fmt_pct(pct), F.lit("%)")).alias("line"),
         )
 
-    parts.append(dist_lines(CATEGORY_COL, 1))
-    has_fac = (not skip_facility) and FACILITY_COL in df.columns
+    parts.append(dist_lines("cat", 1))
     if has_fac:
-        parts.append(dist_lines(FACILITY_COL, 2))
-        ct = crosstab(df)
+        parts.append(dist_lines("fac", 2))
+        ct = crosstab(counts.select("cat", "fac", "n"), "cat", "fac", weight="n")
         cells = [F.concat(F.lit(f"{v}="), F.col(f"`{v}`").cast("string")) for v in FACILITY_LABELS]
         parts.append(
             ct.select(
