@@ -115,10 +115,18 @@ def _answers(completions: DataFrame | None, stage_rid: str, norm) -> tuple[DataF
 
 
 def _join_answers(df: DataFrame, ans: DataFrame, rid: str) -> DataFrame:
-    # Left equi-join on the request id; non-residual rows carry a null id and
-    # never match.  Small answer tables are broadcast by the planner from their
-    # statistics; large ones are shuffle-joined with AQE's skew split.
-    return df.join(ans, df[rid] == ans[rid + "_k"], "left").drop(rid + "_k")
+    """Left equi-join of the rows with their answers on the request id.
+
+    Rows no rule left open have no request id.  Joined on a null key they
+    would all hash to one shuffle partition, so they get a spread key that can
+    never match (request ids are hex digests; the spread key starts with ``~``).
+    Small answer tables are broadcast by the planner from their statistics;
+    large ones are shuffle-joined, and a context repeated on many rows is split
+    by AQE's skew-join handling."""
+    key = rid + "_j"
+    spread = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
+    x = df.withColumn(key, F.coalesce(F.col(rid), spread))
+    return x.join(ans, x[key] == ans[rid + "_k"], "left").drop(rid + "_k", key)
 
 
 def _finish(df: DataFrame, helpers: list[str], trace: bool, given: list[str] | None = None) -> DataFrame:

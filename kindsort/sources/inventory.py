@@ -67,12 +67,16 @@ def check_required(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> Non
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
 
 
-def read_inventory_csv(spark: SparkSession, path: str, validate: bool = True, measures: bool = True) -> DataFrame:
+def read_inventory_csv(
+    spark: SparkSession, path: str, validate: bool = True, measures: bool = True, multi_line: bool = True
+) -> DataFrame:
     """Comma CSV with header, quoted multi-line fields and doubled quotes.
 
     Unknown columns pass through in file order.  ``_pos`` increases with the
-    position in the file (files are not split when ``multiLine`` is on)."""
-    df = spark.read.options(**CSV_READ_OPTIONS).csv(path)
+    position in the file.  With ``multi_line`` (quoted newlines allowed) a file
+    is read by one task; inventories known to be single-line should pass
+    ``multi_line=False`` so large files are split across tasks."""
+    df = spark.read.options(**CSV_READ_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
     if validate:
         check_required(df)
     df = normalize_nulls(df)

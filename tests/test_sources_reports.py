@@ -150,3 +150,24 @@ def test_stream_equals_batch(spark):
     stream = got.groupBy(CATEGORY_COL, FACILITY_COL).agg(F.sum("rows").alias("n"))
     batch = build(S.read_inventory_csv(spark, land), opts).groupBy(CATEGORY_COL, FACILITY_COL).agg(F.count(F.lit(1)).alias("n"))
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+
+
+def test_durable_answers_and_progress(spark):
+    from conftest import inventory
+    from kindsort.operators import enrich as L
+    from kindsort.sinks import append_completions, read_completions
+
+    df = inventory(spark, [("spare bracket", None, None), ("foam cushion", None, None), ("glove", None, None)])
+    traced = categorize(df, trace=True)
+    reqs = L.requests(traced, "category")
+    d = scratch()
+    store = os.path.join(d, "answers")
+    first = reqs.filter(F.col("context").contains("spare")).select("request_id", F.lit("PPE & Infection Control").alias("response"))
+    append_completions(first, store, "category", batch_id=1)
+    done = read_completions(spark, store)
+    assert [r.context for r in L.pending(reqs, done).collect()] == ["Description: foam cushion"]
+    out, obs = R.observe_progress(facility(traced, trace=True))
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"rows": 3, "category_residual": 2, "facility_residual": 2}
+    got = {r.DESCRIPTION: r[CATEGORY_COL] for r in categorize(df, completions=done).collect()}
+    assert got["spare bracket"] == "PPE & Infection Control" and got["foam cushion"] == "Needs Review"
