@@ -336,7 +336,9 @@ def _q_facility():
 
 @register("facility_suitability", _q_facility())
 def facility_suitability(spark, d):
-    return C.facility(C.categorize(lineitem_inventory(spark, d))).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL, FACILITY_COL)
+    # trace=True keeps the match columns, so facility reuses the one matching pass
+    cat = C.categorize(lineitem_inventory(spark, d), trace=True)
+    return C.facility(cat).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL, FACILITY_COL)
 
 
 def _q_facility_flags():
@@ -976,7 +978,7 @@ def _q_doc_facility():
 
 @register("document_facility", _q_doc_facility())
 def document_facility(spark, d):
-    t = C.facility(C.categorize(document_inventory(spark, d)), trace=True)
+    t = C.facility(C.categorize(document_inventory(spark, d), trace=True), trace=True)
     return t.select("KEY", F.col("_fac_src").alias("facility_source"), FACILITY_COL)
 
 
