@@ -41,7 +41,7 @@ from ..sources.testview import (
 )
 from . import fixtures as X
 from . import sqlforms as Q
-from .pipeline import CLI_DEFAULTS, FORM_DEFAULTS, Options, build
+from .batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -513,8 +513,8 @@ def _q_req_category():
     return q.query("SELECT * FROM creq")
 
 
-@register("llm_requests_category", _q_req_category())
-def llm_requests_category(spark, d):
+@register("model_requests_category", _q_req_category())
+def model_requests_category(spark, d):
     return _cat_requests(spark, d)
 
 
@@ -524,8 +524,8 @@ def _q_req_facility():
     return q.query("SELECT * FROM freq")
 
 
-@register("llm_requests_facility", _q_req_facility())
-def llm_requests_facility(spark, d):
+@register("model_requests_facility", _q_req_facility())
+def model_requests_facility(spark, d):
     return _fac_requests(spark, d)
 
 
@@ -535,8 +535,8 @@ def _q_req_description():
     return q.query("SELECT * FROM dreq")
 
 
-@register("llm_requests_description", _q_req_description())
-def llm_requests_description(spark, d):
+@register("model_requests_description", _q_req_description())
+def model_requests_description(spark, d):
     return _desc_requests(spark, d)
 
 
@@ -864,14 +864,14 @@ def sample_descriptions(spark, d):
     return R.sample(_part_pipeline(spark, d), "KEY", SAMPLE_SEED).select("KEY", "DESCRIPTION", SIMPLE_DESC_COL)
 
 
-def _q_pipeline_full():
+def _q_batch_run_full():
     q = Q.Sql()
     res = _part_pipeline_sql(q)
     return q.query(f"SELECT KEY, ITEM_NO, DESCRIPTION, VENDOR_NAME, CATEGORY, SUBCATEGORY, COST, {Q.PC}, {Q.FS}, SIMPLE_DESCRIPTION FROM {res}")
 
 
-@register("pipeline_full", _q_pipeline_full())
-def pipeline_full(spark, d):
+@register("batch_run_full", _q_batch_run_full())
+def batch_run_full(spark, d):
     return _part_pipeline(spark, d)
 
 
@@ -888,8 +888,8 @@ def _q_pipeline_skip():
     )
 
 
-@register("pipeline_skip_stages", _q_pipeline_skip())
-def pipeline_skip_stages(spark, d):
+@register("batch_run_form_defaults", _q_pipeline_skip())
+def batch_run_form_defaults(spark, d):
     df = _matched(lineitem_inventory(spark, d))
     comp, attempts = _answers_for(df, FORM_DEFAULTS)
     return build(df, FORM_DEFAULTS, comp, attempts)

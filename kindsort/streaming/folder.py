@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vocab import CATEGORY_COL, EXPECTED_COLUMNS, FACILITY_COL
-from ..plans.pipeline import FORM_DEFAULTS, Options, build
+from ..plans.batch import FORM_DEFAULTS, Options, build
 from ..sources.inventory import CSV_READ_OPTIONS, cast_measures, normalize_nulls
 
 FILE_COL = "_file"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kindsort.functions.vocab import CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL
 from kindsort.operators import report as R
 from kindsort.operators.classify import categorize, facility
-from kindsort.plans.pipeline import CLI_DEFAULTS, FORM_DEFAULTS, Options, build, run
+from kindsort.plans.batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, build, run
 from kindsort.sources import inventory as S
 
 HEADER = "ITEM_NO,DESCRIPTION,VENDOR_NAME,SUBCATEGORY,COST,EXTRA\n"
