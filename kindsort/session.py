@@ -15,6 +15,9 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the matcher ships whole texts to Python in Arrow batches: bound a batch
+    # by bytes as well as rows, so 20,000-word documents cannot make one huge batch
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 

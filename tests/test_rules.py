@@ -181,3 +181,25 @@ def test_engines_agree(spark, source):
     a = facility(categorize(df, trace=True, engine="columns"), trace=True, engine="columns").select(cols)
     b = facility(categorize(df, trace=True, engine="automaton"), trace=True, engine="automaton").select(cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_shuffled_facility_lists_change_nothing(spark):
+    import random
+
+    from kindsort.functions.matcher import match_columns
+    from kindsort.functions.vocab import REVIEW_KEYWORDS
+    from kindsort.sources.testview import lineitem_inventory
+
+    df = lineitem_inventory(spark, "/root/testdata/sf0.001").select(F.lower("DESCRIPTION").alias("t"))
+    rnd = random.Random(7)
+    lists = {"review": REVIEW_KEYWORDS, "rural": RURAL_KEYWORDS, "district": DISTRICT_KEYWORDS}
+    shuffled = {k: rnd.sample(v, len(v)) for k, v in lists.items()}
+    for engine in ("columns", "automaton"):
+        a = match_columns(F.col("t"), {}, lists, engine)
+        b = match_columns(F.col("t"), {}, shuffled, engine)
+        if "__struct__" in a:
+            a = {k: a["__struct__"][k] for k in lists}
+            b = {k: b["__struct__"][k] for k in lists}
+        x = df.select(*[a[k].alias(k) for k in lists])
+        y = df.select(*[b[k].alias(k) for k in lists])
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
