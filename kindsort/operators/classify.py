@@ -288,7 +288,7 @@ def electricity(
         .otherwise(answered)
     )
     x = x.withColumn(ELECTRICITY_COL, label)
-    return _finish(x, [LOWER_DESC, "_ele_hit", "_ele_src", "_ele_ctx", "_ele_rid", ans_col], trace)
+    return _finish(x, [LOWER_DESC, "_ele_hit", "_ele_src", "_ele_ctx", "_ele_rid", ans_col], trace, df.columns)
 
 
 # --- C8: simple description ------------------------------------------------------------
@@ -343,4 +343,4 @@ def describe(
         .otherwise(answered)
     )
     x = x.withColumn(SIMPLE_DESC_COL, value)
-    return _finish(x, ["_desc_src", "_desc_ctx", "_desc_rid", "_desc_rid_a"], trace)
+    return _finish(x, ["_desc_src", "_desc_ctx", "_desc_rid", "_desc_rid_a"], trace, df.columns)
