@@ -96,7 +96,8 @@ def _matched(df: DataFrame) -> DataFrame:
     Queries that derive answers from their own requests read the rows in
     several branches; the reliable checkpoint (shared checkpoint folder) lets
     every branch reuse one matching pass and survives executor loss."""
-    return C.with_matches(df).checkpoint(eager=True)
+    # the flag columns are already extracted: do not store the struct twice
+    return C.with_matches(df).drop("_match").checkpoint(eager=True)
 
 
 def _inv(q: Q.Sql) -> str:
