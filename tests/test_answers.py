@@ -164,3 +164,19 @@ def test_completer_hook(spark):
 
     got = L.complete_with(reqs, answer, partitions=2).collect()
     assert sorted(r.response for r in got) == ["DESCRIPTION: FOAM CUSHION", "DESCRIPTION: SPARE BRACKET"]
+
+
+def test_hot_context_on_a_third_of_rows(spark):
+    """One description on a third of all rows: one request, answered on every row."""
+    hot = [("spare bracket", "Acme", None)] * 300
+    cold = [(f"foam cushion {i}", None, None) for i in range(300)] + [(f"glove {i}", None, None) for i in range(300)]
+    df = inventory(spark, hot + cold).repartition(8)
+    traced = categorize(df, trace=True)
+    reqs = L.requests(traced, "category")
+    pend = L.pending(reqs)
+    assert pend.count() == 301
+    hot_id = pend.filter(F.col("context").startswith("Description: spare")).first().request_id
+    done = spark.createDataFrame([(hot_id, "Medical Equipment & Furniture")], L.COMPLETION_SCHEMA)
+    out = categorize(df, completions=done).groupBy(CATEGORY_COL).count()
+    got = {r[0]: r[1] for r in out.collect()}
+    assert got == {"Medical Equipment & Furniture": 300, "Needs Review": 300, "Medical & Surgical Supplies": 300}
