@@ -36,8 +36,11 @@ ATTEMPT_SCHEMA = (
 
 # --- L1 residue requests ----------------------------------------------------------
 
-def requests(traced: DataFrame, stage: str) -> DataFrame:
-    """One request row per residual row of ``stage`` (needs ``trace=True`` output)."""
+def requests(traced: DataFrame, stage: str, ready: Column | None = None) -> DataFrame:
+    """One request row per residual row of ``stage`` (needs ``trace=True`` output).
+
+    ``ready`` (optional) holds back rows whose request would still change, e.g.
+    facility requests of rows whose category answer has not arrived."""
     p = STAGE_PREFIX[stage]
     max_tokens, temperature = STAGE_PARAMS[stage]
     req = F.struct(
@@ -51,7 +54,10 @@ def requests(traced: DataFrame, stage: str) -> DataFrame:
     # on a trace column would be pushed below the rule projections and inline
     # the whole keyword chain (and the source expressions) into the scan or
     # join condition; the generator keeps the chain evaluated once per row.
-    one = F.when(F.col(f"{p}_src") == "residual", F.array(req))
+    cond = F.col(f"{p}_src") == "residual"
+    if ready is not None:
+        cond = cond & ready
+    one = F.when(cond, F.array(req))
     return traced.select(F.explode(one).alias("_req")).select("_req.*")
 
 

@@ -11,9 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.classify import categorize, describe, facility
-from ..operators.enrich import requests, resolve_attempts
+from ..operators.enrich import pending, requests, resolve_attempts
 from ..operators.report import distribution, summary_report
 from ..sinks import RunRecord, write_csv, write_parquet, write_report
 from ..sources.inventory import POSITION_COL, read_inventory_csv
@@ -59,12 +60,21 @@ def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS) -> DataFrame
     """L1 for every stage that ran (needs ``build(..., trace=True)``)."""
     out = requests(traced, "category")
     if not opts.skip_facility:
-        out = out.unionByName(requests(traced, "facility"))
+        # a facility request carries the category: ask it once the category is
+        # settled (decided by a rule, or its answer row has arrived)
+        settled = F.col("_cat_src") != "residual"
+        if "_cat_rid_a" in traced.columns:
+            settled = settled | F.col("_cat_rid_a").isNotNull()
+        out = out.unionByName(requests(traced, "facility", ready=settled))
     if not opts.skip_descriptions:
         out = out.unionByName(requests(traced, "description"))
     return out
 
 
+def trace_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(TRACE_PREFIXES) or c in ("_d", "_match")]
+
+
 def run(
     spark: SparkSession,
     input_path: str,
@@ -75,20 +85,33 @@ def run(
     csv: bool = True,
     seed: int = 42,
 ) -> RunRecord:
-    """W1 end to end: read + validate, classify, write, report."""
+    """W1 end to end: read + validate, classify, write, emit requests, report.
+
+    Writes under ``output_path``: ``table`` (result with its trace columns,
+    parquet), ``csv`` (the widened inventory), ``requests`` (distinct requests
+    still without an answer) and ``summary`` (report text).  Running again
+    with the answers to ``requests`` applies them; facility requests carry the
+    category, so they are re-issued after category answers arrive."""
     rec = RunRecord(spark)
     df = read_inventory_csv(spark, input_path)
     if opts.description_batch:
         from ..operators.enrich import with_row_index
 
         df = with_row_index(df, [POSITION_COL])
-    result = build(df, opts, completions, attempts)
+    traced = build(df, opts, completions, attempts, trace=True).drop("_d", "_match")
     table = f"{output_path}/table"
-    rec.timed("classify", lambda: (write_parquet(result, table), spark.read.parquet(table).count())[1])
+    rec.timed("classify", lambda: (write_parquet(traced, table), spark.read.parquet(table).count())[1])
     written = spark.read.parquet(table)
+    result = written.drop(*trace_columns(written))
     if csv:
-        rec.timed("csv", lambda: (write_csv(written, f"{output_path}/csv"), None)[1])
-    rep = summary_report(written, POSITION_COL, opts.skip_facility, opts.skip_descriptions, seed)
+        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv"), None)[1])
+    done = completions
+    if attempts is not None:
+        tried = attempts.select("request_id")
+        done = tried if done is None else done.select("request_id").unionByName(tried)
+    todo = pending(stage_requests(written, opts), done)
+    rec.timed("requests", lambda: (write_parquet(todo, f"{output_path}/requests"), spark.read.parquet(f"{output_path}/requests").count())[1])
+    rep = summary_report(result, POSITION_COL, opts.skip_facility, opts.skip_descriptions, seed)
     rec.timed("report", lambda: (write_report(rep, f"{output_path}/summary"), None)[1])
     return rec
 

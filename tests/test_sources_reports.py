@@ -128,10 +128,31 @@ def test_run_end_to_end(spark):
     p = write(os.path.join(d, "inv.csv"), HEADER + BODY)
     rec = run(spark, p, os.path.join(d, "out"), Options(skip_descriptions=True))
     stages = [r.stage for r in rec.to_df().collect()]
-    assert stages == ["classify", "csv", "report"]
+    assert stages == ["classify", "csv", "requests", "report"]
     lines = [r.value for r in spark.read.text(os.path.join(d, "out", "summary")).collect()]
     assert lines[0] == "Total items processed: 4"
     assert "Medical & Surgical Supplies: 1 (25.0%)" in lines
+    csv_cols = spark.read.options(header=True).csv(os.path.join(d, "out", "csv")).columns
+    assert csv_cols[-2:] == [CATEGORY_COL, FACILITY_COL] and not [c for c in csv_cols if c.startswith("_")]
+
+
+def test_two_runs_close_the_answer_loop(spark):
+    from kindsort.__main__ import main
+
+    d = scratch()
+    p = write(os.path.join(d, "inv.csv"), HEADER + '1,spare bracket,Acme,,1,a\n2,glove,Acme,,2,b\n')
+    assert main(["--input", p, "--output", os.path.join(d, "r1"), "--skip-descriptions"]) == 0
+    reqs = spark.read.parquet(os.path.join(d, "r1", "requests")).collect()
+    assert [(r.stage, r.context) for r in reqs] == [("category", "Description: spare bracket, Vendor: Acme")]
+    answers = spark.createDataFrame([(reqs[0].request_id, "Category: Medical Equipment & Furniture")], "request_id string, response string")
+    answers.write.parquet(os.path.join(d, "answers"))
+    assert main(["--input", p, "--output", os.path.join(d, "r2"), "--skip-descriptions",
+                 "--completions", os.path.join(d, "answers")]) == 0
+    out = {r.ITEM_NO: r[CATEGORY_COL] for r in spark.read.parquet(os.path.join(d, "r2", "table")).collect()}
+    assert out == {"1": "Medical Equipment & Furniture", "2": "Medical & Surgical Supplies"}
+    # the facility request now carries the answered category
+    r2 = spark.read.parquet(os.path.join(d, "r2", "requests")).collect()
+    assert [(r.stage, r.context) for r in r2] == [("facility", "Description: spare bracket, Category: Medical Equipment & Furniture, Vendor: Acme")]
 
 
 def test_stream_equals_batch(spark):
