@@ -124,23 +124,35 @@ def usage(resolved: DataFrame) -> DataFrame:
 def with_row_index(df: DataFrame, order_cols: list[str], name: str = "_row", partitions: int | None = None) -> DataFrame:
     """Dense 0-based position of each row in ``order_cols`` order (unique key).
 
-    Distributed: range-partition on the key, number rows inside each range
-    partition, and add the row count of all earlier partitions (one small row
-    per partition, broadcast).  No step moves all rows into one task.
+    Distributed: range-partition on the key and sort inside each partition;
+    ``monotonically_increasing_id`` then holds (partition, position in the
+    partition).  The tagged rows are checkpointed once, so the per-partition
+    counts and the rows come from the same assignment: the range bounds are
+    sampled with a seed tied to the plan, and two separately planned
+    exchanges can cut the key range differently.  The counts of earlier
+    partitions are added from one small row per partition, broadcast.  One
+    shuffle; no step moves all rows into one task.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = tagged.withColumn("_lx", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    tagged = (
+        df.repartitionByRange(n, *order_cols)
+        .sortWithinPartitions(*order_cols)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
+    pid = F.shiftright(F.col("_mid"), 33)
+    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: the running sum is over `n` rows only
     offsets = counts.select(
         "_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off")
     )
+    local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
     return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.col("_off") + F.col("_lx")).cast("long"))
-        .drop("_pid", "_lx", "_off")
+        tagged.withColumn("_pid", pid)
+        .join(F.broadcast(offsets), "_pid")
+        .withColumn(name, (F.col("_off") + local).cast("long"))
+        .drop("_pid", "_mid", "_off")
     )
 
 

@@ -154,6 +154,22 @@ def test_row_index_matches_row_number(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def test_row_index_with_payload_and_sampled_bounds(spark):
+    """More rows per input partition than the range sampler keeps, plus a
+    payload column: the counts must come from the same partition cut as the rows."""
+    from pyspark.sql import Window
+
+    df = (
+        spark.range(0, 200000, 3)
+        .withColumnRenamed("id", "k")
+        .withColumn("payload", F.concat(F.lit("x"), F.col("k").cast("string")))
+        .repartition(7)
+    )
+    a = L.with_row_index(df, ["k"], partitions=5)
+    b = df.withColumn("_row", F.row_number().over(Window.orderBy("k")) - 1)
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
 def test_completer_hook(spark):
     import pandas as pd
 
