@@ -7,7 +7,7 @@ each task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, percent
@@ -34,9 +34,12 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     aggregate and into the classification expressions."""
     c = F.col(f"`{col}`")
     g = df.groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("count"), F.count(c).alias("_nn"))
-    total = g.agg(F.sum("count").alias("total"))
+    # the total is a window over the aggregate (one row per label), so the
+    # input is read once; a separate total aggregate would be planned as a
+    # second, differently pruned pass over the whole input
+    total = F.sum("count").over(Window.partitionBy())
     return (
-        _with_total(g, total)
+        g.withColumn("total", total)
         .filter(F.col("_nn") > 0)
         .select("label", "count", percent(F.col("count"), F.col("total")).alias("pct"))
     )
