@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.matcher import default_engine, match_columns
 from ..functions.rules import any_match, first_match_keyword, keyword_label
@@ -120,11 +121,15 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str) -> DataFrame:
     Rows no rule left open have no request id.  Joined on a null key they
     would all hash to one shuffle partition, so they get a spread key that can
     never match (request ids are hex digests; the spread key starts with ``~``).
+    The spread key is a hash of the row's own values, not a generated id: a
+    map task re-run after an executor loss must send every row to the same
+    reducer again.  Equal rows share a key, like rows sharing a request id;
+    AQE's skew-join handling splits such a hot partition on the row side.
     Small answer tables are broadcast by the planner from their statistics;
-    large ones are shuffle-joined, and a context repeated on many rows is split
-    by AQE's skew-join handling."""
+    large ones are shuffle-joined."""
     key = rid + "_j"
-    spread = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = F.concat(F.lit("~"), F.xxhash64(*hashable).cast("string"))
     x = df.withColumn(key, F.coalesce(F.col(rid), spread))
     return x.join(ans, x[key] == ans[rid + "_k"], "left").drop(rid + "_k", key)
 
