@@ -87,16 +87,23 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     a = attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
     ok = F.col("responded") & F.col("response").isNotNull()
     err = F.coalesce(F.col("error"), F.lit(EMPTY_RESPONSE_ERROR))
-    g = a.groupBy("request_id").agg(
+    # usage counts the responded attempts up to the first success.  That bound
+    # is a per-request value, so it is attached by a window over the request;
+    # the aggregate below reuses the window's partitioning (one shuffle) and
+    # keeps fixed-size buffers, however many log rows a request has.
+    first_ok = F.min(F.when(ok, F.col("attempt"))).over(Window.partitionBy("request_id"))
+    upto = F.coalesce(first_ok, F.lit(MAX_ATTEMPTS))
+    counted = (F.col("attempt") <= F.col("_upto")) & F.coalesce(F.col("responded"), F.lit(False))
+    g = a.withColumn("_upto", upto).groupBy("request_id").agg(
         F.min(F.when(ok, F.col("attempt"))).alias("ok_attempt"),
         F.min_by(F.col("response"), F.when(ok, F.col("attempt"))).alias("_ok_response"),
         F.max_by(err, F.col("attempt")).alias("_last_error"),
         F.count(F.lit(1)).alias("attempts"),
-        # at most MAX_ATTEMPTS entries per request after the filter
-        F.collect_list(F.struct("attempt", "responded", "total_tokens")).alias("_log"),
+        F.count_if(counted).cast("long").alias("responses"),
+        F.coalesce(F.sum(F.when(counted, F.coalesce(F.col("total_tokens"), F.lit(0).cast("long")))), F.lit(0))
+        .cast("long")
+        .alias("tokens"),
     )
-    upto = F.coalesce(F.col("ok_attempt"), F.lit(MAX_ATTEMPTS))
-    counted = F.filter("_log", lambda e: (e["attempt"] <= upto) & F.coalesce(e["responded"], F.lit(False)))
     return g.select(
         "request_id",
         F.when(F.col("ok_attempt").isNotNull(), clean_description(F.col("_ok_response")))
@@ -104,10 +111,8 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
         .alias("description"),
         "ok_attempt",
         "attempts",
-        F.size(counted).cast("long").alias("responses"),
-        F.aggregate(counted, F.lit(0).cast("long"), lambda acc, e: acc + F.coalesce(e["total_tokens"], F.lit(0).cast("long"))).alias(
-            "tokens"
-        ),
+        "responses",
+        "tokens",
     )
 
 
