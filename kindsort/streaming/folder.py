@@ -49,8 +49,11 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str):
             .partitionBy("batch_id")
             .parquet(f"{out_dir}/rows")
         )
+        # count from the batch just written (a pruned scan of its label
+        # columns) instead of classifying the micro-batch a second time
         keys = [FILE_COL, CATEGORY_COL] + ([FACILITY_COL] if FACILITY_COL in res.columns else [])
-        counts = res.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        written = batch.sparkSession.read.parquet(f"{out_dir}/rows/batch_id={batch_id}")
+        counts = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(batch_id).cast("long"))
         (
             counts.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

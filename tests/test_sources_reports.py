@@ -192,3 +192,19 @@ def test_durable_answers_and_progress(spark):
     assert obs.get == {"rows": 3, "category_residual": 2, "facility_residual": 2}
     got = {r.DESCRIPTION: r[CATEGORY_COL] for r in categorize(df, completions=done).collect()}
     assert got["spare bracket"] == "PPE & Infection Control" and got["foam cushion"] == "Needs Review"
+
+
+def test_stored_answers_appended_twice_keep_rows_whole(spark):
+    from conftest import inventory
+    from kindsort.operators import enrich as L
+    from kindsort.sinks import append_completions, read_completions
+
+    df = inventory(spark, [("spare bracket", None, None), ("spare bracket", None, None), ("foam cushion", None, None)])
+    reqs = L.requests(categorize(df, trace=True), "category")
+    store = os.path.join(scratch(), "answers")
+    spare = reqs.filter(F.col("context").contains("spare")).dropDuplicates(["request_id"])
+    append_completions(spare.select("request_id", F.lit("Diagnostics & Lab Use").alias("response")), store, "category", batch_id=1)
+    append_completions(spare.select("request_id", F.lit("PPE & Infection Control").alias("response")), store, "category", batch_id=2)
+    out = categorize(df, completions=read_completions(spark, store)).collect()
+    assert len(out) == 3
+    assert sorted(r[CATEGORY_COL] for r in out) == ["Needs Review", "PPE & Infection Control", "PPE & Infection Control"]
