@@ -552,7 +552,8 @@ def _q_pending():
 
 @register("pending_requests", _q_pending())
 def pending_requests(spark, d):
-    reqs = _cat_requests(spark, d)
+    # the requests feed both sides of the anti-join: match the rows once
+    reqs = L.requests(C.categorize(_matched(lineitem_inventory(spark, d)), trace=True), "category")
     done = X.scripted_completions(reqs)
     return L.pending(reqs, done)
 
