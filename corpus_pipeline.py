@@ -1,16 +1,94 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again.
+
+Each stage works on all documents that the one before kept.  Toxic documents go, one
+document of each near-duplicate group stays, documents that hold benchmark passages
+go, the rest is repeated or thinned by source weights, and the mix is encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindsort.llm import decontam, mixing, simhash, tokens, toxicity
+from kindsort.llm.common import fresh, key_filter, maybe_in, prepare, table, without
+from kindsort.session import work_path
+
+#: A document of this probability or more is toxic.
+TOXIC = 0.7
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 3
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or toxicity is below ``TOXIC``.
+
+    The model is learned from all labels of the input folder.  Null and empty texts stay.
+    """
+    prepare(spark)
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=None)
+    name = fresh(docs, "tox")
+    return toxicity.score_documents(docs, model, name).where(F.col(f"{name}.score") < TOXIC).drop(name)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group.
+
+    Rows that repeat an id are one document: of them the one of the smallest text hash
+    stays.  Rows without an id stay, as no decision can name them.  Only rows that may
+    go or repeat are shuffled.
+    """
+    prepare(spark)
+    found = simhash.near_duplicates(docs.where("doc_id is not null"), SHINGLE).checkpoint()
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct().checkpoint()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    known = key_filter(gone.union(repeated), "doc_id")
+    likely = F.coalesce(maybe_in(known, F.col("doc_id")), F.lit(False))
+    watched = docs.where(likely).join(gone, "doc_id", "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = watched.groupBy("doc_id").agg(F.min_by(row, F.coalesce(F.xxhash64("text"), F.lit(0))).alias("row"))
+    return docs.where(~likely).union(one.select(*(F.col("row").getField(c) for c in docs.columns)))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    prepare(spark)
+    return without(docs, decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "doc_id")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, a row a repetition."""
+    prepare(spark)
+    mixed, name = mixing.mix(docs)
+    again = F.explode(F.sequence(F.lit(1), F.col(f"{name}.repeats")))
+    return mixed.where(F.col(f"{name}.repeats") > 0).withColumn(name, again).drop(name)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as id files in the shared folder; a row a document, read back from them."""
+    prepare(spark)
+    return tokens.encode_documents(docs, TOKENIZER)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", one_of_each),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_ids", encode),
+]
 
 #: The stages learn a model and hash shingles, which SQL cannot express; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each result written to the shared work folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = work_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

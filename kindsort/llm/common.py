@@ -95,5 +95,16 @@ def maybe_in(words: Column, key: Column) -> Column:
     return both
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``keys``; null keys stay.
+
+    Rows that the filter clears pass without a shuffle; only the others are joined.
+    """
+    dropped = keys.select(key).where(F.col(key).isNotNull()).distinct().checkpoint()
+    known = key_filter(dropped, key)
+    likely = F.coalesce(maybe_in(known, F.col(key)), F.lit(False))
+    return rows.where(~likely).union(rows.where(likely).join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
+
+
 def _bit(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(FILTER_BITS).cast("long"))

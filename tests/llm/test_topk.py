@@ -1,0 +1,93 @@
+"""Exact top-k against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from kindsort.llm import topk
+from kindsort.llm.queries import op2_top_k
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def brute(rows, every, k):
+    whole = {}
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        ints = [math.floor(64 * float(np.float32(x))) for x in v]
+        whole[i] = max(whole.get(i, ints), ints)
+    out = []
+    for q, a in whole.items():
+        if q % every == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole.items() if i != q and len(a) == len(b))
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def got(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+def vectors(rng, n, dim, groups=5):
+    centres = [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(groups)]
+    out = []
+    for i in range(n):
+        v = [x + rng.gauss(0, 0.4) for x in rng.choice(centres)]
+        norm = math.sqrt(sum(x * x for x in v))
+        out.append((i, [x / norm for x in v]))
+    return out
+
+
+def test_query(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
+    assert got(op2_top_k(spark, SF_SMALL)) == brute(rows, 20, 20)
+
+
+@pytest.mark.parametrize("block", ((8, 8), (50, 50), (2048, 4096)))
+def test_blocks(make, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "HELD", 64)
+    rows = vectors(random.Random(1), 130, 16)
+    assert got(topk.top_k(make(rows, SCHEMA), F.col("vec_id") % 7 == 0, 5)) == brute(rows, 7, 5)
+
+
+def test_reading_stops_early_and_only_on_proof():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    v = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 0.3
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    index = topk.ImpactIndex(v, np.float32)
+    q, c = index.possible(v[:50].astype(np.float32), np.arange(50)[:, None] == np.arange(4000), 20)
+    assert len(q) < 0.1 * 50 * 4000
+    possible = set(zip(q.tolist(), c.tolist(), strict=True))
+    scores = v[:50] @ v.T
+    for i in range(50):
+        scores[i, i] = -(1 << 40)
+        for j in np.argsort(-scores[i], kind="stable")[:20]:
+            assert (i, int(j)) in possible
+
+
+def test_ties_and_repeats(make):
+    rows = [(i, [0.5, 0.25]) for i in range(60)] + [(i, [0.5, 0.25]) for i in range(60)] + [(100, [-1.0, 0.0]), (101, [0.0, 0.0])]
+    assert got(topk.top_k(make(rows, SCHEMA), F.col("vec_id") % 20 == 0, 4)) == brute(rows, 20, 4)
+
+
+def test_odd_rows(make):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (20, [1.0]), (21, [3.0]), (40, []), (41, []), (60, [1e6, -1e6]), (61, [3.0, -2.0]), (-20, [0.1, 0.2])]
+    df = make(rows, SCHEMA).selectExpr("*", "1 as id", "2 as v", "3 as asked", "4 as rank")
+    assert got(topk.top_k(df, F.col("vec_id") % 20 == 0, 20)) == brute(rows, 20, 20)
+
+
+def test_large_components_stay_exact(make):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-(1 << 22), 1 << 22)) for _ in range(8)]) for i in range(60)]
+    assert got(topk.top_k(make(rows, SCHEMA), F.col("vec_id") % 20 == 0, 7)) == brute(rows, 20, 7)
+
+
+def test_empty_table(make):
+    assert got(topk.top_k(make([], SCHEMA), F.col("vec_id") % 20 == 0, 20)) == []
