@@ -1,10 +1,12 @@
-"""Session helpers: a tuned local session for tests/bench and the shared work folder."""
+"""Session helpers: a tuned local session for tests/bench, the shared work folder, the package on executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,7 +23,7 @@ ENGINE_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindsort") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindsort", checkpoint_dir: str | None = None) -> SparkSession:
     """Local session for tests and the bench (UI off, AQE on)."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("KINDSORT_DRIVER_MEMORY", "16g"))
     )
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in ENGINE_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -42,9 +46,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is used as is.  Only a local session without one
-    gets a fresh scratch folder (tests); a cluster session without one is an
-    error, because a machine-local folder does not survive executor loss.
+    The session's setting is used as is.  A local session without one works
+    under its warehouse folder; a cluster session without one is an error,
+    because a machine-local folder does not survive executor loss.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -52,10 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        d = tempfile.mkdtemp(prefix="kindsort-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kindsort"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
@@ -64,3 +67,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared work folder for written tables and streams."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/kindsort-work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable on every executor, once a session.
+
+    Spark's file server distributes a zip of the sources, as ``--py-files``
+    would; a package that is installed on all machines does no harm.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # not itself running from a zip
+        archive = Path(tempfile.mkdtemp(prefix="kindsort-")) / "kindsort.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)

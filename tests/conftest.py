@@ -11,10 +11,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from kindsort.session import local_session
+def spark(tmp_path_factory):
+    from kindsort.session import local_session, ship_package
 
-    s = local_session("*", shuffle_partitions=8, app="kindsort-tests")
+    s = local_session("*", shuffle_partitions=8, app="kindsort-tests", checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
+    ship_package(s)
     yield s
 
 
