@@ -6,10 +6,8 @@ Two forms of the same rules:
   chain (ordered first match) or an ``OR`` of ``contains`` (any match) inside a
   single Project.  No shuffle, no join, whole-stage codegen, short-circuit on
   the first hit.  Right for vocabularies of a few hundred words.
-* table form: a ``rules`` DataFrame ``(rule_set, priority, keyword, label)``
-  joined to the rows with ``contains`` and reduced with ``min_by(priority)``.
-  For vocabularies too large to inline; the rule table is broadcast only after
-  its row count is checked against a bound.
+* table form: a ``rules`` DataFrame ``(rule_set, priority, keyword, label)``, see
+  :func:`kindsort.functions.matcher.first_match_by_table`.
 """
 
 from __future__ import annotations
@@ -39,10 +37,6 @@ RULES_SCHEMA = T.StructType(
     ]
 )
 
-# largest rule table the table form will broadcast
-MAX_BROADCAST_RULES = 100_000
-
-
 def rule_rows() -> list[tuple[str, int, str, str | None]]:
     """All built-in vocabularies as rule rows (lists kept as written)."""
     rows = [("category", i, kw, lab) for i, (kw, lab) in enumerate(CATEGORY_RULES)]
@@ -115,47 +109,3 @@ def keyword_label_sql(e: str, rules: list[tuple[str, str]]) -> str:
 
 def any_match_sql(e: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({e}, {sql_str(w)})" for w in distinct_in_order(words)) + ")"
-
-
-# --- table form -----------------------------------------------------------------
-
-def first_match_by_table(
-    df: DataFrame,
-    key: str,
-    text_lc: str,
-    rules: DataFrame,
-    rule_set: str = "category",
-) -> DataFrame:
-    """Ordered first match through a rule table: ``(key, keyword, label, priority)``.
-
-    Rows without a hit are kept with null keyword/label.  ``key`` must be unique.
-    The rule table is bounded (checked here) and broadcast; the row side is
-    never shuffled for the join, only the per-key ``min_by`` reduces the hits.
-    """
-    r = rules.filter(F.col("rule_set") == rule_set).select("priority", "keyword", "label")
-    n_rules = r.count()
-    if n_rules > MAX_BROADCAST_RULES:
-        raise ValueError(
-            f"rule set {rule_set!r} has {n_rules} rules; above {MAX_BROADCAST_RULES} "
-            "use the literal form on pre-partitioned vocabularies"
-        )
-    # keep the first position of a repeated keyword
-    r = r.groupBy("keyword").agg(F.min("priority").alias("priority"), F.min_by("label", "priority").alias("label"))
-    rows = df.select(key, text_lc)
-    # left outer: rows without a hit survive with null rule columns
-    hits = rows.join(F.broadcast(r), F.col(text_lc).contains(F.col("keyword")), "left")
-    return hits.groupBy(key).agg(
-        F.min("priority").alias("priority"),
-        F.min_by("keyword", "priority").alias("keyword"),
-        F.min_by("label", "priority").alias("label"),
-    )
-
-
-def builtin_vocabularies() -> dict[str, int]:
-    """Row counts per built-in rule set, as written."""
-    return {
-        "category": len(CATEGORY_RULES),
-        "rural": len(RURAL_KEYWORDS),
-        "district": len(DISTRICT_KEYWORDS),
-        "review": len(REVIEW_KEYWORDS),
-    }

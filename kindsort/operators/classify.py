@@ -12,9 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.matcher import default_engine, match_columns
+from ..functions.matcher import ENGINE, match_columns
 from ..functions.rules import any_match, first_match_keyword, keyword_label
 from ..functions.text import blank, normalize_label, normalize_yes_no, present
 from ..functions.vocab import (
@@ -37,6 +36,8 @@ from ..functions.vocab import (
 )
 
 LOWER_DESC = "_d"
+# mark of the columns that hold a description's matches: they are computed once and reused
+MATCHED = {"kindsort": "match"}
 REQUEST_SEP = "\u0001"
 
 # Our own wording of the description request (the request text is ours).
@@ -69,28 +70,28 @@ def _part(prefix: str, c: Column) -> Column:
 
 def with_lower_description(df: DataFrame) -> DataFrame:
     """Lower-case the description once; every matcher reads this column."""
-    if LOWER_DESC in df.columns:
+    if LOWER_DESC in df.columns and df.schema[LOWER_DESC].metadata == MATCHED:
         return df
-    return df.withColumn(LOWER_DESC, F.lower(opt_col(df, "DESCRIPTION", "")))
+    return df.withColumn(LOWER_DESC, F.lower(opt_col(df, "DESCRIPTION", "")).alias(LOWER_DESC, metadata=MATCHED))
 
 
 MATCH_COLS = ["_cat_kw", "_fac_review", "_fac_rural", "_fac_district"]
 
 
-def with_matches(df: DataFrame, engine: str | None = None) -> DataFrame:
+def with_matches(df: DataFrame, engine: str = ENGINE) -> DataFrame:
     """All description vocabularies matched once: ``_cat_kw`` (first category
     keyword) and the ``_fac_review/_fac_rural/_fac_district`` flags.
 
     Computed once and reused by every stage of a pipeline (the columns stay
     until the trace columns are dropped)."""
-    if all(c in df.columns for c in MATCH_COLS):
+    if all(c in df.columns and df.schema[c].metadata == MATCHED for c in MATCH_COLS):
         return df
     x = with_lower_description(df)
     cols = match_columns(
         F.col(LOWER_DESC),
         {"category": CATEGORY_RULES},
         {"review": REVIEW_KEYWORDS, "rural": RURAL_KEYWORDS, "district": DISTRICT_KEYWORDS},
-        engine or default_engine(),
+        engine,
     )
     if "__struct__" in cols:
         x = x.withColumn("_match", cols["__struct__"])
@@ -102,36 +103,47 @@ def with_matches(df: DataFrame, engine: str | None = None) -> DataFrame:
         }
     else:
         get = {"_cat_kw": cols["category"], "_fac_review": cols["review"], "_fac_rural": cols["rural"], "_fac_district": cols["district"]}
-    for c in MATCH_COLS:
-        if c not in x.columns:
-            x = x.withColumn(c, get[c])
-    return x
+    return x.select(*(f"`{c}`" for c in x.columns if c not in MATCH_COLS), *(get[c].alias(c, metadata=MATCHED) for c in MATCH_COLS))
+
+
+def one_answer(completions: DataFrame) -> DataFrame:
+    """L3: one ``(request_id, response)`` for each request.
+
+    Of several answers the one of the latest ``batch_id`` (if the table has
+    one) stays, and among equals the largest text; a missing text stays only
+    where there is no other."""
+    batch = F.col("batch_id") if "batch_id" in completions.columns else F.lit(0)
+    rank = F.struct(F.col("response").isNotNull(), batch, F.col("response"))
+    return completions.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.max_by("response", rank).alias("response"))
 
 
 def _answers(completions: DataFrame | None, stage_rid: str, norm) -> tuple[DataFrame | None, str]:
     if completions is None:
         return None, ""
-    ans = completions.select(F.col("request_id").alias(stage_rid + "_k"), norm(F.col("response")).alias(stage_rid + "_a"))
+    ans = one_answer(completions).select(F.col("request_id").alias(stage_rid + "_k"), norm(F.col("response")).alias(stage_rid + "_a"))
     return ans, stage_rid + "_a"
 
 
+# largest answer table (rows, characters) that every task gets whole
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16_000_000
+
+
 def _join_answers(df: DataFrame, ans: DataFrame, rid: str) -> DataFrame:
-    """Left equi-join of the rows with their answers on the request id.
-
-    Rows no rule left open have no request id.  Joined on a null key they
-    would all hash to one shuffle partition, so they get a spread key that can
-    never match (request ids are hex digests; the spread key starts with ``~``).
-    The spread key is a hash of the row's own values, not a generated id: a
-    map task re-run after an executor loss must send every row to the same
-    reducer again.  Equal rows share a key, like rows sharing a request id;
-    AQE's skew-join handling splits such a hot partition on the row side.
-    Small answer tables are broadcast by the planner from their statistics;
-    large ones are shuffle-joined."""
-    key = rid + "_j"
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    spread = F.concat(F.lit("~"), F.xxhash64(*hashable).cast("string"))
-    x = df.withColumn(key, F.coalesce(F.col(rid), spread))
-    return x.join(ans, x[key] == ans[rid + "_k"], "left").drop(rid + "_k", key)
+    """The rows with their answers; rows that no request left open are not shuffled.
+
+    The answer table is written once and measured.  Up to ``BROADCAST_ROWS`` and
+    ``BROADCAST_CHARS`` every task gets it and no row moves.  A larger one is
+    joined by shuffle with the open rows alone: the rows are checkpointed, so the
+    rules run once for both parts, and the decided rows pass beside the join.  A
+    request id shared by many rows is split by AQE's skew handling."""
+    key, a = rid + "_k", rid + "_a"
+    ans = ans.checkpoint()
+    rows, chars = ans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(a)), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        return df.join(F.broadcast(ans), df[rid] == ans[key], "left").drop(key)
+    x = df.checkpoint()
+    still = x.where(F.col(rid).isNotNull()).join(ans, F.col(rid) == F.col(key), "left").drop(key)
+    return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
 
 
 def _finish(df: DataFrame, helpers: list[str], trace: bool, given: list[str] | None = None) -> DataFrame:
@@ -149,7 +161,7 @@ def categorize(
     preserve_existing: bool = True,
     completions: DataFrame | None = None,
     trace: bool = False,
-    engine: str | None = None,
+    engine: str = ENGINE,
 ) -> DataFrame:
     """C3 product category with P6 preserve, C1/C2 rules, L3 answers and C4 trace."""
     d = opt_col(df, "DESCRIPTION", "")
@@ -194,7 +206,7 @@ def categorize(
     return _finish(x, helpers, trace, df.columns)
 
 
-def keyword_category(df: DataFrame, engine: str | None = None) -> DataFrame:
+def keyword_category(df: DataFrame, engine: str = ENGINE) -> DataFrame:
     """C1 alone: first description keyword and its label (null when none)."""
     x = with_matches(df, engine)
     x = x.withColumn("keyword", F.col("_cat_kw")).withColumn("label", keyword_label(F.col("keyword"), CATEGORY_RULES))
@@ -203,7 +215,7 @@ def keyword_category(df: DataFrame, engine: str | None = None) -> DataFrame:
 
 # --- C5, C6: facility suitability --------------------------------------------------
 
-def facility_flags(df: DataFrame, engine: str | None = None) -> DataFrame:
+def facility_flags(df: DataFrame, engine: str = ENGINE) -> DataFrame:
     """Any-match flags for the three facility vocabularies (null text -> null)."""
     return with_matches(df, engine)
 
@@ -213,7 +225,7 @@ def facility(
     completions: DataFrame | None = None,
     category_col: str = CATEGORY_COL,
     trace: bool = False,
-    engine: str | None = None,
+    engine: str = ENGINE,
 ) -> DataFrame:
     """Review words win; then the rural x district truth table; then answers.
 
@@ -322,15 +334,15 @@ def describe(
 
     ``resolved`` is the output of :func:`kindsort.operators.enrich.resolve_attempts`
     ``(request_id, description, ...)``.  Blank -> ``No description available``;
-    a request with no attempt on record stays null (pending).  With ``first_n``
-    (L6) only rows with ``row_col < first_n`` get a value; the others keep a
+    a request that is to be tried (again) stays null (pending).  With ``first_n``
+    (L6) only rows with ``row_col < first_n`` get a value (a null position is none of them); the others keep a
     prior value of the column, or null.
     """
     d = opt_col(df, "DESCRIPTION", "")
     prior = opt_col(df, SIMPLE_DESC_COL)
     src = F.when(blank(d), F.lit("blank")).otherwise(F.lit("residual"))
     if first_n is not None and first_n > 0:
-        src = F.when(F.col(row_col) >= F.lit(first_n), F.lit("skipped")).otherwise(src)
+        src = F.when(F.coalesce(F.col(row_col) >= F.lit(first_n), F.lit(True)), F.lit("skipped")).otherwise(src)
     x = df.withColumn("_desc_src", src)
     resid = F.col("_desc_src") == "residual"
     x = x.withColumn("_desc_ctx", F.when(resid, description_context(df))).withColumn(
@@ -349,3 +361,20 @@ def describe(
     )
     x = x.withColumn(SIMPLE_DESC_COL, value)
     return _finish(x, ["_desc_src", "_desc_ctx", "_desc_rid", "_desc_rid_a"], trace, df.columns)
+
+
+# --- C9: components an item needs ------------------------------------------------------
+
+COMPONENTS_COL = "components"
+
+
+def component_flags(df: DataFrame, rules: list[tuple[str, str]], out: str = COMPONENTS_COL) -> DataFrame:
+    """Components an item needs by ``(keyword, component)`` rules.
+
+    A sorted comma list in ``out``; null when no keyword is found or the text is null."""
+    by: dict[str, list[str]] = {}
+    for keyword, component in rules:
+        by.setdefault(component, []).append(keyword.lower())
+    text = F.lower(opt_col(df, "DESCRIPTION", ""))
+    parts = [F.when(any_match(text, by[c]), F.lit(c)) for c in sorted(by)]
+    return df.withColumn(out, F.nullif(F.concat_ws(", ", *parts), F.lit("")))

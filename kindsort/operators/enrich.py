@@ -9,14 +9,15 @@ pending requests, partitioned by Spark.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import clean_description, cost_estimate, description_error
-from ..functions.vocab import MAX_ATTEMPTS, STAGE_PARAMS
+from ..functions.vocab import CATEGORY_LABELS, FACILITY_LABELS, MAX_ATTEMPTS, NO, STAGE_PARAMS, YES
 
 STAGE_PREFIX = {"category": "_cat", "facility": "_fac", "electricity": "_ele", "description": "_desc"}
 
@@ -34,6 +35,25 @@ ATTEMPT_SCHEMA = (
 )
 
 
+# --- L1 what a request asks for ---------------------------------------------------------
+
+REQUEST_KIND_SCHEMA = "stage string, instruction string, labels array<string>, max_tokens int, temperature double"
+
+
+def request_kinds(spark: SparkSession) -> DataFrame:
+    """One row a stage: what whoever answers its requests must know besides their context.
+
+    ``labels`` lists the only answers that are taken (null: free text)."""
+    asked = {
+        "category": ("Pick the product category that fits the item best. Reply with one of the labels and nothing else.", CATEGORY_LABELS),
+        "facility": ("Say which kind of health facility can use the item, given its equipment, staff and power supply. Reply with one of the labels and nothing else.", FACILITY_LABELS),
+        "electricity": ("Say whether the item needs mains electricity or batteries to work. Reply with one of the labels and nothing else.", [YES, NO]),
+        "description": ("The context is the whole request. Reply with the description only.", None),
+    }
+    rows = [(stage, text, labels, *STAGE_PARAMS[stage]) for stage, (text, labels) in asked.items()]
+    return spark.createDataFrame(rows, REQUEST_KIND_SCHEMA)
+
+
 # --- L1 residue requests ----------------------------------------------------------
 
 def requests(traced: DataFrame, stage: str, ready: Column | None = None) -> DataFrame:
@@ -80,42 +100,49 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     """Per request: first successful answer among the first three attempts.
 
     Output ``(request_id, description, ok_attempt, attempts, responses, tokens)``:
-    ``description`` is the cleaned answer, else ``Error generating description:
-    <error of the last attempt>``; ``responses``/``tokens`` count responded
-    attempts up to the first success (later attempts are never made).
+    ``description`` is the cleaned answer; without one it is ``Error generating
+    description: <error of the last attempt>`` after the third attempt and null
+    before, as the request is to be tried again (:func:`finished`).
+    ``responses``/``tokens`` count responded attempts up to the first success
+    (later attempts are never made).  An attempt that the log repeats counts
+    once: the one with a response, then with the largest values.
+
+    One aggregate with a value for each attempt number, combined map-side: three
+    values a request, however many log rows it has.
     """
-    a = attempts.filter(F.col("attempt") <= MAX_ATTEMPTS)
-    ok = F.col("responded") & F.col("response").isNotNull()
-    err = F.coalesce(F.col("error"), F.lit(EMPTY_RESPONSE_ERROR))
-    # usage counts the responded attempts up to the first success.  That bound
-    # is a per-request value, so it is attached by a window over the request;
-    # the aggregate below reuses the window's partitioning (one shuffle) and
-    # keeps fixed-size buffers, however many log rows a request has.
-    first_ok = F.min(F.when(ok, F.col("attempt"))).over(Window.partitionBy("request_id"))
-    upto = F.coalesce(first_ok, F.lit(MAX_ATTEMPTS))
-    counted = (F.col("attempt") <= F.col("_upto")) & F.coalesce(F.col("responded"), F.lit(False))
-    g = a.withColumn("_upto", upto).groupBy("request_id").agg(
-        F.min(F.when(ok, F.col("attempt"))).alias("ok_attempt"),
-        F.min_by(F.col("response"), F.when(ok, F.col("attempt"))).alias("_ok_response"),
-        F.max_by(err, F.col("attempt")).alias("_last_error"),
-        F.count(F.lit(1)).alias("attempts"),
-        F.count_if(counted).cast("long").alias("responses"),
-        F.coalesce(F.sum(F.when(counted, F.coalesce(F.col("total_tokens"), F.lit(0).cast("long")))), F.lit(0))
-        .cast("long")
-        .alias("tokens"),
+    row = F.struct(F.coalesce("responded", F.lit(False)).alias("responded"), "response", "error", F.coalesce("total_tokens", F.lit(0)).cast("long").alias("tokens"))
+    numbers = range(1, MAX_ATTEMPTS + 1)
+    g = attempts.filter(F.col("attempt").between(1, MAX_ATTEMPTS)).groupBy("request_id").agg(
+        *(F.max(F.when(F.col("attempt") == i, row)).alias(f"a{i}") for i in numbers)
     )
+    ok = {i: F.coalesce(F.col(f"a{i}.responded") & F.col(f"a{i}.response").isNotNull(), F.lit(False)) for i in numbers}
+    first = F.coalesce(*(F.when(ok[i], i) for i in numbers))
+    text = F.coalesce(*(F.when(ok[i], F.col(f"a{i}.response")) for i in numbers))
+    g = g.withColumn("ok_attempt", first.cast("int")).withColumn("_text", text)
+    upto = F.coalesce("ok_attempt", F.lit(MAX_ATTEMPTS))
+    counted = {i: F.coalesce(F.col(f"a{i}.responded"), F.lit(False)) & (F.lit(i) <= upto) for i in numbers}
+    last = F.coalesce(*(F.when(F.col(f"a{i}").isNotNull(), F.coalesce(F.col(f"a{i}.error"), F.lit(EMPTY_RESPONSE_ERROR))) for i in reversed(numbers)))
+
+    def total(values) -> Column:
+        return reduce(add, values).cast("long")
+
     return g.select(
         "request_id",
-        F.when(F.col("ok_attempt").isNotNull(), clean_description(F.col("_ok_response")))
-        .otherwise(description_error(F.col("_last_error")))
+        F.when(F.col("ok_attempt").isNotNull(), clean_description(F.col("_text")))
+        .when(F.col(f"a{MAX_ATTEMPTS}").isNotNull(), description_error(last))
         .alias("description"),
         "ok_attempt",
-        "attempts",
-        "responses",
-        "tokens",
+        total(F.col(f"a{i}").isNotNull().cast("long") for i in numbers).alias("attempts"),
+        total(counted[i].cast("long") for i in numbers).alias("responses"),
+        total(F.when(counted[i], F.col(f"a{i}.tokens")).otherwise(0) for i in numbers).alias("tokens"),
     )
 
 
+def finished(resolved: DataFrame) -> DataFrame:
+    """``request_id`` of the requests that need no further attempt: answered, or failed three times."""
+    return resolved.where(F.col("description").isNotNull()).select("request_id")
+
+
 def usage(resolved: DataFrame) -> DataFrame:
     """Responses received, tokens and the cost estimate."""
     return resolved.agg(
@@ -161,6 +188,23 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "_row", par
     )
 
 
+def first_rows(df: DataFrame, order_cols: list[str], n: int, name: str = "_row") -> DataFrame:
+    """0-based position of the first ``n`` rows in ``order_cols`` order (unique key), null for the others.
+
+    Each task keeps its own first ``n`` keys; the ``n`` that remain are joined back.
+    The rows themselves are neither sorted nor shuffled.  ``n`` is the user's number."""
+    keys = [f"{name}_{i}" for i in range(len(order_cols))]
+    top = df.select(*(F.col(c).alias(k) for c, k in zip(order_cols, keys, strict=True))).orderBy(*keys).limit(n)
+    placed = top.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order_cols, keys, strict=True)))
+    side = F.broadcast(placed) if n <= FIRST_BROADCAST else placed
+    return df.join(side, same, "left").drop(*keys)
+
+
+# first-n requests above this are joined by shuffle
+FIRST_BROADCAST = 100_000
+
+
 def batch_of(position: Column, size: int) -> Column:
     """Batch number of a 0-based position."""
     return F.floor(position / F.lit(size)).cast("long")

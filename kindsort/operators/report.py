@@ -7,7 +7,9 @@ each task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, percent
@@ -18,31 +20,50 @@ from ..functions.vocab import (
     SAMPLE_SIZE,
     SIMPLE_DESC_COL,
 )
+from .enrich import with_row_index
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES
+# words of the report that other programs read
+TOTAL_PREFIX = "Total items processed: "
+ORIGINAL_PREFIX = "Original: "
+SIMPLE_PREFIX = "Simple  : "
+MISSING_TEXT = "nan"
+# ---------------------------------------------------------------------------
+
+# headings of the report's sections (ours)
+HEADINGS = {
+    1: "Items by product category",
+    2: "Items by facility suitability",
+    3: "Product category by facility suitability",
+    4: "Sample of descriptions",
+}
 
 
-def _with_total(counts: DataFrame, total: DataFrame) -> DataFrame:
-    # the total is one row by construction; broadcast it under a constant key
-    t = total.withColumn("_one", F.lit(1))
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(t), "_one").drop("_one")
+def _total(counts: DataFrame, col: str) -> Column:
+    """Sum of a counted (checkpointed) table as a scalar subquery: a number from each task."""
+    return counts.agg(F.coalesce(F.sum(col), F.lit(0)).cast("long").alias("total")).scalar()
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """A1/A2 + P12: ``(label, count, pct)``; nulls are not listed but count in the total.
 
-    The null group is dropped through an aggregate value (``_nn``), not a
-    filter on the label: a filter on a grouping key would be pushed below the
-    aggregate and into the classification expressions."""
+    The input is read once, to a checkpointed row per label (preserved labels are
+    free text, so there may be many); the total is the sum of those, and no task
+    sees all of them.  The null group is dropped through an aggregate value
+    (``_nn``), not a filter on the label: a filter on a grouping key would be
+    pushed below the aggregate and into the classification expressions."""
     c = F.col(f"`{col}`")
-    g = df.groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("count"), F.count(c).alias("_nn"))
-    # the total is a window over the aggregate (one row per label), so the
-    # input is read once; a separate total aggregate would be planned as a
-    # second, differently pruned pass over the whole input
-    total = F.sum("count").over(Window.partitionBy())
-    return (
-        g.withColumn("total", total)
-        .filter(F.col("_nn") > 0)
-        .select("label", "count", percent(F.col("count"), F.col("total")).alias("pct"))
-    )
+    g = df.groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("count"), F.count(c).alias("_nn")).checkpoint()
+    pct = percent(F.col("count"), _total(g, "count"))
+    return g.filter(F.col("_nn") > 0).select("label", "count", pct.alias("pct"))
+
+
+def ranked(dist: DataFrame, name: str = "rank") -> DataFrame:
+    """G1: ``dist`` with its place from 1, most frequent first, ties by label; no task sorts all labels."""
+    order = dist.withColumn("_least", -F.col("count"))
+    return with_row_index(order, ["_least", "label"], name=name).withColumn(name, F.col(name) + 1).drop("_least")
 
 
 def ordered(dist: DataFrame) -> DataFrame:
@@ -108,19 +129,20 @@ def stage_progress(traced: DataFrame) -> DataFrame:
     return long.groupBy("stage", "source").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def observe_progress(df: DataFrame, name: str = "progress"):
+def observe_progress(df: DataFrame, name: str = "progress", at: str = ""):
     """A6 (live form): attach an Observation with processed/decided counts.
 
     Returns ``(df, observation)``; ``observation.get`` holds the metrics once an
-    action on ``df`` has run (streams report them in ``recentProgress``)."""
+    action on ``df`` has run (streams report them in ``recentProgress``).
+    ``at`` is the path of the trace columns, such as ``_trace.``."""
     from pyspark.sql import Observation
 
     obs = Observation(name)
+    have = df.select(f"{at}*").columns if at else df.columns
     metrics = [F.count(F.lit(1)).alias("rows")]
-    if "_cat_src" in df.columns:
-        metrics.append(F.count_if(F.col("_cat_src") == "residual").alias("category_residual"))
-    if "_fac_src" in df.columns:
-        metrics.append(F.count_if(F.col("_fac_src") == "residual").alias("facility_residual"))
+    for stage, p in (("category", "_cat_src"), ("facility", "_fac_src"), ("description", "_desc_src")):
+        if p in have:
+            metrics.append(F.count_if(F.col(f"{at}{p}") == "residual").alias(f"{stage}_residual"))
     return df.observe(obs, *metrics), obs
 
 
@@ -129,8 +151,8 @@ def sample(df: DataFrame, key: str, seed: int = 42, n: int = SAMPLE_SIZE) -> Dat
 
     Rows are ranked by ``md5(seed || key)``; TakeOrderedAndProject keeps ``n``
     rows per task, so nothing large reaches one task."""
-    h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    return df.orderBy(h, F.col(key)).limit(n)
+    h = F.md5(F.concat(F.lit(str(seed)), F.col(f"`{key}`").cast("string")))
+    return df.orderBy(h, F.col(f"`{key}`")).limit(n)
 
 
 def _fmt_pct(c: Column) -> Column:
@@ -148,34 +170,27 @@ def summary_report(
     skip_descriptions: bool = False,
     seed: int = 42,
 ) -> DataFrame:
-    """K3 as rows ``(section, sort_count, sort_label, line)`` without timing lines.
+    """K3 as rows ``(section, sort_count, sort_label, line)``; :func:`headed` adds the headings.
 
     Sections: 0 totals, 1 category distribution, 2 facility distribution,
     3 cross-tab, 4 description samples.  Sort within a section by
     ``sort_count`` descending then ``sort_label``.
 
-    One pass over the result builds the (category, facility) count table --
-    a few dozen rows -- and every count section is computed from it; the
+    One pass over the result counts its (category, facility) pairs into a
+    checkpointed table, and every count section is computed from that; the
     sample is a second pass that keeps ``SAMPLE_SIZE`` rows per task."""
     has_fac = (not skip_facility) and FACILITY_COL in df.columns
     keys = [F.col(f"`{CATEGORY_COL}`").alias("cat")]
     if has_fac:
         keys.append(F.col(f"`{FACILITY_COL}`").alias("fac"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    parts = [
-        total.select(
-            F.lit(0).alias("section"),
-            F.lit(0).cast("long").alias("sort_count"),
-            F.lit("").alias("sort_label"),
-            F.concat(F.lit("Total items processed: "), F.coalesce(F.col("total"), F.lit(0)).cast("string")).alias("line"),
-        )
-    ]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    total = _total(counts, "n")
+    head = [F.lit(0).alias("section"), F.lit(0).cast("long").alias("sort_count"), F.lit("").alias("sort_label")]
+    parts = [counts.sparkSession.range(1).select(*head, F.concat(F.lit(TOTAL_PREFIX), total.cast("string")).alias("line"))]
 
     def dist_lines(col: str, section: int) -> DataFrame:
-        g = counts.groupBy(F.col(col).alias("label")).agg(F.sum("n").alias("count"))
-        d = _with_total(g.filter(F.col("label").isNotNull()), total)
-        pct = percent(F.col("count"), F.col("total"))
+        d = counts.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("label")).agg(F.sum("n").alias("count"))
+        pct = percent(F.col("count"), total)
         return d.select(
             F.lit(section).alias("section"),
             F.col("count").alias("sort_count"),
@@ -202,14 +217,23 @@ def summary_report(
             s.select(
                 F.lit(4).alias("section"),
                 F.lit(0).cast("long").alias("sort_count"),
-                F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))).alias("sort_label"),
+                F.md5(F.concat(F.lit(str(seed)), F.col(f"`{key}`").cast("string"))).alias("sort_label"),
                 F.concat(
-                    F.lit("Original: "), F.coalesce(F.col("DESCRIPTION"), F.lit("nan")),
-                    F.lit("\nSimple  : "), F.coalesce(F.col(SIMPLE_DESC_COL), F.lit("nan")),
+                    F.lit(ORIGINAL_PREFIX), F.coalesce(F.col("DESCRIPTION"), F.lit(MISSING_TEXT)),
+                    F.lit("\n" + SIMPLE_PREFIX), F.coalesce(F.col(SIMPLE_DESC_COL), F.lit(MISSING_TEXT)),
                 ).alias("line"),
             )
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def headed(report: DataFrame, title: str, facts: dict[str, str]) -> DataFrame:
+    """K3: the report as ordered ``(section, place, sort_count, sort_label, line)`` with a title,
+    its ``facts`` (input, output, time, ...) and a heading above each section that has lines."""
+    spark = report.sparkSession
+    top = [title, "=" * len(title), *(f"{k}: {v}" for k, v in facts.items())]
+    rows = [(0, i - len(top), 0, "", line) for i, line in enumerate(top)]
+    rows += [(k, i - 3, 0, "", line) for k, text in HEADINGS.items() for i, line in enumerate(("", text, "-" * len(text)))]
+    heads = spark.createDataFrame(rows, "section int, place int, sort_count long, sort_label string, line string")
+    heads = heads.join(report.select("section").distinct(), "section", "left_semi")
+    return heads.unionByName(report.withColumn("place", F.lit(0)))
