@@ -10,8 +10,11 @@ instead of being requested live:
   --form-defaults                            only categories (the form's defaults)
   --completions PATH                         parquet (request_id, response)
   --attempts PATH                            parquet attempt log for descriptions
+  --store PATH                               answers kept between runs; new ones are added
+  --single-line                              no quoted newlines: large files are split
 
-Outputs under --output: table/, csv/, requests/ (still unanswered), summary/.
+Outputs under --output: table/, csv/, rejects/, requests/ (still unanswered, in
+batches), request_kinds/, summary/.
 The session comes from the usual Spark configuration (spark-submit); it must
 name a shared ``spark.checkpoint.dir`` on a cluster.
 """
@@ -25,7 +28,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans.batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, run
-from .session import ENGINE_CONF, ensure_checkpoint_dir
+from .session import ENGINE_CONF, ensure_checkpoint_dir, ship_package
 
 
 def parse(argv: list[str]) -> argparse.Namespace:
@@ -41,6 +44,8 @@ def parse(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--form-defaults", action="store_true", help="categories only")
     p.add_argument("--completions", default=None)
     p.add_argument("--attempts", default=None)
+    p.add_argument("--store", default=None)
+    p.add_argument("--single-line", action="store_true")
     p.add_argument("--no-csv", action="store_true")
     return p.parse_args(argv)
 
@@ -54,17 +59,19 @@ def main(argv: list[str] | None = None) -> int:
         skip_descriptions=a.skip_descriptions or base.skip_descriptions,
         batch_size=a.batch_size,
         description_batch=a.description_batch,
+        multi_line=not a.single_line,
     )
     spark = SparkSession.builder.appName("kindsort").getOrCreate()
     for k, v in ENGINE_CONF.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
-    completions = spark.read.parquet(a.completions).select("request_id", "response") if a.completions else None
+    ship_package(spark)
+    completions = spark.read.parquet(a.completions) if a.completions else None
     attempts = spark.read.parquet(a.attempts) if a.attempts else None
-    rec = run(spark, a.input, a.output, opts, completions, attempts, csv=not a.no_csv)
+    rec = run(spark, a.input, a.output, opts, completions, attempts, csv=not a.no_csv, store=a.store)
     for run_id, stage, seconds, rows in rec.rows:
-        print(json.dumps({"run_id": run_id, "stage": stage, "seconds": round(seconds, 3), "rows": rows}))
+        print(json.dumps({"run_id": run_id, "stage": stage, "seconds": round(seconds, 3), "rows": rows, **rec.progress.get(stage, {})}))
     return 0
 
 

@@ -8,16 +8,19 @@ executor only recomputes its own tasks and nothing is cached across jobs.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.classify import categorize, describe, facility
-from ..operators.enrich import pending, requests, resolve_attempts
-from ..operators.report import distribution, summary_report
-from ..sinks import RunRecord, write_csv, write_parquet, write_report
-from ..sources.inventory import POSITION_COL, read_inventory_csv
+from ..functions.vocab import CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL
+from ..operators.classify import MATCHED, categorize, describe, facility
+from ..operators.enrich import batch_of, finished, first_rows, pending, request_kinds, requests, resolve_attempts, with_row_index
+from ..operators.report import headed, observe_progress, summary_report
+from ..sinks import RunRecord, append_completions, read_completions, write_csv, write_parquet, write_report
+from ..sources.inventory import MARK, data_columns, fresh, layouts, position_column, read_inventory_csv, read_rejects
 
 
 @dataclass(frozen=True)
@@ -27,13 +30,29 @@ class Options:
     skip_descriptions: bool = False
     batch_size: int = 50
     description_batch: int | None = None
+    multi_line: bool = True
 
 
 # command-line defaults (every stage on) and form defaults (only categories)
 CLI_DEFAULTS = Options()
 FORM_DEFAULTS = Options(skip_facility=True, skip_descriptions=True)
 
-TRACE_PREFIXES = ("_cat_", "_fac_", "_ele_", "_desc_")
+OUTPUTS = (CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL)
+# names that the stages use for their helper columns
+HELPER = re.compile(r"_(d|match|row|(cat|fac|ele|desc)_\w+)", re.I)
+
+
+def shielded(df: DataFrame, row_col: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that are named like helpers renamed, and their names by the new ones."""
+    back: dict[str, str] = {}
+    names = list(df.columns)
+    marked = set(df.columns) - set(data_columns(df))
+    for c in df.columns:
+        if HELPER.fullmatch(c) and c not in marked and c != row_col:
+            new = fresh([*names, *back], "__kept")
+            back[new] = c
+    forth = {c: new for new, c in back.items()}
+    return df.select(*(F.col(f"`{c}`").alias(forth.get(c, c), metadata=df.schema[c].metadata) for c in df.columns)), back
 
 
 def build(
@@ -42,22 +61,30 @@ def build(
     completions: DataFrame | None = None,
     attempts: DataFrame | None = None,
     row_col: str = "_row",
-    trace: bool = False,
+    trace: str | None = None,
 ) -> DataFrame:
-    """S1 output -> C3 -> [C6] -> [C8] as one unexecuted DataFrame."""
-    x = categorize(df, opts.preserve_existing, completions, trace=True)
+    """S1 output -> C3 -> [C6] -> [C8] as one DataFrame.
+
+    All columns of ``df`` come out under their names, then the outputs.  With
+    ``trace`` the helper columns of the stages follow as one struct of that name."""
+    row = row_col if opts.description_batch else None
+    given, back = shielded(df, row)
+    x = categorize(given, opts.preserve_existing, completions, trace=True)
     if not opts.skip_facility:
         x = facility(x, completions, trace=True)
     if not opts.skip_descriptions:
         resolved = resolve_attempts(attempts) if attempts is not None else None
         x = describe(x, resolved, first_n=opts.description_batch, row_col=row_col, trace=True)
+    outputs = [c for c in OUTPUTS if c in x.columns and c not in given.columns]
+    kept = [F.col(f"`{c}`").alias(back.get(c, c), metadata=given.schema[c].metadata) for c in given.columns if given.schema[c].metadata != MATCHED]
     if not trace:
-        x = x.drop(*[c for c in x.columns if c.startswith(TRACE_PREFIXES) or c in ("_d", "_match")])
-    return x
+        return x.select(*kept, *(f"`{c}`" for c in outputs))
+    helpers = [c for c in x.columns if c not in outputs and c not in ("_d", "_match") and (c not in given.columns or given.schema[c].metadata == MATCHED)]
+    return x.select(*kept, *(f"`{c}`" for c in outputs), F.struct(*helpers).alias(trace))
 
 
 def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS) -> DataFrame:
-    """L1 for every stage that ran (needs ``build(..., trace=True)``)."""
+    """L1 for every stage that ran, from the trace columns (``build(..., trace="t")``, then ``select("t.*")``)."""
     out = requests(traced, "category")
     if not opts.skip_facility:
         # a facility request carries the category: ask it once the category is
@@ -71,50 +98,68 @@ def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS) -> DataFrame
     return out
 
 
-def trace_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith(TRACE_PREFIXES) or c in ("_d", "_match")]
-
-
 def run(
     spark: SparkSession,
-    input_path: str,
+    input_path: str | list[str],
     output_path: str,
     opts: Options = CLI_DEFAULTS,
     completions: DataFrame | None = None,
     attempts: DataFrame | None = None,
     csv: bool = True,
     seed: int = 42,
+    store: str | None = None,
 ) -> RunRecord:
     """W1 end to end: read + validate, classify, write, emit requests, report.
 
-    Writes under ``output_path``: ``table`` (result with its trace columns,
-    parquet), ``csv`` (the widened inventory), ``requests`` (distinct requests
-    still without an answer) and ``summary`` (report text).  Running again
-    with the answers to ``requests`` applies them; facility requests carry the
-    category, so they are re-issued after category answers arrive."""
+    Writes under ``output_path``: ``table`` (the input's columns, the outputs, the
+    trace as one struct, parquet), ``csv`` (the widened inventory in input order),
+    ``rejects`` (rows with more fields than their header), ``requests`` (distinct
+    requests still to be answered, in batches of ``opts.batch_size``),
+    ``request_kinds`` (what each stage's requests ask for) and ``summary``.
+
+    ``completions`` are added to the answer ``store`` (if one is named) and the
+    stored answers of earlier runs are applied with them.  Running again with the
+    answers to ``requests`` applies them; facility requests carry the category, so
+    they are issued once the category answers are there.  A description request
+    comes again until it is answered or has failed three times."""
+    began = datetime.now(timezone.utc)
     rec = RunRecord(spark)
-    df = read_inventory_csv(spark, input_path)
+    if store is not None:
+        if completions is not None:
+            append_completions(completions, store, "given")
+        completions = read_completions(spark, store) if has_answers(spark, store) else None
+    found = layouts(spark, input_path)
+    df = read_inventory_csv(spark, input_path, multi_line=opts.multi_line, found=found)
+    pos = position_column(df)
+    row = fresh(df, "_row")
     if opts.description_batch:
-        from ..operators.enrich import with_row_index
-
-        df = with_row_index(df, [POSITION_COL])
-    traced = build(df, opts, completions, attempts, trace=True).drop("_d", "_match")
+        df = first_rows(df, [pos], opts.description_batch, name=row)
+        df = df.withColumn(row, F.col(row).alias(row, metadata={MARK: "row"}))
+    trace = fresh([*df.columns, *OUTPUTS], "_trace")
+    traced, seen = observe_progress(build(df, opts, completions, attempts, row_col=row, trace=trace), at=f"{trace}.")
     table = f"{output_path}/table"
     rec.timed("classify", lambda: (write_parquet(traced, table), spark.read.parquet(table).count())[1])
+    rec.progress["classify"] = seen.get
     written = spark.read.parquet(table)
-    result = written.drop(*trace_columns(written))
+    result = written.drop(trace)
+    rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, found), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
     if csv:
-        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv"), None)[1])
-    done = completions
+        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=[pos]), None)[1])
+    done = completions.select("request_id") if completions is not None else None
     if attempts is not None:
-        tried = attempts.select("request_id")
-        done = tried if done is None else done.select("request_id").unionByName(tried)
-    todo = pending(stage_requests(written, opts), done)
+        tried = finished(resolve_attempts(attempts))
+        done = tried if done is None else done.unionByName(tried)
+    todo = with_row_index(pending(stage_requests(written.select(f"{trace}.*"), opts), done), ["stage", "request_id"], name="place")
+    todo = todo.withColumn("batch", batch_of(F.col("place"), opts.batch_size)).drop("place")
     rec.timed("requests", lambda: (write_parquet(todo, f"{output_path}/requests"), spark.read.parquet(f"{output_path}/requests").count())[1])
-    rep = summary_report(result, POSITION_COL, opts.skip_facility, opts.skip_descriptions, seed)
-    rec.timed("report", lambda: (write_report(rep, f"{output_path}/summary"), None)[1])
+    write_parquet(request_kinds(spark), f"{output_path}/request_kinds")
+    rep = summary_report(result, pos, opts.skip_facility, opts.skip_descriptions, seed)
+    facts = {"Input": str(input_path), "Output": output_path, "Started": began.isoformat(timespec="seconds"), "Seconds": f"{(datetime.now(timezone.utc) - began).total_seconds():.1f}"}
+    rec.timed("report", lambda: (write_report(headed(rep, "Inventory classification", facts), f"{output_path}/summary"), None)[1])
     return rec
 
 
-def category_report(result: DataFrame) -> DataFrame:
-    return distribution(result, "Product Category")
+def has_answers(spark: SparkSession, store: str) -> bool:
+    """Whether anything was appended to an answer store yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

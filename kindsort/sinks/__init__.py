@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.classify import one_answer
+from ..sources.inventory import data_columns
+
 CSV_WRITE_OPTIONS = {
     "header": "true",
     "quote": '"',
@@ -20,10 +23,14 @@ CSV_WRITE_OPTIONS = {
 RUN_RECORD_SCHEMA = "run_id string, stage string, seconds double, rows long"
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: all columns, header, nulls as empty cells; one file per task."""
-    out = df.drop(*[c for c in df.columns if c.startswith("_")])
-    out.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[str] | None = None) -> None:
+    """K1: the input's columns and the outputs, header, nulls as empty cells; one file per task.
+
+    Columns that the source added (marked in their metadata) stay out.  With
+    ``order_by`` the rows are range-sorted, so the part files in name order hold
+    them in that order."""
+    out = df.orderBy(*order_by) if order_by else df
+    out.select(*(f"`{c}`" for c in data_columns(df))).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
@@ -37,7 +44,8 @@ def append_completions(completions: DataFrame, path: str, stage: str, batch_id:
     """K2: answers survive a crash; a rerun anti-joins pending requests against them."""
     b = batch_id if batch_id is not None else int(time.time() * 1000)
     (
-        completions.withColumn("stage", F.lit(stage))
+        completions.select("request_id", "response")
+        .withColumn("stage", F.lit(stage))
         .withColumn("batch_id", F.lit(b).cast("long"))
         .write.mode("append")
         .partitionBy("stage")
@@ -46,27 +54,17 @@ def append_completions(completions: DataFrame, path: str, stage: str, batch_id:
 
 
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
-    """Stored answers, one per request: the latest batch wins.
-
-    A request appended twice would otherwise duplicate every row it answers
-    in the apply join.  The aggregate is keyed like that join, so it adds no
-    exchange to a shuffle join."""
-    return (
-        spark.read.parquet(path)
-        .groupBy("request_id")
-        .agg(F.max_by("response", "batch_id").alias("response"))
-    )
+    """Stored answers, one per request: the latest batch wins; of one batch, the largest text."""
+    return one_answer(spark.read.schema("request_id string, response string, batch_id long, stage string").parquet(path))
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """K3 text: the report is a few dozen lines, so one output file is fine."""
-    (
-        report.orderBy(F.col("section"), F.desc("sort_count"), F.col("sort_label"))
-        .select("line")
-        .coalesce(1)
-        .write.mode("overwrite")
-        .text(path)
-    )
+    """K3 text in order: a range sort, so the part files in name order are the report.
+
+    A few dozen lines end up in one file; many preserved labels spread over tasks."""
+    place = [F.col("place")] if "place" in report.columns else []
+    ordered = report.orderBy(F.col("section"), *place, F.desc("sort_count"), F.col("sort_label"))
+    ordered.select("line").write.mode("overwrite").text(path)
 
 
 class RunRecord:
@@ -76,6 +74,7 @@ class RunRecord:
         self.spark = spark
         self.run_id = run_id or uuid.uuid4().hex
         self.rows: list[tuple[str, str, float, int]] = []
+        self.progress: dict[str, dict] = {}  # live counts of a stage, once it ran
 
     def timed(self, stage: str, action):
         """Run ``action()`` (returns the stage's row count) and record it."""
@@ -87,5 +86,9 @@ class RunRecord:
     def to_df(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, RUN_RECORD_SCHEMA)
 
+    def counts(self) -> DataFrame:
+        """``(stage, rows)`` without the times."""
+        return self.to_df().select("stage", "rows")
+
     def append_to(self, path: str) -> None:
         self.to_df().write.mode("append").parquet(path)

@@ -1,15 +1,29 @@
 """Inventory sources and table checks.
 
-CSV files are read header-by-name as all-string columns (a schema given to the
-CSV reader is positional and would shift values of a file whose header is
-reordered), cells equal to a missing-value token become null, measures are
-cast by name, and the position of each row in the file is kept in ``_pos``.
+CSV files are read by header: the files of a folder are grouped by their header
+line, each group is read with the columns its header names, and the groups are
+united by name.  All cells stay the text that the file holds (parsed measures
+come as extra columns on request), cells equal to a missing-value token become
+null, and rows with more fields than their header go to a table of rejects.
+
+Columns that this module adds carry a mark in their metadata, so no column of
+the input is ever mistaken for one, whatever its name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import quote
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank, null_tokens
 from ..functions.vocab import (
@@ -25,21 +39,51 @@ MEASURE_COLUMNS = [
     "AVAILABILITY_QTY", "COST", "EXT_COST", "GROSS_CUBIC", "CUBIC_FEET", "EXT_GROSS_CUBIC", "EST_PALLETS",
 ]
 POSITION_COL = "_pos"
+FILE_COL = "_file"
+MARK = "kindsort"
 
+# a cell is null only where the row has no such field; an empty cell is text
+# until the missing-value tokens are applied
+NO_FIELD = "\u0000"
+END_MARK = "\u0001end"
 CSV_READ_OPTIONS = {
     "header": "true",
-    "multiLine": "true",
+    "enforceSchema": "true",
     "quote": '"',
     "escape": '"',
-    "inferSchema": "false",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "mode": "PERMISSIVE",
+    "nullValue": NO_FIELD,
+    "emptyValue": "",
+    "maxCharsPerColumn": "-1",
 }
 
 
+def fresh(df_or_columns: DataFrame | list[str], base: str) -> str:
+    """A column name not taken yet, in any case."""
+    columns = df_or_columns if isinstance(df_or_columns, list) else df_or_columns.columns
+    taken = {c.lower() for c in columns}
+    name, n = base, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{base}_{n}"
+    return name
+
+
+def added(df: DataFrame, what: str) -> str | None:
+    """Name of the column that this module added as ``what`` (position or file), if any."""
+    return next((f.name for f in df.schema.fields if (f.metadata or {}).get(MARK) == what), None)
+
+
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith("_")]
+    """The columns of the input itself."""
+    return [f.name for f in df.schema.fields if MARK not in (f.metadata or {})]
+
+
+def position_column(df: DataFrame) -> str:
+    """The column that keeps the input order."""
+    return added(df, "position") or POSITION_COL
 
 
 # --- S4 --------------------------------------------------------------------------------
@@ -52,7 +96,9 @@ def normalize_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def cast_measures(df: DataFrame) -> DataFrame:
-    """Measures to double by name (``try_cast``: bad text -> null); identifiers stay text."""
+    """Measures to double by name (``try_cast``: bad text -> null); identifiers stay text.
+
+    For computing only: a table that is written out keeps the cells as they are."""
     return df.select(
         *[F.col(f"`{c}`").try_cast("double").alias(c) if c in MEASURE_COLUMNS else F.col(f"`{c}`") for c in df.columns]
     )
@@ -67,22 +113,133 @@ def check_required(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> Non
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Files that share a header; ``columns`` None: nothing in them can be read as a header."""
+
+    columns: tuple[str, ...] | None
+    files: tuple[str, ...]
+
+
+def header_of(head: str) -> tuple[str, ...] | None:
+    """Column names of the first CSV record; None for a file of blank lines.
+
+    Names that repeat (in any case) get a number, as cells are found by name."""
+    row = next((r for r in csv.reader(io.StringIO(head.removeprefix("\ufeff"), newline="")) if r), None)
+    if row is None:
+        return None
+    names: list[str] = []
+    for i, name in enumerate(row):
+        name = name or f"Unnamed: {i}"
+        base, n = name, 0
+        while name.lower() in {x.lower() for x in names}:
+            n += 1
+            name = f"{base}.{n}"
+        names.append(name)
+    return tuple(names)
+
+
+HEADER_BYTES = 1 << 20
+
+
+def layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
+    """The files under ``paths`` grouped by header, one entry a layout.
+
+    Tasks read the first bytes of each file; the driver gets what it plans a scan
+    with anyway, the file names, and one header a layout."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                store, name = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
+                with store.open_input_stream(name) as f:
+                    out.append(header_of(f.read(HEADER_BYTES).decode("utf-8", "replace")))
+            yield pd.DataFrame({"path": pdf["path"], "header": out})
+
+    found = listed.mapInPandas(heads, "path string, header array<string>")
+    groups = found.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("files")).collect()
+    made = [Layout(tuple(g["header"]) if g["header"] is not None else None, tuple(g["files"])) for g in groups]
+    return sorted(made, key=lambda x: x.files)
+
+
+def _scan(spark: SparkSession, layout: Layout, multi_line: bool) -> tuple[DataFrame, str, Column]:
+    """Rows of one layout with the raw text of rows that don't fit, its column, and whether a row has surplus fields."""
+    columns = list(layout.columns or ())
+    raw = fresh(columns, "_raw")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, raw]])
+    df = (
+        spark.read.schema(schema).options(**CSV_READ_OPTIONS)
+        .option("columnNameOfCorruptRecord", raw).option("multiLine", str(multi_line).lower())
+        .csv(list(layout.files))
+    )
+    # too few fields are nulls, as before: an end mark added to such a row stands among the header's
+    # columns, in a row with too many it falls beyond them
+    names = [f"c{i}" for i in range(len(columns))]
+    options = {k: CSV_READ_OPTIONS[k] for k in ("quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode")}
+    marked = F.concat(F.regexp_replace(F.col(f"`{raw}`"), r"[\r\n]+$", ""), F.lit("," + END_MARK))
+    fields = F.from_csv(marked, ", ".join(f"{c} string" for c in names), options | {"maxCharsPerColumn": "-1"})
+    short = F.array_contains(F.array(*(fields[c] for c in names)), F.lit(END_MARK))
+    # always true, and reads a column: Spark refuses to scan a file for the raw rows alone
+    anchor = F.coalesce(F.length(F.col(f"`{columns[0]}`")), F.lit(0)) >= 0
+    return df, raw, F.col(f"`{raw}`").isNotNull() & ~F.coalesce(short, F.lit(False)) & anchor
+
+
 def read_inventory_csv(
-    spark: SparkSession, path: str, validate: bool = True, measures: bool = True, multi_line: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    validate: bool = True,
+    measures: bool = False,
+    multi_line: bool = True,
+    found: list[Layout] | None = None,
 ) -> DataFrame:
-    """Comma CSV with header, quoted multi-line fields and doubled quotes.
-
-    Unknown columns pass through in file order.  ``_pos`` increases with the
-    position in the file.  With ``multi_line`` (quoted newlines allowed) a file
-    is read by one task; inventories known to be single-line should pass
-    ``multi_line=False`` so large files are split across tasks."""
-    df = spark.read.options(**CSV_READ_OPTIONS).option("multiLine", str(multi_line).lower()).csv(path)
+    """Comma CSV with header, quoted multi-line fields and doubled quotes; a file, a folder or a list.
+
+    Files may differ in the order and choice of columns: cells go by name, a
+    column that a file lacks is null in its rows, and all columns come out in the
+    order in which the layouts name them.  Rows with more fields than their
+    header are left out here and found in :func:`read_rejects`.  A position
+    column increases along each file, a file column names it (:func:`added`).
+
+    With ``multi_line`` (quoted newlines allowed) a file is read by one task;
+    single-line inventories should pass ``multi_line=False`` so large files are
+    split across tasks.  ``measures`` parses the measure columns to double."""
+    groups = found if found is not None else layouts(spark, path)
+    readable = [g for g in groups if g.columns]
+    if not readable:
+        raise ValueError(f"No CSV file with a header under {path}")
     if validate:
-        check_required(df)
-    df = normalize_nulls(df)
-    if measures:
-        df = cast_measures(df)
-    return df.withColumn(POSITION_COL, F.monotonically_increasing_id())
+        for g in readable:
+            missing = [c for c in REQUIRED_COLUMNS if c not in g.columns]
+            if missing:
+                raise ValueError(f"Missing required columns: {', '.join(missing)}")
+    every = list(dict.fromkeys(c for g in readable for c in g.columns))
+    pos, name = fresh(every, POSITION_COL), fresh(every, FILE_COL)
+    parts = []
+    for k, g in enumerate(readable):
+        df, raw, surplus = _scan(spark, g, multi_line)
+        df = normalize_nulls(df.where(~surplus).withColumn(name, F.col("_metadata.file_path")).drop(raw), list(g.columns))
+        parts.append(df.withColumn(pos, F.monotonically_increasing_id() + F.lit(k << 56)))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = df.select(*[f"`{c}`" for c in every], F.col(f"`{name}`").alias(name, metadata={MARK: "file"}), F.col(f"`{pos}`").alias(pos, metadata={MARK: "position"}))
+    return cast_measures(df) if measures else df
+
+
+REJECT_SCHEMA = "file string, reason string, raw string"
+
+
+def read_rejects(spark: SparkSession, path: str | list[str], multi_line: bool = True, found: list[Layout] | None = None) -> DataFrame:
+    """What :func:`read_inventory_csv` leaves out: ``(file, reason, raw)``, a row each."""
+    groups = found if found is not None else layouts(spark, path)
+    parts = [spark.createDataFrame([(f, "no header", None) for g in groups if not g.columns for f in g.files], REJECT_SCHEMA)]
+    for g in groups:
+        if g.columns:
+            df, raw, surplus = _scan(spark, g, multi_line)
+            parts.append(df.where(surplus).select(F.col("_metadata.file_path").alias("file"), F.lit(f"more than {len(g.columns)} fields").alias("reason"), F.col(f"`{raw}`").alias("raw")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def required_columns_table(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
@@ -108,15 +265,14 @@ def schema_drift(df: DataFrame, expected: list[str] = EXPECTED_COLUMNS) -> DataF
     in the expected layout (extra columns: place in the table after it)."""
     cols = data_columns(df)
     row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)] or [F.lit(0)])
+    extra = [c for c in cols if c not in expected]
     entries = []
-    for i, c in enumerate(expected):
-        if c in cols:
-            entries.append(f"'{c}', {i + 1}, 'present', n{cols.index(c)}")
+    for i, c in enumerate([*expected, *extra]):
+        said = c.replace("\\", "\\\\").replace("'", "\\'")
+        if c not in cols:
+            entries.append(f"'{said}', {i + 1}, 'missing', CAST(NULL AS BIGINT)")
         else:
-            entries.append(f"'{c}', {i + 1}, 'missing', CAST(NULL AS BIGINT)")
-    extra = [c for c in cols if c not in expected]
-    for j, c in enumerate(extra):
-        entries.append(f"'{c}', {len(expected) + j + 1}, 'extra', n{cols.index(c)}")
+            entries.append(f"'{said}', {i + 1}, '{'extra' if c in extra else 'present'}', n{cols.index(c)}")
     return row.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (column, position, status, non_null)")
 
 
@@ -140,13 +296,13 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 # --- S6 ------------------------------------------------------------------------------------------
 
-def preview(df: DataFrame, order_col: str = POSITION_COL, n: int = PREVIEW_ROWS) -> DataFrame:
+def preview(df: DataFrame, order_col: str | None = None, n: int = PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows by position, with flags saying which output columns exist.
 
     ``orderBy(...).limit(n)`` plans a TakeOrderedAndProject: each task keeps its
     own top ``n``, so only ``n`` rows per task reach the final merge."""
     return (
-        df.orderBy(order_col)
+        df.orderBy(order_col or position_column(df))
         .limit(n)
         .withColumn("has_category", F.lit(CATEGORY_COL in df.columns))
         .withColumn("has_facility", F.lit(FACILITY_COL in df.columns))

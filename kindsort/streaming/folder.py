@@ -1,69 +1,121 @@
 """Landing-folder pipeline with Structured Streaming (S7 source).
 
-Each CSV file that lands in the folder is one processing unit.  The stream
-reads files with a fixed all-string schema and ``enforceSchema=false`` (a
-file whose header is reordered or has other columns fails instead of
-shifting values), tags every row with ``_metadata.file_name``, classifies it
-with the same stateless expressions as the batch pipeline, and writes per
-micro-batch with a dynamic partition overwrite keyed by ``batch_id`` -- a
-replayed batch overwrites its own output, so the sink is idempotent.  There
-is no event time and no state, hence no watermark.
+Each CSV file that lands in the folder is one processing unit.  The stream is of
+files, not of rows: a micro-batch is a list of new files, which are read by their
+own headers (files may differ in their columns), classified with the same
+expressions as the batch pipeline, and written under ``batch_id``.  A file that
+cannot be used -- no header, a required column missing, unreadable -- is put in the
+``files`` table with the reason, as are rows with more fields than their header in
+``rejects``; the other files of its batch go on.  Every table is written with a
+dynamic partition overwrite keyed by ``batch_id``, so a replayed batch replaces its
+own output.  There is no event time and no state, hence no watermark.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.vocab import CATEGORY_COL, EXPECTED_COLUMNS, FACILITY_COL
-from ..plans.batch import FORM_DEFAULTS, Options, build
-from ..sources.inventory import CSV_READ_OPTIONS, cast_measures, normalize_nulls
+from ..functions.vocab import CATEGORY_COL, FACILITY_COL, REQUIRED_COLUMNS
+from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, build
+from ..sources.inventory import Layout, added, layouts, position_column, read_inventory_csv, read_rejects
 
-FILE_COL = "_file"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+FILES_SCHEMA = "file string, status string, reason string, columns array<string>, batch_id long"
+COUNTS_SCHEMA = f"file string, `{CATEGORY_COL}` string, `{FACILITY_COL}` string, rows long, batch_id long"
+# partition columns of the row tables; a file that has them is quarantined
+BATCH_KEY, FILE_KEY = "__batch", "__file"
 
 
-def landing_schema(columns: list[str] = EXPECTED_COLUMNS) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-
-
-def landing_stream(spark: SparkSession, folder: str, columns: list[str] = EXPECTED_COLUMNS, max_files: int | None = None) -> DataFrame:
-    """The stream of rows of newly arrived ``*.csv`` files."""
-    opts = dict(CSV_READ_OPTIONS)
-    opts.pop("inferSchema", None)
-    r = spark.readStream.schema(landing_schema(columns)).options(**opts).option("enforceSchema", "false").option(
-        "pathGlobFilter", "*.csv"
-    )
+def landing_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """The stream of newly arrived ``*.csv`` files, by path (their content is not read here)."""
+    r = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    return r.csv(folder).withColumn(FILE_COL, F.col("_metadata.file_name"))
+    return r.load(folder).select("path")
+
+
+def _base(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def _write(df: DataFrame, path: str, keys: list[str]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {(str(e).splitlines() or [''])[0][:300]}"
+
+
+def _unusable(layout: Layout) -> str | None:
+    if not layout.columns:
+        return "no header"
+    if missing := [c for c in REQUIRED_COLUMNS if c not in layout.columns]:
+        return f"Missing required columns: {', '.join(missing)}"
+    if {c.lower() for c in layout.columns} & {BATCH_KEY, FILE_KEY}:
+        return f"a column is named {BATCH_KEY} or {FILE_KEY}"
+    return None
 
 
 def _process(opts: Options, completions: DataFrame | None, out_dir: str):
+    def write_rows(spark: SparkSession, good: list[Layout], batch_id: int) -> None:
+        files = [f for g in good for f in g.files]
+        df = read_inventory_csv(spark, files, multi_line=opts.multi_line, found=good)
+        pos, source = position_column(df), added(df, "file")
+        base = F.substring_index(F.url_decode(F.replace(F.col(f"`{source}`"), F.lit("+"), F.lit("%2B"))), "/", -1)
+        res = build(df, opts, completions).withColumns({BATCH_KEY: F.lit(batch_id).cast("long"), FILE_KEY: base})
+        _write(res.drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
+        bad = read_rejects(spark, files, opts.multi_line, good)
+        _write(bad.withColumn(BATCH_KEY, F.lit(batch_id).cast("long")), f"{out_dir}/rejects", [BATCH_KEY])
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        x = cast_measures(normalize_nulls(batch))
-        res = build(x, opts, completions).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (
-            res.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{out_dir}/rows")
-        )
-        # count from the batch just written (a pruned scan of its label
-        # columns) instead of classifying the micro-batch a second time
-        keys = [FILE_COL, CATEGORY_COL] + ([FACILITY_COL] if FACILITY_COL in res.columns else [])
-        written = batch.sparkSession.read.parquet(f"{out_dir}/rows/batch_id={batch_id}")
-        counts = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (
-            counts.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{out_dir}/counts")
-        )
+        spark = batch.sparkSession
+        # file names of one micro-batch: bounded by max_files, and what Spark's own listing holds
+        files = sorted(r["path"] for r in batch.distinct().collect())
+        if not files:
+            return
+        found = layouts(spark, files)
+        rows = [(_base(f), "quarantined", why, None) for g in found if (why := _unusable(g)) for f in g.files]
+        good = [g for g in found if not _unusable(g)]
+        done = good
+        try:
+            if good:
+                write_rows(spark, good, batch_id)
+        except Exception:  # noqa: BLE001 - some file cannot be read: find it, and let the others through
+            done = []
+            for one in [Layout(g.columns, (f,)) for g in good for f in g.files]:
+                try:
+                    write_rows(spark, [one], batch_id)
+                    done.append(one)
+                except Exception as e:  # noqa: BLE001
+                    rows.append((_base(one.files[0]), "quarantined", _reason(e), None))
+        rows += [(_base(f), "done", None, list(g.columns)) for g in done for f in g.files]
+        _write(spark.createDataFrame([(*r, batch_id) for r in rows], FILES_SCHEMA), f"{out_dir}/files", ["batch_id"])
+        counts = _counts(spark, out_dir, batch_id)
+        if counts is not None:
+            _write(counts, f"{out_dir}/counts", ["batch_id"])
 
     return per_batch
 
 
+def _counts(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
+    """Rows of a written batch by file and label, from its label columns alone; None if it has no rows."""
+    try:
+        written = spark.read.option("basePath", f"{out_dir}/rows").parquet(f"{out_dir}/rows/{BATCH_KEY}={batch_id}")
+    except AnalysisException:
+        return None  # only headers: nothing was written
+    facility = F.col(f"`{FACILITY_COL}`") if FACILITY_COL in written.columns else F.lit(None).cast("string")
+    return written.groupBy(F.col(FILE_KEY).cast("string").alias("file"), F.col(f"`{CATEGORY_COL}`"), facility.alias(FACILITY_COL)).agg(F.count(F.lit(1)).alias("rows")).select(
+        "file", f"`{CATEGORY_COL}`", f"`{FACILITY_COL}`", "rows", F.lit(batch_id).cast("long").alias("batch_id")
+    )
+
+
+def _escaped(name: str) -> str:
+    """A partition value as Spark writes it in a path."""
+    return "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\{[]^' or ord(c) < 32 or ord(c) == 127 else c for c in name)
+
+
 def run_folder(
     spark: SparkSession,
     folder: str,
@@ -71,11 +123,13 @@ def run_folder(
     checkpoint: str,
     opts: Options = FORM_DEFAULTS,
     completions: DataFrame | None = None,
-    columns: list[str] = EXPECTED_COLUMNS,
     max_files: int | None = None,
 ):
-    """Process every file present now, then stop (``availableNow``)."""
-    stream = landing_stream(spark, folder, columns, max_files)
+    """Process every file present now, then stop (``availableNow``).
+
+    Under ``out_dir``: ``rows`` (each file's widened table), ``counts`` (its labels),
+    ``files`` (what became of it) and ``rejects``."""
+    stream = landing_stream(spark, folder, max_files)
     q = (
         stream.writeStream.foreachBatch(_process(opts, completions, out_dir))
         .option("checkpointLocation", checkpoint)
@@ -87,7 +141,22 @@ def run_folder(
 
 
 def file_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Per-file category (and facility) counts over all processed batches."""
-    c = spark.read.parquet(f"{out_dir}/counts")
-    keys = [k for k in c.columns if k not in ("rows", "batch_id")]
-    return c.groupBy(*keys).agg(F.sum("rows").cast("long").alias("rows"))
+    """Per-file category and facility counts over all processed batches."""
+    c = spark.read.schema(COUNTS_SCHEMA).parquet(f"{out_dir}/counts")
+    return c.groupBy("file", f"`{CATEGORY_COL}`", f"`{FACILITY_COL}`").agg(F.sum("rows").cast("long").alias("rows"))
+
+
+def file_table(spark: SparkSession, out_dir: str, file: str) -> DataFrame:
+    """The widened table of one file, with the columns that this file has.
+
+    Of several batches that hold the name (it arrived again), the latest."""
+    found = spark.read.schema(FILES_SCHEMA).parquet(f"{out_dir}/files").where((F.col("file") == file) & (F.col("status") == "done"))
+    last = found.orderBy(F.desc("batch_id")).first()
+    rows = spark.read.option("basePath", f"{out_dir}/rows").parquet(f"{out_dir}/rows/{BATCH_KEY}={last['batch_id']}/{FILE_KEY}={_escaped(file)}")
+    outputs = [c for c in OUTPUTS if c in rows.columns and c not in last["columns"]]
+    return rows.select(*(f"`{c}`" for c in [*last["columns"], *outputs]))
+
+
+def quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``(file, reason)`` of the files that could not be used."""
+    return spark.read.schema(FILES_SCHEMA).parquet(f"{out_dir}/files").where("status = 'quarantined'").select("file", "reason")
