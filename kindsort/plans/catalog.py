@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import first_match_by_table, rules_table
+from ..functions.matcher import first_match_by_table
+from ..functions.rules import rules_table
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import (
     CATEGORY_COL,
@@ -41,7 +42,7 @@ from ..sources.testview import (
 )
 from . import fixtures as X
 from . import sqlforms as Q
-from .batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, build
+from .batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, build, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -397,7 +398,7 @@ def _cat_requests(spark, d) -> DataFrame:
 def _q_norm_category():
     q = Q.Sql()
     _cat_requests_sql(q)
-    q.add("ccomp", X.scripted_completions_sql("SELECT * FROM creq"))
+    q.add("ccomp", X.scripted_completions_sql("SELECT * FROM creq", all_answered=True))
     ans = Q.label_answers(q, "cans", "ccomp", CATEGORY_LABELS)
     return q.query(f"SELECT c.request_id, c.response, a.ans AS normalized FROM ccomp c JOIN {ans} a ON c.request_id = a.request_id")
 
@@ -406,7 +407,7 @@ def _q_norm_category():
 def normalize_category_answer(spark, d):
     from ..functions.text import normalize_label
 
-    comp = X.scripted_completions(_cat_requests(spark, d))
+    comp = X.scripted_completions(_cat_requests(spark, d), all_answered=True)
     return comp.select("request_id", "response", normalize_label(F.col("response"), CATEGORY_LABELS).alias("normalized"))
 
 
@@ -432,7 +433,7 @@ def _fac_requests(spark, d) -> DataFrame:
 def _q_norm_facility():
     q = Q.Sql()
     _fac_requests_sql(q)
-    q.add("fcomp", X.scripted_completions_sql("SELECT * FROM freq"))
+    q.add("fcomp", X.scripted_completions_sql("SELECT * FROM freq", all_answered=True))
     ans = Q.label_answers(q, "fans", "fcomp", FACILITY_LABELS)
     return q.query(f"SELECT c.request_id, c.response, a.ans AS normalized FROM fcomp c JOIN {ans} a ON c.request_id = a.request_id")
 
@@ -441,7 +442,7 @@ def _q_norm_facility():
 def normalize_facility_answer(spark, d):
     from ..functions.text import normalize_label
 
-    comp = X.scripted_completions(_fac_requests(spark, d))
+    comp = X.scripted_completions(_fac_requests(spark, d), all_answered=True)
     return comp.select("request_id", "response", normalize_label(F.col("response"), FACILITY_LABELS).alias("normalized"))
 
 
@@ -452,7 +453,7 @@ def _q_norm_yes_no():
     lab = Q.category_label(q, t)
     et = Q.electricity_trace(q, lab, ELECTRICITY_WORDS)
     q.add("ereq", Q.requests_sql(et, "electricity", "_ele"))
-    q.add("ecomp", X.scripted_completions_sql("SELECT * FROM ereq", X.YES_NO_ANSWERS))
+    q.add("ecomp", X.scripted_completions_sql("SELECT * FROM ereq", X.YES_NO_ANSWERS, all_answered=True))
     ans = Q.yes_no_answers(q, "eans", "ecomp")
     return q.query(f"SELECT c.request_id, c.response, a.ans AS normalized FROM ecomp c JOIN {ans} a ON c.request_id = a.request_id")
 
@@ -462,7 +463,7 @@ def normalize_yes_no(spark, d):
     from ..functions.text import normalize_yes_no as yn
 
     cat = C.categorize(lineitem_inventory(spark, d))
-    comp = X.scripted_completions(L.requests(C.electricity(cat, ELECTRICITY_WORDS, trace=True), "electricity"), X.YES_NO_ANSWERS)
+    comp = X.scripted_completions(L.requests(C.electricity(cat, ELECTRICITY_WORDS, trace=True), "electricity"), X.YES_NO_ANSWERS, all_answered=True)
     return comp.select("request_id", "response", yn(F.col("response")).alias("normalized"))
 
 
@@ -477,9 +478,8 @@ def _part_rows(spark, d) -> DataFrame:
     return L.with_row_index(part_inventory(spark, d), ["KEY"])
 
 
-def _desc_requests(spark, d, first_n: int | None = None) -> DataFrame:
-    base = _part_rows(spark, d) if first_n else part_inventory(spark, d)
-    return L.requests(C.describe(base, first_n=first_n, trace=True), "description")
+def _desc_requests(spark, d) -> DataFrame:
+    return L.requests(C.describe(part_inventory(spark, d), trace=True), "description")
 
 
 def _q_clean_description():
@@ -487,7 +487,7 @@ def _q_clean_description():
 
     q = Q.Sql()
     _desc_requests_sql(q)
-    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq"))
+    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq", all_tried=True))
     return q.query(
         f"SELECT request_id, attempt, response, {clean_description_sql('response')} AS cleaned FROM att "
         "WHERE responded AND response IS NOT NULL"
@@ -498,7 +498,7 @@ def _q_clean_description():
 def clean_description(spark, d):
     from ..functions.text import clean_description as cd
 
-    att = X.scripted_attempts(_desc_requests(spark, d))
+    att = X.scripted_attempts(_desc_requests(spark, d), all_tried=True)
     return att.filter(F.col("responded") & F.col("response").isNotNull()).select(
         "request_id", "attempt", "response", cd(F.col("response")).alias("cleaned")
     )
@@ -581,13 +581,13 @@ def apply_completions(spark, d):
 def _q_resolve():
     q = Q.Sql()
     _desc_requests_sql(q)
-    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq"))
+    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq", all_tried=True))
     r = Q.resolve_attempts_sql(q, "att")
     return q.query(f"SELECT * FROM {r}")
 
 
 def _resolved(spark, d) -> DataFrame:
-    return L.resolve_attempts(X.scripted_attempts(_desc_requests(spark, d)))
+    return L.resolve_attempts(X.scripted_attempts(_desc_requests(spark, d), all_tried=True))
 
 
 @register("resolve_attempts", _q_resolve())
@@ -598,7 +598,7 @@ def resolve_attempts(spark, d):
 def _q_usage():
     q = Q.Sql()
     _desc_requests_sql(q)
-    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq"))
+    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq", all_tried=True))
     r = Q.resolve_attempts_sql(q, "att")
     return q.query(
         f"SELECT CAST(coalesce(sum(responses), 0) AS BIGINT) AS total_requests, "
@@ -624,12 +624,14 @@ def _q_description_subset():
     q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq"))
     r = Q.resolve_attempts_sql(q, "att")
     lab = Q.description_label(q, dt, r, prior="SIMPLE_DESCRIPTION")
-    return q.query(f"SELECT KEY, _row, _desc_src AS description_source, SIMPLE_DESCRIPTION FROM {lab}")
+    return q.query(
+        f"SELECT KEY, CASE WHEN _row < {DESCRIPTION_SUBSET} THEN _row END AS _row, _desc_src AS description_source, SIMPLE_DESCRIPTION FROM {lab}"
+    )
 
 
 @register("description_subset", _q_description_subset())
 def description_subset(spark, d):
-    base = _part_rows(spark, d).withColumn(
+    base = L.first_rows(part_inventory(spark, d), ["KEY"], DESCRIPTION_SUBSET).withColumn(
         SIMPLE_DESC_COL, F.when(F.pmod(F.col("KEY"), F.lit(3)) == 0, F.concat(F.lit("prior "), F.col("ITEM_NO")))
     )
     reqs = L.requests(C.describe(base, first_n=DESCRIPTION_SUBSET, trace=True), "description")
@@ -776,9 +778,12 @@ def stage_progress(spark, d):
 # --- pipelines on the unique-key layout (sample and report need a key) ---------------------
 
 def _part_pipeline_sql(q: Q.Sql) -> str:
-    """W1 with every stage on the part layout: category, facility, description."""
-    _pinv(q)
-    t = Q.category_trace(q, PI)
+    return _pipeline_sql(q, _pinv(q))
+
+
+def _pipeline_sql(q: Q.Sql, base: str) -> str:
+    """W1 with every stage: category, facility, description."""
+    t = Q.category_trace(q, base)
     q.add("creq", Q.requests_sql(t, "category", "_cat"))
     q.add("ccomp", X.scripted_completions_sql("SELECT * FROM creq"))
     cans = Q.label_answers(q, "cans", "ccomp", CATEGORY_LABELS)
@@ -937,19 +942,9 @@ def _q_components():
     return q.query(f"SELECT KEY, DESCRIPTION, nullif(concat_ws(', ', {parts}), '') AS components FROM {PI}")
 
 
-def component_flags_df(df: DataFrame) -> DataFrame:
-    """Components an item needs, as a sorted comma list (null when none)."""
-    from ..functions.rules import any_match
-
-    x = C.with_lower_description(df)
-    parts = [F.when(any_match(F.col("_d"), kws), F.lit(c)) for c, kws in _component_groups()]
-    out = F.concat_ws(", ", *parts)
-    return x.withColumn("components", F.when(out != "", out)).drop("_d")
-
-
 @register("component_flags", _q_components())
 def component_flags(spark, d):
-    return component_flags_df(part_inventory(spark, d)).select("KEY", "DESCRIPTION", "components")
+    return C.component_flags(part_inventory(spark, d), COMPONENT_RULES).select("KEY", "DESCRIPTION", "components")
 
 
 def _q_doc_category():
@@ -995,7 +990,8 @@ def csv_round_trip(spark, d):
 
     path = work_path(spark, "csv-round-trip")
     write_csv(lineitem_inventory(spark, d), path)
-    return S.read_inventory_csv(spark, path).drop(S.POSITION_COL)
+    back = S.read_inventory_csv(spark, path, measures=True)
+    return back.select(*S.data_columns(back))
 
 
 def _q_folder_stream():
@@ -1017,7 +1013,7 @@ def _q_null_tokens_body() -> str:
 
 @register("folder_stream", _q_folder_stream())
 def folder_stream(spark, d):
-    """The view lands as several CSV files; the stream classifies each file."""
+    """The view lands as several CSV files; the stream of files classifies each."""
     from ..session import work_path
     from ..sinks import write_csv
     from ..streaming.folder import file_counts, run_folder
@@ -1027,14 +1023,14 @@ def folder_stream(spark, d):
     inv = lineitem_inventory(spark, d)
     write_csv(inv.repartition(4), landing)
     opts = Options(skip_facility=False, skip_descriptions=True)
-    run_folder(spark, landing, out, work_path(spark, "stream-ckpt"), opts, columns=inv.columns)
+    run_folder(spark, landing, out, work_path(spark, "stream-ckpt"), opts)
     counts = file_counts(spark, out)
     return counts.groupBy(CATEGORY_COL, FACILITY_COL).agg(F.sum("rows").cast("long").alias("n_rows"))
 
 
-@register("run_record")
+@register("run_record", "SELECT 'categorize' AS stage, count(*) AS rows FROM lineitem UNION ALL SELECT 'facility', count(*) FROM lineitem")
 def run_record(spark, d):
-    """K4: one row per materialised stage with seconds and rows (timing is not comparable)."""
+    """K4: rows of each materialised stage (the stored record also has the seconds)."""
     from ..session import work_path
     from ..sinks import RunRecord, write_parquet
 
@@ -1045,4 +1041,204 @@ def run_record(spark, d):
     rec.timed("categorize", lambda: (write_parquet(cat, f"{base}/cat"), spark.read.parquet(f"{base}/cat").count())[1])
     fac = C.facility(spark.read.parquet(f"{base}/cat"))
     rec.timed("facility", lambda: (write_parquet(fac, f"{base}/fac"), spark.read.parquet(f"{base}/fac").count())[1])
-    return rec.to_df()
+    rec.append_to(f"{base}/record")
+    return spark.read.parquet(f"{base}/record").select("stage", "rows")
+
+
+# --- files as users have them --------------------------------------------------------------
+
+RAW_SQL = f"SELECT ITEM_NO, DESCRIPTION, VENDOR_NAME, CATEGORY, SUBCATEGORY, '$' || CAST(CAST(floor(COST) AS BIGINT) AS VARCHAR) || ',00 EA' AS COST, substr(ITEM_NO, 1, 3) AS _note, VENDOR_NAME AS _cat_id FROM {LI}"
+
+
+def _raw_inventory(spark, d) -> DataFrame:
+    """The inventory as text, with odd measure cells and columns named like helpers."""
+    inv = lineitem_inventory(spark, d)
+    cost = F.concat(F.lit("$"), F.floor("COST").cast("string"), F.lit(",00 EA"))
+    return inv.select("ITEM_NO", "DESCRIPTION", "VENDOR_NAME", "CATEGORY", "SUBCATEGORY", cost.alias("COST"), F.substring("ITEM_NO", 1, 3).alias("_note"), F.col("VENDOR_NAME").alias("_cat_id"))
+
+
+def _land(df: DataFrame, path: str) -> None:
+    """``df`` as CSV files, written by Spark alone."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+
+
+def _q_run_csv_full():
+    q = Q.Sql()
+    _inv(q)
+    q.add("raw", RAW_SQL)
+    cols = ["ITEM_NO", "DESCRIPTION", "VENDOR_NAME", "CATEGORY", "SUBCATEGORY", "COST", "_note", "_cat_id"]
+    q.add("nt", "SELECT " + ", ".join(f"{null_tokens_sql(c)} AS {c}" for c in cols) + " FROM raw")
+    lab = Q.category_label(q, Q.category_trace(q, "nt"))
+    fl = Q.facility_label(q, Q.facility_trace(q, lab))
+    dl = Q.description_label(q, Q.description_trace(q, fl), None)
+    return q.query(f"SELECT {', '.join(cols)}, {Q.PC}, {Q.FS}, SIMPLE_DESCRIPTION FROM {dl}")
+
+
+@register("run_csv_full", _q_run_csv_full())
+def run_csv_full(spark, d):
+    """W1 from CSV to CSV, every cell as the user wrote it."""
+    from ..session import work_path
+
+    base = work_path(spark, "run-csv")
+    _land(_raw_inventory(spark, d), f"{base}/in")
+    run(spark, f"{base}/in", f"{base}/out", Options(multi_line=False))
+    return spark.read.option("header", True).option("escape", '"').csv(f"{base}/out/csv")
+
+
+def _q_csv_mixed():
+    q = Q.Sql()
+    _inv(q)
+    q.add("raw", f"SELECT ITEM_NO, DESCRIPTION, VENDOR_NAME, CASE WHEN length(ITEM_NO) % 3 = 2 THEN CATEGORY END AS EXTRA FROM {LI}")
+    return q.query("SELECT " + ", ".join(f"{null_tokens_sql(c)} AS {c}" for c in ("ITEM_NO", "DESCRIPTION", "VENDOR_NAME", "EXTRA")) + " FROM raw")
+
+
+@register("csv_mixed_layouts", _q_csv_mixed())
+def csv_mixed_layouts(spark, d):
+    """S1 over files of three layouts: cells go by header."""
+    from ..session import work_path
+
+    base = work_path(spark, "mixed")
+    inv = lineitem_inventory(spark, d).withColumnRenamed("CATEGORY", "EXTRA")
+    each = (["ITEM_NO", "DESCRIPTION", "VENDOR_NAME"], ["VENDOR_NAME", "ITEM_NO", "DESCRIPTION"], ["EXTRA", "DESCRIPTION", "VENDOR_NAME", "ITEM_NO"])
+    for i, cols in enumerate(each):
+        _land(inv.where(F.length("ITEM_NO") % 3 == i).select(cols), f"{base}/{i}")
+    back = S.read_inventory_csv(spark, [f"{base}/{i}" for i in range(len(each))], multi_line=False)
+    return back.select("ITEM_NO", "DESCRIPTION", "VENDOR_NAME", "EXTRA")
+
+
+def _q_folder_mixed():
+    q = Q.Sql()
+    _inv(q)
+    q.add("nt", f"{_q_null_tokens_body()} WHERE length(ITEM_NO) % 3 <> 2")
+    lab = Q.category_label(q, Q.category_trace(q, "nt"))
+    return q.query(
+        f"SELECT 'rows' AS kind, {Q.PC} AS label, count(*) AS n FROM {lab} GROUP BY 2 "
+        "UNION ALL SELECT 'file', 'Missing required columns: VENDOR_NAME', 1 UNION ALL SELECT 'columns', 'EXTRA', 1"
+    )
+
+
+@register("folder_mixed", _q_folder_mixed())
+def folder_mixed(spark, d):
+    """W3 over a plain file, one with a further column, one of a header alone and one that lacks a column."""
+    from ..session import work_path
+    from ..streaming.folder import FILES_SCHEMA, file_counts, quarantine, run_folder
+
+    base, inv = work_path(spark, "folder-mixed"), lineitem_inventory(spark, d)
+    k = F.length("ITEM_NO") % 3
+    _land(inv.where(k == 0).coalesce(1), f"{base}/in/plain")
+    _land(inv.where(k == 1).withColumn("EXTRA", F.lit("x")).coalesce(1), f"{base}/in/extra")
+    _land(inv.limit(0), f"{base}/in/header")
+    _land(inv.where(k == 2).drop("VENDOR_NAME").coalesce(1), f"{base}/in/lacking")
+    run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    rows = file_counts(spark, f"{base}/out").groupBy(F.col(f"`{CATEGORY_COL}`").alias("label")).agg(F.sum("rows").alias("n"))
+    files = quarantine(spark, f"{base}/out").groupBy(F.col("reason").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    done = spark.read.schema(FILES_SCHEMA).parquet(f"{base}/out/files").where("status = 'done'")
+    more = done.select(F.explode(F.array_except("columns", F.array(*map(F.lit, inv.columns)))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    named = [x.select(F.lit(kind).alias("kind"), "label", "n") for kind, x in (("rows", rows), ("file", files), ("columns", more))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+# --- answers that repeat, stay, or are still to come -----------------------------------------
+
+def _q_categories_applied():
+    q = Q.Sql()
+    _cat_requests_sql(q)
+    q.add("ccomp", X.scripted_completions_sql("SELECT * FROM creq"))
+    lab = Q.category_label(q, "c4", Q.label_answers(q, "cans", "ccomp", CATEGORY_LABELS))
+    return q.query(f"SELECT ITEM_NO, DESCRIPTION, {Q.PC} FROM {lab}")
+
+
+@register("apply_completions_duplicates", _q_categories_applied())
+def apply_completions_duplicates(spark, d):
+    """L3: an older answer and a repeated one for each request; rows neither multiply nor change."""
+    inv = _matched(lineitem_inventory(spark, d))
+    reqs = L.requests(C.categorize(inv, trace=True), "category")
+    now = X.scripted_completions(reqs).withColumn("batch_id", F.lit(2))
+    old = X.scripted_completions(reqs, X.ANSWERS[::-1]).withColumn("batch_id", F.lit(1))
+    out = C.categorize(inv, completions=now.unionByName(old).unionByName(now))
+    return out.select("ITEM_NO", "DESCRIPTION", CATEGORY_COL)
+
+
+@register("durable_answers", _q_categories_applied())
+def durable_answers(spark, d):
+    """K2: answers appended twice to a store, read back and applied."""
+    from ..session import work_path
+    from ..sinks import append_completions, read_completions
+
+    inv = _matched(lineitem_inventory(spark, d))
+    reqs = L.requests(C.categorize(inv, trace=True), "category")
+    store = work_path(spark, "answers")
+    append_completions(X.scripted_completions(reqs, X.ANSWERS[::-1]), store, "category", 1)
+    append_completions(X.scripted_completions(reqs), store, "category", 2)
+    return C.categorize(inv, completions=read_completions(spark, store)).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL)
+
+
+def _q_pending_attempts():
+    q = Q.Sql()
+    _desc_requests_sql(q)
+    q.add("att", X.scripted_attempts_sql("SELECT * FROM dreq"))
+    r = Q.resolve_attempts_sql(q, "att")
+    return q.query(f"SELECT * FROM (SELECT DISTINCT * FROM dreq) d WHERE NOT EXISTS (SELECT 1 FROM {r} r WHERE r.request_id = d.request_id AND r.description IS NOT NULL)")
+
+
+@register("pending_attempts", _q_pending_attempts())
+def pending_attempts(spark, d):
+    """L2/L4: description requests that are neither answered nor failed three times, from a log that repeats rows."""
+    reqs = _desc_requests(spark, d)
+    log = X.scripted_attempts(reqs)
+    return L.pending(reqs, L.finished(L.resolve_attempts(log.unionByName(log))))
+
+
+def _q_ranked():
+    q = Q.Sql()
+    fl = _classified_sql(q)
+    q.add("g", f"SELECT {Q.PC} AS label, count(*) AS items FROM {fl} WHERE {Q.PC} IS NOT NULL GROUP BY 1")
+    return q.query("SELECT label, items, row_number() OVER (ORDER BY items DESC, label) AS rank FROM g")
+
+
+@register("distribution_ranked", _q_ranked())
+def distribution_ranked(spark, d):
+    """G1: categories by count, then label, with their place."""
+    ranked = R.ranked(R.distribution(_classified(spark, d), CATEGORY_COL))
+    return ranked.select("label", F.col("count").alias("items"), "rank")
+
+
+def _q_batch_inventory():
+    q = Q.Sql()
+    res = _pipeline_sql(q, _inv(q))
+    return q.query(f"SELECT ITEM_NO, DESCRIPTION, {Q.PC}, {Q.FS}, SIMPLE_DESCRIPTION FROM {res}")
+
+
+@register("batch_run_inventory", _q_batch_inventory())
+def batch_run_inventory(spark, d):
+    """W1 with every stage over the whole inventory."""
+    df = _matched(lineitem_inventory(spark, d))
+    comp, attempts = _answers_for(df, CLI_DEFAULTS)
+    return build(df, CLI_DEFAULTS, comp, attempts).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL)
+
+
+def _q_report_inventory():
+    q = Q.Sql()
+    fl = _classified_sql(q)
+    q.add("n", f"SELECT {Q.PC} AS c, {Q.FS} AS f, count(*) AS n FROM {fl} GROUP BY 1, 2")
+    q.add("t", "SELECT sum(n) AS total FROM n")
+
+    def lines(col: str, section: int) -> str:
+        return (
+            f"SELECT {section} AS section, CAST(items AS BIGINT) AS sort_count, label AS sort_label, "
+            f"label || ': ' || CAST(items AS VARCHAR) || ' (' || printf('%.1f', {Q.percent_expr('items', 'total')}) || '%)' AS line "
+            f"FROM (SELECT {col} AS label, sum(n) AS items FROM n WHERE {col} IS NOT NULL GROUP BY 1) g, t"
+        )
+
+    cells = " || ', ' || ".join(f"{sql_str(v + '=')} || CAST(coalesce(sum(n) FILTER (WHERE f = {sql_str(v)}), 0) AS VARCHAR)" for v in FACILITY_LABELS)
+    return q.query(
+        "SELECT 0 AS section, CAST(0 AS BIGINT) AS sort_count, '' AS sort_label, 'Total items processed: ' || CAST(total AS VARCHAR) AS line FROM t "
+        f"UNION ALL {lines('c', 1)} UNION ALL {lines('f', 2)} "
+        f"UNION ALL SELECT 3, CAST(0 AS BIGINT), c, c || ': ' || {cells} FROM n WHERE c IS NOT NULL AND f IS NOT NULL GROUP BY c"
+    )
+
+
+@register("summary_inventory", _q_report_inventory())
+def summary_inventory(spark, d):
+    """K3 over the whole inventory (without the sample, which needs a unique key)."""
+    return R.summary_report(_classified(spark, d), "ITEM_NO", skip_descriptions=True, seed=SAMPLE_SEED)

@@ -45,12 +45,13 @@ def _len(c: str = "context") -> Column:
     return F.length(F.col(c)).cast("long")
 
 
-def scripted_completions(reqs: DataFrame, answers: list[str] = ANSWERS) -> DataFrame:
-    """``(request_id, response)`` for the answered share of the distinct requests."""
+def scripted_completions(reqs: DataFrame, answers: list[str] = ANSWERS, all_answered: bool = False) -> DataFrame:
+    """``(request_id, response)`` of the distinct requests: of all, or leaving some unanswered
+    (for queries about requests that stay open)."""
     L = _len()
     return (
         pending(reqs)
-        .filter(F.pmod(L, F.lit(UNANSWERED_EVERY)) != 0)
+        .filter(F.lit(all_answered) | (F.pmod(L, F.lit(UNANSWERED_EVERY)) != 0))
         .select("request_id", F.get(F.array(*[F.lit(a) for a in answers]), F.pmod(L, F.lit(len(answers))).cast("int")).alias("response"))
     )
 
@@ -61,11 +62,13 @@ def scripted_answer(pdf: pd.DataFrame) -> pd.Series:
     return n.map(lambda k: ANSWERS[int(k) % len(ANSWERS)])
 
 
-def scripted_attempts(reqs: DataFrame) -> DataFrame:
-    """Attempt log: ``length % 5`` attempts per request (0 = none yet, 4 = one too many)."""
+def scripted_attempts(reqs: DataFrame, all_tried: bool = False) -> DataFrame:
+    """Attempt log: ``length % 5`` attempts per request (0 = none yet, 4 = one too many);
+    with ``all_tried`` one to four attempts for every request."""
     L = _len()
-    r = pending(reqs).select("request_id", L.alias("_L")).filter(F.pmod(F.col("_L"), F.lit(5)) >= 1)
-    r = r.select("request_id", "_L", F.explode(F.sequence(F.lit(1).cast("long"), F.pmod(F.col("_L"), F.lit(5)))).alias("_i"))
+    made = F.pmod(F.col("_L"), F.lit(4)) + 1 if all_tried else F.pmod(F.col("_L"), F.lit(5))
+    r = pending(reqs).select("request_id", L.alias("_L")).filter(made >= 1)
+    r = r.select("request_id", "_L", F.explode(F.sequence(F.lit(1).cast("long"), made)).alias("_i"))
     ok = F.pmod(F.col("_L") + F.col("_i"), F.lit(3)) == 0
     responded = ok | (F.pmod(F.col("_L") + F.col("_i"), F.lit(4)) == 0)
     return r.select(
@@ -84,15 +87,15 @@ def _sql_list(items) -> str:
     return "[" + ", ".join(sql_str(x) for x in items) + "]"
 
 
-def scripted_completions_sql(reqs_sql: str, answers: list[str] = ANSWERS) -> str:
+def scripted_completions_sql(reqs_sql: str, answers: list[str] = ANSWERS, all_answered: bool = False) -> str:
     return f"""
 SELECT request_id, ({_sql_list(answers)})[CAST(length(context) % {len(answers)} AS BIGINT) + 1] AS response
 FROM (SELECT DISTINCT request_id, context FROM ({reqs_sql}) q) r
-WHERE length(context) % {UNANSWERED_EVERY} <> 0
+WHERE {all_answered} OR length(context) % {UNANSWERED_EVERY} <> 0
 """
 
 
-def scripted_attempts_sql(reqs_sql: str) -> str:
+def scripted_attempts_sql(reqs_sql: str, all_tried: bool = False) -> str:
     return f"""
 SELECT request_id, CAST(i AS INTEGER) AS attempt,
        ((L + i) % 3 = 0 OR (L + i) % 4 = 0) AS responded,
@@ -101,5 +104,5 @@ SELECT request_id, CAST(i AS INTEGER) AS attempt,
        CASE WHEN ((L + i) % 3 = 0 OR (L + i) % 4 = 0) THEN CAST(L % 50 + 10 + i AS BIGINT) END AS total_tokens
 FROM (SELECT DISTINCT request_id, CAST(length(context) AS BIGINT) AS L FROM ({reqs_sql}) q) r,
      (SELECT CAST(unnest(range(1, 5)) AS BIGINT) AS i) g
-WHERE i <= L % 5
+WHERE i <= {'L % 4 + 1' if all_tried else 'L % 5'}
 """

@@ -1,6 +1,7 @@
 """The classifiers written as portable SQL (DuckDB dialect), generated from the
-same vocabularies as the Column forms.  Used as the independent oracle of the
-registered queries and usable by anyone who prefers SQL over the DataFrame API.
+same vocabularies, request wordings and attempt limits as the Column forms: a second
+engine for the same rules, not a second source of them.  The values themselves are
+held by literal tests.  Usable by anyone who prefers SQL over the DataFrame API.
 """
 
 from __future__ import annotations
@@ -215,7 +216,7 @@ def resolve_attempts_sql(q: Sql, attempts: str, name: str = "resolved") -> str:
     return q.add(
         name,
         f"SELECT g.request_id, CASE WHEN g.ok_attempt IS NOT NULL THEN {clean_description_sql('okr.response')} "
-        f"ELSE {sql_str(DESCRIPTION_ERROR_PREFIX)} || lst.err END AS description, g.ok_attempt, g.attempts, "
+        f"WHEN g.last_attempt = {MAX_ATTEMPTS} THEN {sql_str(DESCRIPTION_ERROR_PREFIX)} || lst.err END AS description, g.ok_attempt, g.attempts, "
         f"u.responses, u.tokens "
         f"FROM {name}_g g JOIN {name}_u u ON g.request_id = u.request_id "
         f"LEFT JOIN {name}_a okr ON okr.request_id = g.request_id AND okr.attempt = g.ok_attempt "

@@ -104,6 +104,48 @@ def test_attempt_matrix(spark):
     assert u.total_requests == 4 and u.total_tokens == 14 and abs(u.est_cost - 14 / 1000 * 0.002) < 1e-15
 
 
+def test_unfinished_attempts_stay_open(spark):
+    rows = [
+        ("r1", 1, False, None, "e1", None),
+        ("r2", 1, False, None, "e1", None), ("r2", 2, False, None, "e2", None), ("r2", 3, True, None, None, 4),
+        ("r3", 2, True, "ok", None, 1),
+        # the log repeats attempts: one counts, the one with a response first
+        ("r4", 1, True, "b", None, 2), ("r4", 1, True, "a", None, 9), ("r4", 1, False, None, "e", None), ("r4", 1, None, None, None, None),
+    ]
+    res = L.resolve_attempts(_attempts(spark, rows * 3))
+    got = {r.request_id: r for r in res.collect()}
+    assert got["r1"].description is None and got["r1"].attempts == 1
+    assert got["r2"].description == "Error generating description: 'NoneType' object has no attribute 'strip'" and got["r2"].tokens == 4
+    assert (got["r4"].description, got["r4"].attempts, got["r4"].responses, got["r4"].tokens) == ("b", 1, 1, 2)
+    assert {r[0] for r in L.finished(res).collect()} == {"r2", "r3", "r4"}
+
+
+def test_several_answers_to_a_request_keep_the_rows(spark):
+    df = inventory(spark, [("spare bracket", "Acme", None)] * 3)
+    rid = L.requests(categorize(df, trace=True), "category").first().request_id
+    frid = L.requests(facility(categorize(df), trace=True), "facility").first().request_id
+    ans = spark.createDataFrame([(rid, "Diagnostics & Lab Use"), (rid, PPE), (rid, None), (None, "x"), (frid, "Both"), (frid, "Both")], L.COMPLETION_SCHEMA)
+    out = categorize(df, completions=ans).collect()
+    assert [r[CATEGORY_COL] for r in out] == [PPE] * 3
+    assert [r[FACILITY_COL] for r in facility(categorize(df), completions=ans).collect()] == ["Both"] * 3
+    late = ans.withColumn("batch_id", F.when(F.col("response").startswith("Diag"), 2).otherwise(1))
+    assert [r[CATEGORY_COL] for r in categorize(df, completions=late).collect()] == ["Diagnostics & Lab Use"] * 3
+
+
+def test_request_texts(spark):
+    """The request texts, word for word."""
+    df = spark.createDataFrame([("odd thing", "Acme", "Cat", "Sub", "PC")], "DESCRIPTION string, VENDOR_NAME string, CATEGORY string, SUBCATEGORY string, `Product Category` string")
+    one = lambda t, stage: L.requests(t, stage).first().context
+    assert one(categorize(df, preserve_existing=False, trace=True), "category") == "Description: odd thing, Vendor: Acme, Subcategory: Sub"
+    assert one(facility(df, trace=True), "facility") == "Description: odd thing, Category: PC, Vendor: Acme"
+    assert one(describe(df, trace=True), "description") == (
+        "Write a one-line, plain-language description of this medical inventory item for a reader without medical training."
+        "\n\nItem: odd thing\nVendor: Acme\nCategory: Cat\nSubcategory: Sub\n\n"
+        "Keep it under 15 words, say what the item is and what it is for, use short common abbreviations and standard units, "
+        "leave out brand names unless needed, and reply with the description only."
+    )
+
+
 def test_requests_and_answers_round_trip(spark):
     rows = [("spare bracket", "Acme", "Misc"), ("spare bracket", "Acme", "Misc"), ("exam table", None, None), ("", None, None)]
     df = inventory(spark, rows)
@@ -132,7 +174,7 @@ def test_facility_context_uses_category(spark):
 def test_description_blank_and_subset(spark):
     rows = [(i, f"item {i}" if i % 4 else "", "old") for i in range(10)]
     df = spark.createDataFrame(rows, "KEY long, DESCRIPTION string, SIMPLE_DESCRIPTION string")
-    df = L.with_row_index(df, ["KEY"])
+    df = L.first_rows(df, ["KEY"], 6)
     reqs = L.requests(describe(df, first_n=6, trace=True), "description")
     # rows 0..5 minus the blank ones (0 and 4)
     assert reqs.count() == 4

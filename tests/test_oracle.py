@@ -10,8 +10,11 @@ QUERIES = E.queries()
 ORACLE = E.oracle_sql()
 
 
+NO_SQL = {"op1_quality", "op4_toxicity", "op6_language", "op8_token_ids", "op9_simhash", "op10_secrets", "pipeline"}
+
+
 def test_every_query_has_an_oracle_or_is_listed():
-    assert set(QUERIES) - set(ORACLE) == {"run_record"}
+    assert set(QUERIES) - set(ORACLE) <= NO_SQL
 
 
 def test_entry(spark):
