@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindsort.session import ensure_checkpoint_dir
+from kindsort.session import ensure_checkpoint_dir, ship_package
 
 #: Bits of a fixed-size membership filter (512 KB, whatever the number of keys).
 FILTER_BITS = 1 << 22
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session ready for an operator: the shared folder is known."""
+    """Session ready for an operator: the shared folder is known, the package on the executors."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -78,7 +79,7 @@ def key_filter(keys: DataFrame, key: str) -> Column:
     keys; with many keys it only lets more through.  What passes must be joined exactly.
     """
     words = FILTER_BITS // 64
-    bits = keys.select(F.explode(F.array(_bit(F.col(key), 0), _bit(F.col(key), 1))).alias("bit"))
+    bits = keys.select(F.explode(F.array(*_bits(F.col(key)))).alias("bit"))
     some = bits.select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits"))
     every = some.union(keys.sparkSession.range(words).select("id", F.lit(0).cast("long")))
     whole = every.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
@@ -87,12 +88,18 @@ def key_filter(keys: DataFrame, key: str) -> Column:
 
 def maybe_in(words: Column, key: Column) -> Column:
     """True for each key of the filter, and for a few others."""
-    both = None
-    for seed in (0, 1):
-        bit = _bit(key, seed)
-        one = F.get(words, F.floor(bit / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
-        both = one if both is None else both & one
-    return both
+    one, two = (
+        F.call_function("shiftright", F.get(words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        for bit in _bits(key)
+    )
+    return one & two
+
+
+def _bits(key: Column) -> tuple[Column, Column]:
+    """The two bits of a key: two parts of one hash."""
+    width, h = FILTER_BITS.bit_length() - 1, F.xxhash64(key)
+    mask = F.lit(FILTER_BITS - 1).cast("long")
+    return h.bitwiseAND(mask), F.shiftrightunsigned(h, width).bitwiseAND(mask)
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -105,6 +112,3 @@ def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     likely = F.coalesce(maybe_in(known, F.col(key)), F.lit(False))
     return rows.where(~likely).union(rows.where(likely).join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
 
-
-def _bit(key: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(FILTER_BITS).cast("long"))

@@ -53,16 +53,13 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     """
     docs = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), word_hashes(F.col(text)).alias("w")).distinct().checkpoint()
-    hashes = [f"h{i}" for i in range(len(masks))]
     sown = _places(items, masks).select("item", "at", F.explode(F.array(*_seeds(items, masks))).alias("h")).where("h is not null").checkpoint()
     known = key_filter(sown, "h")
 
+    # one row a place and mask before the filter: each step is small enough to be compiled
     places = _places(docs.select("doc", word_hashes(F.col("text")).alias("w")), masks)
-    hashed = places.select("doc", "at", *_seeds(places, masks))
-    likely = F.lit(False)
-    for h in hashes:
-        likely = likely | F.coalesce(maybe_in(known, F.col(h)), F.lit(False))
-    found = hashed.where(likely).select("doc", F.col("at").alias("doc_at"), F.explode(F.array(*hashes)).alias("h")).where(F.col("h").isNotNull() & maybe_in(known, F.col("h")))
+    hashed = places.select("doc", F.col("at").alias("doc_at"), F.explode(F.array(*_seeds(places, masks))).alias("h"))
+    found = hashed.where(F.col("h").isNotNull() & maybe_in(known, F.col("h")))
     aligned = found.join(sown, "h").select("doc", "item", (F.col("doc_at") - F.col("at")).alias("shift")).distinct().checkpoint()
 
     back = docs.where(maybe_in(key_filter(aligned, "doc"), F.col("doc"))).select("doc", word_hashes(F.col("text")).alias("dw"))
