@@ -1,0 +1,116 @@
+"""The corpus pipeline against a plain version of each stage, and on odd tables."""
+
+import hashlib
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as P
+from conftest import SF_SMALL
+from kindsort.llm import toxicity
+
+from .test_decontam import brute
+from .test_mixing import order, plain_targets
+from .test_simhash import classes, plain_fingerprint
+from .test_tokens import expected
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def staged(spark, k, docs, sf):
+    return P.STAGES[k][1](spark, docs, sf)
+
+
+def ids(df):
+    return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+def plain_mix(rows):
+    """[(id, text)] of the mix, repeated: whole repetitions and the documents first in the seeded order."""
+    size = {d: len(t.split()) for d, t, _ in rows}
+    sizes = {}
+    for d, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + size[d]
+    target = plain_targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order(sizes))})
+    out = []
+    for s in sizes:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        left, seen = target[s] - whole * sizes[s], 0
+        own = [(int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:15], 16), d, size[d], t) for d, t, x in rows if x == s]
+        for _, d, n, t in sorted(own):
+            more = Fraction(2 * seen + n, 2) < left
+            seen += n
+            out += [(d, t)] * (whole + more)
+    return out
+
+
+def test_whole_pipeline(spark):
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    model = toxicity.train(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/labels.parquet"), held_out=None)
+    memo = toxicity._Weights(model.weights)
+    docs = [r for r in docs if toxicity.judge(r[1], model, memo, 0.5)[0] < P.TOXIC]
+    own = classes([plain_fingerprint(t) for _, t, _ in docs])
+    first = {}
+    for (d, _, _), c in zip(docs, own, strict=True):
+        first[c] = min(first.get(c, d), d)
+    docs = [r for r, c in zip(docs, own, strict=True) if first[c] == r[0]]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in brute([(d, t) for d, t, _ in docs], items)}
+    docs = [r for r in docs if r[0] not in leaks]
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in P.run(spark, SF_SMALL).collect()), key=lambda r: r[1])
+    assert got == expected(plain_mix(docs))
+
+
+@pytest.fixture
+def sf(make, folder):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    clean = "a quiet story of rivers and hills"
+    docs = [(i, f"{clean} number {i} with words {i * i} and {i + 7}", "en", f"s{i % 3}", 1) for i in range(60)]
+    docs += [(100 + i, f"{clean} {i} vilex grumpf", "en", "s1", 1) for i in range(30)]
+    docs += [(200, leak, "en", "s1", 1), (201, f"{clean} {leak}", None, None, None)]
+    docs += [(300, "same text again", "en", "s1", 1), (301, "same text again", "de", None, 2), (302, "same  text\nagain", None, "s0", 3)]
+    docs += [(400, None, None, None, None), (401, "", "", "", 0), (None, "no name", "en", "s1", 1), (500, "twice told", "en", "s2", 1), (500, "twice told", "en", "s2", 1)]
+    docs += [(600, "long " * 100_000, "en", "s2", 1)]
+    labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 1, 1) for i in range(30)]
+    return folder(
+        documents=make(docs, SCHEMA).withColumn("tox", F.lit("mine")).withColumn("mix", F.lit(3)).withColumn("component_id", F.lit(0)),
+        labels=make(labels, "doc_id long, quality int, toxic int"),
+        benchmark=make([(1, leak)], "item_id long, text string"),
+    )
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = staged(spark, 0, docs, sf)
+    assert kept.columns == docs.columns and not [d for d in ids(kept.where("doc_id is not null")) if 100 <= d < 130]
+    assert kept.count() == docs.count() - 30
+    one = staged(spark, 1, kept, sf)
+    assert one.columns == docs.columns
+    left = ids(one.where("doc_id is not null"))
+    assert len(left) == len(set(left)) and {300, 400, 500, 600} <= set(left) and not {301, 302, 401} & set(left)
+    assert one.where("doc_id is null").count() == 1
+    clear = staged(spark, 2, one, sf)
+    assert clear.columns == docs.columns and set(left) - set(ids(clear.where("doc_id is not null"))) == {200, 201}
+    mixed = staged(spark, 3, clear, sf)
+    assert mixed.columns == docs.columns and mixed.groupBy("doc_id", "text").count().where("count > 3").count() == 0
+    out = staged(spark, 4, mixed, sf)
+    rows = [(r["doc_id"], r["text"]) for r in mixed.select("doc_id", "text").collect()]
+    assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()), key=lambda r: r[1]) == expected(rows)
+
+
+def test_rows_that_share_an_id_are_one(spark, make, sf):
+    rows = [(1, "some words here now", "en", "s", 1), (1, "other words there then", "en", "s", 1), (2, "some words here now", "en", "s", 1)]
+    one = staged(spark, 1, make(rows, SCHEMA), sf)
+    assert ids(one) == [1]
+
+
+def test_empty_tables(spark, make, folder):
+    sf = folder(documents=make([], SCHEMA), labels=make([], "doc_id long, quality int, toxic int"), benchmark=make([], "item_id long, text string"))
+    assert P.run(spark, sf).count() == 0
+
+
+def test_contract():
+    assert [name for name, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "decontamination", "mixing", "token_ids"]
+    assert P.ORACLE_SQL is None
