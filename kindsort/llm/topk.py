@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors of a block, at least and at most; blocks grow with the table between them.
-BLOCK = (2048, 65_536)
+#: Vectors of a block, at least and at most.  Between them the table is cut into 16 blocks of vectors
+#: (each gives up to k rows a query, so few large ones) and 256 of queries.
+BLOCK = (2048, 32_768)
 #: Scores held at a time by a task (queries times vectors of a block).
 HELD = 1 << 21
 #: Reading stops when at most this share of a block's scores is still possible.
@@ -107,8 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     rows = rows.where("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v")).checkpoint()
     asked = rows.withColumnRenamed("id", key).withColumn("asked", is_query).select(F.col(key).alias("id"), "v", "asked")
     n, nq = asked.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0))).first()
-    block = min(BLOCK[1], max(BLOCK[0], n // 256))
-    parts, qparts = max(1, -(-n // block)), max(1, -(-nq // block))
+    parts, qparts = (max(1, -(-m // min(BLOCK[1], max(BLOCK[0], n // cuts)))) for m, cuts in ((n, 16), (nq, 256)))
     place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     cells = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = asked.where("asked").select(F.size("v").alias("dim"), cells(parts).alias("part"), place(qparts).alias("qpart"), "id", "v")
