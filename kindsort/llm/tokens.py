@@ -34,6 +34,11 @@ MAGIC = b"KSEFIDS1"
 SAMPLE = 256
 #: Ids read at a time.
 BLOCK = 1 << 20
+#: Letters below this are letters in every version of Unicode; words of others go to the tokenizer as they are.
+PLAIN = "\u0590"
+#: What byte-level BPE writes for a byte: printable ones stand for themselves, the others for letters from 256 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+AS_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 
 
 class EliasFano:
@@ -98,57 +103,85 @@ class EliasFano:
         return cls(head["n"], head["low_bits"], data[:a], data[a:b], data[b : b + head["samples"]])
 
 
+class _Whole(Exception):
+    """The text must go to the tokenizer whole."""
+
+
+class _Memo(dict):
+    """Ids of each piece met, worked out once."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file, remembering what each word became.
 
-    In byte-level BPE a space before a word starts a new piece whatever stands before
-    it, so a text whose white space is single falls apart at its spaces into pieces
-    that are encoded alone; pieces met before are looked up.  Other texts go to the
-    tokenizer whole, and so do texts that spell one of its added tokens.  Both ways
-    give the tokenizer's own ids (tested).
+    In byte-level BPE a single space between other characters starts a new piece
+    whatever stands before it, so such a text falls apart at its spaces into pieces
+    that can be encoded alone; pieces met before are looked up, and a new piece that is
+    a plain word goes straight to the tokenizer's merges.  A text with other white
+    space beside a space, or that spells one of the added tokens, goes to the tokenizer
+    whole.  All ways give the tokenizer's own ids (tested).
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s", r"\s ", r"\s\Z", r"\A\s", *map(re.escape, added)]))
-        starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            starts[i] = token.startswith("Ġ")
-        self.starts, self.most, self.memo = starts, memo, {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes `` piece`` for each piece, many in one text: every piece starts at an id that starts with a space."""
-        for at in range(0, len(pieces), 512):
-            part = pieces[at : at + 512]
-            ids = self._ids([" " + " ".join(part)])[0]
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(part):
-                self.memo.update((p, x.tobytes()) for p, x in zip(part, np.split(ids, cuts[1:]), strict=True))
-            else:
-                self.memo.update((p, x.tobytes()) for p, x in zip(part, self._ids([f" {p}" for p in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = [a for a in self.added if " " in a]
+        self.bytes = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.merge = self.tokenizer.model.tokenize
+        self.marks = dict(zip(".,!?;:", self._ids(list(".,!?;:")), strict=True))
+        (self.line,) = self._ids(["\n"])
+        self.most, self.memo = memo, _Memo(self._piece)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of a run without white space, after a space or not (``space`` empty)."""
+        if word.isalpha() and (word.isascii() or max(word) < PLAIN):
+            said = word if word.isascii() else word.encode().decode("latin1").translate(AS_LETTERS)
+            return b"".join([self.bytes[t.id] for t in self.merge("Ġ" + said if space else said)])
+        if word[-1] in self.marks and word[:-1].isalpha():  # the tokenizer's pattern parts words from marks
+            return (self.memo[word[:-1]] if space else self._word(word[:-1], space)) + self.marks[word[-1]]
+        return self._ids([space + word])[0]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what stands between two single spaces, with the first of them."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Whole
+        for a in self.added:
+            if a in piece:
+                raise _Whole
+        i = piece.find("\n")
+        if 0 < i and not piece[i - 1].isspace() and not piece[i + 1].isspace():  # a line break alone parts two words
+            return self._word(piece[:i], " ") + self.line + self._word(piece[i + 1 :], "")
+        return self._word(piece, " ")
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes."""
         if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        for text in texts:
-            if self.odd.search(text):
-                yield self._ids([text])[0].tobytes()
-                continue
-            first, *rest = text.split(" ")
-            if new := [p for p in set(rest) if p not in memo]:
-                self._learn(sorted(new))
-            head = self._ids([first])[0].tobytes() if first else b""
-            yield head + b"".join(map(memo.__getitem__, rest))
+            self.memo = _Memo(self._piece)
+        if self.spaced and any(a in text for a in self.spaced):
+            return self._ids([text])[0]
+        first, *rest = text.split(" ")
+        try:
+            found = b"".join(map(self.memo.__getitem__, rest))
+            if not first or first[0].isspace() or first[-1].isspace() or any(a in first for a in self.added):
+                raise _Whole
+        except _Whole:
+            return self._ids([text])[0]
+        return self._ids([first])[0] + found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -198,11 +231,11 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0
             nulls += column.null_count
             keys.append(column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                for ids in enc.encode(texts.slice(at, 256).to_pylist()):
-                    out.write(ids + end)
-                    total += len(ids) // enc.width + 1
-                    ends.append(total)
+            for t in texts:
+                ids = enc.encode(t.as_py())
+                out.write(ids + end)
+                total += len(ids) // enc.width + 1
+                ends.append(total)
         if out is None:
             return
         named = np.concatenate(keys)

@@ -52,23 +52,30 @@ def test_elias_fano_is_small():
     assert len(data) * 8 < 11.5 * len(ends)  # 2 + log2(450) bits a document, where a table takes 64
 
 
-PARTS = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "a", "Word", " word", "'s", "'", "é", "123", "!!", "<|endoftext|>", " ", " ", "\x1c", "Ġ", "漢字", "_"])
+PARTS = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "a", "Word", " word", "'s", "'", "é", "123", "!!", "<|endoftext|>", " ", " ", "\x1c", "Ġ", "漢字", "_", ".", ",", "a.\nB", "x\ny", "\r\n", "Élan", " ßé.", "a,", "x\nÿé!", "don't", "\u0590", "\ud7ff"])
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(PARTS, max_size=30).map("".join))
 def test_encoder_is_the_tokenizer(text):
     enc = tokens.encoder(TOKENIZER)
-    ids = next(iter(enc.encode([text])))
+    ids = enc.encode(text)
     assert np.frombuffer(ids, enc.kind).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_memo_starts_anew():
-    enc = tokens.Encoder(TOKENIZER, memo=10)
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_encoder_on_any_text(text):
+    enc = tokens.encoder(TOKENIZER)
+    assert np.frombuffer(enc.encode(text), enc.kind).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_memo_forgets():
+    enc = tokens.Encoder(TOKENIZER, memo=20)
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcé,") for _ in range(rng.randint(1, 6))) for _ in range(30)) for _ in range(20)]
     for t in texts + texts:
-        assert np.frombuffer(next(iter(enc.encode([t]))), enc.kind).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
 
 
 def test_query(spark):
