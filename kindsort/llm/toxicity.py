@@ -63,35 +63,26 @@ def fit(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.1, l2: f
     if len({y for _, y in rows}) < 2:
         only = rows[0][1] if rows else 0
         return ToxicityModel({}, 4.0 if only else -6.0)
-    memo: dict[str, list[str]] = {}
+    # two passes over the texts, so that only numbers are held: which features tell the labels apart, then where they stand
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    bags = []
     for text, label in rows:
-        bag = [set(WORD.findall(m[0].lower())) for m in SENTENCE.finditer(text)]
-        bag = [s for s in bag if s] or [set()]
-        words = set().union(*bag)
-        for w in words:
-            if w not in memo:
-                memo[w] = features(w)
-        seen[label].update({f for w in words for f in memo[w]})
-        bags.append(bag)
-    every = sorted(seen[0] | seen[1])
+        seen[label].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+    every = sorted(seen[0].keys() | seen[1].keys())
     y = np.array([v for _, v in rows], float)
     proof = evidence(np.array([seen[1][f] for f in every], float), np.array([seen[0][f] for f in every], float), int(y.sum()), int((1 - y).sum()))
     names = [f for f, g in zip(every, proof, strict=True) if g >= least]
+    del seen, every, proof
     index = {f: i for i, f in enumerate(names)}
-    ids = {w: [index[f] for f in fs if f in index] for w, fs in memo.items()}
     col, row, doc, s = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            found = {i for w in sentence for i in ids[w]}
+    for d, (text, _) in enumerate(rows):
+        for m in SENTENCE.finditer(text):
+            found = {index[f] for w in set(WORD.findall(m[0].lower())) for f in features(w) if f in index}
             if not found:
                 continue
             col.extend(sorted(found))
             row.extend([s] * len(found))
             doc.append(d)
             s += 1
-    del memo, ids, bags, seen, every
     col, row, doc = np.array(col, np.int32), np.array(row, np.int32), np.array(doc, np.int32)
     if not s:
         return ToxicityModel({}, -6.0)
