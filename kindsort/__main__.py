@@ -14,7 +14,7 @@ instead of being requested live:
   --single-line                              no quoted newlines: large files are split
 
 Outputs under --output: table/, csv/, rejects/, requests/ (still unanswered, in
-batches), request_kinds/, summary/.
+batches), request_kinds/, summary/, run_record/.
 The session comes from the usual Spark configuration (spark-submit); it must
 name a shared ``spark.checkpoint.dir`` on a cluster.
 """

@@ -20,7 +20,7 @@ from ..operators.classify import MATCHED, categorize, describe, facility
 from ..operators.enrich import batch_of, finished, first_rows, pending, request_kinds, requests, resolve_attempts, with_row_index
 from ..operators.report import headed, observe_progress, summary_report
 from ..sinks import RunRecord, append_completions, read_completions, write_csv, write_parquet, write_report
-from ..sources.inventory import MARK, data_columns, fresh, layouts, position_column, read_inventory_csv, read_rejects
+from ..sources.inventory import MARK, added, data_columns, fresh, layouts, position_column, read_inventory_csv, read_rejects
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,8 @@ def run(
     trace as one struct, parquet), ``csv`` (the widened inventory in input order),
     ``rejects`` (rows with more fields than their header), ``requests`` (distinct
     requests still to be answered, in batches of ``opts.batch_size``),
-    ``request_kinds`` (what each stage's requests ask for) and ``summary``.
+    ``request_kinds`` (what each stage's requests ask for), ``summary`` and
+    ``run_record`` (seconds and rows of each stage, one run after the other).
 
     ``completions`` are added to the answer ``store`` (if one is named) and the
     stored answers of earlier runs are applied with them.  Running again with the
@@ -131,9 +132,10 @@ def run(
     found = layouts(spark, input_path)
     df = read_inventory_csv(spark, input_path, multi_line=opts.multi_line, found=found)
     pos = position_column(df)
+    order = [added(df, "file"), pos]  # files by name, then the order in each
     row = fresh(df, "_row")
     if opts.description_batch:
-        df = first_rows(df, [pos], opts.description_batch, name=row)
+        df = first_rows(df, order, opts.description_batch, name=row)
         df = df.withColumn(row, F.col(row).alias(row, metadata={MARK: "row"}))
     trace = fresh([*df.columns, *OUTPUTS], "_trace")
     traced, seen = observe_progress(build(df, opts, completions, attempts, row_col=row, trace=trace), at=f"{trace}.")
@@ -144,7 +146,7 @@ def run(
     result = written.drop(trace)
     rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, found), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
     if csv:
-        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=[pos]), None)[1])
+        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=order), None)[1])
     done = completions.select("request_id") if completions is not None else None
     if attempts is not None:
         tried = finished(resolve_attempts(attempts))
@@ -156,6 +158,7 @@ def run(
     rep = summary_report(result, pos, opts.skip_facility, opts.skip_descriptions, seed)
     facts = {"Input": str(input_path), "Output": output_path, "Started": began.isoformat(timespec="seconds"), "Seconds": f"{(datetime.now(timezone.utc) - began).total_seconds():.1f}"}
     rec.timed("report", lambda: (write_report(headed(rep, "Inventory classification", facts), f"{output_path}/summary"), None)[1])
+    rec.append_to(f"{output_path}/run_record")
     return rec
 
 

@@ -215,6 +215,23 @@ def test_run_keeps_every_column_and_cell(spark):
     assert reqs.where("stage = 'description'").count() == 5
 
 
+def test_a_folder_comes_out_in_the_order_of_its_files(spark):
+    d = scratch()
+    os.makedirs(os.path.join(d, "in"))
+    for name, n in (("b", 3), ("a", 40), ("c", 2)):
+        extra = ",more" if name == "a" else ""
+        write(os.path.join(d, "in", f"{name}.csv"), f"ITEM_NO,DESCRIPTION,VENDOR_NAME{extra and ',EXTRA'}\n" + "".join(f"{name}{i:02d},odd thing,V{extra}\n" for i in range(n)))
+    for _ in range(2):
+        run(spark, os.path.join(d, "in"), os.path.join(d, "out"), Options(skip_facility=True, description_batch=41))
+    files = sorted(glob.glob(os.path.join(d, "out", "csv", "part-*.csv")))
+    got = [r[0] for f in files for r in list(csv.reader(open(f)))[1:]]
+    assert got == [f"{name}{i:02d}" for name, n in (("a", 40), ("b", 3), ("c", 2)) for i in range(n)]
+    table = spark.read.parquet(os.path.join(d, "out", "table"))
+    assert {r.ITEM_NO for r in table.where("_trace._desc_src <> 'skipped'").collect()} == {f"a{i:02d}" for i in range(40)} | {"b00"}
+    record = spark.read.parquet(os.path.join(d, "out", "run_record"))
+    assert record.select("run_id").distinct().count() == 2 and record.where("stage = 'classify' and rows = 45").count() == 2
+
+
 def test_requests_come_in_batches_with_their_kinds(spark):
     d = scratch()
     p = write(os.path.join(d, "inv.csv"), "ITEM_NO,DESCRIPTION,VENDOR_NAME\n" + "".join(f"{i},odd thing {i},A\n" for i in range(23)))
