@@ -154,12 +154,12 @@ def fit(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.1, l2: fl
     w, change = np.zeros((len(names), n)), np.zeros((n, n))
     m, v = [np.zeros_like(w), np.zeros_like(change)], [np.zeros_like(w), np.zeros_like(change)]
     for t in range(1, rounds + 1):
-        by_kind = np.stack([np.bincount(row, w[col, k], len(kinds)) for k in range(n)], 1)
+        by_kind = np.stack([np.bincount(row, w[col, k], len(kinds)) for k in range(n)], 1).astype(float)
         p, expected, _ = _pair_sums(by_kind[x], change)
         miss = -p
         np.put_along_axis(miss, y[:, :, None], np.take_along_axis(miss, y[:, :, None], 2) + 1, 2)
         by_word = np.stack([np.bincount(x.ravel(), miss[:, :, k].ravel(), len(kinds)) for k in range(n)], 1)
-        grads = (np.stack([np.bincount(col, by_word[row, k], len(names)) for k in range(n)], 1) / x.size - l2 * w, (observed - expected) / x.size - l2 * change)
+        grads = (np.stack([np.bincount(col, by_word[row, k], len(names)) for k in range(n)], 1).reshape(len(names), n) / x.size - l2 * w, (observed - expected) / x.size - l2 * change)
         for i, (g, target) in enumerate(zip(grads, (w, change), strict=True)):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             target += rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-5)

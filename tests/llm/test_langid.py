@@ -82,3 +82,9 @@ def test_nothing_or_one_language_to_learn(spark, make, folder):
     none = folder(documents=make([(1, "abc", None), (2, None, None)], schema))
     assert [r["lang_pred"] for r in op6_language(spark, none).collect()] == ["und", "und"]
     assert langid.Tagger(langid.fit([("abc", "en")] * 3)).predict(["x", "1"]) == [("en", 1.0), ("und", 0.0)]
+
+
+def test_too_little_to_learn_from_is_no_crash():
+    """One-letter documents share no feature: the scores stay numbers."""
+    tagger = langid.Tagger(langid.fit([("a", "en"), ("b", "de")]))
+    assert all(0 <= s <= 1 for _, s in tagger.predict(["a b", "zzz", "a"]))

@@ -45,3 +45,9 @@ def test_constant_without_both_labels(spark, make, folder):
     sf = folder(documents=make([(1, "a"), (2, None)], "doc_id long, text string"), labels=make([], "doc_id long, quality int, toxic int"))
     assert [r["score"] for r in op1_quality(spark, sf).collect()] == [0.5, 0.5]
     assert quality.fit([("a", 1)] * 9).constant == 1.0
+
+
+def test_too_little_to_learn_from_is_no_crash():
+    for rows in ([("a", 1), ("b", 1), ("c", 0), ("d", 0)], [("", 1)] * 2 + [("", 0)] * 2):
+        model = quality.fit(rows)
+        assert 0 <= quality.score_of("x" * 5000, model, quality.Sizes(model.good, model.bad)) <= 1
