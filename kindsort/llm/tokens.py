@@ -156,32 +156,29 @@ class Encoder:
             return (self.memo[word[:-1]] if space else self._word(word[:-1], space)) + self.marks[word[-1]]
         return self._ids([space + word])[0]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of what stands between two single spaces, with the first of them."""
+    def _piece(self, piece: str, space: str = " ") -> bytes:
+        """Ids of what stands between two single spaces, with the first of them (none at the start of a text)."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Whole
         for a in self.added:
             if a in piece:
                 raise _Whole
         i = piece.find("\n")
-        if 0 < i and not piece[i - 1].isspace() and not piece[i + 1].isspace():  # a line break alone parts two words
-            return self._word(piece[:i], " ") + self.line + self._word(piece[i + 1 :], "")
-        return self._word(piece, " ")
+        if i > 0 and not piece[i - 1].isspace() and not piece[i + 1].isspace():  # a line break alone parts two words
+            return self._word(piece[:i], space) + self.line + self._word(piece[i + 1 :], "")
+        return self._word(piece, space)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes."""
         if len(self.memo) > self.most:
             self.memo = _Memo(self._piece)
-        if self.spaced and any(a in text for a in self.spaced):
-            return self._ids([text])[0]
         first, *rest = text.split(" ")
         try:
-            found = b"".join(map(self.memo.__getitem__, rest))
-            if not first or first[0].isspace() or first[-1].isspace() or any(a in first for a in self.added):
+            if self.spaced and any(a in text for a in self.spaced):
                 raise _Whole
+            return self._piece(first, "") + b"".join(map(self.memo.__getitem__, rest))
         except _Whole:
             return self._ids([text])[0]
-        return self._ids([first])[0] + found
 
 
 _ENCODERS: dict[str, Encoder] = {}
