@@ -56,10 +56,12 @@ SENTENCES: dict[str, str] = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "cc0": "licensed under cc0 1 0",
     "reserved": "all rights reserved",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
 }
 
-#: A text without any of these has none of the sentences (tested).
-CUE = r"(?i)licen|permission|copyright|redistribut|warrant|free software|public domain|rights reserved|merchantab|liable"
+#: A text without any of these has none of the sentences (tested).  Words may stand on different lines.
+CUE = r"(?i)licen|permission|copyright|redistribut|warrant|free~software|public~domain|rights~reserved|merchantab|liable".replace("~", r"[^a-z0-9]+(?:(?:dnl|rem)[^a-z0-9]+)?")
 
 
 @dataclass(frozen=True)
@@ -103,12 +105,16 @@ RULES = (
     Rule("unlicense", "Unlicense", ("unlicense",)),
     Rule("cc0", "CC0-1.0", ("cc0",)),
     Rule("reserved", "proprietary", ("reserved",)),
+    Rule("isc-license", "ISC", ("isc-grant", "isc-warranty", "isc-liability"), 1),
+    Rule("apache-file", "Apache-2.0", ("apache-notice-long",)),
 )
 
 #: A line that goes on in lower case is one sentence with the line before, unless that ended.
 UNWRAP = (r"([^.!?:\n])\n([a-z])", "\\1 \\2")
 #: After these a sentence ends.
 BREAK = (r"([.!?])[ \t\r\n\f]+", "\\1\n")
+#: Comment signs that are words, and a list's letter or number, before the words of a line.
+SIGN, ITEM = r"(?m)^[ \t]*(?:dnl|REM)\b[ \t]*", r"(?m)^[ \t]*\(?[0-9a-z]{1,2}\)[ \t]+"
 
 
 def rule_pattern(rule: Rule, ids: dict[str, int]) -> str:
@@ -116,13 +122,38 @@ def rule_pattern(rule: Rule, ids: dict[str, int]) -> str:
     return ("(?:,[0-9]+,){0,%d}" % rule.gap).join(f",{ids[s]}," for s in rule.sentences)
 
 
+def paragraph_break(sentences: dict[str, str]) -> str:
+    """Where a sentence of several lines cannot go on.  Each place is a break of the line reading too.
+
+    After ``.``, ``!`` or ``?`` (not in ``v. 2.0``), before a line without words, after a
+    colon before a line that doesn't go on in lower case, and before a line that opens
+    with a capital and the first words of a known sentence.
+    """
+    heads = {tuple(s.split()[:3]) for s in sentences.values()}
+    opening = "|".join(f"{h[0][0].upper()}(?i:{'[^A-Za-z0-9]+'.join((h[0][1:], *h[1:]))})" for h in sorted(heads))
+    wordless = r"[^\p{L}\p{N}\n]*"
+    return "|".join((
+        r"(?<=[!?])[ \t\r\n\f]+", r"(?<=\.)(?<!\b(?i:v|ver|vers|no|nr)\.)[ \t\r\n\f]+", r"(?<=\.)[ \t\r\n\f]++(?![0-9])",
+        rf"\n(?={wordless}\n)", rf"(?<=:)[ \t\r]*\n(?={wordless}[\p{{Lu}}\p{{N}}])", rf"\n(?={wordless}(?:{opening})(?![A-Za-z0-9]))",
+    ))
+
+
 def sequence(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifier numbers of a text's sentences (from 1; 0 if unknown), in order, written ``,1,,0,,7,``."""
-    whole = F.regexp_replace(F.regexp_replace(text, UNWRAP[0], "$1 $2"), BREAK[0], "$1\n")
+    """Identifier numbers of a text's sentences (from 1; 0 if unknown), in order, written ``,1,,0,,7,``.
+
+    A sentence over several lines, however they are wrapped, commented or indented, is
+    one if it is known as a whole; otherwise each of its lines counts.
+    """
+    whole = F.regexp_replace(F.regexp_replace(text, SIGN, ""), UNWRAP[0], "$1 $2")
     known = F.create_map(*(F.lit(x) for i, s in enumerate(sentences.values(), 1) for x in (s, f",{i},")))
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    lines = F.filter(F.transform(F.split(whole, "\n"), plain), lambda s: s != "")
-    return F.array_join(F.transform(lines, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(",0,"))), "")
+
+    def by_line(s: Column) -> Column:
+        lines = F.filter(F.transform(F.split(F.regexp_replace(s, BREAK[0], "$1\n"), "\n"), plain), lambda x: x != "")
+        return F.array_join(F.transform(lines, lambda x: F.coalesce(F.try_element_at(known, x), F.lit(",0,"))), "")
+
+    of = lambda s: F.coalesce(F.try_element_at(known, plain(F.regexp_replace(s, ITEM, ""))), by_line(s))
+    return F.array_join(F.transform(F.split(whole, paragraph_break(sentences)), of), "")
 
 
 def licences(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sentences: dict[str, str] = SENTENCES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +180,7 @@ def licences(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sentences: d
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, sentences: dict[str, str] = SENTENCES) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL for texts whose known sentences stand on one line each or go on in lower case."""
     ids = {s: i for i, s in enumerate(sentences, 1)}
     known = ", ".join(f"('{s}', {i})" for i, s in enumerate(sentences.values(), 1))
     ruled = ", ".join("('%s', '%s', '%s')" % (r.licence, r.name, rule_pattern(r, ids)) for r in rules)
