@@ -22,18 +22,37 @@ from pyspark.sql import functions as F
 from .common import fold_of, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: A longer run of letters, or one of an unspaced script, is read in pieces of up to PIECE letters.
+LONGEST, PIECE = 40, 8
 #: Learning: sequences, words of a sequence, words of a stretch of one language in it.
 SEQUENCES, LENGTH, STRETCH = 1500, 60, (6, 25)
 #: Words a Python worker remembers; words of documents worked on at a time.
 MEMO, AT_ONCE = 300_000, 400_000
 
 
-def features(word: str, lexicons: dict[str, list[str]]) -> list[str]:
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text, every letter in one of them.
+
+    A run without spaces is no word but a passage: it is cut into consecutive pieces of
+    nearly equal length, so that all of it is read and it weighs by its letters.
+    """
+    out: list[str] = []
+    for w in WORD.findall(text.lower()):
+        if len(w) > LONGEST or (len(w) > PIECE and not w.isascii() and UNSPACED.search(w)):
+            n = -(-len(w) // PIECE)
+            out += [w[i * len(w) // n : (i + 1) * len(w) // n] for i in range(n)]
+        else:
+            out.append(w)
+    return out
+
+
+def features(w: str, lexicons: dict[str, list[str]]) -> list[str]:
     """Affixes of 1 to 3 letters, inner trigrams, and lexicons of a lower-cased word."""
-    w = word[:40]
     out = [f"^{w[:k]}" for k in (1, 2, 3) if len(w) >= k] + [f"{w[-k:]}$" for k in (1, 2, 3) if len(w) >= k]
     out += [w[i : i + 3] for i in range(1, len(w) - 3)]
-    return out + lexicons.get(word, [])
+    return out + lexicons.get(w, [])
 
 
 @dataclass
@@ -121,7 +140,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.1, l2: fl
     """
     docs: dict[str, list[list[str]]] = {}
     for text, language in rows:
-        if words := WORD.findall(text.lower()):
+        if words := words_of(text):
             docs.setdefault(language, []).append(words)
     languages = sorted(docs)
     if len(languages) < 2:
@@ -227,7 +246,7 @@ class Tagger:
                 out[i] = (names[k], float(mean[k]))
 
         for i, text in enumerate(texts):
-            words = WORD.findall((text or "").lower())
+            words = words_of(text or "")
             if not words or not names:
                 continue
             if len(names) == 1:

@@ -88,3 +88,15 @@ def test_too_little_to_learn_from_is_no_crash():
     """One-letter documents share no feature: the scores stay numbers."""
     tagger = langid.Tagger(langid.fit([("a", "en"), ("b", "de")]))
     assert all(0 <= s <= 1 for _, s in tagger.predict(["a b", "zzz", "a"]))
+
+
+def test_every_letter_of_a_run_without_spaces_counts():
+    run = "".join(chr(0x4E00 + i) for i in range(1000))
+    assert langid.words_of("The " + run)[0] == "the" and "".join(langid.words_of(run)) == run and len(langid.words_of(run)) == 125
+    assert "".join(langid.words_of("q" * 95)) == "q" * 95 and langid.words_of("Ab c\u00e9d-" + "x" * 40) == ["ab", "c\u00e9d", "x" * 40]
+    assert "xyz$" in langid.features("a" * 60 + "xyz", {})
+    rows = [("the house and the dog with thing", "en"), ("\u6f22\u5b57\u306e\u6587\u7ae0\u3092\u8aad\u3080\u4eba\u3068\u672c", "ja")] * 40
+    tagger = langid.Tagger(langid.fit(rows))
+    assert tagger.predict(["the dog and the house " + rows[1][0] * 900])[0][0] == "ja"
+    model = langid.fit(ROWS)
+    assert langid.Tagger(model).predict(["the dog and " + "z" * 60 + "derhundunddashausmitding" * 500])[0][0] == "de"
