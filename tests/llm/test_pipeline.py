@@ -106,6 +106,16 @@ def test_rows_that_share_an_id_are_one(spark, make, sf):
     assert ids(one) == [1]
 
 
+def test_rows_without_an_id_are_searched_too(spark, make, sf):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, "some words here now", "en", "s", 1), (None, "some words here now", "en", "s", 1), (2, "a tale of hills", "en", "s", 1)]
+    rows += [(None, "other words there then", "en", "s", 1)] * 3 + [(None, "a third text", "en", "s", 1), (None, leak, "en", "s", 1), (None, None, None, None, None), (None, "", "", "", 0)]
+    one = staged(spark, 1, make(rows, SCHEMA), sf)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in one.collect()) == sorted([(0, ""), (0, leak), (0, "a third text"), (0, "other words there then"), (1, "some words here now"), (2, "a tale of hills")])
+    clear = staged(spark, 2, make(rows, SCHEMA), sf)
+    assert clear.columns == COLUMNS and sorted((r["doc_id"] or 0, r["text"] or "") for r in clear.collect()) == sorted((d or 0, t or "") for d, t, *_ in rows if t != leak)
+
+
 def test_empty_tables(spark, make, folder):
     sf = folder(documents=make([], SCHEMA), labels=make([], "doc_id long, quality int, toxic int"), benchmark=make([], "item_id long, text string"))
     assert P.run(spark, sf).count() == 0
