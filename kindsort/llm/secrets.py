@@ -27,9 +27,18 @@ LEAST_VALUE, LEAST_ACCESS = 12, 18
 # END FIXED VALUES
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Overlapping candidates: three base64url parts, the first decoding to a brace or white space.
+TOKEN = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9_-]))(?=([eICD][A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
+#: A string that goes on in another literal of the source; escapes of JSON and source.
+GOES_ON, ESCAPE = r"""["']\s*(?:[+.\\]\s*)?["']""", r"\\+(?:[nrt/]|u00(?:2[bBfF]|3[dD]))"
+PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.]|-(?!----(?:BEGIN|END) )|{ESCAPE}|{GOES_ON})*+)-----END \1-----")
+#: Where base64 starts, also after an escaped line break, whose letter is none of it.
+START = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
+BASE64 = re.compile(START + r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Between two lines of wrapped base64.
+EOL = re.compile(r"""(?:["'][ \t]*(?:[+.\\][ \t]*)?)?\r?\n[ \t]*(?:[+.][ \t]*)?["']?|(?:\\+r)?\\+n(?:["']\s*(?:[+.\\]\s*)?["'])?""")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "base64_key", "hex_key")
 
@@ -123,7 +132,14 @@ def is_signed_token(s: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
+def unescape(body: str) -> str:
+    """A PEM body with the line breaks and signs that its escapes stand for."""
+    body = re.sub(GOES_ON, "", body) if '"' in body or "'" in body else body
+    return re.sub(ESCAPE, lambda m: {"n": "\n", "/": "/", "b": "+", "f": "/", "d": "="}.get(m[0][-1].lower(), " "), body) if "\\" in body else body
+
+
 def is_pem_key(label: str, body: str) -> bool:
+    body = unescape(body)
     lines = [x.strip() for x in body.split("\n")]
     encrypted = any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
     data = unbase64("".join("".join(x.split()) for x in lines if ":" not in x and "," not in x))
@@ -132,6 +148,31 @@ def is_pem_key(label: str, body: str) -> bool:
     return (encrypted and len(data) >= 32) or is_der_key(data) or is_ssh_key(data)
 
 
+def wrapped_key(text: str, m: re.Match) -> int | None:
+    """End of the key whose first line is ``m``: lines of one width, the last may be shorter."""
+    head = b"" if m[0][0] not in "Mb" or m[0].endswith("=") else unbase64(m[0][:24]) or b""
+    if head[:1] == b"0" and 0x81 <= head[1] <= 0x84:  # a DER sequence says its length
+        n = head[1] & 0x7F
+        most = (int.from_bytes(head[2 : 2 + n], "big") + 2 + n + 2) // 3 * 4
+    elif head[:1] == b"0" and head[1] < 0x80:
+        most = (head[1] + 4) // 3 * 4
+    elif head.startswith(b"openssh-key-v1"):
+        most = len(text)
+    else:
+        return None
+    width, lines, end, short = len(m[0]), [m[0]], m.end(), None
+    while len(lines) * width < most and (gap := EOL.match(text, end)) and (line := LINE.match(text, gap.end())):
+        if len(line[0]) != width or line[0].endswith("="):
+            short = line if len(line[0]) <= width else None
+            break
+        lines.append(line[0])
+        end = line.end()
+    for more, stop in (([], end), ([short[0]], short.end()) if short else ([], 0)):
+        if stop > m.end() and (data := unbase64("".join(lines + more))) and (is_der_key(data) or is_ssh_key(data)):
+            return stop
+    return None
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans of a text, in order; kinds by their place in ``KINDS``."""
     if not text:
@@ -146,13 +187,26 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         out.append((m.start(), 2, m.end()))
         if len(m[0]) >= 64 and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 6, m.end()))
-    if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    for m in HEX_KEY.finditer(text):
+        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])) and (m.start(), 6, m.end()) not in out:
+            out.append((m.start(), 6, m.end()))
+    if "." in text:
+        end = 0
+        for m in TOKEN.finditer(text):
+            if m.start() >= end and is_signed_token(m[1]):
+                end = m.end(1)
+                out.append((m.start(), 3, end))
+    armoured = []
     if "-----BEGIN " in text:
-        out += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
+        armoured = [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
+        out += armoured
+    done = 0
     for m in BASE64.finditer(text):
         if (data := unbase64(m[0])) and (is_der_key(data) or is_ssh_key(data)):
             out.append((m.start(), 5, m.end()))
+        elif m.start() >= done and not any(a < m.start() < b for a, _, b in armoured) and (end := wrapped_key(text, m)):
+            out.append((m.start(), 5, end))
+            done = end
     return sorted(out)
 
 

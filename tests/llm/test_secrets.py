@@ -107,3 +107,31 @@ def test_odd_rows(make):
     assert [r["s"]["base_sha256"] == nothing for r in out] == [True, True, False, False, False, False]
     assert out[-1]["s"]["spans"] == "hex:300000:500000"
     assert make([], "doc_id long, text string").withColumn("s", secrets.secrets(F.col("text"))).count() == 0
+
+
+def test_keys_in_json_source_and_wrapped_lines():
+    import textwrap
+
+    for name, key in keys().items():
+        for width in (64, 76):
+            body = "\n".join(textwrap.wrap(base64.b64encode(key).decode(), width))
+            pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n"
+            assert kinds(pem) == ["pem_key"] or name == "sec1", name
+            for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"k": pem})), json.dumps(pem).replace("/", "\\/").replace("=", "\\u003d"), "k = (" + "\n  ".join(json.dumps(x + "\n") for x in pem.splitlines()) + ")", " +\n".join(json.dumps(x + "\n") for x in pem.splitlines())):
+                assert "pem_key" in kinds(text), (name, text)
+            for text in (body, f"The key:\n{body}\n\nend", f"x\r\n{body}\r\nend of it".replace("\n", "\r\n").replace("\r\r", "\r"), textwrap.indent(body, "    "), json.dumps(f"k\n{body}\n")):
+                assert kinds(text) == ["base64_key"], (name, text)
+            if name != "ssh":
+                assert kinds(body[:-8] + "\n") == []
+    first = textwrap.wrap(base64.b64encode(keys()["pkcs8"]).decode(), 64)[0]
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{first}\n{pem}") == ["pem_key"]
+
+
+def test_upper_case_hex_and_any_header():
+    for name in ("pkcs1", "pkcs8", "sec1"):
+        assert kinds(f"0x{keys()[name].hex().upper()}") == ["hex_key"]
+    for head in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b' {"alg":"HS256"}', b'\n{"alg":"HS256"}'):
+        part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+        token = f"{part(head)}.{part(b'{}')}.c2ln"
+        for text in (token, f"see example.{token}", f'"a\\n{token}"'):
+            assert [text[a:b] for a, k, b in secrets.spans(text) if k == 3] == [token]
