@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, quality, secrets, simhash, tokens, topk, toxicity
+from . import centroids, decontam, langid, licenses, mixing, quality, reputation, resampling, secrets, simhash, tokens, topk, toxicity
 from .common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def held_out(folds: int, fold: int) -> Column:
@@ -80,6 +87,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", secrets.secrets(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = reputation.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return told.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, buckets=10_000, longest=2, seed=7)
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_top_k": op2_top_k,
@@ -91,6 +112,9 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_centroids": op11_centroids,
+    "op12_url_filter": op12_url_filter,
+    "op13_resampling": op13_resampling,
 }
 
 #: DuckDB SQL where it can express a query over whole tables.
@@ -99,4 +123,7 @@ ORACLE: dict[str, str] = {
     "op3_decontamination": decontam.oracle(),
     "op5_licenses": licenses.oracle(),
     "op7_mixing": mixing.oracle(),
+    "op11_centroids": centroids.oracle(),
+    "op12_url_filter": reputation.oracle(URL_RULES),
+    "op13_resampling": resampling.oracle(),
 }
