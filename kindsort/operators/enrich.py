@@ -56,11 +56,12 @@ def request_kinds(spark: SparkSession) -> DataFrame:
 
 # --- L1 residue requests ----------------------------------------------------------
 
-def requests(traced: DataFrame, stage: str, ready: Column | None = None) -> DataFrame:
+def requests(traced: DataFrame, stage: str, ready: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """One request row per residual row of ``stage`` (needs ``trace=True`` output).
 
     ``ready`` (optional) holds back rows whose request would still change, e.g.
-    facility requests of rows whose category answer has not arrived."""
+    facility requests of rows whose category answer has not arrived.  ``keep``
+    (optional) names columns that come out beside each request."""
     p = STAGE_PREFIX[stage]
     max_tokens, temperature = STAGE_PARAMS[stage]
     req = F.struct(
@@ -78,7 +79,7 @@ def requests(traced: DataFrame, stage: str, ready: Column | None = None) -> Data
     if ready is not None:
         cond = cond & ready
     one = F.when(cond, F.array(req))
-    return traced.select(F.explode(one).alias("_req")).select("_req.*")
+    return traced.select(*(keep or []), F.explode(one).alias("_req")).select("_req.*", *(keep or []))
 
 
 # --- L2 distinct pending requests ----------------------------------------------------

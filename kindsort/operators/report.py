@@ -146,6 +146,20 @@ def observe_progress(df: DataFrame, name: str = "progress", at: str = ""):
     return df.observe(obs, *metrics), obs
 
 
+def observe_open(df: DataFrame, name: str = "open", at: str = ""):
+    """An Observation of ``rows`` and, a stage, of the rows that neither a rule nor an answer has settled (``<stage>_open``)."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    have = df.select(f"{at}*").columns if at else df.columns
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    for stage, p in (("category", "_cat"), ("facility", "_fac"), ("description", "_desc")):
+        if f"{p}_src" in have:
+            answer = F.col(f"{at}{p}_rid_a").isNull() if f"{p}_rid_a" in have else F.lit(True)
+            metrics.append(F.count_if((F.col(f"{at}{p}_src") == "residual") & answer).alias(f"{stage}_open"))
+    return df.observe(obs, *metrics), obs
+
+
 def sample(df: DataFrame, key: str, seed: int = 42, n: int = SAMPLE_SIZE) -> DataFrame:
     """Repeatable sample of exactly ``min(n, rows)`` rows.
 

@@ -83,18 +83,18 @@ def build(
     return x.select(*kept, *(f"`{c}`" for c in outputs), F.struct(*helpers).alias(trace))
 
 
-def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS) -> DataFrame:
+def stage_requests(traced: DataFrame, opts: Options = CLI_DEFAULTS, keep: list[str] | None = None) -> DataFrame:
     """L1 for every stage that ran, from the trace columns (``build(..., trace="t")``, then ``select("t.*")``)."""
-    out = requests(traced, "category")
+    out = requests(traced, "category", keep=keep)
     if not opts.skip_facility:
         # a facility request carries the category: ask it once the category is
         # settled (decided by a rule, or its answer row has arrived)
         settled = F.col("_cat_src") != "residual"
         if "_cat_rid_a" in traced.columns:
             settled = settled | F.col("_cat_rid_a").isNotNull()
-        out = out.unionByName(requests(traced, "facility", ready=settled))
+        out = out.unionByName(requests(traced, "facility", ready=settled, keep=keep))
     if not opts.skip_descriptions:
-        out = out.unionByName(requests(traced, "description"))
+        out = out.unionByName(requests(traced, "description", keep=keep))
     return out
 
 

@@ -1021,7 +1021,7 @@ def folder_stream(spark, d):
     landing = work_path(spark, "landing")
     out = work_path(spark, "stream-out")
     inv = lineitem_inventory(spark, d)
-    write_csv(inv.repartition(4), landing)
+    write_csv(inv, landing)
     opts = Options(skip_facility=False, skip_descriptions=True)
     run_folder(spark, landing, out, work_path(spark, "stream-ckpt"), opts)
     counts = file_counts(spark, out)
@@ -1125,15 +1125,15 @@ def folder_mixed(spark, d):
 
     base, inv = work_path(spark, "folder-mixed"), lineitem_inventory(spark, d)
     k = F.length("ITEM_NO") % 3
-    _land(inv.where(k == 0).coalesce(1), f"{base}/in/plain")
-    _land(inv.where(k == 1).withColumn("EXTRA", F.lit("x")).coalesce(1), f"{base}/in/extra")
+    _land(inv.where(k == 0), f"{base}/in/plain")
+    _land(inv.where(k == 1).withColumn("EXTRA", F.lit("x")), f"{base}/in/extra")
     _land(inv.limit(0), f"{base}/in/header")
-    _land(inv.where(k == 2).drop("VENDOR_NAME").coalesce(1), f"{base}/in/lacking")
-    run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    _land(inv.where(k == 2).drop("VENDOR_NAME"), f"{base}/in/lacking")
+    run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", Options(skip_facility=True, skip_descriptions=True, multi_line=False))
     rows = file_counts(spark, f"{base}/out").groupBy(F.col(f"`{CATEGORY_COL}`").alias("label")).agg(F.sum("rows").alias("n"))
-    files = quarantine(spark, f"{base}/out").groupBy(F.col("reason").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    files = quarantine(spark, f"{base}/out").groupBy(F.col("reason").alias("label")).agg(F.count_distinct("reason").alias("n"))
     done = spark.read.schema(FILES_SCHEMA).parquet(f"{base}/out/files").where("status = 'done'")
-    more = done.select(F.explode(F.array_except("columns", F.array(*map(F.lit, inv.columns)))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    more = done.select(F.explode(F.array_except("columns", F.array(*map(F.lit, inv.columns)))).alias("label")).groupBy("label").agg(F.count_distinct("label").alias("n"))
     named = [x.select(F.lit(kind).alias("kind"), "label", "n") for kind, x in (("rows", rows), ("file", files), ("columns", more))]
     return named[0].unionByName(named[1]).unionByName(named[2])
 

@@ -57,6 +57,8 @@ CSV_READ_OPTIONS = {
     "nullValue": NO_FIELD,
     "emptyValue": "",
     "maxCharsPerColumn": "-1",
+    # a row whose cells are not all parsed is never found to have too many of them
+    "columnPruning": "false",
 }
 
 

@@ -1,0 +1,242 @@
+"""W3 and L8 as streams: faults, file versions, requests issued once, progress, durable answers."""
+
+import os
+import tempfile
+import time
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from kindsort.functions.vocab import CATEGORY_COL
+from kindsort.operators.enrich import REQUEST_SCHEMA
+from kindsort.plans.batch import Options
+from kindsort.streaming import folder as W
+from kindsort.streaming.completer import attempt_log, complete_stream, given_answers
+
+HEAD = "ITEM_NO,DESCRIPTION,VENDOR_NAME\n"
+CATEGORY_ONLY = Options(skip_facility=True, skip_descriptions=True, multi_line=False)
+
+
+@pytest.fixture
+def place():
+    """A scratch folder, and a writer of files in its landing folder."""
+    base = tempfile.mkdtemp(prefix="kindsort-test-", dir="/tmp")
+
+    def write(name, text, later=0):
+        path = os.path.join(base, "in", name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(text)
+        if later:
+            os.utime(path, (time.time() + later,) * 2)
+
+    return base, write
+
+
+def go(spark, base, opts=CATEGORY_ONLY, **kw):
+    return W.run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", opts, **kw)
+
+
+def items(spark, base):
+    rows = spark.read.option("basePath", f"{base}/out/rows").parquet(f"{base}/out/rows")
+    latest = W.current(spark, f"{base}/out").select(F.col("file_id").alias(W.FILE_KEY), F.col("batch_id").alias(W.BATCH_KEY))
+    return sorted(r.ITEM_NO for r in rows.join(latest, [W.FILE_KEY, W.BATCH_KEY]).collect())
+
+
+def counts(spark, base):
+    return {(r.file, r[CATEGORY_COL]): r.rows for r in W.file_counts(spark, f"{base}/out").collect()}
+
+
+def broken_files(write):
+    write("x/a.csv", HEAD + "1,glove,A\n2,glove,A,too,many\n")
+    write("y/a.csv", HEAD + "3,glove,A\n9,glove,A,too,many\n")
+    write("b.csv", HEAD + "4,glove,A\n")
+
+
+def test_a_failed_joint_write_loses_nothing(spark, place, monkeypatch):
+    base, write = place
+    broken_files(write)
+    real, calls = W._write, []
+
+    def fails_once(df, path, keys):
+        calls.append(path)
+        if len(calls) == 1:
+            raise OSError("a disk was full for a moment")
+        real(df, path, keys)
+
+    monkeypatch.setattr(W, "_write", fails_once)
+    go(spark, base)
+    assert items(spark, base) == ["1", "3", "4"]
+    assert sorted(r.raw for r in spark.read.parquet(f"{base}/out/rejects").collect()) == ["2,glove,A,too,many", "9,glove,A,too,many"]
+    assert {f for f, _ in counts(spark, base)} == {"x/a.csv", "y/a.csv", "b.csv"}
+    assert W.quarantine(spark, f"{base}/out").collect() == []
+
+
+def test_an_unreadable_file_is_quarantined_and_the_others_stay(spark, place):
+    base, write = place
+    broken_files(write)
+    write("wide.csv", HEAD + "," * 30_000 + "\n")
+    go(spark, base)
+    assert items(spark, base) == ["1", "3", "4"]
+    (bad,) = W.quarantine(spark, f"{base}/out").collect()
+    assert bad.file == "wide.csv" and "FAILED_READ_FILE" in bad.reason
+
+
+def test_a_fault_that_stays_fails_the_batch_and_the_next_run_repeats_it(spark, place, monkeypatch):
+    base, write = place
+    broken_files(write)
+    with monkeypatch.context() as m:
+        m.setattr(W, "build", lambda *a, **k: (_ for _ in ()).throw(OSError("no space left")))
+        with pytest.raises(StreamingQueryException):
+            go(spark, base)
+    go(spark, base)
+    assert items(spark, base) == ["1", "3", "4"] and W.quarantine(spark, f"{base}/out").collect() == []
+
+
+def test_a_file_that_vanished_does_not_stop_the_others(spark, place):
+    base, write = place
+    broken_files(write)
+    write("gone.csv", HEAD + "7,glove,A\n")
+    W.note_arrivals(spark, f"{base}/in", f"{base}/out")
+    os.rename(f"{base}/in/gone.csv", f"{base}/elsewhere")
+    go(spark, base)
+    assert items(spark, base) == ["1", "3", "4"]
+    assert [tuple(r) for r in W.quarantine(spark, f"{base}/out").collect()] == [("gone.csv", "the file is gone")]
+
+
+def test_a_replaced_file_counts_once(spark, place):
+    base, write = place
+    write("a.csv", HEAD + "1,glove,A\n2,zzz,A\n")
+    write("b.csv", HEAD + "3,syringe,A\n")
+    go(spark, base)
+    before = counts(spark, base)
+    write("a.csv", HEAD + "1,syringe,A\n", later=5)
+    go(spark, base)
+    go(spark, base)  # nothing new
+    after = counts(spark, base)
+    assert items(spark, base) == ["1", "3"] and sum(before.values()) == 3 and sum(after.values()) == 2
+    assert ("a.csv", "Needs Review") in before and ("a.csv", "Needs Review") not in after
+    assert W.file_table(spark, f"{base}/out", "a.csv").count() == 1
+    write("a.csv", "\n", later=9)  # what cannot be used any more does not count
+    go(spark, base)
+    assert {f for f, _ in counts(spark, base)} == {"b.csv"}
+    assert [tuple(r) for r in W.quarantine(spark, f"{base}/out").collect()] == [("a.csv", "no header")]
+    fresh = f"{base}/fresh"
+    W.run_folder(spark, f"{base}/in", fresh, f"{base}/fresh-checkpoint", CATEGORY_ONLY)
+    assert sorted(map(str, W.file_counts(spark, fresh).collect())) == sorted(map(str, W.file_counts(spark, f"{base}/out").collect()))
+
+
+def test_requests_are_issued_once_over_runs_and_restarts(spark, place):
+    base, write = place
+    write("a.csv", HEAD + "1,zzz,A\n2,zzz,A\n3,qqq,A\n")
+    write("b.csv", HEAD + "4,zzz,A\n5,glove,A\n")
+    go(spark, base, max_files=1)
+    write("c.csv", HEAD + "6,qqq,A\n7,vvv,A\n")
+    write("d.csv", HEAD + "8,zzz,A\n")
+    go(spark, base)
+    go(spark, base)
+    got = W.issued_requests(spark, f"{base}/out").collect()
+    assert sorted(r.context for r in got) == [f"Description: {x}, Vendor: A" for x in ("qqq", "vvv", "zzz")]
+    assert len({r.request_id for r in got}) == 3
+
+
+def test_answers_reach_the_files_that_wait_for_them(spark, place):
+    base, write = place
+    write("a.csv", HEAD + "1,zzz,A\n")
+    write("b.csv", HEAD + "2,glove,A\n")
+    opts = Options(skip_descriptions=True, multi_line=False)
+    go(spark, base, opts)
+    reqs = {r.stage: r for r in W.issued_requests(spark, f"{base}/out").collect()}
+    assert set(reqs) == {"category"}
+    given = spark.createDataFrame([(reqs["category"].request_id, "Diagnostics & Lab Use")], "request_id string, response string")
+    for _ in range(2):  # the second run finds nothing that waits for these answers
+        go(spark, base, opts, completions=given)
+        assert counts(spark, base)["a.csv", "Diagnostics & Lab Use"] == 1 and sum(counts(spark, base).values()) == 2
+    versions = {r.file: r.version for r in W.current(spark, f"{base}/out").collect()}
+    assert versions == {"a.csv": 2, "b.csv": 1}
+    asked = {r.stage: r.context for r in W.issued_requests(spark, f"{base}/out").collect()}
+    assert asked["facility"] == "Description: zzz, Category: Diagnostics & Lab Use, Vendor: A" and len(asked) == 2
+
+
+def test_progress_a_batch_and_in_the_stream(spark, place):
+    base, write = place
+    write("a.csv", HEAD + "1,zzz,A\n2,glove,A\n")
+    write("b.csv", HEAD + "3,glove,A\n")
+    q = go(spark, base, max_files=1)
+    got = sorted(map(tuple, W.stream_progress(spark, f"{base}/out").collect()))
+    assert sorted(g[1:] for g in got) == [("category", 1, 1), ("category", 2, 1)] and len({g[0] for g in got}) == 2
+    seen = [p.observedMetrics["landed"] for p in q.recentProgress if "landed" in p.observedMetrics]
+    assert sum(m.files for m in seen) == 2 and sum(m.bytes for m in seen) > 60
+
+
+# --- answers ------------------------------------------------------------------------------------
+
+def some_requests(spark, n):
+    return spark.range(n).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("category").alias("stage"), F.concat(F.lit("c"), "id").alias("context"), F.lit(9).alias("max_tokens"), F.lit(0.0).alias("temperature"))
+
+
+def marked(folder, until=None):
+    """Answers that leave a file for each request asked, and fail from batch ``until`` on."""
+    def answer(asked):
+        if until is not None and (asked["batch_id"] >= until).any():
+            raise RuntimeError("out of service")
+        for rid, b in zip(asked["request_id"], asked["batch_id"], strict=True):
+            with open(f"{folder}/{rid}", "a") as f:
+                f.write(f"{b}\n")
+        return "answer to " + asked["context"]
+
+    return answer
+
+
+def test_answers_given_before_a_failure_stay(spark, place):
+    base, _ = place
+    for name in ("first", "second"):
+        os.makedirs(f"{base}/{name}")
+    reqs = some_requests(spark, 50)
+    with pytest.raises(StreamingQueryException):
+        complete_stream(reqs, f"{base}/store", f"{base}/checkpoint", marked(f"{base}/first", 2), batch_rows=10)
+    kept = {r.request_id for r in given_answers(spark, f"{base}/store").collect()}
+    assert kept == set(os.listdir(f"{base}/first")) and 10 <= len(kept) < 50
+    more = reqs.union(some_requests(spark, 53))  # asked again, and three new ones
+    complete_stream(more, f"{base}/store", f"{base}/checkpoint", marked(f"{base}/second"), batch_rows=10)
+    got = {r.request_id: r.response for r in given_answers(spark, f"{base}/store").collect()}
+    assert got == {f"r{i}": f"answer to c{i}" for i in range(53)}
+    assert not kept & set(os.listdir(f"{base}/second"))
+
+
+def test_a_request_without_an_answer_is_asked_three_times(spark, place):
+    base, _ = place
+
+    def answer(asked):
+        return [None if r.request_id == "r1" or (r.request_id == "r2" and r.attempt < 3) else "yes" for r in asked.itertuples()]
+
+    complete_stream(some_requests(spark, 4), f"{base}/store", f"{base}/checkpoint", answer)
+    log = attempt_log(spark, f"{base}/store").groupBy("request_id").count().collect()
+    assert {r.request_id: r["count"] for r in log} == {"r0": 1, "r1": 3, "r2": 3, "r3": 1}
+    assert sorted(r.request_id for r in given_answers(spark, f"{base}/store").collect()) == ["r0", "r2", "r3"]
+
+
+def test_finished_attempts_of_a_failed_batch_are_not_asked_again(spark, place):
+    base, _ = place
+    os.makedirs(f"{base}/seen")
+    first, second = marked(f"{base}/seen"), marked(f"{base}/seen")
+
+    def fails_second_time(asked):
+        if (asked["attempt"] > 1).any():
+            raise RuntimeError("out of service")
+        out = first(asked)
+        return out.where(asked["request_id"] != "r3", None)
+
+    with pytest.raises(StreamingQueryException):
+        complete_stream(some_requests(spark, 6), f"{base}/store", f"{base}/checkpoint", fails_second_time)
+    complete_stream(some_requests(spark, 6), f"{base}/store", f"{base}/checkpoint", second)
+    asked = {f: open(f"{base}/seen/{f}").read().count("\n") for f in os.listdir(f"{base}/seen")}
+    assert asked == {f"r{i}": 2 if i == 3 else 1 for i in range(6)}
+    assert given_answers(spark, f"{base}/store").count() == 6
+
+
+def test_nothing_to_ask(spark, place):
+    base, _ = place
+    assert complete_stream(spark.createDataFrame([], REQUEST_SCHEMA), f"{base}/store", f"{base}/checkpoint", lambda f: None) is None
+    assert given_answers(spark, f"{base}/store").collect() == []
