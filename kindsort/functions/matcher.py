@@ -15,13 +15,11 @@ Python.  Both engines give identical results (tested).  The engine is an argumen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rulejoin import first_match_by_table  # noqa: F401 - the form for rules held in a table
 from .rules import any_match, first_match_keyword, ordered_rules
 from .vocab import distinct_in_order
 
@@ -115,53 +113,3 @@ def match_columns(
     cols = {k: first_match_keyword(text_lc, v) for k, v in ordered.items()}
     cols.update({k: any_match(text_lc, v) for k, v in unordered.items()})
     return cols
-
-
-# --- table form: rules held in a DataFrame ---------------------------------------------
-
-#: Keywords of one automaton; a larger vocabulary is matched a shard at a time.
-SHARD = 200_000
-BEST = "priority int, keyword string, label string"
-
-
-def _best_match(text: Column, words: list[tuple[int, str, str | None]]) -> Column:
-    """Struct of the rule of lowest priority whose keyword the text contains, else null."""
-    sent = None
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for rule in sent.value:
-            automaton.add_word(rule[1], rule)
-        automaton.make_automaton()
-        for batch in texts:
-            out = [min((r for _, r in automaton.iter(t)), default=(None, None, None), key=lambda r: r[0]) if t and automaton.kind else (None, None, None) for t in batch]
-            yield pd.DataFrame(out, columns=["priority", "keyword", "label"], dtype=object)
-
-    from pyspark.sql import SparkSession
-
-    sent = SparkSession.active().sparkContext.broadcast(words)
-    return F.pandas_udf(run, BEST)(text)
-
-
-def first_match_by_table(df: DataFrame, key: str, text_lc: str, rules: DataFrame, rule_set: str = "category", shard: int = SHARD) -> DataFrame:
-    """Ordered first match through a rule table: ``(key, priority, keyword, label)``, a row each row of ``df``.
-
-    A keyword that repeats keeps its first place.  The vocabulary is cut into
-    shards of ``shard`` keywords (by hash, so each is fetched by itself); every
-    shard is one pass over the texts inside the tasks, without a join or a
-    shuffle, and the lowest priority of all shards wins.  A null text matches
-    nothing."""
-    r = rules.filter((F.col("rule_set") == rule_set) & (F.col("keyword") != ""))
-    r = r.groupBy("keyword").agg(F.min("priority").alias("priority"), F.min_by("label", "priority").alias("label")).checkpoint()
-    shards = max(1, -(-r.count() // shard))
-    found = []
-    for i in range(shards):
-        words = r.where(F.pmod(F.xxhash64("keyword"), F.lit(shards)) == i).select("priority", "keyword", "label").collect()
-        found.append(_best_match(F.col(text_lc), sorted((w.priority, w.keyword, w.label) for w in words)))
-    x = df.select(key, *(m.alias(f"m{i}") for i, m in enumerate(found)))
-    hits = [F.when(F.col(f"m{i}.priority").isNotNull(), F.col(f"m{i}")) for i in range(shards)]
-    # least() skips nulls, so a shard without a hit does not count
-    best = reduce(lambda a, b: F.least(a, b), hits)
-    return x.select(key, best.alias("m")).select(key, "m.priority", "m.keyword", "m.label")

@@ -7,7 +7,7 @@ Two forms of the same rules:
   single Project.  No shuffle, no join, whole-stage codegen, short-circuit on
   the first hit.  Right for vocabularies of a few hundred words.
 * table form: a ``rules`` DataFrame ``(rule_set, priority, keyword, label)``, see
-  :func:`kindsort.functions.matcher.first_match_by_table`.
+  :mod:`kindsort.functions.rulejoin`.
 """
 
 from __future__ import annotations

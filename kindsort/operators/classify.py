@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matcher import ENGINE, match_columns
+from ..functions.rulejoin import labels_by_table
 from ..functions.rules import any_match, first_match_keyword, keyword_label
 from ..functions.text import blank, normalize_label, normalize_yes_no, present
 from ..functions.vocab import (
@@ -368,13 +369,18 @@ def describe(
 COMPONENTS_COL = "components"
 
 
-def component_flags(df: DataFrame, rules: list[tuple[str, str]], out: str = COMPONENTS_COL) -> DataFrame:
+def component_flags(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, out: str = COMPONENTS_COL) -> DataFrame:
     """Components an item needs by ``(keyword, component)`` rules.
 
-    A sorted comma list in ``out``; null when no keyword is found or the text is null."""
+    A sorted comma list in ``out``; null when no keyword is found or the text is null.
+    Rules in a table (``keyword, component``), of any number, are joined by gram; a list
+    becomes one expression."""
+    text = F.lower(opt_col(df, "DESCRIPTION", ""))
+    if isinstance(rules, DataFrame):
+        lower = next(c for c in (f"{LOWER_DESC}_{i}" for i in range(len(df.columns) + 1)) if c.lower() not in {x.lower() for x in df.columns})
+        return labels_by_table(df.withColumn(lower, text), lower, rules.withColumnRenamed("component", "label"), out).drop(lower)
     by: dict[str, list[str]] = {}
     for keyword, component in rules:
         by.setdefault(component, []).append(keyword.lower())
-    text = F.lower(opt_col(df, "DESCRIPTION", ""))
     parts = [F.when(any_match(text, by[c]), F.lit(c)) for c in sorted(by)]
     return df.withColumn(out, F.nullif(F.concat_ws(", ", *parts), F.lit("")))

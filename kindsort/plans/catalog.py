@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.matcher import first_match_by_table
+from ..functions.rulejoin import first_match_by_table
 from ..functions.rules import rules_table
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import (
@@ -944,7 +944,8 @@ def _q_components():
 
 @register("component_flags", _q_components())
 def component_flags(spark, d):
-    return C.component_flags(part_inventory(spark, d), COMPONENT_RULES).select("KEY", "DESCRIPTION", "components")
+    rules = spark.createDataFrame(COMPONENT_RULES, "keyword string, component string")
+    return C.component_flags(part_inventory(spark, d), rules).select("KEY", "DESCRIPTION", "components")
 
 
 def _q_doc_category():

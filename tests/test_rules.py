@@ -205,16 +205,13 @@ def test_shuffled_facility_lists_change_nothing(spark):
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
 
 
-def test_rule_table_is_matched_in_shards(spark):
+def test_rule_table_first_match(spark):
     words = [("category", i, w, f"L{i}") for i, w in enumerate(["pump", "syringe pump", "rare", "é", "pump", "", "glove"])]
     rules = spark.createDataFrame(words, "rule_set string, priority int, keyword string, label string")
     texts = [(1, "a syringe pump"), (2, "glove é"), (3, "none"), (4, None), (5, ""), (1, "a rare glove")]
     df = spark.createDataFrame(texts, "k int, t string")
     want = sorted([(1, 0, "pump", "L0"), (2, 3, "é", "L3"), (3, None, None, None), (4, None, None, None), (5, None, None, None), (1, 2, "rare", "L2")], key=str)
-    for shard in (1, 2, 100):
-        out = first_match_by_table(df, "k", "t", rules, shard=shard)
-        assert sorted(map(tuple, out.collect()), key=str) == want
-        plan = out._jdf.queryExecution().toString()
-        assert "Join" not in plan and "Exchange" not in plan
+    out = first_match_by_table(df, "k", "t", rules)
+    assert sorted(map(tuple, out.collect()), key=str) == want
     none = first_match_by_table(df, "k", "t", rules.limit(0))
     assert {r[1] for r in none.collect()} == {None}
