@@ -79,11 +79,11 @@ def water_level(sources: DataFrame, epochs: int) -> Level:
 
 
 def plan(sizes: DataFrame, weights: DataFrame, epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """One row a source: ``source, source_size, target, whole, cut``.
+    """One row a source: ``source, source_size, target, whole, cut, some, many``.
 
-    ``sizes``: key, source, size, read several times (checkpointed).  ``whole``:
-    repetitions of every document; ``cut``: the place (hash, key, size) of the last
-    document that has one more, null for none.
+    ``sizes``: key, source, size, mark, read several times (checkpointed).  ``whole``:
+    repetitions of every document; ``cut``: the place (hash, key, size, mark) of the last
+    documents that have one more.  ``many`` rows share it, and ``some`` of them have it.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = totals.alias("t").join(weights.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source"))).select("t.source", "source_size", F.col("weight").cast("long")).checkpoint()
@@ -101,23 +101,45 @@ def plan(sizes: DataFrame, weights: DataFrame, epochs: int = 3, seed: str = "mix
         whole.otherwise(0).cast("long").alias("whole"),
         level.share().alias("share"),
     ).withColumn("left", F.when(F.col("whole") < epochs, F.col("share") - unit * F.col("whole") * F.col("source_size")).otherwise(0).cast(BIG)).drop("share").checkpoint()
-    placed = sizes.select("source", F.struct(place_of(F.col("key"), seed).alias("u"), "key", "size").alias("at"))
+    placed = sizes.select("source", F.struct(place_of(F.col("key"), seed).alias("u"), "key", "size", "mark").alias("at"))
     bucket = F.shiftright(F.col("at.u"), 60 - BUCKET_BITS)
     summed = placed.groupBy("source", bucket.alias("bucket")).agg(F.sum("at.size").alias("words"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = summed.withColumn("upto", F.sum("words").over(order))
     edge = running.join(rest.select("s", "left"), F.col("source").eqNullSafe(F.col("s"))).where((unit * F.col("upto") >= F.col("left")) & (unit * (F.col("upto") - F.col("words")) < F.col("left")))
-    # one bucket a source: about its rows / 4096
+    # one bucket a source: about its places / 4096, and rows that share a place are one
     edge = edge.groupBy("s", "left").agg(F.min("bucket").alias("bucket"), F.min(F.col("upto") - F.col("words")).alias("before"))
     inside = placed.withColumn("b", bucket).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
-    within = F.sum("at.size").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    middle = 2 * (F.col("before") + within) - F.col("at.size")
-    last = inside.withColumn("middle", middle).where(unit * F.col("middle") < 2 * F.col("left")).groupBy("s").agg(F.max("at").alias("last"))
+    inside = inside.groupBy("s", "at", "left", "before").agg(F.count(F.lit(1)).alias("many"))
+    upto = F.sum(F.col("at.size") * F.col("many")).over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # twice what is left before this place, times the weight; the i-th of its rows has its middle at (2 i - 1) sizes
+    room = (2 * F.col("left") - 2 * unit * (F.col("before") + F.col("upto") - F.col("at.size") * F.col("many"))).cast(BIG)
+    step = (unit * F.col("at.size")).cast(BIG)
+    some = F.when(F.col("room") <= 0, 0).when((F.col("at.size") == 0) | (F.col("room") > step * (2 * F.col("many") - 1)), F.col("many")).otherwise(F.expr("((room + step - 1) div step) div 2"))
+    reached = inside.withColumn("upto", upto).withColumn("room", room).withColumn("step", step).withColumn("some", some.cast("long"))
+    last = reached.where("some > 0").groupBy("s").agg(F.max(F.struct("at", "some", "many")).alias("last"))
     # none of the edge bucket: all documents of the buckets before it
-    floor = F.struct(F.shiftleft(F.col("bucket"), 60 - BUCKET_BITS).alias("u"), F.lit(None).cast(sizes.schema["key"].dataType).alias("key"), F.lit(-1).cast("long").alias("size"))
-    cuts = edge.alias("e").join(last.alias("l"), F.col("e.s").eqNullSafe(F.col("l.s")), "left").select(F.col("e.s").alias("cs"), F.coalesce(F.col("last"), floor).alias("cut"))
+    kind = sizes.schema["key"].dataType
+    floor = F.struct(F.shiftleft(F.col("bucket"), 60 - BUCKET_BITS).alias("u"), F.lit(None).cast(kind).alias("key"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("mark"))
+    cuts = edge.alias("e").join(last.alias("l"), F.col("e.s").eqNullSafe(F.col("l.s")), "left").select(
+        F.col("e.s").alias("cs"), F.coalesce(F.col("last.at"), floor).alias("cut"), F.coalesce(F.col("last.some"), F.lit(0)).alias("some"), F.coalesce(F.col("last.many"), F.lit(0)).alias("many")
+    )
     out = rest.join(cuts, F.col("s").eqNullSafe(F.col("cs")), "left")
-    return out.select(F.col("s").alias("source"), "source_size", "target", "whole", "cut").checkpoint()
+    return out.select(F.col("s").alias("source"), "source_size", "target", "whole", "cut", "some", "many").checkpoint()
+
+
+def _numbered(rows: DataFrame, source: str, name: str) -> DataFrame:
+    """``rows`` with their number (from 0) within their source as ``name``; no source is gathered in a task."""
+    mid, pid, count, off = (fresh(rows, f"{name}_{x}") for x in ("mid", "pid", "count", "off"))
+    tagged = rows.withColumn(mid, F.monotonically_increasing_id()).checkpoint()
+    tagged = tagged.withColumn(pid, F.shiftright(F.col(mid), 33)).withColumn(mid, F.col(mid).bitwiseAND(F.lit((1 << 33) - 1)))
+    # a source's rows of one partition are numbered there, as the checkpoint's partitions stay
+    order = Window.partitionBy(source, pid).orderBy(mid)
+    counts = tagged.groupBy(F.col(source).alias(f"{off}_s"), F.col(pid).alias(f"{off}_p")).agg(F.count(F.lit(1)).alias(count))
+    before = F.sum(count).over(Window.partitionBy(f"{off}_s").orderBy(f"{off}_p")) - F.col(count)
+    at = counts.withColumn(off, before)
+    both = tagged.join(at, F.col(source).eqNullSafe(F.col(f"{off}_s")) & (F.col(pid) == F.col(f"{off}_p")))
+    return both.withColumn(name, F.col(off) + F.row_number().over(order) - 1).select(*rows.columns, name)
 
 
 def mix(documents: DataFrame, weights: DataFrame | None = None, epochs: int = 3, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text", size: str | None = None) -> tuple[DataFrame, str]:
@@ -127,20 +149,33 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, epochs: int = 3,
     ``size``: a column that holds the words already, else they are counted in ``text``.
     ``weights``: source, weight (integers above 0); sources without a row take no part
     and come out with null; by default 5, 2, 1 along the sources.  A null source is a
-    source; null and empty texts have size 0 and take nothing; documents that share key
-    and size share their fate.  Reruns agree.
+    source; null and empty texts have size 0 and take nothing.  Rows that share key, size
+    and text are told apart by number alone where the target ends among them, so the words
+    taken are within half a document of it.  Reruns agree.
     """
-    out, own, mark = fresh(documents, "mix"), fresh(documents, "mix_size"), fresh(documents, "mix_source")
+    names = {}
+    for base in ("mix", "mix_size", "mix_source", "mix_by", "mix_at", "mix_repeats", "mix_number"):
+        names[base] = fresh(documents, base)
+    out, own, mark, by_name, at, repeats, number = names.values()
     words = size_of(F.col(text)) if size is None else F.col(size)
-    sizes = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"))
+    told = F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) if text in documents.columns else F.lit(0).cast("long")
+    sizes = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), told.alias("mark"))
     sizes = sizes.checkpoint() if size is None else sizes
     by = plan(sizes, ranked_weights(sizes) if weights is None else weights, epochs, seed)
-    by = by.select(F.col("source").alias(mark), F.struct("source_size", "target", "whole", "cut").alias(f"{out}_by"))
+    shared = not by.where("some < many").isEmpty()
+    by = by.select(F.col("source").alias(mark), F.struct("source_size", "target", "whole", "cut", "some", "many").alias(by_name))
     by = F.broadcast(by) if by.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else by
     rows = documents.withColumn(own, words).join(by, F.col(source).eqNullSafe(F.col(mark)), "left")
-    at = F.struct(place_of(F.col(key), seed).alias("u"), F.col(key).alias("key"), F.col(own).alias("size"))
-    rows = rows.withColumn("__repeats", (F.col(f"{out}_by.whole") + F.when(at <= F.col(f"{out}_by.cut"), 1).otherwise(0)).cast("int"))
-    named = F.struct(F.col(own).alias("size"), f"{out}_by.source_size", f"{out}_by.target", F.col("__repeats").alias("repeats"), (F.col(own) * F.col("__repeats")).alias("taken"))
+    rows = rows.withColumn(at, F.struct(place_of(F.col(key), seed).alias("u"), F.col(key).alias("key"), F.col(own).alias("size"), told.alias("mark")))
+    more = F.col(at) <= F.col(f"{by_name}.cut")
+    if shared:
+        ends = F.coalesce(F.col(at).eqNullSafe(F.col(f"{by_name}.cut")) & (F.col(f"{by_name}.some") < F.col(f"{by_name}.many")), F.lit(False))
+        tied = _numbered(rows.where(ends), source, number)
+        rows = rows.where(~ends).withColumn(number, F.lit(-1).cast("long")).unionByName(tied)
+        more = more & (F.col(number) < F.col(f"{by_name}.some"))
+        more = F.when(F.col(number) < 0, F.col(at) <= F.col(f"{by_name}.cut")).otherwise(more)
+    rows = rows.withColumn(repeats, (F.col(f"{by_name}.whole") + F.when(more, 1).otherwise(0)).cast("int"))
+    named = F.struct(F.col(own).alias("size"), F.col(f"{by_name}.source_size").alias("source_size"), F.col(f"{by_name}.target").alias("target"), F.col(repeats).alias("repeats"), (F.col(own) * F.col(repeats)).alias("taken"))
     return rows.withColumn(out, named).select(*(F.col(f"`{c}`") for c in documents.columns), out), out
 
 
@@ -186,8 +221,7 @@ placed AS (
   SELECT s.*, p.* EXCLUDE (source), CASE WHEN whole < {epochs} AND source_size > 0 THEN share - whole * unit * p.source_size ELSE 0 END AS left_over,
          sum(size) OVER (PARTITION BY s.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source
-),
-chosen AS (SELECT *, max(CASE WHEN unit * (2 * upto - size) < 2 * left_over THEN {{'u': u, 'd': doc_id, 's': size}} END) OVER (PARTITION BY source) AS cut FROM placed)
+)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN cut IS NOT NULL AND {{'u': u, 'd': doc_id, 's': size}} <= cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM chosen"""
+       (size * (whole + CASE WHEN unit * (2 * upto - size) < 2 * left_over THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed"""

@@ -88,6 +88,27 @@ def test_empty_and_wordless_tables(make):
     assert [m["taken"] for _, _, m in mixed(make([(1, "", "a"), (2, None, None)], SCHEMA))] == [0, 0]
 
 
+@pytest.mark.parametrize("same_text", (True, False))
+def test_rows_that_share_key_and_size_end_where_the_target_does(make, same_text):
+    """A third of a source's rows has one key and size: the words taken stay within half a document of the target."""
+    rows = [(7, "a b c d e f g h i " + ("j" if same_text else f"j{i}"), "big") for i in range(400)]
+    rows += [(1000 + i, "a b c d e f g h i j", "big") for i in range(800)] + [(5000 + i, "x " * 10, "other") for i in range(900)]
+    rows += [(None, "n " * 10, None) for _ in range(300)]
+    got = mixed(make(rows, SCHEMA).repartition(6))
+    for s in ("big", "other", None):
+        mine = [m for _, t, m in got if t == s]
+        assert abs(sum(m["taken"] for m in mine) - mine[0]["target"]) <= 5
+    again = mixed(make(rows[::-1], SCHEMA).repartition(3))
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
+@pytest.mark.parametrize("name", ("mix_by", "mix_source", "mix_repeats", "mix_at", "mix_number", "mix_size", "__repeats"))
+def test_each_clashing_name_alone(make, name):
+    df = make([(i % 2, "a b", "s") for i in range(9)] + [(3, "c", "t")], SCHEMA).selectExpr("*", f"'mine' as `{name}`")
+    out, m = mixing.mix(df)
+    assert out.columns == [*df.columns, m] and {r[name] for r in out.collect()} == {"mine"}
+
+
 def test_large_source_tables_are_not_broadcast(make, monkeypatch):
     rows = [(i, "a b c", f"s{i % 7}") for i in range(70)]
     want = sorted(mixed(make(rows, SCHEMA)), key=str)
