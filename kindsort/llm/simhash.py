@@ -24,7 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in
+from kindsort.session import work_path
+
+from .common import fresh, key_filter, maybe_in
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -145,3 +147,29 @@ def near_duplicates(documents: DataFrame, k: int = 3, key: str = "doc_id", text:
     # a root's group may hold many fingerprints, and a fingerprint many documents: plain joins, split by AQE where they are hot
     named = groups.join(named, "root").select("fp", "root", "component_id")
     return docs.join(named, "fp").select(F.col("key").alias(key), "fp", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one row of each near-duplicate group; every other text stays, whatever keys rows share.
+
+    The rows are written once with their fingerprints, and a row belongs to the group of
+    its own fingerprint: of a group the row of the smallest key stays (a null key last;
+    then the smallest hash of the text and of all columns).  Only rows of groups of two
+    or more are shuffled.
+    """
+    name = fresh(documents, "fingerprint")
+    path = work_path(documents.sparkSession, "fingerprints")
+    documents.withColumn(name, fingerprint(F.col(text), k)).write.parquet(path)
+    rows = documents.sparkSession.read.parquet(path)
+    prints = rows.groupBy(F.col(name).alias("fp")).agg(F.count("*").alias("n")).checkpoint()
+    roots = components(links(prints.select("fp")))
+    groups = prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root")).checkpoint()
+    several = groups.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
+    crowded = groups.join(several, "root").select(F.col("fp").alias(name), F.col("root").alias(f"{name}_root")).checkpoint()
+    likely = F.coalesce(maybe_in(key_filter(crowded, name), F.col(name)), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    place = F.struct(F.col(key).isNull(), F.col(key), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)), F.xxhash64(*columns))
+    grouped = rows.where(likely).join(crowded, name)
+    kept = grouped.groupBy(f"{name}_root").agg(F.min_by(F.struct(*columns), place).alias("row"))
+    alone = rows.where(likely).join(crowded, name, "left_anti").select(*columns)
+    return rows.where(~likely).select(*columns).union(alone).union(kept.select(*(F.col("row").getField(c) for c in documents.columns)))

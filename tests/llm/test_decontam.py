@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -15,7 +16,7 @@ def words(text):
 
 
 def brute(docs, items):
-    """{(doc, item): (equal, of, shift)}: every alignment with a seed in common, compared word by word."""
+    """{(doc, item): (equal, of, shift)}: every alignment, compared word by word, without seeds."""
     out = {}
     for d, t in docs:
         for i, b in items:
@@ -24,14 +25,11 @@ def brute(docs, items):
                 continue
             for shift in range(-len(bw), len(dw)):
                 same = [0 <= j + shift < len(dw) and dw[j + shift] == w for j, w in enumerate(bw)]
-                hit = any(
-                    all(same[j + k] for k, c in enumerate(m) if c == "1") and 0 <= j + shift and j + shift + len(m) <= len(dw)
-                    for m in decontam.MASKS
-                    for j in range(len(bw) - len(m) + 1)
-                )
                 of = min(13, len(bw))
+                if sum(same) < 0.75 * of:
+                    continue
                 equal = max((sum(same[j : j + of]) for j in range(len(bw) - of + 1)), default=0)
-                if hit and equal >= 0.75 * of:
+                if of and equal >= 0.75 * of:
                     out[d, i] = max(out.get((d, i), (0, 0, 0)), (equal, -shift, of))
     return {k: (e, of, -s) for k, (e, s, of) in out.items()}
 
@@ -69,13 +67,43 @@ def test_every_nth_word_replaced(make, every):
     assert set(got) == ({(1, 9)} if every > 3 else set())  # a third replaced is below the share of equal words
 
 
+@pytest.mark.parametrize("words", range(1, 14))
+def test_masks_hit_every_pattern_of_the_rule(words):
+    equal = decontam.needed(words, 0.75)
+    masks = decontam.covering_masks(words, equal)
+    assert len(masks) <= decontam.MASKS
+    for bad in combinations(range(words), words - equal):
+        assert any(all(o + k not in bad for k, c in enumerate(m) if c == "1") for m in masks for o in range(words - len(m) + 1)), (masks, bad)
+    assert decontam.covering_masks(60, 45) == ("111",)  # too many patterns to list: adjacent words, by the pigeonhole principle
+
+
+@pytest.mark.parametrize("words", (1, 2, 3, 5, 6, 7, 8, 11, 12, 13, 20))
+def test_every_replacement_that_the_rule_allows_is_found(make, words):
+    """Recall by the rule is 1: all patterns of the first window, also short items word for word."""
+    item = [f"w{i}" for i in range(words)]
+    of = min(13, words)
+    patterns = list(combinations(range(of), of - decontam.needed(of, 0.75)))
+    docs = [(i, " ".join(["before"] * 3 + ["zz" if j in bad or j >= of else w for j, w in enumerate(item)] + ["after"] * 3)) for i, bad in enumerate(patterns)]
+    got = found(make(docs, DOCS), make([(1, " ".join(item))], ITEMS))
+    assert set(got) == {(i, 1) for i in range(len(patterns))}
+    assert found(make(docs[:1], DOCS), make([(1, " ".join(f"v{i}" for i in range(words)))], ITEMS)) == {}
+
+
+def test_repetitive_texts(make):
+    """A word that fills the document and the item: shifts are gathered, the words joined once."""
+    docs = [(1, "la " * 4000), (2, "la " * 5 + "no " * 50), (3, "no " * 50)]
+    got = found(make(docs, DOCS), make([(1, "la " * 60)], ITEMS))
+    assert got == {(1, 1): (13, 13, -47)}
+
+
 def test_odd_rows(make):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    docs = [(1, None), (2, ""), (None, passage), (4, passage), (4, passage), (5, "word " * 50_000 + passage), (6, "short"), (7, passage.upper().replace(" ", " -- "))]
+    docs = [(1, None), (2, ""), (None, passage), (4, passage), (4, passage), (5, "word " * 50_000 + passage), (6, "short"), (4, "another text"), (7, passage.upper().replace(" ", " -- "))]
     items = [(1, passage), (2, passage), (3, None), (None, passage), (4, ""), (5, "too short"), (1, passage)]
     clash = make(docs, DOCS).selectExpr("*", "'x' as item_id", "1 as w", "2 as at", "3 as h", "4 as doc")
     got = found(clash, make(items, ITEMS).selectExpr("*", "'y' as doc_id"))
     assert set(got) == {(d, i) for d in (4, 5, 7) for i in (1, 2)}
+    assert set(found(make([(1, "it was too short, far too short")], DOCS), make(items, ITEMS))) == {(1, 5)}
     assert got[5, 1] == (13, 13, 50_000)
 
 

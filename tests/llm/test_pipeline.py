@@ -100,10 +100,14 @@ def test_stages_on_odd_rows(spark, sf):
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out.collect()), key=lambda r: r[1]) == expected(rows)
 
 
-def test_rows_that_share_an_id_are_one(spark, make, sf):
-    rows = [(1, "some words here now", "en", "s", 1), (1, "other words there then", "en", "s", 1), (2, "some words here now", "en", "s", 1)]
+def test_rows_that_share_an_id_keep_their_texts(spark, make, sf):
+    a, b = "some words here now", "other words there then"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1)]
     one = staged(spark, 1, make(rows, SCHEMA), sf)
-    assert ids(one) == [1]
+    assert sorted((r["doc_id"], r["text"]) for r in one.collect()) == [(1, b), (1, a)]
+    many = [(7, " ".join(f"t{i}x{j}" for j in range(40)), "en", "s", 1) for i in range(50)] + [(8, "another text altogether", "en", "s", 1)]
+    assert staged(spark, 1, make(many, SCHEMA), sf).count() == 51
+    assert staged(spark, 1, make(many * 3, SCHEMA), sf).count() == 51
 
 
 def test_rows_without_an_id_are_searched_too(spark, make, sf):
