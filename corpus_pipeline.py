@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindsort.llm import decontam, mixing, simhash, tokens, toxicity
-from kindsort.llm.common import fresh, key_filter, maybe_in, prepare, table, without
+from kindsort.llm.common import fresh, prepare, table
 from kindsort.session import work_path
 
 #: A document of this probability or more is toxic.
@@ -34,39 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group.
+    """One row of each near-duplicate group: that of the smallest id (rows without an id last).
 
-    Rows that repeat an id are one document: of them the one of the smallest text hash
-    stays.  Rows without an id go if their group has an id, otherwise one of the group
-    stays, that of the smallest text hash.  Only rows that may go or repeat are shuffled.
-    """
+    A row belongs to the group of its own text, so rows that share an id but not their
+    text all stay, unless their texts are copies of others."""
     prepare(spark)
-    found = simhash.near_duplicates(docs, SHINGLE).checkpoint()
-    named = found.where("doc_id is not null")
-    gone = named.where("component_id <> doc_id").select("doc_id").distinct().checkpoint()
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    known = key_filter(gone.union(repeated), "doc_id")
-    likely = F.coalesce(maybe_in(known, F.col("doc_id")), F.lit(False))
-    with_id = docs.where("doc_id is not null")
-    watched = with_id.where(likely).join(gone, "doc_id", "left_anti")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    least = F.min_by("row", F.coalesce(F.xxhash64("row.text"), F.lit(0))).alias("row")
-    one = watched.select("doc_id", row.alias("row")).groupBy("doc_id").agg(least)
-    # rows without an id are told apart by their fingerprints
-    unnamed = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
-    nameless = docs.where("doc_id is null").select(simhash.fingerprint(F.col("text"), SHINGLE).alias("fp"), row.alias("row"))
-    lone = nameless.join(unnamed, "fp").groupBy("root").agg(least)
-    kept = one.select("row").union(lone.select("row"))
-    return with_id.where(~likely).union(kept.select(*(F.col("row").getField(c) for c in docs.columns)))
+    return simhash.one_of_each(docs, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item.  A row without an id is known by its text's digest."""
+    """Documents whose text overlaps with no benchmark item."""
     prepare(spark)
-    name = fresh(docs, "stage_key")
-    keyed = docs.withColumn(name, F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.col("text"), 256)).alias("digest")))
-    gone = decontam.overlaps(keyed, table(spark, sf_dir, "benchmark"), key=name).select(name)
-    return without(keyed, gone, name).drop(name)
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
