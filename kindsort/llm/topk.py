@@ -7,6 +7,13 @@ these postings give to every score.  What is left of a score is bounded by the n
 of the unread components, so after each level a vector whose upper bound is below the
 k-th best lower bound is proven out.  Reading stops when few possible members are
 left; they are scored exactly.
+
+One block in turn is searched first; the k-th score that a query has there is a lower
+bound of its k-th score in all, and the other blocks start from it: they stop as soon as
+nothing can reach it and send on only what does.
+
+Scores are whole numbers.  Sums read so far are exact in float64 where no sum of
+products can reach 2^53; larger components are scored in integers without bounds.
 """
 
 from __future__ import annotations
@@ -20,10 +27,14 @@ from pyspark.sql.window import Window
 #: Vectors of a block, at least and at most.  Between them the table is cut into 16 blocks of vectors
 #: (each gives up to k rows a query, so few large ones) and 256 of queries.
 BLOCK = (2048, 32_768)
+#: Components of a block at most, however long its vectors are.
+COMPONENTS = 1 << 22
 #: Scores held at a time by a task (queries times vectors of a block).
 HELD = 1 << 21
 #: Reading stops when at most this share of a block's scores is still possible.
 FEW = 0.02
+#: What rounding can add to a bound: sums of d products and a root are off by less than (d + 8) 2^-52 of themselves.
+ROUNDING = 2.0**-52
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -35,45 +46,54 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 class ImpactIndex:
     """Postings of a block of vectors (rows of whole numbers), by descending impact level.
 
-    Level ``b`` holds the components of ``2**(b-1) <= |x| < 2**b``.  Its postings are
-    kept as a matrix with zeros elsewhere, so all queries read a level in one product.
+    Level ``b`` holds the components of ``2**(b-1) <= |x| < 2**b``.  A segment is the
+    vectors and dimensions that have any at its level, with zeros elsewhere, so all
+    queries read it in one product.
     """
 
-    def __init__(self, vectors: np.ndarray, kind: type):
-        self.vectors = vectors.astype(kind)
-        level = np.frexp(np.abs(vectors).astype(np.float64))[1]
-        squares = vectors.astype(np.float64) ** 2
-        self.levels = []
-        for b in range(int(level.max(initial=0)), 0, -1):
-            here = level == b
-            if here.any():
-                unread = np.where(level < b, squares, 0).sum(1)
-                self.levels.append((np.where(here, self.vectors, 0), here.astype(np.float32), unread.astype(np.float32)))
-
-    def possible(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) places that hold all members of each query's top ``k``; ``own``: pairs that don't take part."""
-        read = np.zeros((len(queries), len(self.vectors)), queries.dtype)
-        squares = queries.astype(np.float32) ** 2
-        rest = np.repeat(squares.sum(1)[:, None], len(self.vectors), 1)
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors.astype(np.float64)
+        self.level = np.frexp(np.abs(self.vectors))[1].astype(np.int16)
+        self.levels = [b for b in range(int(self.level.max(initial=0)), 0, -1) if (self.level == b).any()]
+        self.read_levels = 0  # of all searches, to see where they stop
+
+    def possible(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) places that hold all members of each query's top ``k``; ``own``: pairs that don't take part.
+
+        ``least``: a score that each query's members have at least (-inf: not known)."""
+        queries = queries.astype(np.float64)
+        read = np.zeros((len(queries), len(self.vectors)))
+        squares = queries**2
         at = max(0, len(self.vectors) - k)
         left = ~own
-        for postings, mask, unread in self.levels:
-            read += queries @ postings.T
-            rest -= squares @ mask.T
-            slack = np.sqrt(np.maximum(rest, 0) * unread) * 1.001 + np.abs(read) * 1e-6 + 1  # rounding errs to the safe side
-            low = read - slack
+        safe = 1 + (queries.shape[1] + 8) * ROUNDING
+        for b in self.levels:
+            here = self.level == b
+            rows, dims = np.flatnonzero(here.any(1)), np.flatnonzero(here.any(0))
+            segment = np.where(here[np.ix_(rows, dims)], self.vectors[np.ix_(rows, dims)], 0)
+            read[:, rows] += queries[:, dims] @ segment.T  # exact: whole numbers below 2^53
+            self.read_levels += 1
+            # Cauchy-Schwarz over what is unread; sums of non-negative numbers, so no digits cancel
+            below = self.level < b
+            unread = np.where(below, self.vectors, 0)
+            slack = np.sqrt((squares @ below.T.astype(np.float64)) * (unread * unread).sum(1)) * safe
+            low, high = read - slack, read + slack
             low[own] = -np.inf
-            least = np.partition(low, at, 1)[:, at : at + 1] if at else np.full((len(queries), 1), -np.inf)
-            left = (read + slack >= least) & ~own
+            proven = np.partition(low, at, 1)[:, at] if at else np.full(len(queries), -np.inf)
+            # low and high are rounded too, each by half a unit at most below 2^53
+            left = (high >= np.maximum(proven, least)[:, None] - 1) & ~own
             if np.count_nonzero(left) <= max(2 * k * len(queries), FEW * left.size):
                 break
         return np.nonzero(left)
 
 
-def search(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
-    """[query ids, vector ids, scores]: each query's best ``k`` of a block, ties to the smaller id."""
+def search(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray | None = None) -> list[np.ndarray]:
+    """[query ids, vector ids, scores]: each query's best ``k`` of a block, ties to the smaller id.
+
+    Scores below ``least`` (one a query) may be left out."""
     if not len(qid) or not len(vid):
         return [np.zeros(0, np.int64)] * 3
+    least = np.full(len(qid), -np.inf) if least is None else least
     # of equal vectors only the smallest ids can be members: k of them, and one more as a query's own takes no part
     order = np.lexsort((vid, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(vid)
     vid, vectors = vid[order], vectors[order]
@@ -81,18 +101,19 @@ def search(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.nd
     start = np.maximum.accumulate(np.where(first, np.arange(len(vid)), 0))
     keep = np.arange(len(vid)) - start <= k
     vid, vectors = vid[keep], vectors[keep]
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    index, out = ImpactIndex(vectors, kind), []
+    most = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, vectors.shape[1])
+    index, out = ImpactIndex(vectors) if most < 1 << 52 else None, []
     step = max(1, HELD // len(vid))
     for at in range(0, len(qid), step):
         ids, part = qid[at : at + step], queries[at : at + step]
-        q, v = index.possible(part.astype(kind), ids[:, None] == vid[None, :], k) if kind is not np.int64 else np.nonzero(ids[:, None] != vid[None, :])
+        own = ids[:, None] == vid[None, :]
+        q, v = index.possible(part, own, k, least[at : at + step]) if index else np.nonzero(~own)
         scores = np.concatenate([np.einsum("ij,ij->i", part[q[i : i + HELD // 64]], vectors[v[i : i + HELD // 64]]) for i in range(0, len(q), HELD // 64)] or [np.zeros(0, np.int64)])
         best = np.lexsort((vid[v], -scores, q))
         q, v, scores = q[best], v[best], scores[best]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
-        out.append((ids[q[rank < k]], vid[v[rank < k]], scores[rank < k]))
+        sent = (rank < k) & (scores >= least[at : at + step][q])
+        out.append((ids[q[sent]], vid[v[sent]], scores[sent]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -101,29 +122,44 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
 
     ``is_query`` is over ``key``.  A null key, a null vector and one with a component
     that is null or not finite take no part; rows that repeat a key are one vector (the
-    largest); vectors are compared with those of their own length.  Queries and vectors
-    are dealt in blocks, so a task holds one block of each whatever the table's size.
+    largest); vectors are compared with those of their own length.  Components may have
+    any size as long as scores fit in a long.  Queries and vectors are dealt in blocks,
+    so a task holds one block of each whatever the table's size.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"))
     rows = rows.where("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v")).checkpoint()
     asked = rows.withColumnRenamed("id", key).withColumn("asked", is_query).select(F.col(key).alias("id"), "v", "asked")
-    n, nq = asked.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0))).first()
-    parts, qparts = (max(1, -(-m // min(BLOCK[1], max(BLOCK[0], n // cuts)))) for m, cuts in ((n, 16), (nq, 256)))
+    n, nq, dims = asked.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    largest = max(1, min(BLOCK[1], COMPONENTS // max(1, dims)))
+    parts, qparts = (max(1, -(-m // min(largest, max(BLOCK[0], n // cuts)))) for m, cuts in ((n, 16), (nq, 256)))
     place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    cells = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.where("asked").select(F.size("v").alias("dim"), cells(parts).alias("part"), place(qparts).alias("qpart"), "id", "v")
-    right = rows.select(F.size("v").alias("dim"), place(parts).alias("part"), cells(qparts).alias("qpart"), "id", "v")
+    keys = ("dim", "part", "qpart")
+    right = rows.select(F.size("v").alias("dim"), place(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(qparts - 1))).alias("qpart"), F.col("id").alias("cid"), F.col("v").alias("cv"))
+    queries = asked.where("asked").select(F.size("v").alias("dim"), place(qparts).alias("qpart"), "id", "v")
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            v = t.column("v").combine_chunks()
-            return t.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if len(t) else np.zeros((0, 0), np.int64)
+        def arrays(t: pa.Table, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+            v = t.column(vector).combine_chunks()
+            return t.column(key).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if len(t) else np.zeros((0, 0), np.int64)
 
-        a, b, s = search(*arrays(q), *arrays(c), k)
+        least = np.array([-np.inf if x is None else x for x in q.column("least").to_pylist()])
+        a, b, s = search(*arrays(q, "id", "v"), *arrays(c, "cid", "cv"), k, least)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s.astype(np.int64), pa.int64())})
 
-    keys = ("dim", "part", "qpart")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    def met(left: DataFrame, some: Column) -> DataFrame:
+        return left.groupBy(*keys).cogroup(right.where(some).groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    # the first block of a query is another one for each block of queries, so that all are searched
+    started = F.pmod(F.col("qpart"), F.lit(parts)) == F.col("part")
+    found = met(queries.select("dim", F.pmod("qpart", F.lit(parts)).cast("int").alias("part"), "qpart", "id", "v", F.lit(None).cast("double").alias("least")), started)
+    if parts > 1:
+        found = found.checkpoint()
+        bound = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k)
+        # a score below 2^53 is exact as a double; a larger one bounds nothing
+        exact = F.when(F.abs("s") < 1 << 53, F.col("s").cast("double"))
+        known = queries.join(bound.select(F.col("query_id").alias("id"), exact.alias("least")), "id", "left")
+        others = known.select("dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "qpart", "id", "v", "least").where(~started)
+        found = found.union(met(others, ~started))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

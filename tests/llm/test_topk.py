@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_ORACLE, SF_SMALL
 from kindsort.llm import topk
 from kindsort.llm.queries import op2_top_k
 
@@ -61,9 +62,9 @@ def test_reading_stops_early_and_only_on_proof():
     centres = rng.normal(size=(40, 64))
     v = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) * 0.3
     v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
-    index = topk.ImpactIndex(v, np.float32)
-    q, c = index.possible(v[:50].astype(np.float32), np.arange(50)[:, None] == np.arange(4000), 20)
-    assert len(q) < 0.1 * 50 * 4000
+    index = topk.ImpactIndex(v)
+    q, c = index.possible(v[:50], np.arange(50)[:, None] == np.arange(4000), 20, np.full(50, -np.inf))
+    assert len(q) < 0.1 * 50 * 4000 and index.read_levels < len(index.levels)
     possible = set(zip(q.tolist(), c.tolist(), strict=True))
     scores = v[:50] @ v.T
     for i in range(50):
@@ -72,6 +73,44 @@ def test_reading_stops_early_and_only_on_proof():
             assert (i, int(j)) in possible
 
 
+def test_a_dominant_component(make):
+    """One huge component beside small ones: no bound may lose the small ones, though reading stops early."""
+    rng = np.random.default_rng(7)
+    q = np.concatenate([np.full((40, 1), 1_000_000), rng.integers(0, 2, (40, 63)) * 44 - 22], axis=1)
+    v = np.concatenate([rng.integers(2048, 2050, (3000, 1)), (rng.integers(0, 2, (3000, 63)) * 2 - 1) * rng.integers(1500, 2001, (3000, 63))], axis=1)
+    a, b, s = topk.search(np.arange(40) + 10_000, q, np.arange(3000), v, 20)
+    scores = q @ v.T
+    for i in range(40):
+        best = sorted((-int(x), j) for j, x in enumerate(scores[i]))[:20]
+        assert [(-int(x), int(j)) for j, x in zip(b[a == 10_000 + i], s[a == 10_000 + i], strict=True)] == best
+    index = topk.ImpactIndex(v)
+    index.possible(q, np.zeros((40, 3000), bool), 20, np.full(40, -np.inf))
+    assert index.read_levels <= len(index.levels)
+    rows = [(i, [float(x) / 64 for x in r]) for i, r in enumerate(v[:300])] + [(20 * (1000 + i), [float(x) / 64 for x in r]) for i, r in enumerate(q[:10])]
+    assert got(topk.top_k(make(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 20_000, 20)) == [r for r in brute(rows, 20, 20) if r[0] >= 20_000]
+
+
+def test_a_known_score_ends_the_reading_of_other_blocks():
+    rng = np.random.default_rng(3)
+    near, far = rng.integers(20, 40, (100, 32)), rng.integers(-40, -20, (2000, 32))
+    q = rng.integers(20, 40, (10, 32))
+    a, b, s = topk.search(np.arange(10) - 100, q, np.arange(100), near, 20)
+    least = np.array([s[a == i - 100].min() for i in range(10)], float)
+    index = topk.ImpactIndex(far)
+    rows, _ = index.possible(q, np.zeros((10, 2000), bool), 20, least)
+    assert not len(rows) and index.read_levels == 1
+    assert not any(len(x) for x in topk.search(np.arange(10) - 100, q, np.arange(2000) + 1000, far, 20, least))
+
+
+def test_reading_stops_early_on_the_test_table():
+    table = pq.read_table(f"{SF_ORACLE}/embeddings.parquet").to_pylist()
+    v = np.array([[math.floor(64 * x) for x in r["embedding"]] for r in table])
+    index = topk.ImpactIndex(v)
+    own = np.arange(0, len(v), 20)[:, None] == np.arange(len(v))
+    q, _ = index.possible(v[::20], own, 20, np.full(len(own), -np.inf))
+    assert index.read_levels < len(index.levels) and len(q) < 0.5 * own.size
+
+
 def test_ties_and_repeats(make):
     rows = [(i, [0.5, 0.25]) for i in range(60)] + [(i, [0.5, 0.25]) for i in range(60)] + [(100, [-1.0, 0.0]), (101, [0.0, 0.0])]
     assert got(topk.top_k(make(rows, SCHEMA), F.col("vec_id") % 20 == 0, 4)) == brute(rows, 20, 4)
