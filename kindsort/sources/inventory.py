@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank, null_tokens
+from . import pieces
+from .pieces import ends_open
 from ..functions.vocab import (
     CATEGORY_COL,
     EXPECTED_COLUMNS,
@@ -121,6 +123,7 @@ class Layout:
 
     columns: tuple[str, ...] | None
     files: tuple[str, ...]
+    largest: int = 0  # bytes of the largest file
 
 
 def header_of(head: str) -> tuple[str, ...] | None:
@@ -144,6 +147,19 @@ def header_of(head: str) -> tuple[str, ...] | None:
 HEADER_BYTES = 1 << 20
 
 
+def first_record(stream) -> str:
+    """The text of a file up to the end of its first record that is not blank, however long it is."""
+    data, at, inside = b"", 0, False
+    while chunk := stream.read(HEADER_BYTES):
+        data += chunk
+        while (end := data.find(b"\n", at)) >= 0:
+            line = data[at:end].decode("utf-8", "replace")
+            inside, at = ends_open(line.removeprefix("\ufeff"), inside), end + 1
+            if not inside and line.strip():
+                return data[:at].decode("utf-8", "replace")
+    return data.decode("utf-8", "replace")
+
+
 def layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
     """The files under ``paths`` grouped by header, one entry a layout.
 
@@ -159,31 +175,41 @@ def layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
             for path in pdf["path"]:
                 store, name = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
                 with store.open_input_stream(name) as f:
-                    out.append(header_of(f.read(HEADER_BYTES).decode("utf-8", "replace")))
-            yield pd.DataFrame({"path": pdf["path"], "header": out})
+                    out.append(header_of(first_record(f)))
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "header": out})
 
-    found = listed.mapInPandas(heads, "path string, header array<string>")
-    groups = found.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("files")).collect()
-    made = [Layout(tuple(g["header"]) if g["header"] is not None else None, tuple(g["files"])) for g in groups]
+    found = listed.mapInPandas(heads, "path string, length long, header array<string>")
+    groups = found.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("files"), F.max("length").alias("largest")).collect()
+    made = [Layout(tuple(g["header"]) if g["header"] is not None else None, tuple(g["files"]), g["largest"]) for g in groups]
     return sorted(made, key=lambda x: x.files)
 
 
-def _scan(spark: SparkSession, layout: Layout, multi_line: bool) -> tuple[DataFrame, str, Column]:
-    """Rows of one layout with the raw text of rows that don't fit, its column, and whether a row has surplus fields."""
+def _piece_bytes(spark: SparkSession) -> int:
+    """The size at which Spark cuts files for its tasks."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
+def _scan(spark: SparkSession, layout: Layout, multi_line: bool, file: str, place: str) -> tuple[DataFrame, str, Column]:
+    """Rows of one layout with the raw text of rows that don't fit, its column, and whether a row has surplus fields.
+
+    Column ``file`` names each row's file; ``place`` is its place there, null where the scan's own order tells it."""
     columns = list(layout.columns or ())
-    raw = fresh(columns, "_raw")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, raw]])
-    df = (
-        spark.read.schema(schema).options(**CSV_READ_OPTIONS)
-        .option("columnNameOfCorruptRecord", raw).option("multiLine", str(multi_line).lower())
-        .csv(list(layout.files))
-    )
+    raw = fresh([*columns, file, place], "_raw")
+    options = {k: CSV_READ_OPTIONS[k] for k in ("quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode", "maxCharsPerColumn")}
+    if multi_line and layout.largest > _piece_bytes(spark):
+        df = pieces.rows(spark, list(layout.files), columns, raw, file, place, options)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, raw]])
+        df = (
+            spark.read.schema(schema).options(**CSV_READ_OPTIONS)
+            .option("columnNameOfCorruptRecord", raw).option("multiLine", str(multi_line).lower())
+            .csv(list(layout.files))
+        ).withColumns({file: F.col("_metadata.file_path"), place: F.lit(None).cast("long")})
     # too few fields are nulls, as before: an end mark added to such a row stands among the header's
     # columns, in a row with too many it falls beyond them
     names = [f"c{i}" for i in range(len(columns))]
-    options = {k: CSV_READ_OPTIONS[k] for k in ("quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode")}
     marked = F.concat(F.regexp_replace(F.col(f"`{raw}`"), r"[\r\n]+$", ""), F.lit("," + END_MARK))
-    fields = F.from_csv(marked, ", ".join(f"{c} string" for c in names), options | {"maxCharsPerColumn": "-1"})
+    fields = F.from_csv(marked, ", ".join(f"{c} string" for c in names), options)
     short = F.array_contains(F.array(*(fields[c] for c in names)), F.lit(END_MARK))
     # always true, and reads a column: Spark refuses to scan a file for the raw rows alone
     anchor = F.coalesce(F.length(F.col(f"`{columns[0]}`")), F.lit(0)) >= 0
@@ -206,9 +232,9 @@ def read_inventory_csv(
     header are left out here and found in :func:`read_rejects`.  A position
     column increases along each file, a file column names it (:func:`added`).
 
-    With ``multi_line`` (quoted newlines allowed) a file is read by one task;
-    single-line inventories should pass ``multi_line=False`` so large files are
-    split across tasks.  ``measures`` parses the measure columns to double."""
+    With ``multi_line`` (quoted newlines allowed) a file is read by one task if Spark
+    would not cut it; larger ones are read in pieces by many (:mod:`.pieces`, three
+    passes).  ``multi_line=False`` is one pass over files of any size.  ``measures`` parses the measure columns to double."""
     groups = found if found is not None else layouts(spark, path)
     readable = [g for g in groups if g.columns]
     if not readable:
@@ -221,11 +247,13 @@ def read_inventory_csv(
     every = list(dict.fromkeys(c for g in readable for c in g.columns))
     pos, name = fresh(every, POSITION_COL), fresh(every, FILE_COL)
     parts = []
-    for k, g in enumerate(readable):
-        df, raw, surplus = _scan(spark, g, multi_line)
-        df = normalize_nulls(df.where(~surplus).withColumn(name, F.col("_metadata.file_path")).drop(raw), list(g.columns))
-        parts.append(df.withColumn(pos, F.monotonically_increasing_id() + F.lit(k << 56)))
+    for g in readable:
+        df, raw, surplus = _scan(spark, g, multi_line, name, pos)
+        parts.append(normalize_nulls(df.where(~surplus).drop(raw), list(g.columns)))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # places of large files are told apart by a hash of the file's name in the upper bits
+    placed = F.shiftleft(F.pmod(F.xxhash64(F.col(f"`{name}`")), F.lit(1 << 19)), 44) + F.col(f"`{pos}`")
+    df = df.withColumn(pos, F.coalesce(placed, F.monotonically_increasing_id()))
     df = df.select(*[f"`{c}`" for c in every], F.col(f"`{name}`").alias(name, metadata={MARK: "file"}), F.col(f"`{pos}`").alias(pos, metadata={MARK: "position"}))
     return cast_measures(df) if measures else df
 
@@ -239,8 +267,9 @@ def read_rejects(spark: SparkSession, path: str | list[str], multi_line: bool =
     parts = [spark.createDataFrame([(f, "no header", None) for g in groups if not g.columns for f in g.files], REJECT_SCHEMA)]
     for g in groups:
         if g.columns:
-            df, raw, surplus = _scan(spark, g, multi_line)
-            parts.append(df.where(surplus).select(F.col("_metadata.file_path").alias("file"), F.lit(f"more than {len(g.columns)} fields").alias("reason"), F.col(f"`{raw}`").alias("raw")))
+            file, place = fresh(list(g.columns), FILE_COL), fresh(list(g.columns), POSITION_COL)
+            df, raw, surplus = _scan(spark, g, multi_line, file, place)
+            parts.append(df.where(surplus).select(F.col(f"`{file}`").alias("file"), F.lit(f"more than {len(g.columns)} fields").alias("reason"), F.col(f"`{raw}`").alias("raw")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -240,7 +240,7 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
             done, seen = [], []
             for name in ("rows", "rejects"):
                 _clear(spark, f"{out_dir}/{name}/{BATCH_KEY}={batch_id}")
-            for one in [Layout(g.columns, (f,)) for g in good for f in g.files]:
+            for one in [Layout(g.columns, (f,), g.largest) for g in good for f in g.files]:
                 if why := _read_fault(lambda one=one: seen.append(write_rows(spark, [one], batch_id))):
                     _clear(spark, f"{out_dir}/rows/{BATCH_KEY}={batch_id}/{FILE_KEY}={_id(one.files[0])}")
                     note(one.files[0], "quarantined", why, None)

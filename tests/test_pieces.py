@@ -1,0 +1,148 @@
+"""Large quoted CSV files read in pieces against Python's reader and Spark's one-task reader."""
+
+import csv
+import io
+import os
+import random
+import tempfile
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kindsort.sources import inventory as S
+from kindsort.sources import pieces
+
+HEAD = ["ITEM_NO", "DESCRIPTION", "VENDOR_NAME"]
+
+
+@pytest.fixture
+def small_pieces(spark):
+    """Spark cuts files every 100 bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def some_rows(rng, n):
+    cell = lambda: "".join(rng.choice(['a', 'é', ' ', ',', '"', '\n', "x\ny", '""', "word "]) for _ in range(rng.choice((1, 3, 8, 40))))
+    return [[f"n{i}", "d" + cell() + "e", "v" + cell() + "w"] for i in range(n)]
+
+
+def written(rows, lineterminator="\n", **kw):
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator=lineterminator, **kw).writerows([HEAD, *rows])
+    return out.getvalue()
+
+
+def place(text):
+    d = tempfile.mkdtemp(prefix="kindsort-test-", dir="/tmp")
+    with open(os.path.join(d, "a.csv"), "w", newline="") as f:
+        f.write(text)
+    return d
+
+
+def cells(df):
+    return [tuple(r) for r in df.orderBy(S.position_column(df)).select(*HEAD).collect()]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cells_across_piece_borders(spark, small_pieces, seed):
+    rows = some_rows(random.Random(seed), 120)
+    d = place(written(rows))
+    df = S.read_inventory_csv(spark, d)
+    assert pieces._lines(spark, [f"{d}/a.csv"]).rdd.getNumPartitions() > 10
+    assert cells(df) == [tuple(r) for r in rows]
+    positions = [r[0] for r in df.select(S.position_column(df)).collect()]
+    assert len(set(positions)) == len(positions)
+
+
+def test_equal_to_the_one_task_reader(spark, small_pieces):
+    rng = random.Random(9)
+    text = written(some_rows(rng, 40)) + 'q1,5" pipe,"a"b\n\nq2,"x ""y"" z",\nq3,only two\nq4,a,b,c,"d\ne"\nq5," ",  "not quoted"\n"q6","",""\n'
+    d = place(text)
+    many = S.read_inventory_csv(spark, d)
+    many_bad = sorted(r.raw for r in S.read_rejects(spark, d).collect())
+    got = cells(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100m")
+    assert got == cells(S.read_inventory_csv(spark, d))
+    assert many_bad == sorted(r.raw for r in S.read_rejects(spark, d).collect()) and len(many_bad) == 1
+
+
+def test_one_cell_over_many_pieces(spark, small_pieces):
+    rows = [["1", "a", "b"], ["2", "line one\n" + "long line, \"quoted\"\n" * 80, "c"], ["3", "d", "e"], ["4", "x\n" * 200, "y\n" * 100]]
+    assert cells(S.read_inventory_csv(spark, place(written(rows)))) == [tuple(r) for r in rows]
+
+
+def test_carriage_returns(spark, small_pieces):
+    rows = [[str(i), f"two\nlines {i}" if i % 3 == 0 else "one", "v"] for i in range(60)]
+    text = written(rows).replace("\n", "\r\n")
+    assert cells(S.read_inventory_csv(spark, place(text))) == [tuple(r) for r in rows]
+
+
+def test_more_open_pieces_than_are_sent(spark, small_pieces, monkeypatch):
+    monkeypatch.setattr(pieces, "SENT", 1)
+    rows = some_rows(random.Random(4), 60)
+    assert cells(S.read_inventory_csv(spark, place(written(rows)))) == [tuple(r) for r in rows]
+
+
+def test_several_files_and_layouts(spark, small_pieces):
+    rng = random.Random(5)
+    d = place(written(some_rows(rng, 30)))
+    with open(f"{d}/b.csv", "w", newline="") as f:
+        f.write(written(some_rows(rng, 30)))
+    with open(f"{d}/c.csv", "w", newline="") as f:
+        f.write("VENDOR_NAME,DESCRIPTION,ITEM_NO\nv,d,1\n")
+    df = S.read_inventory_csv(spark, d)
+    assert df.count() == 61 and df.where("ITEM_NO = '1' and VENDOR_NAME = 'v'").count() == 1
+    by_file = df.groupBy(S.added(df, "file")).count().collect()
+    assert sorted(r["count"] for r in by_file) == [1, 30, 30]
+
+
+@given(st.text(alphabet='a,"\n', max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_line_states_agree_with_a_character_scan(text):
+    """State after each line of a text, by a plain walk over its characters."""
+    inside, at_start, i, want = False, True, 0, []
+    while i < len(text):
+        c = text[i]
+        if inside:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                i += 1
+            elif c == '"':
+                inside = at_start = False
+        elif c == '"' and at_start:
+            inside, at_start = True, False
+        else:
+            at_start = c in ",\n"
+        if c == "\n":
+            want.append(inside)
+        i += 1
+    state, got = False, []
+    for line in text.split("\n")[:-1]:
+        state = pieces.ends_open(line, state)
+        got.append(state)
+    assert got == want
+
+
+def test_a_header_of_any_length(spark):
+    names = [f"{'n' * 200}{i}" for i in range(8000)]  # 1.6 MB
+    d = place(",".join([*HEAD, *names]) + "\n" + ",".join(["1", "glove", "A"] + ["x"] * len(names)) + "\n")
+    (found,) = S.layouts(spark, d)
+    assert found.columns == (*HEAD, *names)
+
+
+def test_many_layouts(spark):
+    d = place("DESCRIPTION,VENDOR_NAME,ITEM_NO\nglove,A,x\n")
+    for i in range(140):
+        with open(f"{d}/f{i}.csv", "w") as f:
+            f.write(f"ITEM_NO,DESCRIPTION,VENDOR_NAME,C{i}\n{i},glove,A,c\n")
+    few = S.layouts(spark, d)
+    assert len(few) == 141
+    df = S.read_inventory_csv(spark, d, found=few, multi_line=False)
+    assert df.select(F.count_distinct(S.position_column(df))).first()[0] == 141
