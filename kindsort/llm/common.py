@@ -37,20 +37,21 @@ def fold_of(key: Column, k: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(k)
 
 
-def sampled(df: DataFrame, by: str, per_class: int, key: str = "doc_id") -> DataFrame:
+def sampled(df: DataFrame, by: str, per_class: int, key: tuple[str, ...] = ("doc_id",), most_classes: int = 200, in_all: int | None = None) -> DataFrame:
     """About ``per_class`` rows of each value of ``by``, picked by a hash of ``key``.
 
     The values of ``by`` are counted first; a row stays if its hash is below its
     class's share, so the sample has about ``per_class`` rows a class at any input
-    size, a class of fewer rows stays whole, and a rerun picks the same rows.  One
-    driver row for each class: meant for classes such as labels or languages.
+    size, a class of fewer rows stays whole, and a rerun picks the same rows.  The
+    ``most_classes`` values with the most rows take part, with ``in_all`` rows together.
     """
-    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().collect()
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most_classes).collect()
+    per_class = min(per_class, max(1, in_all // max(1, len(counts)))) if in_all else per_class
     keep = F.lit(False)
     unit = 1 << 31
     for row in sorted(counts, key=lambda r: str(r[0])):
         share = min(unit, max(1, unit * per_class // max(1, row["count"])))
-        keep = keep | ((F.col(by) == F.lit(row[0])) & (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(unit)) < F.lit(share)))
+        keep = keep | ((F.col(by) == F.lit(row[0])) & (F.pmod(F.xxhash64(F.lit("sample"), *map(F.col, key)), F.lit(unit)) < F.lit(share)))
     return df.where(keep)
 
 
@@ -60,18 +61,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     The labels are sampled before the texts are fetched, so the documents are scanned
     once against at most a few thousand ids (a size set by ``per_class``) and never
     shuffled.  Texts above ``max_chars`` are not learned from (they are scored whole).
-    A document with several labels takes the largest.  ``held_out``: the fold that is
+    A document with several labels takes the largest, and rows that share an id are one,
+    so at most ``4 * per_class`` texts come to the driver.  ``held_out``: the fold that is
     never read; None reads all.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     if held_out is not None:
         rows = rows.where(fold_of(F.col("doc_id"), folds) != held_out)
-    ids = sampled(rows, "label", per_class).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = sampled(rows, "label", per_class).limit(4 * per_class)  # about twice per_class: the limit only makes it sure
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    got = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
+    found = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    got = one_row_each(found, "doc_id").collect()
     return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
 
 
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """Of the rows that share ``key`` the one of the smallest hash; combined before the shuffle."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.groupBy(key).agg(F.min_by(row, F.xxhash64(row)).alias("one_row")).select("one_row.*")
+
+
 def key_filter(keys: DataFrame, key: str) -> Column:
     """A fixed-size bit set of the column ``key``, as a scalar subquery for ``maybe_in``.
 

@@ -39,7 +39,10 @@ def words_of(text: str) -> list[str]:
     nearly equal length, so that all of it is read and it weighs by its letters.
     """
     out: list[str] = []
-    for w in WORD.findall(text.lower()):
+    found = WORD.findall(text.lower())
+    if not text.isascii():  # fractions, superscripts, Roman and circled numbers are no letters
+        found = [part for w in found for part in ([w] if w.isascii() or w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    for w in found:
         if len(w) > LONGEST or (len(w) > PIECE and not w.isascii() and UNSPACED.search(w)):
             n = -(-len(w) // PIECE)
             out += [w[i * len(w) // n : (i + 1) * len(w) // n] for i in range(n)]
@@ -185,12 +188,16 @@ def fit(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 0.1, l2: fl
     return LanguageModel(languages, {f: w[i].astype(np.float32) for i, f in enumerate(names)}, change, lexicons)
 
 
-def train(documents: DataFrame, folds: int = 4, held_out: int | None = 2, per_language: int = 300, max_chars: int = 60_000) -> LanguageModel:
-    """Model from a bounded sample (``per_language`` documents of each language outside the held-out fold)."""
+def train(documents: DataFrame, folds: int = 4, held_out: int | None = 2, per_language: int = 300, max_chars: int = 60_000, most_languages: int = 200, in_all: int = 20_000) -> LanguageModel:
+    """Model from a bounded sample (``per_language`` documents of each language outside the held-out fold).
+
+    The ``most_languages`` languages with the most documents are learned, from ``in_all``
+    documents together; texts above ``max_chars`` are not learned from."""
     rows = documents.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null")
     if held_out is not None:
         rows = rows.where(fold_of(F.col("doc_id"), folds) != held_out)
-    got = sampled(rows, "lang", per_language).where(F.length("text") <= max_chars).collect()
+    some = sampled(rows, "lang", per_language, ("doc_id", "text"), most_languages, in_all).where(F.length("text") <= max_chars)
+    got = some.distinct().collect()  # rows that repeat are one
     return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
 
 

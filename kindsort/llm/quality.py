@@ -23,8 +23,8 @@ from .common import labelled_sample
 
 #: Bytes of a dictionary, and of the pieces compressed one by one (within a long piece the dictionary would fade).
 DICTIONARY, PIECE = 110 << 10, 2048
-#: Learning samples: bytes of a sample, and of one document's samples together.
-SAMPLE, PER_DOCUMENT = 1024, 8192
+#: Learning samples: bytes of a sample, and samples of one document, spread over all of it.
+SAMPLE, PER_DOCUMENT = 1024, 8
 LEVEL = 3
 
 
@@ -40,12 +40,16 @@ class QualityModel:
     constant: float = 0.5
 
 
-def dictionary(texts: list[str]) -> bytes:
+def spread(data: bytes, most: int = PER_DOCUMENT) -> list[bytes]:
+    """All pieces of ``SAMPLE`` bytes of a short text; of a long one ``most``, at even distances from its beginning to its end."""
+    n = -(-len(data) // SAMPLE)
+    places = range(n) if n <= most else [i * (n - 1) // max(1, most - 1) for i in range(most)]
+    return [data[i * SAMPLE : (i + 1) * SAMPLE] for i in places]
+
+
+def dictionary(texts: list[str], per_document: int = PER_DOCUMENT) -> bytes:
     """A zstandard dictionary of the texts; the plain text itself where too little is there to train on."""
-    samples = []
-    for t in texts:
-        b = t.encode("utf-8", "replace")
-        samples += [b[i : i + SAMPLE] for i in range(0, min(len(b), PER_DOCUMENT), SAMPLE)]
+    samples = [piece for t in texts for piece in spread(t.encode("utf-8", "replace"), per_document)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, samples)) // 4), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -77,7 +81,7 @@ class Sizes:
         return [d, own, best, d * d, own * own, best * best, d * own, d * best, own * best]
 
 
-def fit(rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25) -> QualityModel:
+def fit(rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25, per_document: int = PER_DOCUMENT) -> QualityModel:
     """Dictionaries of all rows; calibration on rows that their dictionaries have not seen.
 
     ``rows``: (text, 0 or 1), bounded by the caller.  Each half is measured with the
@@ -90,7 +94,7 @@ def fit(rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25) -> Qu
     by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
     x, y = [], []
     for half in (0, 1):
-        sizes = Sizes(dictionary(by[1][half::2]), dictionary(by[0][half::2]))
+        sizes = Sizes(dictionary(by[1][half::2], per_document), dictionary(by[0][half::2], per_document))
         for k in (0, 1):
             x += [sizes.features(t) for t in by[k][1 - half :: 2]]
             y += [k] * len(by[k][1 - half :: 2])
@@ -103,12 +107,13 @@ def fit(rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25) -> Qu
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         hessian = (a * (even * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
         w += np.linalg.solve(hessian, a.T @ (even * (t - p)) - ridge * w)
-    return QualityModel(dictionary(by[1]), dictionary(by[0]), mean, scale, w)
+    return QualityModel(dictionary(by[1], per_document), dictionary(by[0], per_document), mean, scale, w)
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, per_class: int = 2000, max_chars: int = 60_000) -> QualityModel:
-    """Model from a bounded sample (``per_class`` labelled documents of each label)."""
-    return fit(labelled_sample(documents, labels, "quality", folds, held_out, per_class, max_chars))
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, per_class: int = 2000, max_chars: int = 60_000, per_document: int = PER_DOCUMENT) -> QualityModel:
+    """Model from a bounded sample: ``per_class`` labelled documents of each label of up to
+    ``max_chars`` characters, and for the dictionaries ``per_document`` kilobytes of each, spread over it."""
+    return fit(labelled_sample(documents, labels, "quality", folds, held_out, per_class, max_chars), per_document=per_document)
 
 
 def score_of(text: str | None, model: QualityModel, sizes: Sizes | None) -> float:

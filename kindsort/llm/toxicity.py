@@ -31,10 +31,12 @@ MEMO = 300_000
 
 @dataclass
 class ToxicityModel:
-    """``weights``: feature to weight; ``bias``: what is added to the weights of a sentence."""
+    """``weights``: feature to weight; ``bias``: what is added to the weights of a sentence;
+    ``constant``: the score of every text where there were not two labels to learn."""
 
     weights: dict[str, float]
     bias: float
+    constant: float | None = None
 
 
 def features(word: str) -> list[str]:
@@ -58,11 +60,11 @@ def fit(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.1, l2: f
 
     ``rows``: (text, 0 or 1), bounded by the caller.  ``least``: evidence (G test)
     that a feature's documents differ by label, below which it gets no weight.
-    Without rows of both labels the model is constant.
+    Without rows of both labels every text has one score (0.98 if all are toxic, else 0).
     """
     if len({y for _, y in rows}) < 2:
         only = rows[0][1] if rows else 0
-        return ToxicityModel({}, 4.0 if only else -6.0)
+        return ToxicityModel({}, 4.0 if only else -6.0, constant=0.98 if only else 0.0)
     # two passes over the texts, so that only numbers are held: which features tell the labels apart, then where they stand
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     for text, label in rows:
@@ -109,28 +111,32 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int
 
 
 class _Weights(dict):
-    """Weight of each word met, worked out once."""
+    """The weighted features of each word met, worked out once."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[tuple[str, float], ...]:
         get = self.weights.get
-        self[word] = w = sum(get(f, 0.0) for f in features(word))
-        return w
+        self[word] = known = tuple((f, w) for f in features(word) if (w := get(f)) is not None)
+        return known
 
 
 def judge(text: str | None, model: ToxicityModel, memo: _Weights, at: float) -> tuple[float, list[dict]]:
     """(probability, sentences of probability ``at`` or more) of one text."""
+    if model.constant is not None:
+        return model.constant, []
     log_none, found = 0.0, []
     for m in SENTENCE.finditer(text or ""):
         words = set(WORD.findall(m[0].lower()))
-        # a feature counts once a sentence, as in training; words share beginnings rarely enough to sum by word
-        known = sum(map(memo.__getitem__, words))
+        # a feature counts once a sentence, as in training, also where words share a beginning
+        known: dict[str, float] = {}
+        for features_of in filter(None, map(memo.__getitem__, words)):
+            known.update(features_of)
         if not known:
             continue
-        z = model.bias + known
+        z = model.bias + math.fsum(known.values())
         p = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
         log_none += math.log1p(-min(p, 1 - 1e-9))
         if p >= at:

@@ -100,3 +100,14 @@ def test_every_letter_of_a_run_without_spaces_counts():
     assert tagger.predict(["the dog and the house " + rows[1][0] * 900])[0][0] == "ja"
     model = langid.fit(ROWS)
     assert langid.Tagger(model).predict(["the dog and " + "z" * 60 + "derhundunddashausmitding" * 500])[0][0] == "de"
+
+
+def test_numbers_that_are_no_letters():
+    assert langid.words_of("\u00bd x\u00b2 \u2167 \u2460 a\u00bdb \u00e9t\u00e9") == ["x", "a", "b", "\u00e9t\u00e9"]
+    assert langid.Tagger(langid.fit(ROWS)).predict(["\u00bd \u00b2 \u2168", "\u2460"]) == [("und", 0.0)] * 2
+
+
+def test_samples_are_bounded(make):
+    rows = [(1, f"the dog number {i}", "en") for i in range(3000)] + [(2 + i, f"haus und hund {i}", f"l{i % 30}") for i in range(90)]
+    model = langid.train(make(rows, "doc_id long, text string, lang string"), held_out=None, most_languages=5)
+    assert len(model.languages) == 5 and "en" in model.languages

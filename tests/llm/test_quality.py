@@ -1,7 +1,10 @@
 """Quality: held-out accuracy, odd rows."""
 
+import math
 import zlib
 
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE
@@ -30,6 +33,35 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, make, folder):
     assert a.good == b.good and a.bad == b.bad and (a.weights == b.weights).all()
 
 
+def plain_score(text, model):
+    """The score by hand: sizes of 2 KB pieces under either dictionary and of the whole text, through the calibration."""
+    data = (text or "").encode()
+    size = {}
+    for name, known in (("good", model.good), ("bad", model.bad)):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(known), write_content_size=False, write_dict_id=False)
+        size[name] = sum(len(c.compress(data[i : i + 2048])) for i in range(0, len(data), 2048))
+    own = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data))
+    d = (size["good"] - size["bad"]) / max(1, *size.values())
+    n = max(1, len(data))
+    x, y = math.log((own + 1) / n), math.log(max(1, min(size.values())) / n)
+    f = np.clip((np.array([d, x, y, d * d, x * x, y * y, d * x, d * y, x * y]) - model.mean) / model.scale, -4, 4)
+    return 1 / (1 + math.exp(-np.clip(f @ model.weights[:-1] + model.weights[-1], -30, 30)))
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in op1_quality(spark, SF_ORACLE).collect():
+        assert abs(r["score"] - plain_score(texts[r["doc_id"]], model)) < 1e-9
+
+
+def test_samples_are_spread_over_the_whole_text():
+    data = bytes(i // 1024 % 256 for i in range(100 * 1024))
+    assert [p[0] for p in quality.spread(data)] == [0, 14, 28, 42, 56, 70, 84, 99]
+    assert b"".join(quality.spread(data[:5000])) == data[:5000] and quality.spread(b"") == [] and len(quality.spread(data, 1)) == 1
+
+
 def test_odd_rows(spark, make):
     good = [(f"the {i} quick brown fox jumps over lazy dog number {i * 7}. ", 1) for i in range(60)]
     bad = [(f"$$$ ### BUY {i}!! && %%% CLICK!! {i * 3} ", 0) for i in range(60)]

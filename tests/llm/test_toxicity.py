@@ -1,6 +1,8 @@
 """Toxicity: held-out accuracy, located sentences, odd rows."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE
 from kindsort.llm import toxicity
+from kindsort.llm.common import labelled_sample
 from kindsort.llm.queries import op4_toxicity
 
 
@@ -50,6 +53,38 @@ def test_constant_without_both_labels():
     assert toxicity.judge("a b", toxicity.fit([("x", 0)] * 5), toxicity._Weights({}), 0.5)[0] < 0.1
 
 
+def test_all_labels_toxic():
+    model = toxicity.fit([("x y", 1)] * 5)
+    for text in ("a b", "", None, "x y"):
+        assert toxicity.judge(text, model, toxicity._Weights(model.weights), 0.5)[0] > 0.9
+
+
+def plain_score(text, model):
+    """The trained model written out: noisy-or over sentences of the logistic of the summed weights of their distinct features."""
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        seen = {f for w in re.findall(r"\w+", sentence.lower()) for f in toxicity.features(w)} & model.weights.keys()
+        if seen:
+            none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights[f] for f in seen))))
+    return 1 - none
+
+
+def test_scores_equal_a_plain_version(spark, make, folder):
+    """Also where the words of one sentence share beginnings and endings, which count once."""
+    rows = corpus(600) + [("zorgaban zorgabel zorgabin zorgabor " * 9 + "zorgabun", 1), ("mitten mitteln mitternacht", 0)] * 20
+    sf = folder(documents=make([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), labels=make([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in op4_toxicity(spark, sf).collect()}
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), folds=3, held_out=1)
+    for i, (t, _) in enumerate(rows):
+        assert got[i] == pytest.approx(plain_score(t, model), abs=1e-9)
+
+
+def test_rows_that_share_an_id_are_learned_from_once(make):
+    docs = make([(1, f"t{i}") for i in range(5000)] + [(2, "b")], "doc_id long, text string")
+    labels = make([(1, 1, 0)] * 40 + [(2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert len(labelled_sample(docs, labels, "toxic", 3, None, 10, 100)) == 2
+
+
 def test_memo_starts_anew(spark, make, monkeypatch):
     model = toxicity.fit(corpus(400))
     texts = corpus(40, seed=6)
