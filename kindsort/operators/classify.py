@@ -129,24 +129,44 @@ def _answers(completions: DataFrame | None, stage_rid: str, norm) -> tuple[DataF
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16_000_000
 
 
-def _join_answers(df: DataFrame, ans: DataFrame, rid: str) -> DataFrame:
+def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False) -> DataFrame:
     """The rows with their answers; rows that no request left open are not shuffled.
 
     The answer table is written once and measured.  Up to ``BROADCAST_ROWS`` and
     ``BROADCAST_CHARS`` every task gets it and no row moves.  A larger one is
     joined by shuffle with the open rows alone: the rows are checkpointed, so the
     rules run once for both parts, and the decided rows pass beside the join.  A
-    request id shared by many rows is split by AQE's skew handling."""
+    request id shared by many rows is split by AQE's skew handling.  ``stored`` rows
+    are written already and not checkpointed again."""
     key, a = rid + "_k", rid + "_a"
     ans = ans.checkpoint()
     rows, chars = ans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(a)), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
         return df.join(F.broadcast(ans), df[rid] == ans[key], "left").drop(key)
-    x = df.checkpoint()
+    x = df if stored else df.checkpoint()
     still = x.where(F.col(rid).isNotNull()).join(ans, F.col(rid) == F.col(key), "left").drop(key)
     return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
 
 
+def apply_answers(stored: DataFrame, stage: str, completions: DataFrame) -> DataFrame:
+    """L3 on rows that were traced and written before: only the labels of open rows are looked at again.
+
+    ``stored``: output of :func:`categorize` or :func:`facility` with ``trace=True``, written
+    or checkpointed; the rules, request texts and ids are not worked out a second time.
+    All columns stay, the stage's label is filled in."""
+    prefix, label, norm = {
+        "category": ("_cat", CATEGORY_COL, lambda r: normalize_label(r, CATEGORY_LABELS)),
+        "facility": ("_fac", FACILITY_COL, lambda r: normalize_label(r, FACILITY_LABELS)),
+        "electricity": ("_ele", ELECTRICITY_COL, normalize_yes_no),
+    }[stage]
+    rid = f"{prefix}_rid"
+    ans, ans_col = _answers(completions, rid, norm)
+    rows = stored.drop(ans_col)
+    x = _join_answers(rows, ans, rid, stored=True)
+    told = F.when(F.col(f"{prefix}_src") == "residual", F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))).otherwise(F.col(f"`{label}`"))
+    return x.withColumn(label, F.coalesce(told, F.lit(NEEDS_REVIEW))).select(*(F.col(f"`{c}`") for c in rows.columns), ans_col)
+
+
 def _finish(df: DataFrame, helpers: list[str], trace: bool, given: list[str] | None = None) -> DataFrame:
     """Drop the helper columns this stage added (columns the caller passed in stay)."""
     if trace:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, percent
@@ -169,6 +169,29 @@ def sample(df: DataFrame, key: str, seed: int = 42, n: int = SAMPLE_SIZE) -> Dat
     return df.orderBy(h, F.col(f"`{key}`")).limit(n)
 
 
+def sample_state(df: DataFrame, key: str, seed: int = 42, n: int = SAMPLE_SIZE, by: list[str] | None = None) -> DataFrame:
+    """G3 in parts: the ``n`` rows of the smallest ``md5(seed || key)``, of each group ``by`` if given, with ``_place``.
+
+    What a file or batch stores of itself; every task keeps its own ``n`` rows a group."""
+    place = F.md5(F.concat(F.lit(str(seed)), F.col(f"`{key}`").cast("string")))
+    rows = df.withColumn("_place", place)
+    if not by:
+        return rows.orderBy("_place", F.col(f"`{key}`")).limit(n)
+    order = Window.partitionBy(*(F.col(f"`{c}`") for c in by)).orderBy("_place", F.col(f"`{key}`"))
+    number = "_number"
+    return rows.withColumn(number, F.row_number().over(order)).where(F.col(number) <= n).drop(number)
+
+
+def merged_sample(states: DataFrame, key: str, n: int = SAMPLE_SIZE, by: list[str] | None = None) -> DataFrame:
+    """G3 of all rows from the stored parts of :func:`sample_state`: the same rows that :func:`sample` picks, without a second pass.
+
+    A row among the first ``n`` of all is among the first ``n`` of its part."""
+    if not by:
+        return states.orderBy("_place", F.col(f"`{key}`")).limit(n).drop("_place")
+    order = Window.partitionBy(*(F.col(f"`{c}`") for c in by)).orderBy("_place", F.col(f"`{key}`"))
+    return states.withColumn("_number", F.row_number().over(order)).where(F.col("_number") <= n).drop("_number", "_place")
+
+
 def _fmt_pct(c: Column) -> Column:
     """One decimal, rounded half-even on the exact binary value (as Python's
     ``'%.1f'``); ``format_string`` would round the shortest decimal form half-up

@@ -421,9 +421,8 @@ def _fac_requests_sql(q: Q.Sql, with_answers: bool = True) -> str:
 
 
 def _answered_categories(spark, d) -> DataFrame:
-    inv = _matched(lineitem_inventory(spark, d))
-    comp = X.scripted_completions(L.requests(C.categorize(inv, trace=True), "category"))
-    return C.categorize(inv, completions=comp)
+    traced = C.categorize(lineitem_inventory(spark, d), trace=True).drop("_match").checkpoint()
+    return C.apply_answers(traced, "category", X.scripted_completions(L.requests(traced, "category")))
 
 
 def _fac_requests(spark, d) -> DataFrame:
@@ -568,9 +567,8 @@ def _q_apply():
 
 
 def _applied(spark, d) -> DataFrame:
-    cat = _answered_categories(spark, d)
-    fcomp = X.scripted_completions(L.requests(C.facility(cat, trace=True), "facility"))
-    return C.facility(cat, completions=fcomp)
+    traced = C.facility(_answered_categories(spark, d), trace=True).checkpoint()
+    return C.apply_answers(traced, "facility", X.scripted_completions(L.requests(traced, "facility")))
 
 
 @register("apply_completions", _q_apply())
@@ -802,13 +800,12 @@ def _pipeline_sql(q: Q.Sql, base: str) -> str:
 
 def _answers_for(df: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame | None]:
     """Scripted answers for every request a run of ``opts`` sends, stage by stage."""
-    cat_t = C.categorize(df, opts.preserve_existing, trace=True)
-    comp = X.scripted_completions(L.requests(cat_t, "category"))
+    cat_t = C.categorize(df, opts.preserve_existing, trace=True).checkpoint()
+    comp = X.scripted_completions(L.requests(cat_t, "category")).checkpoint()
     attempts = None
     if not opts.skip_facility:
-        cat = C.categorize(df, opts.preserve_existing, completions=comp)
-        fac_t = C.facility(cat, trace=True)
-        comp = comp.unionByName(X.scripted_completions(L.requests(fac_t, "facility")))
+        fac_t = C.facility(C.apply_answers(cat_t, "category", comp), trace=True)
+        comp = comp.unionByName(X.scripted_completions(L.requests(fac_t, "facility"))).checkpoint()
     if not opts.skip_descriptions:
         desc_t = C.describe(df, trace=True)
         attempts = X.scripted_attempts(L.requests(desc_t, "description"))
