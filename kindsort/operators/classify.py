@@ -148,21 +148,28 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False)
     return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
 
 
-def apply_answers(stored: DataFrame, stage: str, completions: DataFrame) -> DataFrame:
+def apply_answers(stored: DataFrame, stage: str, completions) -> DataFrame:
     """L3 on rows that were traced and written before: only the labels of open rows are looked at again.
 
     ``stored``: output of :func:`categorize` or :func:`facility` with ``trace=True``, written
     or checkpointed; the rules, request texts and ids are not worked out a second time.
-    All columns stay, the stage's label is filled in."""
+    ``completions``: a table of answers, or an :class:`kindsort.sinks.store.AnswerStore`,
+    in which the open rows look theirs up.  All columns stay, the stage's label is filled in."""
     prefix, label, norm = {
         "category": ("_cat", CATEGORY_COL, lambda r: normalize_label(r, CATEGORY_LABELS)),
         "facility": ("_fac", FACILITY_COL, lambda r: normalize_label(r, FACILITY_LABELS)),
         "electricity": ("_ele", ELECTRICITY_COL, normalize_yes_no),
     }[stage]
     rid = f"{prefix}_rid"
-    ans, ans_col = _answers(completions, rid, norm)
+    ans_col = f"{rid}_a"
     rows = stored.drop(ans_col)
-    x = _join_answers(rows, ans, rid, stored=True)
+    if hasattr(completions, "look_up"):
+        waiting = completions.look_up(rows.where(F.col(rid).isNotNull()), rid, ans_col)
+        waiting = waiting.withColumn(ans_col, norm(F.col(ans_col)))
+        x = rows.where(F.col(rid).isNull()).withColumn(ans_col, F.lit(None).cast("string")).unionByName(waiting)
+    else:
+        ans, _ = _answers(completions, rid, norm)
+        x = _join_answers(rows, ans, rid, stored=True)
     told = F.when(F.col(f"{prefix}_src") == "residual", F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))).otherwise(F.col(f"`{label}`"))
     return x.withColumn(label, F.coalesce(told, F.lit(NEEDS_REVIEW))).select(*(F.col(f"`{c}`") for c in rows.columns), ans_col)
 

@@ -8,12 +8,15 @@ from ..functions.rules import any_match_sql
 from ..functions.sqlfunctions import register_functions, register_results
 from ..functions.vocab import CATEGORY_COL, DISTRICT_KEYWORDS, FACILITY_COL, REVIEW_KEYWORDS, RURAL_KEYWORDS
 from ..operators import classify as C
+from ..operators import enrich as L
 from ..operators import report as R
 from ..session import work_path
+from ..sinks.store import AnswerStore
 from ..sources import inventory as S
 from ..sources.testview import lineitem_inventory, part_inventory
 from . import sqlforms as Q
-from .catalog import LI, PI, SAMPLE_SEED, _inv, _pinv, register
+from . import fixtures as X
+from .catalog import LI, PI, SAMPLE_SEED, _inv, _pinv, _q_categories_applied, register
 
 SLICES = 4
 #: Stated error of a merged distinct count.
@@ -89,3 +92,18 @@ def sql_views(spark, d):
     C.facility(C.categorize(lineitem_inventory(spark, d))).write.parquet(path)
     register_results(spark.read.parquet(path), "inventory_classified")
     return spark.sql(f"SELECT `{CATEGORY_COL}`, `{FACILITY_COL}`, items FROM inventory_classified_crosstab")
+
+
+@register("answer_store", _q_categories_applied())
+def answer_store(spark, d):
+    """K2/L3: answers of ten batches, older ones corrected by later, in a bucketed store that merges as it grows."""
+    traced = C.categorize(lineitem_inventory(spark, d), trace=True).drop("_match").checkpoint()
+    reqs = L.requests(traced, "category")
+    right, wrong = (X.scripted_completions(reqs, a).checkpoint() for a in (X.ANSWERS, X.ANSWERS[::-1]))
+    part = F.pmod(F.xxhash64("request_id"), F.lit(5))
+    store = AnswerStore(spark, work_path(spark, "answer-store"), buckets=16, merge_after=4)
+    for i in range(5):
+        store.append(wrong.where(part == i), i)
+    for i in range(5):
+        store.append(right.where(part == i), 5 + i)
+    return C.apply_answers(traced, "category", store).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL)
