@@ -148,28 +148,120 @@ def is_pem_key(label: str, body: str) -> bool:
     return (encrypted and len(data) >= 32) or is_der_key(data) or is_ssh_key(data)
 
 
-def wrapped_key(text: str, m: re.Match) -> int | None:
-    """End of the key whose first line is ``m``: lines of one width, the last may be shorter."""
-    head = b"" if m[0][0] not in "Mb" or m[0].endswith("=") else unbase64(m[0][:24]) or b""
-    if head[:1] == b"0" and 0x81 <= head[1] <= 0x84:  # a DER sequence says its length
-        n = head[1] & 0x7F
-        most = (int.from_bytes(head[2 : 2 + n], "big") + 2 + n + 2) // 3 * 4
-    elif head[:1] == b"0" and head[1] < 0x80:
-        most = (head[1] + 4) // 3 * 4
-    elif head.startswith(b"openssh-key-v1"):
-        most = len(text)
-    else:
+def may_be_key(tags: list[int]) -> bool:
+    """Whether the first elements of a DER sequence can be those of a key (see :func:`is_der_key`)."""
+    def begins(*shape: int) -> bool:
+        return all(a == b for a, b in zip(tags, shape, strict=False))
+
+    pkcs1, pkcs8, encrypted = begins(*[0x02] * 9), begins(0x02, 0x30, 0x04), begins(0x30, 0x04) and len(tags) <= 2
+    return pkcs1 or pkcs8 or encrypted or (begins(0x02, 0x04) and set(tags[2:]) <= {0xA0, 0xA1})
+
+
+class Wrapped:
+    """Base64 over lines of one width, from a line on: any byte of what it decodes to, without decoding the rest.
+
+    Lines are looked for once a text: those after a line are the same whichever key begins before them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.after: dict[int, tuple[list[tuple[int, int]], int]] = {}  # start of a line: its stretch, place in it
+
+    def stretch(self, m: re.Match) -> tuple[list[tuple[int, int]], int]:
+        """(start, end) of the lines of the width of ``m`` that follow each other, the last perhaps shorter, and the place of ``m``."""
+        known = self.after.get(m.start())
+        if known and known[0][known[1]][1] == m.end():
+            return known
+        width, lines, end = m.end() - m.start(), [(m.start(), m.end())], m.end()
+        while (gap := EOL.match(self.text, end)) and (line := LINE.match(self.text, gap.end())):
+            size = line.end() - line.start()
+            if size > width:
+                break
+            lines.append((line.start(), line.end()))
+            end = line.end()
+            if size < width or line[0].endswith("="):
+                break
+        for i, (a, b) in enumerate(lines):
+            if b - a == width:  # a shorter one ends this stretch, but may begin another
+                self.after[a] = (lines, i)
+        return lines, 0
+
+    def chars(self, lines: list[tuple[int, int]], first: int, at: int, n: int) -> str:
+        """``n`` characters from the ``at``-th of the lines joined from ``first`` on."""
+        width, out = lines[first][1] - lines[first][0], []
+        i, skip = first + at // width, at % width
+        while n > 0 and i < len(lines):
+            a, b = lines[i]
+            out.append(self.text[a + skip : min(b, a + skip + n)])
+            n -= len(out[-1])
+            i, skip = i + 1, 0
+        return "".join(out)
+
+    def data(self, lines: list[tuple[int, int]], first: int, at: int, n: int) -> bytes:
+        """Bytes ``at`` to ``at + n`` of what the lines decode to, fewer past the end or where it is no base64."""
+        start = at // 3 * 4
+        got = self.chars(lines, first, start, (at % 3 + n + 2) // 3 * 4).rstrip("=")
+        whole = unbase64(got[: len(got) - (len(got) % 4 == 1)]) or b""
+        return whole[at % 3 : at % 3 + n]
+
+    def promised(self, lines: list[tuple[int, int]], first: int) -> int | None:
+        """Bytes of the key that begins with a line, by its nested lengths; None if they cannot be those of a key.
+
+        Only headers are read: the outer length and up to nine elements of a DER sequence,
+        or the five fields of an OpenSSH key."""
+        room = sum(b - a for a, b in (lines[first], lines[-1])) + (len(lines) - first - 2) * (lines[first][1] - lines[first][0]) if len(lines) - first > 1 else lines[first][1] - lines[first][0]
+        most = room * 3 // 4
+        head = self.data(lines, first, 0, 15)
+        if head == b"openssh-key-v1\0":
+            at = 15
+            for i in range(5):
+                at += 4 * (i == 3)
+                size = self.data(lines, first, at, 4)
+                at += 4 + int.from_bytes(size, "big")
+                if len(size) < 4 or at > most:
+                    return None
+            return at
+        if head[:1] != b"0" or (outer := self._header(head[:6])) is None or sum(outer) > most:
+            return None
+        end, at, tags = sum(outer), outer[0], []
+        while at < end and len(tags) < 9:
+            cell = self.data(lines, first, at, 6)
+            inner = self._header(cell)
+            if inner is None or at + sum(inner) > end:
+                return None
+            tags.append(cell[0])
+            at += sum(inner)
+            if not may_be_key(tags):
+                return None
+        return end
+
+    @staticmethod
+    def _header(data: bytes) -> tuple[int, int] | None:
+        """Bytes of a DER header and of its content."""
+        if len(data) < 2:
+            return None
+        if data[1] < 0x80:
+            return 2, data[1]
+        n = data[1] & 0x7F
+        return (2 + n, int.from_bytes(data[2 : 2 + n], "big")) if 1 <= n <= 4 and len(data) >= 2 + n else None
+
+
+def wrapped_key(text: str, m: re.Match, wrapped: Wrapped | None = None) -> int | None:
+    """End of the key whose first line is ``m``: lines of one width, the last may be shorter.
+
+    Nothing is decoded whole unless the lengths at its beginning can be those of a key."""
+    if m[0][0] not in "Mb" or m[0].endswith("="):
+        return None
+    wrapped = wrapped or Wrapped(text)
+    lines, first = wrapped.stretch(m)
+    if len(lines) - first < 2 or (size := wrapped.promised(lines, first)) is None:
         return None
-    width, lines, end, short = len(m[0]), [m[0]], m.end(), None
-    while len(lines) * width < most and (gap := EOL.match(text, end)) and (line := LINE.match(text, gap.end())):
-        if len(line[0]) != width or line[0].endswith("="):
-            short = line if len(line[0]) <= width else None
-            break
-        lines.append(line[0])
-        end = line.end()
-    for more, stop in (([], end), ([short[0]], short.end()) if short else ([], 0)):
-        if stop > m.end() and (data := unbase64("".join(lines + more))) and (is_der_key(data) or is_ssh_key(data)):
-            return stop
+    width, chars = lines[first][1] - lines[first][0], (size + 2) // 3 * 4
+    # the key ends in the line that holds its last character; a line that is cut short by padding ends it too
+    last = min(first + max(0, (chars - 1) // width), len(lines) - 1)
+    for stop in (last, last - 1):
+        body = "".join(text[a:b] for a, b in lines[first : stop + 1])
+        if stop > first and (data := unbase64(body)) and (is_der_key(data) or is_ssh_key(data)):
+            return lines[stop][1]
     return None
 
 
@@ -200,11 +292,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     if "-----BEGIN " in text:
         armoured = [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2])]
         out += armoured
-    done = 0
+    done, wrapped = 0, Wrapped(text)
     for m in BASE64.finditer(text):
         if (data := unbase64(m[0])) and (is_der_key(data) or is_ssh_key(data)):
             out.append((m.start(), 5, m.end()))
-        elif m.start() >= done and not any(a < m.start() < b for a, _, b in armoured) and (end := wrapped_key(text, m)):
+        elif m.start() >= done and not any(a < m.start() < b for a, _, b in armoured) and (end := wrapped_key(text, m, wrapped)):
             out.append((m.start(), 5, end))
             done = end
     return sorted(out)

@@ -206,10 +206,15 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0
     of its own and holds a key and a length a document.  The manifest, one row a shard,
     is a table in ``folder`` and names the file of the attempt that was committed, so a
     lost or doubled task leaves at most a file that nobody names.  Null keys come
-    first; repeated rows follow each other.
+    first; rows that share a key follow each other by text, and where they are more than
+    a shard holds, texts that begin alike may follow in another order.
     """
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shards, "key") if shards else rows.repartitionByRange("key")
+    parts = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, most = rows.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    # a key with more rows than a shard has on average is cut by its texts, and equal beginnings by their place
+    by = ["key", F.substring("text", 1, 32), F.monotonically_increasing_id()] if most * parts > n and most > 1 else ["key"]
+    dealt = rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 import re
 
 from hypothesis import given, settings
@@ -135,3 +136,17 @@ def test_upper_case_hex_and_any_header():
         token = f"{part(head)}.{part(b'{}')}.c2ln"
         for text in (token, f"see example.{token}", f'"a\\n{token}"'):
             assert [text[a:b] for a, k, b in secrets.spans(text) if k == 3] == [token]
+
+
+def test_many_beginnings_of_wrapped_keys_take_time_in_proportion():
+    """Heads of keys without their bodies, thousands of lines: each is told by its lengths."""
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0\0\0\0\1\0\0\0\x33" + b"k" * 9).decode()[:64]
+    rsa = base64.b64encode(b"0\x82\x7f\xf0\2\1\0\2\x82\1\1" + b"k" * 40).decode()[:64]
+    for line in (ssh, rsa):
+        seconds = []
+        for n in (4000, 16000):
+            text = (line + "\n") * n
+            t0 = time.perf_counter()
+            secrets.spans(text)
+            seconds.append(time.perf_counter() - t0)
+        assert seconds[1] < 8 * seconds[0] + 0.2 and seconds[1] < 5

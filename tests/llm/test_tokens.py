@@ -103,3 +103,10 @@ def test_any_document_by_select(make, spark, tmp_path):
 
 def test_empty_table(make):
     assert got(tokens.encode_documents(make([], SCHEMA), TOKENIZER)) == []
+
+
+def test_a_key_on_most_rows_fills_several_shards(make, tmp_path):
+    rows = [(7, f"t{i} words") for i in range(400)] + [(None, f"n{i}") for i in range(200)] + [(i, "x y") for i in range(30)]
+    made = tokens.write_ids(make(rows, SCHEMA).repartition(5), str(tmp_path / "ids"), TOKENIZER, shards=8).collect()
+    assert len(made) >= 6 and max(m["docs"] for m in made) < 250
+    assert got(tokens.encode_documents(make(rows, SCHEMA), TOKENIZER)) == expected(rows)
