@@ -148,6 +148,23 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False)
     return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
 
 
+def _with_answers(df: DataFrame, completions, rid: str, norm, stored: bool = False) -> tuple[DataFrame, str]:
+    """``df`` with the normalised answer to ``rid`` as a further column, and its name ("" without completions).
+
+    In an answer store the open rows look theirs up; for that, rows that are not stored
+    yet are written once, and the decided ones pass beside."""
+    if completions is None:
+        return df, ""
+    ans_col = f"{rid}_a"
+    if not hasattr(completions, "look_up"):
+        ans, _ = _answers(completions, rid, norm)
+        return _join_answers(df, ans, rid, stored), ans_col
+    x = df if stored else df.checkpoint()
+    waiting = completions.look_up(x.where(F.col(rid).isNotNull()), rid, ans_col)
+    waiting = waiting.withColumn(ans_col, norm(F.col(ans_col)))
+    return x.where(F.col(rid).isNull()).withColumn(ans_col, F.lit(None).cast("string")).unionByName(waiting), ans_col
+
+
 def apply_answers(stored: DataFrame, stage: str, completions) -> DataFrame:
     """L3 on rows that were traced and written before: only the labels of open rows are looked at again.
 
@@ -161,15 +178,8 @@ def apply_answers(stored: DataFrame, stage: str, completions) -> DataFrame:
         "electricity": ("_ele", ELECTRICITY_COL, normalize_yes_no),
     }[stage]
     rid = f"{prefix}_rid"
-    ans_col = f"{rid}_a"
-    rows = stored.drop(ans_col)
-    if hasattr(completions, "look_up"):
-        waiting = completions.look_up(rows.where(F.col(rid).isNotNull()), rid, ans_col)
-        waiting = waiting.withColumn(ans_col, norm(F.col(ans_col)))
-        x = rows.where(F.col(rid).isNull()).withColumn(ans_col, F.lit(None).cast("string")).unionByName(waiting)
-    else:
-        ans, _ = _answers(completions, rid, norm)
-        x = _join_answers(rows, ans, rid, stored=True)
+    rows = stored.drop(f"{rid}_a")
+    x, ans_col = _with_answers(rows, completions, rid, norm, stored=True)
     told = F.when(F.col(f"{prefix}_src") == "residual", F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))).otherwise(F.col(f"`{label}`"))
     return x.withColumn(label, F.coalesce(told, F.lit(NEEDS_REVIEW))).select(*(F.col(f"`{c}`") for c in rows.columns), ans_col)
 
@@ -191,7 +201,9 @@ def categorize(
     trace: bool = False,
     engine: str = ENGINE,
 ) -> DataFrame:
-    """C3 product category with P6 preserve, C1/C2 rules, L3 answers and C4 trace."""
+    """C3 product category with P6 preserve, C1/C2 rules, L3 answers and C4 trace.
+
+    ``completions``: a table of answers or an answer store (in every stage)."""
     d = opt_col(df, "DESCRIPTION", "")
     v = opt_col(df, "VENDOR_NAME")
     s = opt_col(df, "SUBCATEGORY")
@@ -214,9 +226,8 @@ def categorize(
     x = x.withColumn("_cat_ctx", F.when(resid, ctx)).withColumn(
         "_cat_rid", F.when(resid, request_id("category", F.col("_cat_ctx")))
     )
-    ans, ans_col = _answers(completions, "_cat_rid", lambda r: normalize_label(r, CATEGORY_LABELS))
-    if ans is not None:
-        x = _join_answers(x, ans, "_cat_rid")
+    x, ans_col = _with_answers(x, completions, "_cat_rid", lambda r: normalize_label(r, CATEGORY_LABELS))
+    if ans_col:
         answered = F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))
     else:
         answered = F.lit(NEEDS_REVIEW)
@@ -275,9 +286,8 @@ def facility(
     x = x.withColumn("_fac_ctx", F.when(resid, ctx)).withColumn(
         "_fac_rid", F.when(resid, request_id("facility", F.col("_fac_ctx")))
     )
-    ans, ans_col = _answers(completions, "_fac_rid", lambda r: normalize_label(r, FACILITY_LABELS))
-    if ans is not None:
-        x = _join_answers(x, ans, "_fac_rid")
+    x, ans_col = _with_answers(x, completions, "_fac_rid", lambda r: normalize_label(r, FACILITY_LABELS))
+    if ans_col:
         answered = F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))
     else:
         answered = F.lit(NEEDS_REVIEW)
@@ -321,9 +331,8 @@ def electricity(
     x = x.withColumn("_ele_ctx", F.when(resid, ctx)).withColumn(
         "_ele_rid", F.when(resid, request_id("electricity", F.col("_ele_ctx")))
     )
-    ans, ans_col = _answers(completions, "_ele_rid", normalize_yes_no)
-    if ans is not None:
-        x = _join_answers(x, ans, "_ele_rid")
+    x, ans_col = _with_answers(x, completions, "_ele_rid", normalize_yes_no)
+    if ans_col:
         answered = F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))
     else:
         answered = F.lit(NEEDS_REVIEW)

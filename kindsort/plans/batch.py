@@ -9,6 +9,7 @@ executor only recomputes its own tasks and nothing is cached across jobs.
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -19,7 +20,8 @@ from ..functions.vocab import CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL
 from ..operators.classify import MATCHED, categorize, describe, facility
 from ..operators.enrich import batch_of, finished, first_rows, pending, request_kinds, requests, resolve_attempts, with_row_index
 from ..operators.report import headed, observe_progress, summary_report
-from ..sinks import RunRecord, append_completions, read_completions, write_csv, write_parquet, write_report
+from ..sinks import RunRecord, write_csv, write_parquet, write_report
+from ..sinks.store import AnswerStore
 from ..sources.inventory import MARK, added, data_columns, fresh, layouts, position_column, read_inventory_csv, read_rejects
 
 
@@ -118,17 +120,19 @@ def run(
     ``request_kinds`` (what each stage's requests ask for), ``summary`` and
     ``run_record`` (seconds and rows of each stage, one run after the other).
 
-    ``completions`` are added to the answer ``store`` (if one is named) and the
-    stored answers of earlier runs are applied with them.  Running again with the
+    ``completions`` are added to the answer ``store`` (if one is named: a folder, see
+    :class:`kindsort.sinks.store.AnswerStore`) and the stored answers of earlier runs are
+    applied with them.  Running again with the
     answers to ``requests`` applies them; facility requests carry the category, so
     they are issued once the category answers are there.  A description request
     comes again until it is answered or has failed three times."""
     began = datetime.now(timezone.utc)
     rec = RunRecord(spark)
     if store is not None:
+        kept = AnswerStore(spark, store)
         if completions is not None:
-            append_completions(completions, store, "given")
-        completions = read_completions(spark, store) if has_answers(spark, store) else None
+            kept.append(completions, int(time.time() * 1000))
+        completions = kept
     found = layouts(spark, input_path)
     df = read_inventory_csv(spark, input_path, multi_line=opts.multi_line, found=found)
     pos = position_column(df)
@@ -147,7 +151,8 @@ def run(
     rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, found), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
     if csv:
         rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=order), None)[1])
-    done = completions.select("request_id") if completions is not None else None
+    answers = completions.answers() if isinstance(completions, AnswerStore) else completions
+    done = answers.select("request_id") if answers is not None else None
     if attempts is not None:
         tried = finished(resolve_attempts(attempts))
         done = tried if done is None else done.unionByName(tried)
@@ -161,8 +166,3 @@ def run(
     rec.append_to(f"{output_path}/run_record")
     return rec
 
-
-def has_answers(spark: SparkSession, store: str) -> bool:
-    """Whether anything was appended to an answer store yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

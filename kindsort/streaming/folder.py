@@ -260,6 +260,8 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
 
 def answered(completions: DataFrame | None, attempts: DataFrame | None) -> DataFrame | None:
     """``request_id`` of the requests that need no further answer."""
+    if hasattr(completions, "look_up"):
+        completions = completions.answers()
     parts = [] if completions is None else [completions.where(F.col("response").isNotNull()).select("request_id")]
     parts += [] if attempts is None else [finished(resolve_attempts(attempts))]
     return reduce(DataFrame.union, parts).distinct() if parts else None
@@ -358,7 +360,8 @@ def run_folder(
     Under ``out_dir``: ``arrivals`` (the ledger), ``rows`` (each file's widened table),
     ``counts`` (changes of its labels), ``files`` (what became of it), ``rejects``,
     ``asked`` and ``requests`` (what is to be answered, each once ever) and ``progress``.
-    With ``completions`` or ``attempts`` the files that wait for them are labelled anew."""
+    With ``completions`` (a table or an answer store) or ``attempts`` the files that wait
+    for them are labelled anew."""
     done = answered(completions, attempts)
     if done is not None:
         reopen(spark, out_dir, done, max_files)
