@@ -1,4 +1,5 @@
-"""Command line: ``python -m kindsort --input inv.csv --output out/``.
+"""Command line: ``python -m kindsort --input inv.csv --output out/``, or
+``python -m kindsort --folder landing/ --output out/`` for a folder where files arrive.
 
 The flags follow the original command line; answers are read from tables
 instead of being requested live:
@@ -12,9 +13,13 @@ instead of being requested live:
   --attempts PATH                            parquet attempt log for descriptions
   --store PATH                               answers kept between runs; new ones are added
   --single-line                              no quoted newlines: large files are split
+  --folder PATH                              process the file versions that are new there
+                                             (instead of --input); again for the next ones
+  --max-files N                              files of a micro-batch
 
 Outputs under --output: table/, csv/, rejects/, requests/ (still unanswered, in
-batches), request_kinds/, summary/, run_record/.
+batches), request_kinds/, summary/, run_record/.  With --folder: rows/, counts/, files/,
+rejects/, requests/ (each issued once ever), progress/ and the streams' checkpoint/.
 The session comes from the usual Spark configuration (spark-submit); it must
 name a shared ``spark.checkpoint.dir`` on a cluster.
 """
@@ -24,16 +29,22 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
 from .plans.batch import CLI_DEFAULTS, FORM_DEFAULTS, Options, run
 from .session import ENGINE_CONF, ensure_checkpoint_dir, ship_package
+from .sinks.store import AnswerStore
+from .streaming.folder import run_folder, stream_progress
 
 
 def parse(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="kindsort", description="Classify and report on an inventory with Spark.")
-    p.add_argument("--input", required=True, help="inventory CSV file or folder")
+    given = p.add_mutually_exclusive_group(required=True)
+    given.add_argument("--input", help="inventory CSV file or folder")
+    given.add_argument("--folder", help="landing folder, processed file by file")
+    p.add_argument("--max-files", type=int, default=None)
     p.add_argument("--output", required=True, help="output folder")
     p.add_argument("--skip-facility", action="store_true")
     p.add_argument("--skip-descriptions", action="store_true")
@@ -69,6 +80,14 @@ def main(argv: list[str] | None = None) -> int:
     ship_package(spark)
     completions = spark.read.parquet(a.completions) if a.completions else None
     attempts = spark.read.parquet(a.attempts) if a.attempts else None
+    if a.folder:
+        store = AnswerStore(spark, a.store) if a.store else None
+        if store is not None and completions is not None:
+            store.append(completions, int(time.time() * 1000))
+        run_folder(spark, a.folder, a.output, f"{a.output}/checkpoint", opts, store if store is not None else completions, a.max_files, attempts)
+        for r in stream_progress(spark, a.output).orderBy("batch_id", "stage").toLocalIterator():
+            print(json.dumps(r.asDict()))
+        return 0
     rec = run(spark, a.input, a.output, opts, completions, attempts, csv=not a.no_csv, store=a.store)
     for run_id, stage, seconds, rows in rec.rows:
         print(json.dumps({"run_id": run_id, "stage": stage, "seconds": round(seconds, 3), "rows": rows, **rec.progress.get(stage, {})}))

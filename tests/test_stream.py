@@ -170,6 +170,22 @@ def test_progress_a_batch_and_in_the_stream(spark, place):
     assert sum(m.files for m in seen) == 2 and sum(m.bytes for m in seen) > 60
 
 
+def test_the_command_line_processes_a_folder_and_keeps_answers(spark, place, capsys):
+    from kindsort.__main__ import main
+
+    base, write = place
+    write("a.csv", HEAD + "1,zzz,A\n2,glove,A\n")
+    args = ["--folder", f"{base}/in", "--output", f"{base}/out", "--form-defaults", "--single-line"]
+    assert main(args) == 0
+    assert '"completed": 1' in capsys.readouterr().out
+    (req,) = W.issued_requests(spark, f"{base}/out").collect()
+    spark.createDataFrame([(req.request_id, "Diagnostics & Lab Use")], "request_id string, response string").write.parquet(f"{base}/given")
+    for more in (["--completions", f"{base}/given"], []):  # the second run finds them in the store
+        assert main([*args, "--store", f"{base}/store", *more]) == 0
+        assert counts(spark, base)["a.csv", "Diagnostics & Lab Use"] == 1 and sum(counts(spark, base).values()) == 2
+    assert W.issued_requests(spark, f"{base}/out").count() == 1
+
+
 # --- answers ------------------------------------------------------------------------------------
 
 def some_requests(spark, n):
