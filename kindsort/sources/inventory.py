@@ -16,12 +16,12 @@ import csv
 import io
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,7 @@ class Layout:
     columns: tuple[str, ...] | None
     files: tuple[str, ...]
     largest: int = 0  # bytes of the largest file
+    long_records: bool | None = None  # whether records may go over several lines; None: not looked at
 
 
 def header_of(head: str) -> tuple[str, ...] | None:
@@ -184,9 +185,40 @@ def layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
     return sorted(made, key=lambda x: x.files)
 
 
+#: A file up to this size that Spark would cut into at most so many pieces is read by one task all the same.
+ONE_TASK_BYTES, ONE_TASK_PIECES = 32 << 20, 8
+
+
 def _piece_bytes(spark: SparkSession) -> int:
-    """The size at which Spark cuts files for its tasks."""
-    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    """The size above which files are cut for Spark's tasks."""
+    cut = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(cut, min(ONE_TASK_BYTES, ONE_TASK_PIECES * cut))
+
+
+def looked_at(spark: SparkSession, found: list[Layout]) -> list[Layout]:
+    """The layouts of large files divided into those whose records are single lines and the others.
+
+    One scan of the lines by Spark's own expressions.  Files of single lines, the usual
+    kind, are then cut anywhere and parsed where they lie; only the others go through
+    :mod:`.pieces`."""
+    out = []
+    cut = _piece_bytes(spark)
+    large = [g for g in found if g.columns and g.long_records is None and g.largest > cut]
+    long = pieces.with_long_records(spark, [f for g in large for f in g.files]) if large else set()
+    known = {_spoken(f) for f in long}
+    for g in found:
+        if g not in large:
+            out.append(g)
+            continue
+        for is_long in (False, True):
+            if files := tuple(f for f in g.files if (_spoken(f) in known) is is_long):
+                out.append(replace(g, files=files, long_records=is_long))
+    return out
+
+
+def _spoken(path: str) -> str:
+    """A file's path without the ways in which scans write it (url-encoded or not, one slash or three)."""
+    return re.sub(r"^file:/+", "/", unquote(path))
 
 
 def _scan(spark: SparkSession, layout: Layout, multi_line: bool, file: str, place: str) -> tuple[DataFrame, str, Column]:
@@ -196,6 +228,7 @@ def _scan(spark: SparkSession, layout: Layout, multi_line: bool, file: str, plac
     columns = list(layout.columns or ())
     raw = fresh([*columns, file, place], "_raw")
     options = {k: CSV_READ_OPTIONS[k] for k in ("quote", "escape", "nullValue", "emptyValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode", "maxCharsPerColumn")}
+    multi_line = multi_line and layout.long_records is not False
     if multi_line and layout.largest > _piece_bytes(spark):
         df = pieces.rows(spark, list(layout.files), columns, raw, file, place, options)
     else:
@@ -223,6 +256,7 @@ def read_inventory_csv(
     measures: bool = False,
     multi_line: bool = True,
     found: list[Layout] | None = None,
+    surplus: Observation | None = None,
 ) -> DataFrame:
     """Comma CSV with header, quoted multi-line fields and doubled quotes; a file, a folder or a list.
 
@@ -233,9 +267,13 @@ def read_inventory_csv(
     column increases along each file, a file column names it (:func:`added`).
 
     With ``multi_line`` (quoted newlines allowed) a file is read by one task if Spark
-    would not cut it; larger ones are read in pieces by many (:mod:`.pieces`, three
-    passes).  ``multi_line=False`` is one pass over files of any size.  ``measures`` parses the measure columns to double."""
+    would not cut it.  Larger ones are scanned for quoted newlines first
+    (:func:`looked_at`): without any they are cut anywhere, else read in pieces by many
+    tasks (:mod:`.pieces`, three passes).  ``multi_line=False`` is one pass over files of
+    any size.  ``measures`` parses the measure columns to double.  ``surplus`` observes
+    how many rows were left out, as ``rows``."""
     groups = found if found is not None else layouts(spark, path)
+    groups = looked_at(spark, groups) if multi_line else groups
     readable = [g for g in groups if g.columns]
     if not readable:
         raise ValueError(f"No CSV file with a header under {path}")
@@ -246,11 +284,18 @@ def read_inventory_csv(
                 raise ValueError(f"Missing required columns: {', '.join(missing)}")
     every = list(dict.fromkeys(c for g in readable for c in g.columns))
     pos, name = fresh(every, POSITION_COL), fresh(every, FILE_COL)
+    left_out = fresh([*every, pos, name], "_left_out")
     parts = []
     for g in readable:
-        df, raw, surplus = _scan(spark, g, multi_line, name, pos)
-        parts.append(normalize_nulls(df.where(~surplus).drop(raw), list(g.columns)))
+        df, raw, more = _scan(spark, g, multi_line, name, pos)
+        if surplus is None:
+            df = df.where(~more).drop(raw)
+        else:
+            df = df.withColumn(left_out, more).drop(raw)
+        parts.append(normalize_nulls(df, list(g.columns)))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if surplus is not None:
+        df = df.observe(surplus, F.count_if(left_out).alias("rows")).where(~F.col(left_out)).drop(left_out)
     # places of large files are told apart by a hash of the file's name in the upper bits
     placed = F.shiftleft(F.pmod(F.xxhash64(F.col(f"`{name}`")), F.lit(1 << 19)), 44) + F.col(f"`{pos}`")
     df = df.withColumn(pos, F.coalesce(placed, F.monotonically_increasing_id()))
@@ -264,6 +309,7 @@ REJECT_SCHEMA = "file string, reason string, raw string"
 def read_rejects(spark: SparkSession, path: str | list[str], multi_line: bool = True, found: list[Layout] | None = None) -> DataFrame:
     """What :func:`read_inventory_csv` leaves out: ``(file, reason, raw)``, a row each."""
     groups = found if found is not None else layouts(spark, path)
+    groups = looked_at(spark, groups) if multi_line else groups
     parts = [spark.createDataFrame([(f, "no header", None) for g in groups if not g.columns for f in g.files], REJECT_SCHEMA)]
     for g in groups:
         if g.columns:

@@ -61,6 +61,24 @@ def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
 
 
+_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|(?!")[^,]*+)'
+#: A line that begins and ends outside quoted cells: what :func:`ends_open` tells, for Spark's own expressions.
+CLOSED = rf"\A{_CELL}(?:,{_CELL})*+\z"
+
+
+def with_long_records(spark: SparkSession, files: list[str]) -> set[str]:
+    """The files in which Spark's line reader would not find the records that a CSV reader finds.
+
+    If no line of a file that begins outside a quoted cell ends inside one, then none
+    begins inside one, and every line is a record.  Lines of blanks alone and carriage
+    returns within a line are taken otherwise by the line reader, so such files count too."""
+    line = F.col("line")
+    open_end = F.contains(line, F.lit('"')) & (~F.rlike(line, F.lit(CLOSED)) | F.startswith(line, F.lit('\ufeff"')))
+    blanks = F.rlike(line, F.lit(r"\A[\x00-\x20]*[\x00-\x0C\x0E-\x20][\x00-\x20]*\z"))
+    returns = F.contains(line, F.lit("\r")) & F.rlike(line, F.lit(r"\r[^\r]"))
+    return {r["file"] for r in _lines(spark, files).where(open_end | blanks | returns).select("file").distinct().collect()}
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[str], list[bool]]]:
     """Stretches of one piece in a batch: its lines, and which of them hold a quote."""
     files, blocks, lines = (batch.column(c) for c in ("file", "block", "line"))
