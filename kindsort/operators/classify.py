@@ -35,6 +35,7 @@ from ..functions.vocab import (
     UNCATEGORIZED,
     YES,
 )
+from ..session import stored as written
 
 LOWER_DESC = "_d"
 # mark of the columns that hold a description's matches: they are computed once and reused
@@ -134,17 +135,17 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False)
 
     The answer table is written once and measured.  Up to ``BROADCAST_ROWS`` and
     ``BROADCAST_CHARS`` every task gets it and no row moves.  A larger one is
-    joined by shuffle with the open rows alone: the rows are checkpointed, so the
+    joined by shuffle with the open rows alone: the rows are written once, so the
     rules run once for both parts, and the decided rows pass beside the join.  A
     request id shared by many rows is split by AQE's skew handling.  ``stored`` rows
-    are written already and not checkpointed again."""
+    are written already and not once more."""
     key, a = rid + "_k", rid + "_a"
-    ans = ans.checkpoint()
+    ans = written(ans, "answers")
     rows, chars = ans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(a)), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
         return df.join(F.broadcast(ans), df[rid] == ans[key], "left").drop(key)
-    x = df if stored else df.checkpoint()
-    still = x.where(F.col(rid).isNotNull()).join(ans, F.col(rid) == F.col(key), "left").drop(key)
+    x = df if stored else written(df, "rows")
+    still = x.where(F.col(rid).isNotNull()).join(ans.hint("shuffle_merge"), F.col(rid) == F.col(key), "left").drop(key)
     return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
 
 
@@ -159,7 +160,7 @@ def _with_answers(df: DataFrame, completions, rid: str, norm, stored: bool = Fal
     if not hasattr(completions, "look_up"):
         ans, _ = _answers(completions, rid, norm)
         return _join_answers(df, ans, rid, stored), ans_col
-    x = df if stored else df.checkpoint()
+    x = df if stored else written(df, "rows")
     waiting = completions.look_up(x.where(F.col(rid).isNotNull()), rid, ans_col)
     waiting = waiting.withColumn(ans_col, norm(F.col(ans_col)))
     return x.where(F.col(rid).isNull()).withColumn(ans_col, F.lit(None).cast("string")).unionByName(waiting), ans_col
@@ -200,10 +201,12 @@ def categorize(
     completions: DataFrame | None = None,
     trace: bool = False,
     engine: str = ENGINE,
+    contexts: bool = True,
 ) -> DataFrame:
     """C3 product category with P6 preserve, C1/C2 rules, L3 answers and C4 trace.
 
-    ``completions``: a table of answers or an answer store (in every stage)."""
+    ``completions``: a table of answers or an answer store (in every stage).  Without
+    ``contexts`` the texts of the requests, the widest trace column, stay out."""
     d = opt_col(df, "DESCRIPTION", "")
     v = opt_col(df, "VENDOR_NAME")
     s = opt_col(df, "SUBCATEGORY")
@@ -226,6 +229,8 @@ def categorize(
     x = x.withColumn("_cat_ctx", F.when(resid, ctx)).withColumn(
         "_cat_rid", F.when(resid, request_id("category", F.col("_cat_ctx")))
     )
+    if not contexts:
+        x = x.drop("_cat_ctx")
     x, ans_col = _with_answers(x, completions, "_cat_rid", lambda r: normalize_label(r, CATEGORY_LABELS))
     if ans_col:
         answered = F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))
@@ -265,6 +270,7 @@ def facility(
     category_col: str = CATEGORY_COL,
     trace: bool = False,
     engine: str = ENGINE,
+    contexts: bool = True,
 ) -> DataFrame:
     """Review words win; then the rural x district truth table; then answers.
 
@@ -286,6 +292,8 @@ def facility(
     x = x.withColumn("_fac_ctx", F.when(resid, ctx)).withColumn(
         "_fac_rid", F.when(resid, request_id("facility", F.col("_fac_ctx")))
     )
+    if not contexts:
+        x = x.drop("_fac_ctx")
     x, ans_col = _with_answers(x, completions, "_fac_rid", lambda r: normalize_label(r, FACILITY_LABELS))
     if ans_col:
         answered = F.coalesce(F.col(ans_col), F.lit(NEEDS_REVIEW))
@@ -366,6 +374,7 @@ def describe(
     first_n: int | None = None,
     row_col: str = "_row",
     trace: bool = False,
+    contexts: bool = True,
 ) -> DataFrame:
     """C8 simple description.
 
@@ -385,6 +394,8 @@ def describe(
     x = x.withColumn("_desc_ctx", F.when(resid, description_context(df))).withColumn(
         "_desc_rid", F.when(resid, request_id("description", F.col("_desc_ctx")))
     )
+    if not contexts:
+        x = x.drop("_desc_ctx")
     if resolved is not None:
         ans = resolved.select(F.col("request_id").alias("_desc_rid_k"), F.col("description").alias("_desc_rid_a"))
         x = _join_answers(x, ans, "_desc_rid")

@@ -13,7 +13,7 @@ import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL
@@ -22,7 +22,7 @@ from ..operators.enrich import batch_of, finished, first_rows, pending, request_
 from ..operators.report import headed, observe_progress, summary_report
 from ..sinks import RunRecord, write_csv, write_parquet, write_report
 from ..sinks.store import AnswerStore
-from ..sources.inventory import MARK, added, data_columns, fresh, layouts, position_column, read_inventory_csv, read_rejects
+from ..sources.inventory import MARK, added, data_columns, fresh, layouts, looked_at, position_column, read_inventory_csv, read_rejects
 
 
 @dataclass(frozen=True)
@@ -71,12 +71,12 @@ def build(
     ``trace`` the helper columns of the stages follow as one struct of that name."""
     row = row_col if opts.description_batch else None
     given, back = shielded(df, row)
-    x = categorize(given, opts.preserve_existing, completions, trace=True)
+    x = categorize(given, opts.preserve_existing, completions, trace=True, contexts=bool(trace))
     if not opts.skip_facility:
-        x = facility(x, completions, trace=True)
+        x = facility(x, completions, trace=True, contexts=bool(trace))
     if not opts.skip_descriptions:
         resolved = resolve_attempts(attempts) if attempts is not None else None
-        x = describe(x, resolved, first_n=opts.description_batch, row_col=row_col, trace=True)
+        x = describe(x, resolved, first_n=opts.description_batch, row_col=row_col, trace=True, contexts=bool(trace))
     outputs = [c for c in OUTPUTS if c in x.columns and c not in given.columns]
     kept = [F.col(f"`{c}`").alias(back.get(c, c), metadata=given.schema[c].metadata) for c in given.columns if given.schema[c].metadata != MATCHED]
     if not trace:
@@ -134,7 +134,9 @@ def run(
             kept.append(completions, int(time.time() * 1000))
         completions = kept
     found = layouts(spark, input_path)
-    df = read_inventory_csv(spark, input_path, multi_line=opts.multi_line, found=found)
+    found = looked_at(spark, found) if opts.multi_line else found
+    surplus = Observation()
+    df = read_inventory_csv(spark, input_path, multi_line=opts.multi_line, found=found, surplus=surplus)
     pos = position_column(df)
     order = [added(df, "file"), pos]  # files by name, then the order in each
     row = fresh(df, "_row")
@@ -148,7 +150,9 @@ def run(
     rec.progress["classify"] = seen.get
     written = spark.read.parquet(table)
     result = written.drop(trace)
-    rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, found), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
+    # the files are read a second time only if the first reading left rows out
+    left = found if surplus.get["rows"] else [g for g in found if not g.columns]
+    rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, left), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
     if csv:
         rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=order), None)[1])
     answers = completions.answers() if isinstance(completions, AnswerStore) else completions

@@ -31,6 +31,7 @@ from ..functions.vocab import (
 from ..operators import classify as C
 from ..operators import enrich as L
 from ..operators import report as R
+from ..session import stored
 from ..sources import inventory as S
 from ..sources.testview import (
     LINEITEM_INVENTORY_SQL,
@@ -95,10 +96,10 @@ def _matched(df: DataFrame) -> DataFrame:
     """The inventory with its vocabularies matched, written once.
 
     Queries that derive answers from their own requests read the rows in
-    several branches; the reliable checkpoint (shared checkpoint folder) lets
+    several branches; the written rows (shared work folder) let
     every branch reuse one matching pass and survives executor loss."""
     # the flag columns are already extracted: do not store the struct twice
-    return C.with_matches(df).drop("_match").checkpoint(eager=True)
+    return stored(C.with_matches(df).drop("_match"), "matched")
 
 
 def _inv(q: Q.Sql) -> str:
@@ -800,12 +801,12 @@ def _pipeline_sql(q: Q.Sql, base: str) -> str:
 
 def _answers_for(df: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame | None]:
     """Scripted answers for every request a run of ``opts`` sends, stage by stage."""
-    cat_t = C.categorize(df, opts.preserve_existing, trace=True).checkpoint()
-    comp = X.scripted_completions(L.requests(cat_t, "category")).checkpoint()
+    cat_t = stored(C.categorize(df, opts.preserve_existing, trace=True), "traced")
+    comp = stored(X.scripted_completions(L.requests(cat_t, "category")), "completions")
     attempts = None
     if not opts.skip_facility:
         fac_t = C.facility(C.apply_answers(cat_t, "category", comp), trace=True)
-        comp = comp.unionByName(X.scripted_completions(L.requests(fac_t, "facility"))).checkpoint()
+        comp = comp.unionByName(stored(X.scripted_completions(L.requests(fac_t, "facility")), "completions"))
     if not opts.skip_descriptions:
         desc_t = C.describe(df, trace=True)
         attempts = X.scripted_attempts(L.requests(desc_t, "description"))
@@ -1164,7 +1165,7 @@ def durable_answers(spark, d):
     from ..sinks import append_completions, read_completions
 
     inv = _matched(lineitem_inventory(spark, d))
-    reqs = L.requests(C.categorize(inv, trace=True), "category")
+    reqs = stored(L.pending(L.requests(C.categorize(inv, trace=True), "category")), "requests")
     store = work_path(spark, "answers")
     append_completions(X.scripted_completions(reqs, X.ANSWERS[::-1]), store, "category", 1)
     append_completions(X.scripted_completions(reqs), store, "category", 2)
