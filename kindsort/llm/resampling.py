@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from kindsort.operators.enrich import with_row_index
 from kindsort.session import work_path
 
-from .common import prepare
+from .common import prepare, small_batches
 
 #: Words held at a time by a task; a longer document is held by itself.
 HELD = 1 << 18
 #: Rows of prefixes that a task sends on at a time, in words.
-SENT = 1 << 20
+SENT = 1 << 17
+#: Bytes of a row group of the stored prefixes: what a task that writes them holds.
+GROUP = 16 << 20
 
 
 def _word_bytes() -> bytes:
@@ -160,7 +162,7 @@ def prefixes(df: DataFrame, key: str | None = None, text: str = "text") -> DataF
     rows = df.select((F.lit(0) if key is None else F.col(key)).alias("key"), F.col(text).alias("text"))
     path = work_path(spark, "prefixes")
     type_of = rows.schema["key"].dataType.simpleString()
-    rows.mapInArrow(_scan, f"key {type_of}, ends array<int>, lengths array<int>").write.parquet(path)
+    rows.mapInArrow(_scan, f"key {type_of}, ends array<int>, lengths array<int>").write.option("parquet.block.size", GROUP).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -217,14 +219,15 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = 25, least_w
     documents of their own that share their noise; a null key's noise is that of the word
     ``null``.  Only the table of ``buckets`` gains passes through the driver.
     """
-    stored = prefixes(documents, key, text)
-    raw, goal = (bucket_counts(x, buckets, longest).checkpoint() for x in (stored, prefixes(target, None, text)))
-    gain = np.array([r["gain"] for r in gains(raw, goal, buckets).orderBy("bucket").collect()], np.int64)
-    weighed = weights(stored, gain, longest)
+    with small_batches(documents.sparkSession):
+        stored = prefixes(documents, key, text)
+        raw, goal = (bucket_counts(x, buckets, longest).checkpoint() for x in (stored, prefixes(target, None, text)))
+        gain = np.array([r["gain"] for r in gains(raw, goal, buckets).orderBy("bucket").collect()], np.int64)
+        weighed = weights(stored, gain, longest).checkpoint()
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("null"))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    scored = weighed.withColumn("score", F.col("weight") + noise).checkpoint()
+    scored = weighed.withColumn("score", F.col("weight") + noise)
     # equal rows are told apart, so that a key on very many of them is split over tasks
     long = scored.where(F.col("n_words") >= least_words).withColumns({"down": -F.col("score"), "unnamed": F.col("key").isNull(), "tie": F.monotonically_increasing_id()})
     placed = with_row_index(long, ["down", "unnamed", "key", "n_features", "tie"], name="place")
