@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import CATEGORY_COL, CATEGORY_LABELS, FACILITY_COL
-from ..session import work_path
+from ..session import stored, work_path
 from ..sources.testview import lineitem_inventory
 from . import fixtures as X
 from . import sqlforms as Q
@@ -82,7 +82,7 @@ def stream_answers(spark, d):
     base = work_path(spark, "stream-answers")
     _land(lineitem_inventory(spark, d), f"{base}/in")
     run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", FORM_DEFAULTS)
-    given = X.scripted_completions(issued_requests(spark, f"{base}/out")).checkpoint()
+    given = stored(X.scripted_completions(issued_requests(spark, f"{base}/out")), "completions")
     run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", FORM_DEFAULTS, completions=given)
     return file_counts(spark, f"{base}/out").groupBy(CATEGORY_COL).agg(F.sum("rows").cast("long").alias("n_rows"))
 

@@ -26,17 +26,18 @@ from __future__ import annotations
 import hashlib
 import re
 from contextlib import contextmanager
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CATEGORY_COL, FACILITY_COL, REQUIRED_COLUMNS
 from ..operators.enrich import REQUEST_SCHEMA, finished, resolve_attempts
 from ..operators.report import observe_open
 from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, build, stage_requests
-from ..sources.inventory import Layout, added, layouts, position_column, read_inventory_csv, read_rejects
+from ..sources.inventory import Layout, added, layouts, looked_at, position_column, read_inventory_csv, read_rejects
 
 ARRIVALS_SCHEMA = "path string, modified timestamp, length long, version long, cause string"
 FILES_SCHEMA = "file string, file_id string, path string, version long, status string, reason string, columns array<string>, batch_id long"
@@ -140,10 +141,17 @@ def landing_stream(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.readStream.schema(ARRIVALS_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{out_dir}/arrivals")
 
 
+#: Files that a task writes to at a time.
+WRITERS = 4
+
+
 # --- a micro-batch ------------------------------------------------------------------------------
 
 def _write(df: DataFrame, path: str, keys: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Rows under their keys.  A task holds rows of a few files: up to ``WRITERS`` are written beside
+    each other as they come, only beyond that are the rows sorted by file first."""
+    with _conf(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def _told(e: BaseException) -> str:
@@ -191,12 +199,15 @@ def _read_fault(write) -> str | None:
 def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder: str | None = None, attempts: DataFrame | None = None):
     def write_rows(spark: SparkSession, good: list[Layout], batch_id: int) -> dict[str, int]:
         files = [f for g in good for f in g.files]
-        df = read_inventory_csv(spark, files, multi_line=opts.multi_line, found=good)
+        good = looked_at(spark, good) if opts.multi_line else good
+        surplus = Observation()
+        df = read_inventory_csv(spark, files, multi_line=opts.multi_line, found=good, surplus=surplus)
         pos, source = position_column(df), added(df, "file")
         res, seen = observe_open(build(df, opts, completions, attempts, trace=TRACE), at=f"{TRACE}.")
         keys = {BATCH_KEY: F.lit(batch_id).cast("long"), FILE_KEY: _id_column(F.col(f"`{source}`"))}
         _write(res.withColumns(keys).drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
-        bad = read_rejects(spark, files, opts.multi_line, good)
+        # the rows themselves are read a second time only if the first reading left any out
+        bad = read_rejects(spark, files, opts.multi_line, good if surplus.get["rows"] else [])
         _write(bad.withColumns({BATCH_KEY: keys[BATCH_KEY], FILE_KEY: _id_column(F.col("file"))}), f"{out_dir}/rejects", [BATCH_KEY, FILE_KEY])
         return seen.get
 
@@ -240,7 +251,7 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
             done, seen = [], []
             for name in ("rows", "rejects"):
                 _clear(spark, f"{out_dir}/{name}/{BATCH_KEY}={batch_id}")
-            for one in [Layout(g.columns, (f,), g.largest) for g in good for f in g.files]:
+            for one in [replace(g, files=(f,)) for g in good for f in g.files]:
                 if why := _read_fault(lambda one=one: seen.append(write_rows(spark, [one], batch_id))):
                     _clear(spark, f"{out_dir}/rows/{BATCH_KEY}={batch_id}/{FILE_KEY}={_id(one.files[0])}")
                     note(one.files[0], "quarantined", why, None)
