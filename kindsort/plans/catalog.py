@@ -31,7 +31,7 @@ from ..functions.vocab import (
 from ..operators import classify as C
 from ..operators import enrich as L
 from ..operators import report as R
-from ..session import stored
+from ..session import compiled, stored
 from ..sources import inventory as S
 from ..sources.testview import (
     LINEITEM_INVENTORY_SQL,
@@ -1058,7 +1058,8 @@ def _raw_inventory(spark, d) -> DataFrame:
 
 def _land(df: DataFrame, path: str) -> None:
     """``df`` as CSV files, written by Spark alone."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    with compiled(df.sparkSession):
+        df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
 
 
 def _q_run_csv_full():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import CATEGORY_COL, CATEGORY_LABELS, FACILITY_COL
-from ..session import stored, work_path
+from ..session import compiled, stored, work_path
 from ..sources.testview import lineitem_inventory
 from . import fixtures as X
 from . import sqlforms as Q
@@ -26,7 +26,8 @@ def _slice() -> F.Column:
 
 def _place(spark: SparkSession, df: DataFrame, folder: str, scratch: str, **options: str) -> None:
     """``df`` as the files ``0.csv``, ``1.csv``, ... of a folder, in place of those that it holds."""
-    df.write.options(**({"header": "true", "escape": '"', "emptyValue": '""'} | options)).csv(scratch)
+    with compiled(spark):
+        df.write.options(**({"header": "true", "escape": '"', "emptyValue": '""'} | options)).csv(scratch)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(folder))

@@ -15,9 +15,11 @@ the ledger again, so their rows are labelled anew.
 Requests of rows that no rule decides go through a second stream, ``dropDuplicates`` on a
 state store, so each is issued once ever, however many files, runs or replays ask it.
 
-Faults: a batch that fails is tried again file by file.  A file that cannot be used (no
-header, a required column missing, unreadable) is put in ``files`` with the reason; any
-other fault is tried once more and then fails the batch, which the next run repeats.
+Faults: a batch is written in portions that keep every core busy.  A portion that fails is
+tried again in halves, less the file that the fault names, so one bad file among many costs
+its portion once more.  A file that cannot be used (no header, a required column missing,
+unreadable) is put in ``files`` with the reason; any other fault goes down to a single file,
+is tried once more there and then fails the batch, which the next run repeats.
 Output of a batch is cleared before it is written, so a repeated batch replaces its own.
 """
 
@@ -25,9 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -37,6 +39,7 @@ from ..functions.vocab import CATEGORY_COL, FACILITY_COL, REQUIRED_COLUMNS
 from ..operators.enrich import REQUEST_SCHEMA, finished, resolve_attempts
 from ..operators.report import observe_open
 from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, build, stage_requests
+from ..session import compiled, setting
 from ..sources.inventory import Layout, added, layouts, looked_at, position_column, read_inventory_csv, read_rejects
 
 ARRIVALS_SCHEMA = "path string, modified timestamp, length long, version long, cause string"
@@ -150,7 +153,7 @@ WRITERS = 4
 def _write(df: DataFrame, path: str, keys: list[str]) -> None:
     """Rows under their keys.  A task holds rows of a few files: up to ``WRITERS`` are written beside
     each other as they come, only beyond that are the rows sorted by file first."""
-    with _conf(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)):
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)), compiled(df.sparkSession):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
@@ -196,6 +199,36 @@ def _read_fault(write) -> str | None:
     return None
 
 
+def _named(e: BaseException) -> set[str]:
+    """The files that a fault's messages name."""
+    return {_plain(unquote(m).rstrip(".")) for m in re.findall(r"\bfile:? +(\S+)", _told(e))}
+
+
+#: A file with the layout that it is read by.
+Piece = tuple[Layout, str]
+
+
+def _portions(spark: SparkSession, pieces: list[Piece], lengths: dict[str, int]) -> list[list[Piece]]:
+    """The files of a batch in stretches of like size, each of one to two full splits for every core."""
+    full = spark.sparkContext.defaultParallelism * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    sizes = [lengths.get(_plain(f)) or 0 for _, f in pieces]
+    total, before = max(1, sum(sizes)), 0
+    n = max(1, total // full)
+    out: dict[int, list[Piece]] = {}
+    for piece, size in zip(pieces, sizes, strict=True):
+        out.setdefault(before * n // total, []).append(piece)
+        before += size
+    return list(out.values())
+
+
+def _joined(pieces: list[Piece]) -> list[Layout]:
+    """The layouts of some files, with these files alone."""
+    by: dict[Layout, list[str]] = {}
+    for g, f in pieces:
+        by.setdefault(g, []).append(f)
+    return [replace(g, files=tuple(files)) for g, files in by.items()]
+
+
 def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder: str | None = None, attempts: DataFrame | None = None):
     def write_rows(spark: SparkSession, good: list[Layout], batch_id: int) -> dict[str, int]:
         files = [f for g in good for f in g.files]
@@ -215,7 +248,10 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
         spark = batch.sparkSession
         version = F.col("version") if "version" in batch.columns else F.lit(1)
         # paths of one micro-batch: bounded by the size of a ledger file
-        paths = {r["path"]: r["version"] for r in batch.groupBy("path").agg(F.max(version).alias("version")).collect()}
+        length = F.col("length") if "length" in batch.columns else F.lit(0)
+        told = batch.groupBy("path").agg(F.max(version).alias("version"), F.max(length).alias("length")).collect()
+        paths = {r["path"]: r["version"] for r in told}
+        lengths = {_plain(r["path"]): r["length"] for r in told}
         if not paths:
             return
         for name in ("rows", "rejects"):
@@ -243,23 +279,31 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
                     note(f, "quarantined", why, None)
         good = [g for g in found if not _unusable(g)]
         seen: list[dict[str, int]] = []
-        try:
-            done = good
-            if good:
-                seen.append(write_rows(spark, good, batch_id))
-        except Exception:  # noqa: BLE001 - perhaps a file cannot be read: one by one, so the others get through
-            done, seen = [], []
-            for name in ("rows", "rejects"):
-                _clear(spark, f"{out_dir}/{name}/{BATCH_KEY}={batch_id}")
-            for one in [replace(g, files=(f,)) for g in good for f in g.files]:
-                if why := _read_fault(lambda one=one: seen.append(write_rows(spark, [one], batch_id))):
-                    _clear(spark, f"{out_dir}/rows/{BATCH_KEY}={batch_id}/{FILE_KEY}={_id(one.files[0])}")
-                    note(one.files[0], "quarantined", why, None)
-                else:
-                    done.append(one)
-        for g in done:
-            for f in g.files:
+
+        def write_pieces(pieces: list[Piece]) -> None:
+            try:
+                seen.append(write_rows(spark, _joined(pieces), batch_id))
+            except Exception as e:  # noqa: BLE001 - perhaps a file cannot be read: in halves, so the others get through
+                if len(pieces) > 1:
+                    named = _named(e)
+                    alone = [p for p in pieces if _plain(p[1]) in named]
+                    rest = [p for p in pieces if p not in alone]
+                    half = len(rest) // 2
+                    for part in (*([p] for p in alone), rest[:half], rest[half:]):
+                        if part:
+                            write_pieces(part)
+                    return
+                again = lambda: seen.append(write_rows(spark, _joined(pieces), batch_id))
+                if why := _reason(e) if READ_FAULTS.search(_told(e)) else _read_fault(again):
+                    for name in ("rows", "rejects"):
+                        _clear(spark, f"{out_dir}/{name}/{BATCH_KEY}={batch_id}/{FILE_KEY}={_id(pieces[0][1])}")
+                    note(pieces[0][1], "quarantined", why, None)
+                    return
+            for g, f in pieces:
                 note(f, "done", None, g.columns)
+
+        for portion in _portions(spark, [(g, f) for g in good for f in g.files], lengths):
+            write_pieces(portion)
         made = spark.createDataFrame(rows, FILES_SCHEMA)
         _write_counts(spark, made, out_dir, batch_id)
         _write_asked(spark, out_dir, batch_id, opts, answered(completions, attempts))
@@ -330,16 +374,6 @@ def _write_progress(spark: SparkSession, seen: list[dict[str, int]], out_dir: st
 
 # --- runs ----------------------------------------------------------------------------------------
 
-@contextmanager
-def _conf(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def issue_requests(spark: SparkSession, out_dir: str, checkpoint: str):
     """L1/L2 as a stream: each request of the ``asked`` table goes to ``requests`` once ever.
 
@@ -350,7 +384,7 @@ def issue_requests(spark: SparkSession, out_dir: str, checkpoint: str):
         return None
     asked = spark.readStream.schema(ASKED_SCHEMA).parquet(f"{out_dir}/asked")
     once = asked.select(*(c.split()[0] for c in REQUEST_SCHEMA.split(", "))).dropDuplicates(["request_id"]).observe("issued", F.count(F.lit(1)).alias("requests"))
-    with _conf(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
         q = once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", f"{out_dir}/requests").trigger(availableNow=True).start()
     q.awaitTermination()
     return q

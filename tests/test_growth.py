@@ -131,3 +131,67 @@ def test_rows_go_to_python_a_few_at_a_time(spark):
     with small_batches(spark):
         assert max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()) <= 1000
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def wide_among(d, n):
+    for i in range(n):
+        file(f"{d}/in", f"{i:02}.csv", HEAD + f"{i},glove,A\n")
+    file(f"{d}/in", "a b+c.csv", HEAD + "," * 30_000 + "\n")
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_an_unreadable_file_is_found_in_few_steps(spark, monkeypatch, told):
+    d, asked = scratch(), []
+    wide_among(d, 30)
+    real = W.read_inventory_csv
+
+    def noted(spark, files, **kw):
+        asked.append(len(files))
+        return real(spark, files, **kw)
+
+    monkeypatch.setattr(W, "read_inventory_csv", noted)
+    if not told:  # by halves alone
+        monkeypatch.setattr(W, "_named", lambda e: set())
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint", B.Options(skip_facility=True, skip_descriptions=True, multi_line=False))
+    assert len(asked) <= (4 if told else 11)
+    assert {r.file: r.rows for r in W.file_counts(spark, f"{d}/out").collect()} == {f"{i:02}.csv": 1 for i in range(30)}
+    assert [r.file for r in W.quarantine(spark, f"{d}/out").collect()] == ["a b+c.csv"]
+
+
+def test_a_fault_costs_its_portion_alone(spark, small_cuts, monkeypatch):
+    d, asked = scratch(), []
+    wide_among(d, 120)
+    real = W.read_inventory_csv
+
+    def noted(spark, files, **kw):
+        asked.append(len(files))
+        return real(spark, files, **kw)
+
+    monkeypatch.setattr(W, "read_inventory_csv", noted)
+    monkeypatch.setattr(W, "_portions", lambda spark, pieces, lengths: [pieces[i : i + 40] for i in range(0, len(pieces), 40)])
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint", B.Options(skip_facility=True, skip_descriptions=True, multi_line=False))
+    assert sum(asked) <= 121 + 2 * 40 and W.file_counts(spark, f"{d}/out").count() == 120
+
+
+def test_portions_hold_all_files_in_like_sizes(spark):
+    full = spark.sparkContext.defaultParallelism * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    pieces = [(S.Layout(("a",), ()), f"file:/in/{i}") for i in range(40)]
+    for size, n in ((0, 1), (full // 100, 1), (full // 4, 10)):
+        got = W._portions(spark, pieces, {f: size for _, f in pieces})
+        assert [p for g in got for p in g] == pieces and len(got) == n
+        assert max(map(len, got)) - min(map(len, got)) <= 1
+
+
+def test_rows_are_written_by_code_that_the_jvm_compiles(spark):
+    before, seen = spark.conf.get("spark.sql.codegen.hugeMethodLimit"), []
+
+    class Rows:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+            return spark.range(1).selectExpr("id", "1 as k").write
+
+    W._write(Rows(), f"{scratch()}/rows", ["k"])
+    assert seen == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
