@@ -4,7 +4,7 @@ Spark has no multi-pattern substring primitive: the literal form tests every
 keyword with its own ``contains`` (cost keywords x text length, ~190 scans of
 each description for the facility lists).  The automaton engine builds one
 Aho-Corasick automaton over all vocabularies and scans each text once inside an
-Arrow-batched pandas UDF, returning for every ordered vocabulary the keyword
+Arrow UDF, returning for every ordered vocabulary the keyword
 with the lowest priority found anywhere in the text (= first match in
 declaration order) and for every unordered vocabulary whether any word occurs.
 
@@ -15,7 +15,7 @@ Python.  Both engines give identical results (tested).  The engine is an argumen
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,29 +29,43 @@ ENGINE = "automaton"
 _AUTOMATA: dict[tuple, object] = {}
 
 
-def _automaton(key: tuple, ordered: dict, unordered: dict):
-    """Built once per Python worker and vocabulary set."""
-    a = _AUTOMATA.get(key)
-    if a is None:
+def _automaton(ordered: dict[str, list[str]], unordered: dict[str, list[str]]):
+    """The automaton, and a function from what it finds in a text to the values of all vocabularies.
+
+    A word's payload is a number with a bit for each vocabulary entry that it is: first one
+    a name of ``unordered``, then one a keyword of each ordered list, in its order.  What a
+    text holds is the OR of its words' numbers.  Built once per Python worker."""
+    key = (tuple((k, tuple(v)) for k, v in ordered.items()), tuple((k, tuple(v)) for k, v in unordered.items()))
+    made = _AUTOMATA.get(key)
+    if made is None:
         import ahocorasick
 
-        payload: dict[str, list] = {}
-        names_o = list(ordered)
-        names_u = list(unordered)
-        for j, name in enumerate(names_o):
-            for pri, kw in enumerate(ordered[name]):
-                slot = payload.setdefault(kw, [[None] * len(names_o), 0])
-                if slot[0][j] is None:
-                    slot[0][j] = pri
-        for j, name in enumerate(names_u):
+        payload: dict[str, int] = {}
+        for j, name in enumerate(unordered):
             for w in unordered[name]:
-                payload.setdefault(w, [[None] * len(names_o), 0])[1] |= 1 << j
+                payload[w] = payload.get(w, 0) | 1 << j
+        sections, at = [], len(unordered)
+        for words in ordered.values():
+            sections.append((words, at))
+            for i, w in enumerate(words):
+                payload[w] = payload.get(w, 0) | 1 << at + i
+            at += len(words)
+
+        def values(bits: int | None) -> list:
+            if bits is None:
+                return [None] * (len(ordered) + len(unordered))
+            out = []
+            for words, start in sections:
+                mine = bits >> start & (1 << len(words)) - 1
+                out.append(words[(mine & -mine).bit_length() - 1] if mine else None)
+            return out + [bool(bits >> j & 1) for j in range(len(unordered))]
+
         a = ahocorasick.Automaton()
-        for w, (pris, bits) in payload.items():
-            a.add_word(w, (tuple(pris), bits))
+        for w, bits in payload.items():
+            a.add_word(w, bits)
         a.make_automaton()
-        _AUTOMATA[key] = a
-    return a
+        made = _AUTOMATA[key] = (a, values)
+    return made
 
 
 def match_struct(text_lc: Column, ordered: dict[str, list[str]], unordered: dict[str, list[str]]) -> Column:
@@ -60,37 +74,25 @@ def match_struct(text_lc: Column, ordered: dict[str, list[str]], unordered: dict
     unordered list (null for a null text)."""
     ordered = {k: [w for w in v] for k, v in ordered.items()}
     unordered = {k: distinct_in_order(v) for k, v in unordered.items()}
-    key = (tuple((k, tuple(v)) for k, v in ordered.items()), tuple((k, tuple(v)) for k, v in unordered.items()))
-    fields = [f"`{k}` string" for k in ordered] + [f"`{k}` boolean" for k in unordered]
-    schema = "struct<" + ", ".join(f.replace(" ", ": ", 1) for f in fields) + ">"
-    names_o, names_u = list(ordered), list(unordered)
-
-    @F.pandas_udf(schema)
-    def match(texts: pd.Series) -> pd.DataFrame:
-        a = _automaton(key, ordered, unordered)
-        n_o = len(names_o)
-        best_cols = [[None] * len(texts) for _ in range(n_o)]
-        flag_cols = [[None] * len(texts) for _ in names_u]
-        for i, t in enumerate(texts):
-            if t is None:
-                continue
-            best = [None] * n_o
-            bits = 0
-            if a.kind != 0:  # empty automaton has nothing to find
-                for _, (pris, b) in a.iter(t):
-                    bits |= b
-                    for j in range(n_o):
-                        p = pris[j]
-                        if p is not None and (best[j] is None or p < best[j]):
-                            best[j] = p
-            for j in range(n_o):
-                if best[j] is not None:
-                    best_cols[j][i] = ordered[names_o[j]][best[j]]
-            for j in range(len(names_u)):
-                flag_cols[j][i] = bool(bits >> j & 1)
-        out = {n: pd.Series(best_cols[j], dtype=object) for j, n in enumerate(names_o)}
-        out.update({n: pd.Series(flag_cols[j], dtype=object) for j, n in enumerate(names_u)})
-        return pd.DataFrame(out)
+    names, n_o = [*ordered, *unordered], len(ordered)
+    schema = "struct<" + ", ".join(f"`{n}`: {'string' if j < n_o else 'boolean'}" for j, n in enumerate(names)) + ">"
+
+    @F.arrow_udf(schema)
+    def match(texts: pa.Array) -> pa.Array:
+        a, values = _automaton(ordered, unordered)
+        empty = a.kind == 0  # finds nothing, and cannot be asked
+        # what a text holds, and the number of it among what the batch's texts hold
+        seen: dict[int | None, int] = {}
+        place = []
+        for t in texts.to_pylist():
+            bits = None if t is None else 0
+            if t is not None and not empty:
+                for _, found in a.iter(t):
+                    bits |= found
+            place.append(seen.setdefault(bits, len(seen)))
+        rows, at = [values(bits) for bits in seen], pa.array(place, pa.int32())
+        kinds = [pa.string() if j < n_o else pa.bool_() for j in range(len(names))]
+        return pa.StructArray.from_arrays([pa.array([r[j] for r in rows], kind).take(at) for j, kind in enumerate(kinds)], names=names)
 
     return match(text_lc)
 

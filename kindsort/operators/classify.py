@@ -212,10 +212,13 @@ def categorize(
     s = opt_col(df, "SUBCATEGORY")
     existing = opt_col(df, CATEGORY_COL) if preserve_existing else F.lit(None).cast("string")
     x = with_matches(df, engine)
+    # lower-cased once, not for every keyword
+    lower = next(c for c in (f"_cat_sub_{i}" for i in range(len(x.columns) + 1)) if c.lower() not in {n.lower() for n in x.columns})
+    x = x.withColumn(lower, F.lower(s))
     x = x.withColumn(
         "_cat_subkw",
-        F.when(F.col("_cat_kw").isNull() & present(s), first_match_keyword(F.lower(s), CATEGORY_RULES)),
-    )
+        F.when(F.col("_cat_kw").isNull() & present(s), first_match_keyword(F.col(lower), CATEGORY_RULES)),
+    ).drop(lower)
     src = (
         F.when(present(existing), F.lit("preserved"))
         .when(blank(d), F.lit("blank"))

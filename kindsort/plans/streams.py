@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import CATEGORY_COL, CATEGORY_LABELS, FACILITY_COL
-from ..session import compiled, stored, work_path
+from ..session import compiled, setting, stored, work_path
 from ..sources.testview import lineitem_inventory
 from . import fixtures as X
 from . import sqlforms as Q
@@ -24,19 +24,59 @@ def _slice() -> F.Column:
     return F.pmod(F.length("ITEM_NO") + F.substring("ITEM_NO", -1, 1).cast("int"), F.lit(SLICES))
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _place(spark: SparkSession, df: DataFrame, folder: str, scratch: str, **options: str) -> None:
     """``df`` as the files ``0.csv``, ``1.csv``, ... of a folder, in place of those that it holds."""
     with compiled(spark):
         df.write.options(**({"header": "true", "escape": '"', "emptyValue": '""'} | options)).csv(scratch)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    _put(spark, scratch, folder)
+
+
+def _put(spark: SparkSession, made: str, folder: str) -> None:
+    """The files that Spark wrote in ``made`` as ``0.csv``, ``1.csv``, ... of a folder, in place of those that it holds."""
+    path, fs = _files(spark, folder)
     fs.mkdirs(path(folder))
-    made = sorted(s.getPath().toString() for s in fs.listStatus(path(scratch)) if s.getPath().getName().startswith("part-"))
-    for i, name in enumerate(made):
+    names = sorted(s.getPath().toString() for s in fs.listStatus(path(made)) if s.getPath().getName().startswith("part-"))
+    for i, name in enumerate(names):
         fs.delete(path(f"{folder}/{i}.csv"), False)
         fs.rename(path(name), path(f"{folder}/{i}.csv"))
 
 
+PART = "__part"
+
+
+def _land_parts(spark: SparkSession, df: DataFrame, parts: list[str], made: str) -> dict[str, str]:
+    """The rows by column ``PART`` as CSV files in a folder of its own each, all in one pass; the folders of ``parts``.
+
+    A part without rows gets a file with the header alone, as :func:`_land` writes it."""
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(parts))), compiled(spark):
+        df.where(F.col(PART).isin(parts)).write.partitionBy(PART).options(header="true", escape='"', emptyValue='""').csv(made)
+    path, fs = _files(spark, made)
+    folders = {}
+    for part in parts:
+        folders[part] = f"{made}/{PART}={part}"
+        if not fs.exists(path(folders[part])):
+            folders[part] = f"{made}-none/{part}"
+            _land(df.drop(PART).limit(0), folders[part])
+    return folders
+
+
+def _arrive(spark: SparkSession, made: str, folder: str) -> None:
+    """A folder of written files put where they are looked for, at once."""
+    path, fs = _files(spark, folder)
+    fs.mkdirs(path(folder).getParent())
+    if not fs.rename(path(made), path(folder)):
+        raise OSError(f"{made} could not be renamed to {folder}")
+
+
+def _land_slices(spark: SparkSession, inv: DataFrame, made: str) -> dict[str, str]:
+    return _land_parts(spark, inv.withColumn(PART, _slice().cast("string")), [str(i) for i in range(SLICES)], made)
+
+
 def _traced_sql(q: Q.Sql) -> str:
     _inv(q)
     q.add("nt", _q_null_tokens_body())
@@ -94,12 +134,16 @@ def folder_versions(spark, d):
     from ..streaming.folder import file_counts, run_folder
 
     base, inv = work_path(spark, "versions"), lineitem_inventory(spark, d)
-    wrong = inv.withColumn("DESCRIPTION", F.concat(F.lit("glove "), F.col("ITEM_NO"))).where(F.length("ITEM_NO") > 1)
+    # each row of a replaced file twice: as it is first, and as it is then
+    wrong = F.when((_slice() < 2) & (F.length("ITEM_NO") > 1), F.struct(F.concat(F.lit("first"), _slice()).alias(PART), F.concat(F.lit("glove "), F.col("ITEM_NO")).alias("DESCRIPTION")))
+    right = F.struct(F.concat(F.when(_slice() < 2, "then").otherwise("first"), _slice()).alias(PART), "DESCRIPTION")
+    rows = inv.withColumn("_as", F.explode(F.array(wrong, right))).select(*(F.col(f"_as.{c}" if c == "DESCRIPTION" else c) for c in inv.columns), f"_as.{PART}")
+    made = _land_parts(spark, rows, [*(f"first{i}" for i in range(SLICES)), "then0", "then1"], f"{base}/made")
     for i in range(SLICES):
-        _place(spark, (wrong if i < 2 else inv).where(_slice() == i), f"{base}/in/{i}", f"{base}/made/{i}")
+        _put(spark, made[f"first{i}"], f"{base}/in/{i}")
     run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", STAGES)
     for i in range(2):
-        _place(spark, inv.where(_slice() == i), f"{base}/in/{i}", f"{base}/remade/{i}")
+        _put(spark, made[f"then{i}"], f"{base}/in/{i}")
     run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", STAGES)
     return file_counts(spark, f"{base}/out").groupBy(CATEGORY_COL, FACILITY_COL).agg(F.sum("rows").cast("long").alias("n_rows"))
 

@@ -40,7 +40,7 @@ from ..operators.enrich import REQUEST_SCHEMA, finished, resolve_attempts
 from ..operators.report import observe_open
 from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, build, stage_requests
 from ..session import compiled, setting
-from ..sources.inventory import Layout, added, layouts, looked_at, position_column, read_inventory_csv, read_rejects
+from ..sources.inventory import Layout, added, fresh, layouts, looked_at, position_column, read_inventory_csv, read_rejects
 
 ARRIVALS_SCHEMA = "path string, modified timestamp, length long, version long, cause string"
 FILES_SCHEMA = "file string, file_id string, path string, version long, status string, reason string, columns array<string>, batch_id long"
@@ -84,6 +84,14 @@ def _id_column(file_path: Column) -> Column:
     return F.concat(F.lit("f"), F.substring(F.sha2(path, 256), 1, 15))
 
 
+def _with_ids(df: DataFrame, source: str, files: list[str]) -> DataFrame:
+    """``df`` with the id of each row's file; the ids are worked out once a file, from the paths that a scan reports."""
+    path, file = fresh(df, "__file_path"), F.col(f"`{source}`")
+    scanned = df.sparkSession.read.format("binaryFile").load(files).select(F.col("_metadata.file_path").alias(path))
+    ids = scanned.withColumn(FILE_KEY, _id_column(F.col(path)))
+    return df.join(F.broadcast(ids), file == F.col(path), "left").drop(path).withColumn(FILE_KEY, F.coalesce(FILE_KEY, _id_column(file)))
+
+
 def _name(path: str, folder: str | None) -> str:
     """A file's path within the folder; the whole path if it lies elsewhere."""
     if folder:
@@ -102,15 +110,15 @@ def note_arrivals(spark: SparkSession, folder: str, out_dir: str, max_files: int
     Only names, times and lengths are read.  A file's rows of the ledger are its versions."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(folder)
     now = listed.select("path", F.col("modificationTime").alias("modified"), "length")
-    fresh = now.select("path", "modified", "length", F.lit(1).cast("long").alias("version"), F.lit("new").alias("cause"))
+    new = now.select("path", "modified", "length", F.lit(1).cast("long").alias("version"), F.lit("new").alias("cause"))
     if _exists(spark, f"{out_dir}/arrivals"):
         last = _ledger(spark, out_dir)
         old = now.alias("n").join(last.alias("o"), "path", "left")
         changed = F.col("o.version").isNull() | (F.col("n.modified") != F.col("o.modified")) | (F.col("n.length") != F.col("o.length"))
-        fresh = old.where(changed).select(
+        new = old.where(changed).select(
             "path", "n.modified", "n.length", (F.coalesce("o.version", F.lit(0)) + 1).alias("version"), F.when(F.col("o.version").isNull(), "new").otherwise("changed").alias("cause")
         )
-    return _add(spark, fresh, out_dir, max_files)
+    return _add(spark, new, out_dir, max_files)
 
 
 def _ledger(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -237,11 +245,11 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
         df = read_inventory_csv(spark, files, multi_line=opts.multi_line, found=good, surplus=surplus)
         pos, source = position_column(df), added(df, "file")
         res, seen = observe_open(build(df, opts, completions, attempts, trace=TRACE), at=f"{TRACE}.")
-        keys = {BATCH_KEY: F.lit(batch_id).cast("long"), FILE_KEY: _id_column(F.col(f"`{source}`"))}
-        _write(res.withColumns(keys).drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
+        batch_key = F.lit(batch_id).cast("long")
+        _write(_with_ids(res, source, files).withColumn(BATCH_KEY, batch_key).drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
         # the rows themselves are read a second time only if the first reading left any out
         bad = read_rejects(spark, files, opts.multi_line, good if surplus.get["rows"] else [])
-        _write(bad.withColumns({BATCH_KEY: keys[BATCH_KEY], FILE_KEY: _id_column(F.col("file"))}), f"{out_dir}/rejects", [BATCH_KEY, FILE_KEY])
+        _write(bad.withColumns({BATCH_KEY: batch_key, FILE_KEY: _id_column(F.col("file"))}), f"{out_dir}/rejects", [BATCH_KEY, FILE_KEY])
         return seen.get
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -355,7 +363,8 @@ def _write_asked(spark: SparkSession, out_dir: str, batch_id: int, opts: Options
     written = _written(spark, out_dir, batch_id)
     if written is None:
         return
-    reqs = stage_requests(written.select(F.col(FILE_KEY).cast("string").alias("file_id"), f"{TRACE}.*"), opts, keep=["file_id"]).dropDuplicates(["file_id", "request_id"])
+    # an id is the digest of stage and context, so whole rows repeat: without a sort, unlike rows of one id
+    reqs = stage_requests(written.select(F.col(FILE_KEY).cast("string").alias("file_id"), f"{TRACE}.*"), opts, keep=["file_id"]).distinct()
     if done is None:
         reqs = reqs.withColumn("open", F.lit(True))
     else:

@@ -3,16 +3,19 @@
 import glob
 import itertools
 import os
+import re
 import tempfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from conftest import inventory
 from kindsort.functions.vocab import CATEGORY_COL
 from kindsort.operators import classify as C
 from kindsort.operators import enrich as L
 from kindsort.plans import batch as B
+from kindsort.plans import streams as P
 from kindsort.session import ensure_checkpoint_dir
 from kindsort.sources import inventory as S
 from kindsort.sources import pieces
@@ -195,3 +198,63 @@ def test_rows_are_written_by_code_that_the_jvm_compiles(spark):
 
     W._write(Rows(), f"{scratch()}/rows", ["k"])
     assert seen == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+def test_ids_are_worked_out_once_a_file(spark):
+    d = scratch()
+    for name in ("plain.csv", "a b+c%20é.csv"):
+        file(f"{d}/in", name, HEAD + "1,glove,A\n2,mask,B\n")
+    files = [r.path for r in spark.read.format("binaryFile").load(f"{d}/in").select("path").collect()]
+    df = S.read_inventory_csv(spark, files).withColumnRenamed("VENDOR_NAME", "__file_path")
+    source = S.added(df, "file")
+    got = W._with_ids(df, source, files[:1])  # the other file's are worked out row by row
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 4 and {r[W.FILE_KEY] for r in got.collect()} == {W._id(f) for f in files}
+    assert got.where(W._id_column(got[source]) != got[W.FILE_KEY]).count() == 0
+    assert got.columns == [*df.columns, W.FILE_KEY]
+
+
+def test_rules_of_a_row_fit_a_method_that_the_jvm_compiles(spark):
+    df = inventory(spark, [("glove", "A", "b")]).selectExpr("*", *(f"'x' as c{i}" for i in range(5)))
+    df = df.observe("rows", L.F.count(L.F.lit(1)).alias("n"))  # as in the stream: the rules are a stage of their own
+    res = B.build(df, B.Options(skip_descriptions=True), trace="_t")
+    said = spark._jvm.PythonSQLUtils.explainString(res._jdf.queryExecution(), "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert len(sizes) > 1 and max(sizes) <= 8000
+
+
+def test_asked_requests_are_not_sorted(spark, monkeypatch):
+    d, plans, real = scratch(), {}, W._write
+    file(f"{d}/in", "a.csv", HEAD + "1,thing,A\n2,thing,A\n3,other,A\n")
+    file(f"{d}/in", "b.csv", HEAD + "1,thing,A\n")
+
+    def noted(df, path, keys):
+        plans[os.path.basename(path)] = df._jdf.queryExecution().executedPlan().toString()
+        real(df, path, keys)
+
+    monkeypatch.setattr(W, "_write", noted)
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint")
+    assert "HashAggregate" in plans["asked"] and "SortAggregate" not in plans["asked"]
+    asked = spark.read.parquet(f"{d}/out/asked").groupBy("context").count().collect()
+    assert sorted(r["count"] for r in asked) == [1, 2] and W.issued_requests(spark, f"{d}/out").count() == 2
+
+
+@pytest.mark.parametrize("query", ["folder_versions"])
+def test_an_inventory_lands_in_one_pass(spark, monkeypatch, query):
+    rows = [(f"1-{i}", "thing" if i else "glove", "A") for i in (0, 1, 2, 1)] + [(None, "mask", "B")]  # one slice has no rows, one row no slice
+    monkeypatch.setattr(P, "lineitem_inventory", lambda spark, d: inventory(spark, rows, ("ITEM_NO", "DESCRIPTION", "VENDOR_NAME")).withColumn("SLICE", P._slice()))
+    written, real = [], DataFrameWriter.csv
+
+    def noted(self, path, *args, **kw):
+        written.append(path)
+        return real(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", noted)
+    got = getattr(P, query)(spark, None).collect()
+    assert [p for p in written if "-none/" not in p] == written[:1]
+    if query == "stream_requests":
+        assert len(got) == 1
+    elif query == "stream_progress":
+        assert {(r.stage, r.total, r.completed) for r in got} == {("category", 4, 1), ("facility", 4, 1)}
+    else:
+        assert sum(r.n_rows for r in got) == 4 and len({r[CATEGORY_COL] for r in got}) == 2
