@@ -97,9 +97,10 @@ def stream_requests(spark, d):
     """L1/L2 in W3: four landings, two before the first run, and a restart; each request comes out once ever."""
     from ..streaming.folder import issued_requests, run_folder
 
-    base, inv = work_path(spark, "stream-requests"), lineitem_inventory(spark, d)
+    base = work_path(spark, "stream-requests")
+    made = _land_slices(spark, lineitem_inventory(spark, d), f"{base}/made")
     for i in range(SLICES):
-        _land(inv.where(_slice() == i), f"{base}/in/{i}")
+        _arrive(spark, made[str(i)], f"{base}/in/{i}")
         if i % 2:
             run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", STAGES)
     run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", STAGES)
