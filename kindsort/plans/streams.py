@@ -198,9 +198,9 @@ def stream_progress(spark, d):
     """A6 in W3: what the writes of each batch observed, summed over the batches."""
     from ..streaming import folder as W
 
-    base, inv = work_path(spark, "progress"), lineitem_inventory(spark, d)
-    for i in range(SLICES):
-        _land(inv.where(_slice() == i), f"{base}/in/{i}")
+    base = work_path(spark, "progress")
+    for i, made in _land_slices(spark, lineitem_inventory(spark, d), f"{base}/made").items():
+        _arrive(spark, made, f"{base}/in/{i}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(f"{base}/in").select("path").count()
     W.run_folder(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", STAGES, max_files=max(1, files // 3))
     return W.stream_progress(spark, f"{base}/out").groupBy("stage").agg(F.sum("total").alias("total"), F.sum("completed").alias("completed"))

@@ -239,7 +239,7 @@ def test_asked_requests_are_not_sorted(spark, monkeypatch):
     assert sorted(r["count"] for r in asked) == [1, 2] and W.issued_requests(spark, f"{d}/out").count() == 2
 
 
-@pytest.mark.parametrize("query", ["folder_versions", "stream_requests"])
+@pytest.mark.parametrize("query", ["folder_versions", "stream_requests", "stream_progress"])
 def test_an_inventory_lands_in_one_pass(spark, monkeypatch, query):
     rows = [(f"1-{i}", "thing" if i else "glove", "A") for i in (0, 1, 2, 1)] + [(None, "mask", "B")]  # one slice has no rows, one row no slice
     monkeypatch.setattr(P, "lineitem_inventory", lambda spark, d: inventory(spark, rows, ("ITEM_NO", "DESCRIPTION", "VENDOR_NAME")).withColumn("SLICE", P._slice()))
