@@ -61,6 +61,10 @@ def opt_col(df: DataFrame, name: str, default: str | None = None) -> Column:
     return F.lit(default).cast("string")
 
 
+#: How a request id is spelled.
+DIGEST = "^[0-9a-f]{64}$"
+
+
 def request_id(stage: str, context: Column) -> Column:
     """Stable id of a model request: sha-256 of stage and request text."""
     return F.sha2(F.concat_ws(REQUEST_SEP, F.lit(stage), context), 256)
@@ -70,6 +74,31 @@ def _part(prefix: str, c: Column) -> Column:
     return F.when(present(c), F.concat(F.lit(prefix), c)).otherwise(F.lit(""))
 
 
+def category_context(df: DataFrame) -> Column:
+    """The category request text."""
+    return F.concat(F.lit("Description: "), opt_col(df, "DESCRIPTION", ""), _part(", Vendor: ", opt_col(df, "VENDOR_NAME")), _part(", Subcategory: ", opt_col(df, "SUBCATEGORY")))
+
+
+def facility_context(df: DataFrame, category_col: str = CATEGORY_COL) -> Column:
+    """The facility request text."""
+    return F.concat(F.lit("Description: "), opt_col(df, "DESCRIPTION", ""), _part(", Category: ", opt_col(df, category_col)), _part(", Vendor: ", opt_col(df, "VENDOR_NAME")))
+
+
+#: The input's columns, and the label, that request texts are made of.
+TEXT_COLS = ("DESCRIPTION", "VENDOR_NAME", "CATEGORY", "SUBCATEGORY", CATEGORY_COL)
+
+
+def with_request(traced: DataFrame, stage: str) -> DataFrame:
+    """Rows of :func:`categorize`, :func:`facility` or :func:`describe` that were written without
+    the text or the id of the request that an open row sends, with both.
+
+    They are worked out again of the row's own ``TEXT_COLS``, which must be there."""
+    prefix, context = {"category": ("_cat", category_context), "facility": ("_fac", facility_context), "description": ("_desc", description_context)}[stage]
+    ctx, rid, open_row = f"{prefix}_ctx", f"{prefix}_rid", F.col(f"{prefix}_src") == "residual"
+    x = traced if ctx in traced.columns else traced.withColumn(ctx, F.when(open_row, context(traced)))
+    return x if rid in x.columns else x.withColumn(rid, F.when(open_row, request_id(stage, F.col(ctx))))
+
+
 def with_lower_description(df: DataFrame) -> DataFrame:
     """Lower-case the description once; every matcher reads this column."""
     if LOWER_DESC in df.columns and df.schema[LOWER_DESC].metadata == MATCHED:
@@ -136,7 +165,8 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False)
     The answer table is written once and measured.  Up to ``BROADCAST_ROWS`` and
     ``BROADCAST_CHARS`` every task gets it and no row moves.  A larger one is
     joined by shuffle with the open rows alone: the rows are written once, so the
-    rules run once for both parts, and the decided rows pass beside the join.  A
+    rules run once for both parts, and the decided rows pass beside the join.  Ids are
+    shuffled as the bytes of the digest; an answer whose id is none has no row.  A
     request id shared by many rows is split by AQE's skew handling.  ``stored`` rows
     are written already and not once more."""
     key, a = rid + "_k", rid + "_a"
@@ -145,8 +175,11 @@ def _join_answers(df: DataFrame, ans: DataFrame, rid: str, stored: bool = False)
     if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
         return df.join(F.broadcast(ans), df[rid] == ans[key], "left").drop(key)
     x = df if stored else written(df, "rows")
-    still = x.where(F.col(rid).isNotNull()).join(ans.hint("shuffle_merge"), F.col(rid) == F.col(key), "left").drop(key)
-    return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still)
+    columns, packed = [F.col(f"`{c}`") for c in x.columns], f"{rid}_p"
+    given = ans.where(F.col(key).rlike(DIGEST)).withColumn(key, F.unhex(key))
+    waiting = x.where(F.col(rid).isNotNull()).withColumn(packed, F.unhex(rid)).drop(rid)
+    still = waiting.join(given.hint("shuffle_merge"), F.col(packed) == F.col(key), "left").withColumn(rid, F.lower(F.hex(packed)))
+    return x.where(F.col(rid).isNull()).withColumn(a, F.lit(None).cast("string")).unionByName(still.select(*columns, a))
 
 
 def _with_answers(df: DataFrame, completions, rid: str, norm, stored: bool = False) -> tuple[DataFrame, str]:
@@ -208,7 +241,6 @@ def categorize(
     ``completions``: a table of answers or an answer store (in every stage).  Without
     ``contexts`` the texts of the requests, the widest trace column, stay out."""
     d = opt_col(df, "DESCRIPTION", "")
-    v = opt_col(df, "VENDOR_NAME")
     s = opt_col(df, "SUBCATEGORY")
     existing = opt_col(df, CATEGORY_COL) if preserve_existing else F.lit(None).cast("string")
     x = with_matches(df, engine)
@@ -227,9 +259,8 @@ def categorize(
         .otherwise(F.lit("residual"))
     )
     x = x.withColumn("_cat_src", src)
-    ctx = F.concat(F.lit("Description: "), d, _part(", Vendor: ", v), _part(", Subcategory: ", s))
     resid = F.col("_cat_src") == "residual"
-    x = x.withColumn("_cat_ctx", F.when(resid, ctx)).withColumn(
+    x = x.withColumn("_cat_ctx", F.when(resid, category_context(df))).withColumn(
         "_cat_rid", F.when(resid, request_id("category", F.col("_cat_ctx")))
     )
     if not contexts:
@@ -279,8 +310,6 @@ def facility(
 
     The column is always recomputed (never preserved)."""
     d = opt_col(df, "DESCRIPTION", "")
-    v = opt_col(df, "VENDOR_NAME")
-    cat = opt_col(df, category_col)
     x = facility_flags(df, engine)
     rv, ru, di = F.col("_fac_review"), F.col("_fac_rural"), F.col("_fac_district")
     src = (
@@ -291,8 +320,7 @@ def facility(
     )
     x = x.withColumn("_fac_src", src)
     resid = F.col("_fac_src") == "residual"
-    ctx = F.concat(F.lit("Description: "), d, _part(", Category: ", cat), _part(", Vendor: ", v))
-    x = x.withColumn("_fac_ctx", F.when(resid, ctx)).withColumn(
+    x = x.withColumn("_fac_ctx", F.when(resid, facility_context(df, category_col))).withColumn(
         "_fac_rid", F.when(resid, request_id("facility", F.col("_fac_ctx")))
     )
     if not contexts:

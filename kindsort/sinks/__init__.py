@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import one_answer
+from ..session import released
 from ..sources.inventory import data_columns
 
 CSV_WRITE_OPTIONS = {
@@ -30,14 +31,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[
     ``order_by`` the rows are range-sorted, so the part files in name order hold
     them in that order."""
     out = df.orderBy(*order_by) if order_by else df
-    out.select(*(f"`{c}`" for c in data_columns(df))).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
+    with released(df.sparkSession):
+        out.select(*(f"`{c}`" for c in data_columns(df))).write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    with released(df.sparkSession):
+        w.parquet(path)
 
 
 def append_completions(completions: DataFrame, path: str, stage: str, batch_id: int | None = None) -> None:

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 from urllib.parse import unquote
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from ..functions.vocab import CATEGORY_COL, FACILITY_COL, REQUIRED_COLUMNS
 from ..operators.enrich import REQUEST_SCHEMA, finished, resolve_attempts
 from ..operators.report import observe_open
-from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, build, stage_requests
-from ..session import compiled, setting
+from ..plans.batch import FORM_DEFAULTS, OUTPUTS, Options, alike, build, stage_requests, traced_rows
+from ..session import compiled, let_go, noted, released, setting
 from ..sources.inventory import Layout, added, fresh, layouts, looked_at, position_column, read_inventory_csv, read_rejects
 
 ARRIVALS_SCHEMA = "path string, modified timestamp, length long, version long, cause string"
@@ -161,8 +162,8 @@ WRITERS = 4
 def _write(df: DataFrame, path: str, keys: list[str]) -> None:
     """Rows under their keys.  A task holds rows of a few files: up to ``WRITERS`` are written beside
     each other as they come, only beyond that are the rows sorted by file first."""
-    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)), compiled(df.sparkSession):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)), compiled(df.sparkSession), released(df.sparkSession):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
 
 
 def _told(e: BaseException) -> str:
@@ -238,15 +239,17 @@ def _joined(pieces: list[Piece]) -> list[Layout]:
 
 
 def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder: str | None = None, attempts: DataFrame | None = None):
-    def write_rows(spark: SparkSession, good: list[Layout], batch_id: int) -> dict[str, int]:
+    def write_rows(spark: SparkSession, good: list[Layout], batch_id: int, contexts: bool) -> dict[str, int]:
         files = [f for g in good for f in g.files]
         good = looked_at(spark, good) if opts.multi_line else good
         surplus = Observation()
         df = read_inventory_csv(spark, files, multi_line=opts.multi_line, found=good, surplus=surplus)
         pos, source = position_column(df), added(df, "file")
-        res, seen = observe_open(build(df, opts, completions, attempts, trace=TRACE), at=f"{TRACE}.")
         batch_key = F.lit(batch_id).cast("long")
-        _write(_with_ids(res, source, files).withColumn(BATCH_KEY, batch_key).drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
+        with noted() as made:
+            res, seen = observe_open(build(df, opts, completions, attempts, trace=TRACE, contexts=contexts, ids=contexts), at=f"{TRACE}.")
+            _write(_with_ids(res, source, files).withColumn(BATCH_KEY, batch_key).drop(pos, source), f"{out_dir}/rows", [BATCH_KEY, FILE_KEY])
+        let_go(spark, made)
         # the rows themselves are read a second time only if the first reading left any out
         bad = read_rejects(spark, files, opts.multi_line, good if surplus.get["rows"] else [])
         _write(bad.withColumns({BATCH_KEY: batch_key, FILE_KEY: _id_column(F.col("file"))}), f"{out_dir}/rejects", [BATCH_KEY, FILE_KEY])
@@ -286,11 +289,13 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
                 for f in g.files:
                     note(f, "quarantined", why, None)
         good = [g for g in found if not _unusable(g)]
+        # request texts and ids are worked out again of the written rows, unless a column might be taken for another
+        contexts = alike([c for g in good for c in g.columns])
         seen: list[dict[str, int]] = []
 
         def write_pieces(pieces: list[Piece]) -> None:
             try:
-                seen.append(write_rows(spark, _joined(pieces), batch_id))
+                seen.append(write_rows(spark, _joined(pieces), batch_id, contexts))
             except Exception as e:  # noqa: BLE001 - perhaps a file cannot be read: in halves, so the others get through
                 if len(pieces) > 1:
                     named = _named(e)
@@ -301,7 +306,7 @@ def _process(opts: Options, completions: DataFrame | None, out_dir: str, folder:
                         if part:
                             write_pieces(part)
                     return
-                again = lambda: seen.append(write_rows(spark, _joined(pieces), batch_id))
+                again = lambda: seen.append(write_rows(spark, _joined(pieces), batch_id, contexts))
                 if why := _reason(e) if READ_FAULTS.search(_told(e)) else _read_fault(again):
                     for name in ("rows", "rejects"):
                         _clear(spark, f"{out_dir}/{name}/{BATCH_KEY}={batch_id}/{FILE_KEY}={_id(pieces[0][1])}")
@@ -364,7 +369,8 @@ def _write_asked(spark: SparkSession, out_dir: str, batch_id: int, opts: Options
     if written is None:
         return
     # an id is the digest of stage and context, so whole rows repeat: without a sort, unlike rows of one id
-    reqs = stage_requests(written.select(F.col(FILE_KEY).cast("string").alias("file_id"), f"{TRACE}.*"), opts, keep=["file_id"]).distinct()
+    traced = traced_rows(written, TRACE, [F.col(FILE_KEY).cast("string").alias("file_id")])
+    reqs = stage_requests(traced, opts, keep=["file_id"]).distinct()
     if done is None:
         reqs = reqs.withColumn("open", F.lit(True))
     else:
@@ -383,6 +389,13 @@ def _write_progress(spark: SparkSession, seen: list[dict[str, int]], out_dir: st
 
 # --- runs ----------------------------------------------------------------------------------------
 
+@contextmanager
+def unloaded(spark: SparkSession):
+    """For a stream that ends: the ids compressed by zstd (LZ4 makes nothing of digests), and no copy of them left beside the checkpoint."""
+    with setting(spark, "spark.sql.streaming.stateStore.rocksdb.compression", "zstd"), setting(spark, "spark.sql.streaming.stateStore.unloadOnCommit", "true"):
+        yield
+
+
 def issue_requests(spark: SparkSession, out_dir: str, checkpoint: str):
     """L1/L2 as a stream: each request of the ``asked`` table goes to ``requests`` once ever.
 
@@ -393,8 +406,8 @@ def issue_requests(spark: SparkSession, out_dir: str, checkpoint: str):
         return None
     asked = spark.readStream.schema(ASKED_SCHEMA).parquet(f"{out_dir}/asked")
     once = asked.select(*(c.split()[0] for c in REQUEST_SCHEMA.split(", "))).dropDuplicates(["request_id"]).observe("issued", F.count(F.lit(1)).alias("requests"))
-    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
-        q = once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", f"{out_dir}/requests").trigger(availableNow=True).start()
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB), unloaded(spark), released(spark):
+        q = once.writeStream.format("parquet").option("compression", "zstd").outputMode("append").option("checkpointLocation", checkpoint).option("path", f"{out_dir}/requests").trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 

@@ -1,0 +1,127 @@
+"""What is on disk while a query runs: shuffle files, rows between stages, request texts, ids of a stream."""
+
+import glob
+import os
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import inventory
+from kindsort.functions.vocab import CATEGORY_COL, SIMPLE_DESC_COL
+from kindsort.operators import classify as C
+from kindsort.operators import enrich as L
+from kindsort.plans import batch as B
+from kindsort.session import let_go, noted, stored
+from kindsort.sinks import write_csv, write_parquet
+from kindsort.streaming import folder as W
+from test_growth import file, kept, scratch
+
+HEAD = "ITEM_NO,DESCRIPTION,VENDOR_NAME,SUBCATEGORY,_cat_src\n"
+ROWS = "1,thing,A,x,q\n2,glove,A,,q\n3,thing,A,x,q\n4,,B,x,q\n5,odd,,,q\n"
+STEPS = ("rows", "answers", "pending", "indexed")
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return set(re.findall(r"shuffle_\d+_\d+_\d+", files.mkString(" ")))
+
+
+def contexts(reqs):
+    return sorted((r.request_id, r.stage, r.context) for r in reqs.select("request_id", "stage", "context").distinct().collect())
+
+
+def wanted(spark, opts, sub="SUBCATEGORY"):
+    df = inventory(spark, [("thing", "A", "x"), ("glove", "A", None), (None, "B", "x"), ("odd", None, None)], ("DESCRIPTION", "VENDOR_NAME", sub))
+    x = C.categorize(df, trace=True)
+    out = L.requests(x, "category")
+    if not opts.skip_facility:
+        out = out.unionByName(L.requests(C.facility(x, trace=True), "facility", ready=F.col("_cat_src") != "residual"))
+    if not opts.skip_descriptions:
+        out = out.unionByName(L.requests(C.describe(df, trace=True), "description"))
+    return contexts(out)
+
+
+@pytest.mark.parametrize("write", [lambda df: stored(df), lambda df: write_csv(df, f"{scratch()}/a", order_by=["k"]), lambda df: write_parquet(df, f"{scratch()}/a"), lambda df: W._write(df, f"{scratch()}/a", ["k"])])
+def test_shuffle_files_go_with_their_write(spark, write):
+    before = shuffle_files(spark)
+    write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_tables_that_are_still_read_stay(spark):
+    with noted() as made:
+        a = stored(spark.range(5), "first")
+        b = stored(a.where("id > 1"), "second")
+        c = stored(a, "third")
+    let_go(spark, made, b.union(c).where("id < 4"))
+    there = [os.path.exists(m.removeprefix("file:")) for m in made]
+    assert there == [False, True, True] and b.count() == 3
+
+
+def test_a_run_leaves_no_steps_and_no_request_texts(spark):
+    d = scratch()
+    file(f"{d}/in", "a.csv", HEAD + ROWS)
+    before = {s: kept(spark, s) for s in STEPS}
+    B.run(spark, f"{d}/in", f"{d}/out", B.CLI_DEFAULTS)
+    assert {s: kept(spark, s) for s in STEPS} == before
+    trace = spark.read.parquet(f"{d}/out/table").select("_trace.*").columns
+    assert {"_cat_rid", "_fac_rid", "_desc_rid"} < set(trace) and not [c for c in trace if c.endswith("_ctx")]
+    assert glob.glob(f"{d}/out/table/*.zstd.parquet") and glob.glob(f"{d}/out/requests/*.zstd.parquet")
+    todo = spark.read.parquet(f"{d}/out/requests")
+    assert contexts(todo) == wanted(spark, B.CLI_DEFAULTS) and todo.count() == len(contexts(todo))
+
+
+def test_a_stream_stores_request_texts_once(spark):
+    d, opts = scratch(), B.Options(skip_descriptions=True)
+    file(f"{d}/in", "a.csv", HEAD.replace("_cat_src", "note") + ROWS)
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint", opts)
+    trace = spark.read.parquet(f"{d}/out/rows").select(f"{W.TRACE}.*").columns
+    assert "_cat_src" in trace and not [c for c in trace if re.search("_(ctx|rid)$", c)]
+    assert contexts(W.issued_requests(spark, f"{d}/out")) == contexts(spark.read.parquet(f"{d}/out/asked")) == wanted(spark, opts)
+    for name in ("rows", "asked", "requests"):
+        assert {f.endswith("zstd.parquet") for f in glob.glob(f"{d}/out/{name}/**/*.parquet", recursive=True)} == {True}
+
+
+def test_a_column_that_differs_by_case_is_not_taken_for_another(spark):
+    d, opts = scratch(), B.Options(skip_facility=True, skip_descriptions=True)
+    file(f"{d}/in", "a.csv", HEAD.replace("SUBCATEGORY", "Subcategory").replace("_cat_src", "note") + ROWS)
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint", opts)
+    B.run(spark, f"{d}/in", f"{d}/batch", opts)
+    want = wanted(spark, opts, "Subcategory")
+    assert contexts(W.issued_requests(spark, f"{d}/out")) == contexts(spark.read.parquet(f"{d}/batch/requests")) == want
+    assert B.alike(["Subcategory"]) and not B.alike(["SUBCATEGORY", "x", CATEGORY_COL])
+
+
+def test_rows_of_earlier_stages_go_once_the_last_ones_are_written(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", -1)
+    df = inventory(spark, [("thing", "A", None), ("thing", "A", None), ("odd", "B", "x"), (None, "B", "x")])
+    x = C.categorize(df, trace=True)
+    comp = L.requests(x, "category").selectExpr("request_id", "'Cleaning & Facility Maintenance' as response").distinct()
+    comp = comp.union(spark.createDataFrame([("no digest", "PPE & Infection Control"), (None, "x")], "request_id string, response string"))
+    tried = L.requests(C.describe(df, trace=True), "description").selectExpr("request_id", "1 as attempt", "true as responded", "context as response", "string(null) as error", "5L as total_tokens")
+    before = {s: kept(spark, s) for s in STEPS}
+    out = B.build(df, B.CLI_DEFAULTS, comp, tried.where("contains(response, 'thing')"))
+    (rows,) = kept(spark, "rows") - before["rows"]
+    assert len(kept(spark, "answers") - before["answers"]) == 1
+    assert not [c for c in spark.read.parquet(rows).columns if c.startswith(("_cat", "_fac")) or c == "_d"]
+    got = sorted((r.DESCRIPTION or "", r[CATEGORY_COL], bool(r[SIMPLE_DESC_COL])) for r in out.collect())
+    clean = "Cleaning & Facility Maintenance"
+    assert got == [("", "Uncategorized", True), ("odd", clean, False), ("thing", clean, True), ("thing", clean, True)]
+
+
+def test_ids_of_a_stream_are_left_in_its_checkpoint_alone(spark):
+    d = scratch()
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().conf())
+    ids = lambda: set(glob.glob(f"{local}/**/*.sst", recursive=True))
+    before = ids()
+    file(f"{d}/in", "a.csv", HEAD.replace("_cat_src", "note") + ROWS)
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint")
+    assert ids() == before and glob.glob(f"{d}/checkpoint/requests/state/**/*.zip", recursive=True)
+    file(f"{d}/in", "b.csv", HEAD.replace("_cat_src", "note") + ROWS + "6,other,A,x,q\n")
+    W.run_folder(spark, f"{d}/in", f"{d}/out", f"{d}/checkpoint")
+    assert W.issued_requests(spark, f"{d}/out").count() == len(contexts(W.issued_requests(spark, f"{d}/out"))) == 3
