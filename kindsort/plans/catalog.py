@@ -31,7 +31,7 @@ from ..functions.vocab import (
 from ..operators import classify as C
 from ..operators import enrich as L
 from ..operators import report as R
-from ..session import compiled, stored
+from ..session import compiled, let_go, noted, released, stored
 from ..sources import inventory as S
 from ..sources.testview import (
     LINEITEM_INVENTORY_SQL,
@@ -801,12 +801,14 @@ def _pipeline_sql(q: Q.Sql, base: str) -> str:
 
 def _answers_for(df: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame | None]:
     """Scripted answers for every request a run of ``opts`` sends, stage by stage."""
-    cat_t = stored(C.categorize(df, opts.preserve_existing, trace=True), "traced")
-    comp = stored(X.scripted_completions(L.requests(cat_t, "category")), "completions")
-    attempts = None
-    if not opts.skip_facility:
-        fac_t = C.facility(C.apply_answers(cat_t, "category", comp), trace=True)
-        comp = comp.unionByName(stored(X.scripted_completions(L.requests(fac_t, "facility")), "completions"))
+    with noted() as made:
+        cat_t = stored(C.categorize(df, opts.preserve_existing, trace=True), "traced")
+        comp = stored(X.scripted_completions(L.requests(cat_t, "category")), "completions")
+        attempts = None
+        if not opts.skip_facility:
+            fac_t = C.facility(C.apply_answers(cat_t, "category", comp), trace=True)
+            comp = comp.unionByName(stored(X.scripted_completions(L.requests(fac_t, "facility")), "completions"))
+    let_go(df.sparkSession, made, comp)
     if not opts.skip_descriptions:
         desc_t = C.describe(df, trace=True)
         attempts = X.scripted_attempts(L.requests(desc_t, "description"))
@@ -1058,7 +1060,7 @@ def _raw_inventory(spark, d) -> DataFrame:
 
 def _land(df: DataFrame, path: str) -> None:
     """``df`` as CSV files, written by Spark alone."""
-    with compiled(df.sparkSession):
+    with compiled(df.sparkSession), released(df.sparkSession):
         df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
 
 
@@ -1212,9 +1214,12 @@ def _q_batch_inventory():
 @register("batch_run_inventory", _q_batch_inventory())
 def batch_run_inventory(spark, d):
     """W1 with every stage over the whole inventory."""
-    df = _matched(lineitem_inventory(spark, d))
-    comp, attempts = _answers_for(df, CLI_DEFAULTS)
-    return build(df, CLI_DEFAULTS, comp, attempts).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL)
+    with noted() as made:
+        df = _matched(lineitem_inventory(spark, d))
+        comp, attempts = _answers_for(df, CLI_DEFAULTS)
+        out = build(df, CLI_DEFAULTS, comp, attempts).select("ITEM_NO", "DESCRIPTION", CATEGORY_COL, FACILITY_COL, SIMPLE_DESC_COL)
+    let_go(spark, made, out)
+    return out
 
 
 def _q_report_inventory():
