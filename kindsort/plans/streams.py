@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_tokens_sql, sql_str
 from ..functions.vocab import CATEGORY_COL, CATEGORY_LABELS, FACILITY_COL
-from ..session import compiled, setting, stored, work_path
+from ..session import compiled, released, setting, stored, work_path
 from ..sources.testview import lineitem_inventory
 from . import fixtures as X
 from . import sqlforms as Q
@@ -31,7 +31,7 @@ def _files(spark: SparkSession, folder: str):
 
 def _place(spark: SparkSession, df: DataFrame, folder: str, scratch: str, **options: str) -> None:
     """``df`` as the files ``0.csv``, ``1.csv``, ... of a folder, in place of those that it holds."""
-    with compiled(spark):
+    with compiled(spark), released(spark):
         df.write.options(**({"header": "true", "escape": '"', "emptyValue": '""'} | options)).csv(scratch)
     _put(spark, scratch, folder)
 
@@ -53,7 +53,7 @@ def _land_parts(spark: SparkSession, df: DataFrame, parts: list[str], made: str)
     """The rows by column ``PART`` as CSV files in a folder of its own each, all in one pass; the folders of ``parts``.
 
     A part without rows gets a file with the header alone, as :func:`_land` writes it."""
-    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(parts))), compiled(spark):
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(parts))), compiled(spark), released(spark):
         df.where(F.col(PART).isin(parts)).write.partitionBy(PART).options(header="true", escape='"', emptyValue='""').csv(made)
     path, fs = _files(spark, made)
     folders = {}
