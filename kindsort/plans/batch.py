@@ -178,6 +178,8 @@ def run(
     # the files are read a second time only if the first reading left rows out
     left = found if surplus.get["rows"] else [g for g in found if not g.columns]
     rec.timed("rejects", lambda: (write_parquet(read_rejects(spark, input_path, opts.multi_line, left), f"{output_path}/rejects"), spark.read.parquet(f"{output_path}/rejects").count())[1])
+    if csv:
+        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=order), None)[1])
     answers = completions.answers() if isinstance(completions, AnswerStore) else completions
     done = answers.select("request_id") if answers is not None else None
     if attempts is not None:
@@ -191,8 +193,6 @@ def run(
         todo = spelled_ids(todo.withColumn("batch", batch_of(F.col("place"), opts.batch_size)).drop("place"))
         rec.timed("requests", lambda: (write_parquet(todo, f"{output_path}/requests"), spark.read.parquet(f"{output_path}/requests").count())[1])
     let_go(spark, made)
-    if csv:
-        rec.timed("csv", lambda: (write_csv(result, f"{output_path}/csv", order_by=order), None)[1])
     write_parquet(request_kinds(spark), f"{output_path}/request_kinds")
     rep = summary_report(result, pos, opts.skip_facility, opts.skip_descriptions, seed)
     facts = {"Input": str(input_path), "Output": output_path, "Started": began.isoformat(timespec="seconds"), "Seconds": f"{(datetime.now(timezone.utc) - began).total_seconds():.1f}"}
